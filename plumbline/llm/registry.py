@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, token_records, warc
 
 
 def queries():
-    return {"op4_mixing": mixing.op4_mixing, "op10_exact_dedup": exact_dedup.op10_exact_dedup}
+    return {
+        "op1_warc": warc.op1_warc,
+        "op4_mixing": mixing.op4_mixing,
+        "op9_token_records": token_records.op9_token_records,
+        "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    }
 
 
 def oracle_sql():
-    return {"op4_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
