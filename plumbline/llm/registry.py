@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_records, warc
+from . import exact_dedup, mixing, quality, token_records, toxicity, warc
 
 
 def queries():
     return {
         "op1_warc": warc.op1_warc,
+        "op2_quality": quality.op2_quality,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_mixing": mixing.op4_mixing,
         "op9_token_records": token_records.op9_token_records,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
