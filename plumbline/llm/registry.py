@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, token_records, toxicity, warc
+from . import exact_dedup, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, warc
 
 
 def queries():
@@ -11,6 +11,9 @@ def queries():
         "op2_quality": quality.op2_quality,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mixing": mixing.op4_mixing,
+        "op5_sentencepiece": unigram.op5_sentencepiece,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+        "op8_secrets": secrets.op8_secrets,
         "op9_token_records": token_records.op9_token_records,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
