@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, warc
+from . import exact_dedup, jaccard_join, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mixing": mixing.op4_mixing,
         "op5_sentencepiece": unigram.op5_sentencepiece,
+        "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_secrets": secrets.op8_secrets,
         "op9_token_records": token_records.op9_token_records,
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
