@@ -191,38 +191,60 @@ def _compared(pairs: DataFrame, sets: DataFrame, parts: int, most: int = 500) ->
 LINKED = "4 * both >= 3 * any"
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, local_edges: int = 1_000_000) -> DataFrame:
     """node, root: the least node that links (a, b) reach, for the nodes of links.
 
-    Large-star and small-star steps in turn, each landed in the shared folder, until nothing changes.
+    Up to local_edges of them, counted first, are joined up within one task. More go through
+    large-star and small-star steps in turn, each landed in the shared folder, until nothing
+    changes. Both ways give the same rows.
     """
     edges = landed(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v").distinct(), "edges")
+    if edges.count() <= local_edges:
+
+        def join(batches):
+            parent: dict[int, int] = {}
+
+            def find(x):
+                while (p := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[p]
+                return x
+
+            for b in batches:
+                for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                    u, v = find(u), find(v)
+                    parent[max(u, v)] = min(u, v)
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+        return landed(edges.coalesce(1).mapInArrow(join, "node long, root long"), "roots")
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct()
+        large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        new = landed(small.where("v <> m").selectExpr("v AS u", "m AS v").unionByName(low.selectExpr("u", "m AS v")).where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "edges")
-        edges, last = new, state
+        small = large.join(low, "u").where("v <> m").selectExpr("v AS u", "m AS v").unionByName(low.selectExpr("u", "m AS v"))
+        edges, last = landed(small.where("u <> v").distinct(), "edges"), state
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == last:
             break
-    return edges.selectExpr("u AS node", "v AS root")
+    roots = edges.selectExpr("u AS node", "v AS root")
+    return roots.unionByName(roots.selectExpr("root AS node", "root").distinct())
 
 
 def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -> DataFrame:
     """a, b, both, any: the links between open documents and all of their group, block by block.
 
-    groups: tag, grp, open. The open documents of a group and all of it are dealt into
-    blocks of about `block`; a task holds two blocks, whatever the group's size.
+    groups: tag, grp, open, d (distance to the pivot). The open documents of a group and all
+    of it are dealt into blocks of about `block`; a task holds two blocks, whatever the
+    group's size. Two documents are compared if their distances to the pivot differ by no
+    more than the radius, as the triangle inequality demands of links.
     """
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("nb"), F.ceil(F.count_if("open") / F.lit(float(block))).cast("int").alias("nz"))
     h = F.xxhash64("tag")
     rows = groups.join(sizes.where("nz > 0"), "grp").withColumn("j", F.pmod(h, F.col("nb").cast("long")).cast("int")).withColumn("i", F.pmod(h, F.col("nz").cast("long")).cast("int"))
-    every = rows.select("tag", "grp", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("i"), "j", F.lit(False).alias("side"))
-    opened = rows.where("open").select("tag", "grp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("side"))
+    every = rows.select("tag", "grp", "d", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("i"), "j", F.lit(False).alias("side"))
+    opened = rows.where("open").select("tag", "grp", "d", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("side"))
     tiles = every.unionByName(opened).join(sets.select("tag", "n", "keys"), "tag").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
     def tile(rows):
@@ -233,15 +255,15 @@ def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -
         _, ids = np.unique(np.concatenate([r[1] for r in x]), return_inverse=True)
         names = np.unique(np.concatenate([r[1] for r in x]))
         starts = np.cumsum([0, *(len(r[1]) for r in x)])[:-1]
-        n, tags = np.array([r[3] for r in x]), np.array([r[0] for r in x])
+        n, tags, far = (np.array([r[k] for r in x]) for k in (3, 0, 4))
         flag = np.zeros(len(names), np.int32)
-        for tag, keys, _, size in z:
+        for tag, keys, _, size, d in z:
             at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
             at = at[names[at] == keys]
             flag[at] = 1
             both = np.add.reduceat(flag[ids], starts)
             flag[at] = 0
-            for k in np.flatnonzero((4 * both >= 3 * (size + n - both)) & (tags != tag)):
+            for k in np.flatnonzero((np.abs(far - d) <= 0.25 + 1e-9) & (4 * both >= 3 * (size + n - both)) & (tags != tag)):
                 yield int(tag), int(tags[k]), int(both[k]), int(size + n[k] - both[k])
 
     def run(batches):
@@ -253,12 +275,12 @@ def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["a", "b", "both", "any"])
 
         for b in batches:
-            for g, i, j, tag, keys, side, n in zip(*(b.column(c) for c in ("grp", "i", "j", "tag", "keys", "side", "n")), strict=True):
+            for g, i, j, tag, keys, side, n, d in zip(*(b.column(c) for c in ("grp", "i", "j", "tag", "keys", "side", "n", "d")), strict=True):
                 key = (g.as_py(), i.as_py(), j.as_py())
                 if rows and key != last:
                     yield close()
                     rows = []
-                rows.append((tag.as_py(), keys.values.to_numpy(), side.as_py(), n.as_py()))
+                rows.append((tag.as_py(), keys.values.to_numpy(), side.as_py(), n.as_py(), d.as_py()))
                 last = key
             yield empty
         if rows:
@@ -272,22 +294,13 @@ def jaccard_links(texts: DataFrame, parts: int) -> DataFrame:
     sets = landed(shared_sets(texts, parts), "sets")
     members = sets.select("tag", F.explode("prefix").alias("key"))
     pivots = members.groupBy("key").agg(F.count("*").alias("size"), F.min("tag").alias("pivot")).where("size > 1")
-    regions = landed(members.join(pivots, "key").select("key", "tag", "pivot"), "regions")
-    stars = landed(regions.where("tag <> pivot").selectExpr("pivot AS a", "tag AS b").distinct(), "stars")
-    near = landed(_compared(stars, sets, parts).where(LINKED).select("a", "b"), "near")
-    roots = components(near)
-    # A region whose documents are all in one component is settled; the others' are joined again.
-    named = regions.join(roots, F.col("tag") == F.col("node"), "left").select("key", "tag", "pivot", F.coalesce("root", "tag").alias("root"))
-    unsettled = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = landed(named.join(unsettled, "key").select("tag", "pivot", "root").distinct(), "unsettled")
-    groups = components(left.where("tag <> pivot").selectExpr("pivot AS a", "tag AS b"))
-    placed = left.select("tag", F.col("root").alias("own")).distinct().join(groups, F.col("tag") == F.col("node"), "left").select("tag", "own", F.coalesce("root", "tag").alias("grp"))
-    # All but the largest component of a group are open: each pair of components has an open one.
-    sizes = placed.groupBy("grp", "own").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("grp").agg(F.max_by("own", F.struct("n", "own")).alias("main"))
-    groups = placed.join(main, "grp").select("tag", "grp", (F.col("own") != F.col("main")).alias("open"))
-    rest = _settled(landed(groups, "groups"), sets, parts)
-    return near.unionByName(rest.select("a", "b"))
+    stars = members.join(pivots, "key").where("tag <> pivot").selectExpr("pivot AS a", "tag AS b").distinct()
+    near = landed(_compared(landed(stars, "stars"), sets, parts).withColumn("linked", F.expr(LINKED)), "near")
+    # Two documents of a region share its pivot. Those within the radius are linked to it, and so to each
+    # other; the rest of the pivot's documents are open: they are compared with all of its documents.
+    groups = near.selectExpr("b AS tag", "a AS grp", "NOT linked AS open", "1 - both / cast(any AS double) AS d")
+    rest = _settled(groups, sets, parts)
+    return near.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000) -> DataFrame:
