@@ -233,7 +233,7 @@ def components(links: DataFrame, rounds: int = 60, local_edges: int = 1_000_000)
 
 
 def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -> DataFrame:
-    """a, b, both, any: the links between open documents and all of their group, block by block.
+    """a, b, both, any: links that connect open documents and all of their group as all links do, block by block.
 
     groups: tag, grp, open, d (distance to the pivot). The open documents of a group and all
     of it are dealt into blocks of about `block`; a task holds two blocks, whatever the
@@ -248,7 +248,7 @@ def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -
     tiles = every.unionByName(opened).join(sets.select("tag", "n", "keys"), "tag").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
     def tile(rows):
-        """Links of the open rows with the others."""
+        """Links of the open rows with the others; of all those, the ones that first connect two documents."""
         z, x = ([r for r in rows if r[2] is s] for s in (True, False))
         if not z or not x:
             return
@@ -257,6 +257,13 @@ def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -
         starts = np.cumsum([0, *(len(r[1]) for r in x)])[:-1]
         n, tags, far = (np.array([r[k] for r in x]) for k in (3, 0, 4))
         flag = np.zeros(len(names), np.int32)
+        parent = {t: t for t in [*(r[0] for r in z), *tags.tolist()]}
+
+        def find(t):
+            while parent[t] != t:
+                parent[t] = t = parent[parent[t]]
+            return t
+
         for tag, keys, _, size, d in z:
             at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
             at = at[names[at] == keys]
@@ -264,7 +271,9 @@ def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -
             both = np.add.reduceat(flag[ids], starts)
             flag[at] = 0
             for k in np.flatnonzero((np.abs(far - d) <= 0.25 + 1e-9) & (4 * both >= 3 * (size + n - both)) & (tags != tag)):
-                yield int(tag), int(tags[k]), int(both[k]), int(size + n[k] - both[k])
+                if (u := find(tag)) != (v := find(int(tags[k]))):
+                    parent[u] = v
+                    yield int(tag), int(tags[k]), int(both[k]), int(size + n[k] - both[k])
 
     def run(batches):
         rows, last = [], None
