@@ -125,20 +125,22 @@ def _library(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in _tokenizer(path)[0].encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def token_encoder(path: str):
+@cache
+def token_encoder(path: str, most: int = 1_000_000):
     """texts -> (flat ids, ids of each), as the tokenizer's library encodes each whole text.
 
     A byte-level tokenizer splits before a single space that stands between other
     characters. Texts of Latin-1 characters without double spaces and without
     special tokens are so cut into units, which the library encodes once each;
-    any other text goes to the library whole.
+    any other text goes to the library whole. A process has one encoder, so its units
+    outlive a task; it holds up to about `most` of them.
     """
 
     def encode(units):
         ids = _library(path, units)
         return np.fromiter((i for x in ids for i in x), np.int32), np.array([len(x) for x in ids], np.int32)
 
-    cached, special = UnitEncoder(encode), _tokenizer(path)[1]
+    cached, special = UnitEncoder(encode, most), _tokenizer(path)[1]
     odd = re.compile("|".join(["  ", "[^\\x00-\\xff]", "\\s \\S", *map(re.escape, special)]))
 
     def run(texts: list[str]) -> list[np.ndarray]:
