@@ -125,31 +125,66 @@ def _library(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in _tokenizer(path)[0].encode_batch_fast(texts, add_special_tokens=False)]
 
 
+#: White space other than the space itself, before a space; among Latin-1 characters.
+_EDGE = re.compile("[\t-\r\x1c-\x1f\x85\xa0] ")
+#: Fixed values of byte-level tokenizers: how they cut a text into pieces, and the bytes that stand for themselves (others: 256 and up, in order).
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _model_pieces(model):
+    """pieces -> (flat ids, number of each), by the library's model alone."""
+    table_ = {x: chr(256 + k) for k, x in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+
+    def run(pieces):
+        space = table_[32]
+        found = [model.tokenize(x.replace(" ", space) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(table_)) for x in pieces]
+        return np.fromiter((t.id for x in found for t in x), np.int32), np.array([len(x) for x in found], np.int32)
+
+    return run
+
+
 @cache
 def token_encoder(path: str, most: int = 1_000_000):
-    """texts -> (flat ids, ids of each), as the tokenizer's library encodes each whole text.
+    """texts -> the ids of each, as the tokenizer's library encodes each whole text.
 
     A byte-level tokenizer splits before a single space that stands between other
     characters. Texts of Latin-1 characters without double spaces and without
-    special tokens are so cut into units, which the library encodes once each;
-    any other text goes to the library whole. A process has one encoder, so its units
-    outlive a task; it holds up to about `most` of them.
+    special tokens are so cut into units. New units are cut into pieces as such a tokenizer
+    does, and the library's model turns each new piece into ids; any other text goes
+    to the library whole. A process has one encoder, so its units outlive a task; it
+    holds up to about `most` units, and as many pieces.
     """
+    import regex
+
+    tokenizer, special = _tokenizer(path)
+    cut, by_piece = regex.compile(_PIECE).findall, UnitEncoder(_model_pieces(tokenizer.model), most)
+
+    def encode(keys):
+        """A key is what follows a unit's space; a key of a unit without one begins with a space."""
+        return by_piece([f" {x}"] if x.isalpha() else cut(x[1:] if x[:1] == " " else f" {x}") for x in keys)
 
-    def encode(units):
-        ids = _library(path, units)
-        return np.fromiter((i for x in ids for i in x), np.int32), np.array([len(x) for x in ids], np.int32)
+    cached = UnitEncoder(encode, most)
 
-    cached, special = UnitEncoder(encode, most), _tokenizer(path)[1]
-    odd = re.compile("|".join(["  ", "[^\\x00-\\xff]", "\\s \\S", *map(re.escape, special)]))
+    def units(text: str) -> list[str]:
+        keys = text.split(" ")
+        if keys[0]:
+            keys[0] = f" {keys[0]}"
+        else:
+            del keys[0]
+        return keys
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        plain = [not odd.search(x) for x in texts]
-        units = []
-        for x in (x for x, p in zip(texts, plain, strict=True) if p):
-            first, *rest = x.split(" ")
-            units.append(([first] if first else []) + [f" {w}" for w in rest])
-        ids, size = cached(units)
+        plain = ["  " not in x and not _EDGE.search(x) and not any(t in x for t in special) and _latin(x) for x in texts]
+        ids, size = cached(units(x) for x, p in zip(texts, plain, strict=True) if p)
         ends = np.cumsum(size)
         easy = iter(np.split(ids, ends[:-1]) if len(ends) else ())
         hard = iter(_library(path, [x for x, p in zip(texts, plain, strict=True) if not p]))

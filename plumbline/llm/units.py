@@ -7,6 +7,7 @@ worker keeps a bounded dictionary of units; only units new to it are encoded.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +41,20 @@ class UnitEncoder:
         """Flat ids of the texts (each a list of units) and the number of ids of each text."""
         if len(self.index) > self.most:
             self._clear()
-        get, index = self.index.__getitem__, []
-        for units in texts:
-            index.append(np.fromiter(map(get, units), np.int32, len(units)))
+        count: list[int] = []
+
+        def counted():
+            for units in texts:
+                count.append(len(units))
+                yield units
+
+        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(counted())), np.int32)
         if new := self.index.new:
             ids, size = self.encode(new)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
             self.ids, self.size = np.concatenate([self.ids, ids]).astype(np.int32), np.concatenate([self.size, size]).astype(np.int32)
             self.index.new = []
-        n = np.array([len(x) for x in index], np.int64)
-        flat = np.concatenate(index) if index else np.zeros(0, np.int32)
+        n = np.array(count, np.int64)
         size = self.size[flat]
         ends = np.cumsum(size, dtype=np.int64)
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[flat] - ends + size, size)]
