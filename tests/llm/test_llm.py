@@ -210,6 +210,9 @@ def test_token_records(spark):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+    random.seed(9)
+    odd = ["".join(random.choice("ab Z9 .,'\n\t\x0b\x1c\x85\xa0é<|>-_s t") for _ in range(random.randrange(40))) for _ in range(3000)] + [" ", "a ", "\n a", "we'll 'tis don't", "x<|endoftext|> y"]
+    assert [x.tolist() for x in token_records.token_encoder(path)(odd)] == [lib.encode(t, add_special_tokens=False).ids for t in odd]
     assert token_records.crc32c([b"123456789"])[0] == 0xE3069283
     framed = token_records.frame([b"some bytes", b"x" * 999])
     assert token_records.unframe(b"".join(framed)) == [b"some bytes", b"x" * 999]
