@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -48,6 +49,17 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df with _row, a 64-bit name of each row: by its file and its place there, so null and repeated ids don't matter.
+
+    A plain read of Parquet files names its own rows; anything else is landed first.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "Parquet" not in plan.toString():
+        df = landed(df, "rows")
+    return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
+
+
 def filesystem(uri: str):
     """(filesystem, path) of a URI, for file, HDFS and object stores alike."""
     from pyarrow import fs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE, table
+from ._common import SPACE, keyed, table
 
 #: Ranks pack (code points, id) into one decimal; ids take the low 20 digits.
 _ID_SPAN, _ID_TOP = "100000000000000000000", "9223372036854775808"
@@ -21,6 +21,19 @@ def _rank(n_chars: Column, id_col: Column) -> Column:
     return (n_chars.cast("decimal(15,0)") * F.lit(_ID_SPAN).cast("decimal(21,0)") + below.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
+def _normal(df: DataFrame, id_col: str, text_col: str, *more: str | Column) -> DataFrame:
+    """doc_id, n_chars, norm and digest of each row, and the columns of `more`."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *more)
+    more = rows.columns[2:]
+    return rows.select("doc_id", F.length("text").alias("n_chars"), F.regexp_replace("text", SPACE, "").alias("norm"), *more).withColumn("digest", F.sha2("norm", 256))
+
+
+def _key() -> list[Column]:
+    """The digest, a second hash and the length: they stand for contents compared before."""
+    return [F.col("digest"), F.xxhash64("norm").alias("h"), F.length("norm").alias("n_norm")]
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """Group rows whose texts are equal once white space is deleted.
 
@@ -37,14 +50,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     points has an id; rows that repeat an id and tie in length are all kept=true if that id is
     the winner; an empty table gives no rows; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.regexp_replace("text", SPACE, "").alias("norm"))
-    rows = rows.withColumn("digest", F.sha2("norm", 256))
+    rows = _normal(df, id_col, text_col)
     local = rows.select("digest", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), _rank(F.col("n_chars"), F.col("doc_id")).alias("rank"))
     salted = local.groupBy("digest", "norm", "salt").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
     final = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"))
-    # The digest, a second hash and the length stand for the contents compared above.
-    key = [F.col("digest"), F.xxhash64("norm").alias("h"), F.length("norm").alias("n_norm")]
+    key = _key()
     low = F.pmod(F.col("rank"), _whole(_ID_SPAN))
     winners = final.select(
         *key,
@@ -56,10 +66,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.select("doc_id", "n_chars", *key).join(winners, ["digest", "h", "n_norm"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_dedup() drops; columns as they were."""
-    keep = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(keep, df[id_col].cast("long").eqNullSafe(keep["_kept_id"]), "left_semi")
+def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """df with one row of each group of exact_dedup(), by the same rank; columns as they were.
+
+    Rows are told apart by keyed(), so a group leaves one row whether its ids are null,
+    repeated or neither; of rows that tie in length and id any one is left.
+    """
+    rows = _normal(keyed(df), id_col, text_col, "_row", F.struct(*df.columns).alias("all"))
+    local = rows.select("digest", "norm", F.pmod("_row", F.lit(salts)).alias("salt"), "_row", _rank(F.col("n_chars"), F.col("doc_id")).alias("rank"))
+    salted = local.groupBy("digest", "norm", "salt").agg(F.max_by("_row", "rank").alias("_row"), F.max("rank").alias("rank"))
+    final = salted.groupBy("digest", "norm").agg(F.max_by("_row", "rank").alias("keep_row"))
+    winners = final.select(*_key(), "keep_row")
+    return rows.select("_row", "all", *_key()).join(winners, ["digest", "h", "n_norm"]).where("_row = keep_row").select("all.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import landed, table
+from ._common import keyed, landed, table
 from .units import _Index, chunks
 
 WORDS = 5
@@ -56,20 +56,21 @@ def _tag(keys: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), tag of each row's whole text; a null text is empty."""
+def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n (set size), tag of each row's whole text, and row_col; a null text is empty."""
+    more = [row_col] if row_col else []
 
     def run(batches):
         sets = Shingler()
         for b in (c for b in batches for c in chunks(b, "text")):
             found = sets(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([_tag(x) for x in found], pa.int64())], ["doc_id", "n", "tag"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([_tag(x) for x in found], pa.int64()), *(b.column(c) for c in more)], ["doc_id", "n", "tag", *more])
 
-    return _texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n long, tag long")
+    return _texts(df, id_col, text_col, *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "n", "tag", *more)))
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def _texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -312,6 +313,15 @@ def jaccard_links(texts: DataFrame, parts: int) -> DataFrame:
     return near.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
 
 
+def _rooted(rows: DataFrame, df: DataFrame, id_col: str, text_col: str, part_shingles: int, *aggs: Column) -> DataFrame:
+    """tag, root of its component, and aggs of its rows, for each distinct set of rows, the landed shingle_sets() of df."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    links = jaccard_links(_texts(df, id_col, text_col), max(8, -(-total // part_shingles)))
+    classes = rows.where("n > 0").groupBy("tag").agg(*aggs)
+    roots = components(links)
+    return classes.join(roots, F.col("tag") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tag")).drop("node")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: components of links of similarity 0.75 or more.
 
@@ -322,20 +332,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits of a digest and shingles by 64 bits.
     """
     rows = landed(shingle_sets(df, id_col, text_col), "shingle-sets")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    links = jaccard_links(_texts(df, id_col, text_col), max(8, -(-total // part_shingles)))
-    roots = components(links)
-    classes = rows.where("n > 0").groupBy("tag").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(roots, F.col("tag") == F.col("node"), "left").select("tag", "first", F.coalesce("root", "tag").alias("root"))
+    classes = _rooted(rows, df, id_col, text_col, part_shingles, F.min("doc_id").alias("first"))
     least = classes.groupBy("root").agg(F.min("first").alias("component"))
     named = classes.join(least, "root").select(F.col("tag").alias("_tag"), "component")
     return rows.join(named, (F.col("tag") == F.col("_tag")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each component, that of the smallest id; columns as they were."""
-    out = jaccard_components(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return df.join(out, df[id_col].cast("long") == out["_dropped"], "left_anti")
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000) -> DataFrame:
+    """df with one row of each component, one of the smallest id; columns as they were.
+
+    Rows are told apart by keyed(): a row with a null id goes if its component has a row
+    with an id, and of rows that have only null ids, or repeat the smallest id, one stays.
+    Rows without shingles all stay.
+    """
+    docs = keyed(df)
+    rows = landed(shingle_sets(docs, id_col, text_col, "_row"), "shingle-sets")
+    # min_by passes over null ids: they count only where there is no other.
+    one = F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("one")
+    classes = _rooted(rows, df, id_col, text_col, part_shingles, F.min("doc_id").alias("first"), one)
+    kept = classes.groupBy("root").agg(F.coalesce(F.min_by("one", "first"), F.min("one")).alias("kept"))
+    named = classes.join(kept, "root").select("tag", "kept")
+    out = rows.where("n > 0").join(named, "tag").where("_row <> kept").select("_row")
+    return docs.join(out, "_row", "left_anti").select(*df.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

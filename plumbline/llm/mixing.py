@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, table
+from ._common import WORD, keyed, table
 
 #: Halvings of [0, 1] when the exponent is bisected; it is then rounded to 9 places.
 STEPS = 40
@@ -62,7 +62,7 @@ def _hash(*parts: str) -> str:
     return f"cast(conv(substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8), 16, 10) AS bigint)"
 
 
-def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_repeats: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1 << 20, seed: int = 0) -> DataFrame:
+def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_repeats: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1 << 20, seed: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
     """The documents of a mix, a row for each time that one is read.
 
     A source with share p of all tokens (words) gets weight p**t / sum(p**t). The
@@ -78,13 +78,14 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     Windows run within a block, or over one row per block, never over a source.
 
     Returns doc_id, source, epoch, block, n_tokens, start (the token of the
-    source's stream at which it begins). Defined cases: a null source is a source of its own; a
+    source's stream at which it begins), and the columns of `more`, which also settle ties of
+    the order. Defined cases: a null source is a source of its own; a
     null or empty text has no tokens, is read with its block, and a source of
     only such texts is read once; rows that repeat an id are read as often as
     they occur; an empty table gives no rows; other columns are ignored.
     """
     n_tokens = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("source"), n_tokens.alias("n_tokens")).withColumn("key", F.expr("coalesce(concat('s', source), 'n')"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("source"), n_tokens.alias("n_tokens"), *more).withColumn("key", F.expr("coalesce(concat('s', source), 'n')"))
     name = "coalesce(cast(doc_id AS string), '')"
     weights = mixing_weights(rows, max_repeats, target_entropy, budget_tokens, block_tokens)
     rows = rows.join(F.broadcast(weights), "key").withColumn("block", F.expr(f"pmod({_hash(repr(f'{seed}b'), name)}, n_blocks)"))
@@ -92,18 +93,16 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     rows = rows.withColumn("doc_order", F.expr(_hash(repr(f"{seed}d"), "cast(epoch AS string)", name)))
     blocks = rows.groupBy("key", "epoch", "block").agg(F.sum("n_tokens").alias("block_n")).withColumn("block_order", F.expr(_hash(repr(f"{seed}p"), "cast(epoch AS string)", "cast(block AS string)")))
     blocks = blocks.select("key", "epoch", "block", F.expr("coalesce(sum(block_n) OVER (PARTITION BY key, epoch ORDER BY block_order, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("block_start"))
-    rows = rows.withColumn("in_block", F.expr("coalesce(sum(n_tokens) OVER (PARTITION BY key, epoch, block ORDER BY doc_order, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
+    rows = rows.withColumn("in_block", F.expr(f"coalesce(sum(n_tokens) OVER (PARTITION BY key, epoch, block ORDER BY {', '.join(('doc_order', 'doc_id', 'n_tokens', *more))} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
     rows = rows.join(blocks, ["key", "epoch", "block"]).withColumn("in_epoch", F.expr("block_start + in_block"))
-    return rows.where("epoch < full_epochs OR in_epoch < rest_tokens").select("doc_id", "source", "epoch", "block", "n_tokens", F.expr("epoch * tokens + in_epoch").alias("start"))
+    return rows.where("epoch < full_epochs OR in_epoch < rest_tokens").select("doc_id", "source", "epoch", "block", "n_tokens", F.expr("epoch * tokens + in_epoch").alias("start"), *more)
 
 
 def mixed_documents(df: DataFrame, **kwargs) -> DataFrame:
-    """df with each row as often as mix() reads its document; columns as they were."""
-    reads = mix(df, **kwargs).groupBy("doc_id").agg(F.max("epoch").alias("_last"))
-    id_col = kwargs.get("id_col", "doc_id")
-    reads = reads.withColumnRenamed("doc_id", "_mixed_id")
-    rows = df.join(reads, df[id_col].eqNullSafe(reads["_mixed_id"]))
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_last")))).select([df[c] for c in df.columns])
+    """df with each row as often as mix() reads it, whatever its id; columns as they were."""
+    rows = keyed(df)
+    reads = mix(rows, more=("_row",), **kwargs).groupBy("_row").agg(F.max("epoch").alias("_last"))
+    return rows.join(reads, "_row").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_last")))).select(*df.columns)
 
 
 #: Production parameters of op4: no source more than 2.5 times, most even otherwise.

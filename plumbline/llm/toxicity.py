@@ -206,6 +206,23 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_tagger(got["_text"].tolist(), got["_toxic"].to_numpy(float), clean)
 
 
+def _marker(tagger: Tagger, most_words: int):
+    """texts -> marginals of all their tokens, and the texts' numbers of tokens; words keep their emissions in a bounded dictionary."""
+    index, e = _Index(), np.zeros(0)
+
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal index, e
+        if len(index) > most_words:
+            index, e = _Index(), np.zeros(0)
+        chains = [np.fromiter(map(index.__getitem__, w), np.int32, len(w)) for w in (x.split() for x in texts)]
+        e = np.append(e, [tagger.emission(w) for w in index.new])
+        index.new = []
+        n = np.array([len(x) for x in chains], np.int64)
+        return marginals(e[np.concatenate(chains)] if len(chains) else np.zeros(0), n, tagger.move), n
+
+    return run
+
+
 def toxic_scores(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", most_words: int = 300_000) -> DataFrame:
     """doc_id, score, spans (start and end in code points, end exclusive) of each row of df.
 
@@ -217,16 +234,10 @@ def toxic_scores(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches):
-        index, e = _Index(), np.zeros(0)
+        tag = _marker(tagger, most_words)
         for b in batches:
-            if len(index) > most_words:
-                index, e = _Index(), np.zeros(0)
             texts = b.column("text").to_pylist()
-            chains = [np.fromiter(map(index.__getitem__, w), np.int32, len(w)) for w in (x.split() for x in texts)]
-            e = np.append(e, [tagger.emission(w) for w in index.new])
-            index.new = []
-            n = np.array([len(x) for x in chains], np.int64)
-            p = marginals(e[np.concatenate(chains)] if len(chains) else np.zeros(0), n, tagger.move)
+            p, n = tag(texts)
             spans: list[list] = [[] for _ in texts]
             ends = np.cumsum(n)
             hot = np.flatnonzero(p >= 0.5)
@@ -243,10 +254,20 @@ def toxic_scores(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start: int, end: int>>")
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
-    """df without the documents whose score is at least limit; columns as they were."""
-    bad = toxic_scores(df, train(df, labels)).where(F.col("score") >= limit).select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return df.join(bad, df["doc_id"].cast("long").eqNullSafe(bad["_toxic_id"]), "left_anti")
+def drop_toxic(df: DataFrame, labels: DataFrame, limit: float = 0.3, text_col: str = "text", most_words: int = 300_000) -> DataFrame:
+    """df without the rows whose score is at least limit; columns as they were.
+
+    Each row is judged by its own text as it streams by, so a null or repeated doc_id changes nothing.
+    """
+    tagger = train(df, labels, text_col=text_col)
+
+    def run(batches):
+        tag = _marker(tagger, most_words)
+        for b in batches:
+            scores = tagger.document_scores(*tag([x or "" for x in b.column(text_col).to_pylist()]))
+            yield b.filter(pa.array(scores < limit))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
