@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import landed, table
+from ._common import keyed, landed, table
 from .units import chunks
 
 GRAM = 32
@@ -159,10 +159,10 @@ def _union(spans: np.ndarray) -> np.ndarray:
 
 
 def _carried(batches: Iterator[pa.RecordBatch], limit: int, parts) -> Iterator[list[tuple]]:
-    """Rows (h, doc_id, start, bytes) sorted by h, as lists of whole anchors of about limit bytes; parts gets what is cut within one anchor."""
+    """Rows (h, tag, start, bytes) sorted by h, as lists of whole anchors of about limit bytes; parts gets what is cut within one anchor."""
     rows, size, own = [], 0, 0
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "start", "part")), strict=True):
+        for r in zip(*(b.column(c).to_pylist() for c in ("h", "tag", "start", "part")), strict=True):
             if rows and r[0] != rows[-1][0]:
                 if size >= limit or parts:
                     yield rows
@@ -187,13 +187,14 @@ def _carried(batches: Iterator[pa.RecordBatch], limit: int, parts) -> Iterator[l
 def repeated_spans(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, suspects, spans): digests of all rows, texts with repeated anchors, and their repeated runs.
 
-    Of rows with equal texts only the smallest id is looked at further; the others repeat
-    it whole. Anchors stream by hash through each task, in sorted order; a shard takes
+    Of rows with equal texts only one is looked at further, under the smallest id; the
+    others repeat it whole. Texts come in the order of their ids, null ids last, and of
+    their digests where ids are equal or null; a text's tag names it. Anchors stream by hash through each task, in sorted order; a shard takes
     whole anchors up to shard_bytes, and an anchor with more than four times as much is
     cut into shards that binary search joins.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = keyed(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "_row")
     docs = docs.withColumn("digest", F.sha2("text", 256)).withColumn("tag", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
 
     def scan(batches):
@@ -235,15 +236,15 @@ def repeated_spans(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
 
     ties = found.repartition(n, "h").sortWithinPartitions("h", "tag", "pos").mapInArrow(shared, "tag long, pos int, h long")
     by_text = ties.groupBy("tag").agg(F.collect_list(F.struct("pos", "h")).alias("anchors"))
-    firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"))
-    chosen = firsts.join(by_text, "tag").select("digest", "doc_id", "anchors")
-    suspects = landed(docs.select("doc_id", "text", "digest").join(chosen, ["doc_id", "digest"]), "suspects")
+    firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.min("_row").alias("_row"))
+    chosen = firsts.join(by_text, "tag").select("digest", "_row", "tag", F.col("doc_id").isNull().cast("int").alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "anchors")
+    suspects = landed(docs.select("_row", "text", "digest").join(chosen, ["_row", "digest"]).drop("_row"), "suspects")
 
-    around = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("part", pa.binary())])
+    around = pa.schema([("h", pa.int64()), ("late", pa.int32()), ("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("part", pa.binary())])
 
     def cut(batches):
         for b in batches:
-            for d, text, own in zip(*(b.column(c) for c in ("doc_id", "text", "anchors")), strict=True):
+            for late, i, tag, text, own in zip(*(b.column(c) for c in ("late", "id", "tag", "text", "anchors")), strict=True):
                 raw, own = text.as_py().encode(), own.values
                 pos, h = own.field("pos").to_numpy().astype(np.int64), own.field("h").to_numpy()
                 ok = pos + GRAM <= len(raw)
@@ -254,9 +255,9 @@ def repeated_spans(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(h)) - 1
                 a, e, h = a[first], e[last], h[first]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([d.as_py()] * len(h), pa.int64()), pa.array(a.astype(np.int32)), pa.array([raw[i:j] for i, j in zip(a.tolist(), e.tolist(), strict=True)], pa.binary())], schema=around)
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array([x.as_py()] * len(h), t) for x, t in ((late, pa.int32()), (i, pa.int64()), (tag, pa.int64()))), pa.array(a.astype(np.int32)), pa.array([raw[j:k] for j, k in zip(a.tolist(), e.tolist(), strict=True)], pa.binary())], schema=around)
 
-    parts = suspects.mapInArrow(cut, "h long, doc_id long, start int, part binary")
+    parts = suspects.mapInArrow(cut, "h long, late int, id long, tag long, start int, part binary")
 
     def shards(batches):
         split: list = []
@@ -282,9 +283,9 @@ def repeated_spans(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
             for r, x in zip(keep, later, strict=True):
                 if len(starts := np.flatnonzero(x)):
                     spans += [(r[1], r[2] + int(i), r[2] + int(j)) for i, j in _union(np.stack([starts, starts + window], axis=1))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["tag", "start", "end"])
 
-    spans = parts.repartition(n, "h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(shards, "doc_id long, start int, end int")
+    spans = parts.repartition(n, "h").sortWithinPartitions("h", "late", "id", "tag", "start").mapInArrow(shards, "tag long, start int, end int")
     return docs, suspects, spans
 
 
@@ -294,17 +295,18 @@ def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per input row. Strings
     are judged on the input and never cross texts.
 
-    Defined cases: a null text is empty; texts under `window` bytes stay; a null id comes after
-    all others as a copy and never counts as an earlier place; rows with one id and one text are one
+    Defined cases: a null text is empty; texts under `window` bytes stay; null ids come after
+    all others, in the order of their texts' digests, and of null-id rows with one text all but one
+    are copies; texts that repeat an id come in that order too; rows with one id and one text are one
     document, judged alike; an empty table gives no rows; other columns are ignored.
     """
     docs, suspects, spans = repeated_spans(df, window, id_col, text_col)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    by_text = spans.groupBy("tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def finish(batches):
         for b in batches:
             out = []
-            for d, digest, text, own in zip(*(b.column(c) for c in ("doc_id", "digest", "text", "spans")), strict=True):
+            for digest, text, own in zip(*(b.column(c) for c in ("digest", "text", "spans")), strict=True):
                 raw, own = text.as_py().encode(), own.values
                 runs = _union(np.stack([own.field("start").to_numpy().astype(np.int64), own.field("end").to_numpy().astype(np.int64)], axis=1))
                 kept, at = hashlib.sha256(), 0
@@ -312,13 +314,14 @@ def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
                     kept.update(raw[at:i])
                     at = j
                 kept.update(raw[at:])
-                out.append((d.as_py(), digest.as_py(), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["first_id", "digest", "n_removed", "n_spans", "kept_sha256"])
-
-    cut = suspects.select("doc_id", "digest", "text").join(by_doc, "doc_id").mapInArrow(finish, "first_id long, digest string, n_removed long, n_spans long, kept_sha256 string")
-    rows = docs.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(cut, ["digest", "first_id"], "left")
-    copy = (F.col("n_bytes") >= window) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
+                out.append((digest.as_py(), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["digest", "n_removed", "n_spans", "kept_sha256"])
+
+    cut = suspects.select("tag", "digest", "text").join(by_text, "tag").mapInArrow(finish, "digest string, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select("doc_id", "digest", "_row", F.octet_length("text").cast("long").alias("n_bytes"))
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("_row").alias("first_row")).join(cut, "digest", "left")
+    first = F.when(F.col("first_id").isNull(), F.col("_row") == F.col("first_row")).otherwise(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    copy = (F.col("n_bytes") >= window) & ~first
     return rows.join(firsts, "digest").select(
         "doc_id", "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
