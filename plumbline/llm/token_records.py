@@ -193,18 +193,27 @@ def token_encoder(path: str, most: int = 1_000_000):
     return run
 
 
-def write_token_records(df: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: int = 65_536) -> DataFrame:
+@cache
+def _largest_id(path: str) -> int:
+    """The largest id that a tokenizer can give, added tokens included."""
+    return max(_tokenizer(path)[0].get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def write_token_records(df: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
     """Encode each text, append end_id and write shards in ascending id order below uri.
 
     Rows are range-partitioned and sorted by id (nulls first, ties by text), a shard
     to a task, streamed batch by batch. Returns the manifest (shard, path, n_docs,
-    n_tokens) as written to the shared folder; retried tasks write new names.
+    n_tokens) as written to the shared folder; retried tasks write new names. Ids take 16
+    bits if all of the tokenizer's and end_id fit, else 32.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    wide, flag = ("<u2", NARROW) if vocabulary <= 1 << 16 else ("<u4", 0)
+    if not 0 <= end_id < 1 << 31:
+        raise ValueError("end_id doesn't fit 31 bits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (fs, top) = token_encoder(tokenizer), filesystem(uri)
+        wide, flag = ("<u2", NARROW) if max(_largest_id(tokenizer), end_id) < 1 << 16 else ("<u4", 0)
         fs.create_dir(top, recursive=True)
         name, at, docs, tokens, out, index = f"{top}/{uuid.uuid4().hex}", 0, 0, 0, None, None
         for b in (c for b in batches for c in chunks(b, "text")):
