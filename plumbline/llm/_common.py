@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import prepared as ship
 
 #: White space of the text contracts: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -17,14 +18,6 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (URI) that the driver and all executors see.
 
-    It lies in the folder that spark.checkpoint.dir names. Where that is unset
-    (tests on one machine), a temporary folder is made and set.
+    It lies in the folder that spark.checkpoint.dir names, and whoever owns that clears
+    it: results may be read long after a query returned. Where the setting is missing, a
+    session on one machine gets a temporary folder; any other one, an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = Path(tempfile.mkdtemp(prefix="spark-plumbline-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -60,6 +56,30 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
 
 
+def sampled(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """At most `most` rows of df, the first by a hash of the columns `by`.
+
+    A count sets a threshold for the hash, so few rows beyond `most` are ever sorted or sent on.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    h = F.pmod(F.xxhash64(*by), F.lit(1 << 40))
+    return df.where(h < int((1 << 40) * min(1.0, (1.1 * most + 50) / n))).orderBy(h, *by).limit(most)
+
+
+def salted(groups: DataFrame, keys: list[str], salt: str, aggs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """keys, salt and the aggregates of each whole group, for each salt of it that has rows.
+
+    aggs: name -> (aggregate of the rows of one salt, aggregate of those). The salts of a group
+    are combined and handed back to each, so rows join on keys and salt and a group of
+    any size stays dealt out.
+    """
+    part = groups.groupBy(*keys, salt).agg(*(a.alias(n) for n, (a, _) in aggs.items()))
+    whole = part.groupBy(*keys).agg(*(b.alias(n) for n, (_, b) in aggs.items()), F.collect_set(salt).alias("_salts"))
+    return whole.withColumn(salt, F.explode("_salts")).drop("_salts")
+
+
 def filesystem(uri: str):
     """(filesystem, path) of a URI, for file, HDFS and object stores alike."""
     from pyarrow import fs

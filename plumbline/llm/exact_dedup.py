@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE, keyed, table
+from ._common import SPACE, keyed, salted, table
 
 #: Ranks pack (code points, id) into one decimal; ids take the low 20 digits.
 _ID_SPAN, _ID_TOP = "100000000000000000000", "9223372036854775808"
@@ -38,10 +38,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """Group rows whose texts are equal once white space is deleted.
 
     Three combining steps: map-side partial aggregates within each input
-    partition, groups salted by id, and the salts' winners globally. The
+    partition, groups salted by row, and the salts' winners globally. The
     normalised text itself is a grouping key of every step, so full contents are
     compared; the digest only spreads the rows. A group of any size leaves at most
-    one row per (input partition, salt) and then one per salt.
+    one row per (input partition, salt) and then one per salt. The winner goes back to the
+    group's salts, and rows meet it there: no task gets more than a salt's rows.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
@@ -50,20 +51,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     points has an id; rows that repeat an id and tie in length are all kept=true if that id is
     the winner; an empty table gives no rows; other columns are ignored.
     """
-    rows = _normal(df, id_col, text_col)
-    local = rows.select("digest", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), _rank(F.col("n_chars"), F.col("doc_id")).alias("rank"))
-    salted = local.groupBy("digest", "norm", "salt").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
-    final = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"))
-    key = _key()
+    rows = _normal(keyed(df), id_col, text_col, F.pmod("_row", F.lit(salts)).alias("salt"))
+    local = rows.select("digest", "norm", "salt", _rank(F.col("n_chars"), F.col("doc_id")).alias("rank"))
+    final = salted(local, ["digest", "norm"], "salt", {"rank": (F.max("rank"), F.max("rank")), "group_size": (F.count("*"), F.sum("group_size"))})
     low = F.pmod(F.col("rank"), _whole(_ID_SPAN))
     winners = final.select(
-        *key,
+        *_key(),
+        "salt",
         F.when(low > 0, (_whole(_ID_TOP) - low).cast("long")).alias("keep_id"),
         ((F.col("rank") - low) / _whole(_ID_SPAN)).cast("long").alias("keep_chars"),
         "group_size",
     )
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    return rows.select("doc_id", "n_chars", *key).join(winners, ["digest", "h", "n_norm"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    joined = rows.select("doc_id", "n_chars", "salt", *_key()).join(winners, ["digest", "h", "n_norm", "salt"])
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
@@ -72,15 +73,16 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are told apart by keyed(), so a group leaves one row whether its ids are null,
     repeated or neither; of rows that tie in length and id any one is left.
     """
-    rows = _normal(keyed(df), id_col, text_col, "_row", F.struct(*df.columns).alias("all"))
+    docs = keyed(df)
+    rows = _normal(docs, id_col, text_col, "_row")
     local = rows.select("digest", "norm", F.pmod("_row", F.lit(salts)).alias("salt"), "_row", _rank(F.col("n_chars"), F.col("doc_id")).alias("rank"))
-    salted = local.groupBy("digest", "norm", "salt").agg(F.max_by("_row", "rank").alias("_row"), F.max("rank").alias("rank"))
-    final = salted.groupBy("digest", "norm").agg(F.max_by("_row", "rank").alias("keep_row"))
-    winners = final.select(*_key(), "keep_row")
-    return rows.select("_row", "all", *_key()).join(winners, ["digest", "h", "n_norm"]).where("_row = keep_row").select("all.*")
+    part = local.groupBy("digest", "norm", "salt").agg(F.max_by("_row", "rank").alias("_row"), F.max("rank").alias("rank"))
+    keep = part.groupBy("digest", "norm").agg(F.max_by("_row", "rank").alias("_row")).select("_row")
+    return docs.join(keep, "_row", "left_semi").select(*df.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: exact_dedup() of documents."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
