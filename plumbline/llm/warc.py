@@ -1,9 +1,9 @@
 """WARC records in ZIP-packaged archives: written by tasks, read by byte ranges.
 
-An archive is a ZIP file with two stored members: archive/data.warc.gz (one gzip
-member for each WARC record) and indexes/index.cdx (offset and length of each
-record). A reader takes the central directory, the index and then only the
-ranges it wants; nothing is extracted.
+An archive is a ZIP file of stored members: archive/*.warc.gz (one gzip member for each
+WARC record) and indexes/*.cdx (a line with file name, offset and length of each
+record, as JSON at its end; also packed as .cdx.gz). A reader takes the central directory, the
+indexes and then only the ranges it wants; nothing is extracted.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import json
 import re
 import struct
 import uuid
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, landed, shared_dir, ship, table
+from ._common import filesystem, keyed, landed, salted, shared_dir, ship, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,6 +45,8 @@ def zip_members(read, size: int) -> dict[str, dict]:
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(b"PK\5\6")
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+        at = tail.rfind(b"PK\5\6", 0, at)  # those bytes may stand in the comment, too
     if at < 0:
         raise ValueError("no end of a central directory: not a ZIP file")
     n, length, start = struct.unpack_from("<HII", tail, at + 10)
@@ -57,8 +60,8 @@ def zip_members(read, size: int) -> dict[str, dict]:
     for _ in range(n):
         if directory[p : p + 4] != b"PK\1\2":
             raise ValueError("the central directory is broken")
-        method, packed, full, n_name, n_extra, n_note, offset = struct.unpack_from("<10xH8xIIHHH8xI", directory, p)
-        name, extra = directory[p + 46 : p + 46 + n_name].decode(), directory[p + 46 + n_name : p + 46 + n_name + n_extra]
+        flags, method, packed, full, n_name, n_extra, n_note, offset = struct.unpack_from("<8xHH8xIIHHH8xI", directory, p)
+        name, extra = directory[p + 46 : p + 46 + n_name].decode("utf-8" if flags & 0x800 else "cp437"), directory[p + 46 + n_name : p + 46 + n_name + n_extra]
         while len(extra) >= 4:
             kind, k = struct.unpack_from("<HH", extra)
             if kind == 1:  # only the fields that don't fit above, in this order
@@ -119,10 +122,32 @@ def parse_record(raw: bytes) -> dict:
 # --- jobs -----------------------------------------------------------------------------
 
 
+def located(read, size: int) -> list[tuple[int, int]]:
+    """(offset in the ZIP file, length) of each record that its indexes list, by member and offset.
+
+    ValueError where a stored archive has no index lines, a line names no member, or there is no archive at all.
+    """
+    members = zip_members(read, size)
+    base = {n.removeprefix("archive/"): data_start(read, m) for n, m in members.items() if n.startswith("archive/") and n.endswith(".warc.gz")}
+    found: dict[str, list[tuple[int, int]]] = {n: [] for n in base}
+    for name, m in members.items():
+        if name.startswith("indexes/") and name.endswith((".cdx", ".cdxj", ".cdx.gz")):
+            raw = read(data_start(read, m), m["size"])
+            for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+                if "{" in line:
+                    x = json.loads(line[line.index("{") :])
+                    if x["filename"] not in found:
+                        raise ValueError(f"the index names {x['filename']}, which isn't in the archive")
+                    found[x["filename"]].append((base[x["filename"]] + int(x["offset"]), int(x["length"])))
+    if not found or not all(found.values()):
+        raise ValueError(f"no index lines for {[n for n, x in found.items() if not x]}")
+    return [x for n in sorted(found) for x in sorted(found[n])]
+
+
 def _packed(parts: list[bytes]) -> bytes:
     out, at, index = io.BytesIO(), 0, []
     for x in parts:
-        index.append(f"{at} {len(x)}\n")
+        index.append(json.dumps({"filename": DATA.removeprefix("archive/"), "offset": str(at), "length": str(len(x))}) + "\n")
         at += len(x)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         with z.open(DATA, "w", force_zip64=True) as f:
@@ -137,15 +162,19 @@ def write_archives(pages: DataFrame, uri: str, archive_bytes: int = 32 << 20, da
     Returns the manifest (path, n_records, n_bytes) as written to the shared folder.
     Each try of a task writes under new names and only finished tasks are in the
     manifest, so a lost executor leaves nothing that is read. A task holds one
-    archive at a time.
+    archive at a time. Digests alone meet, salted by row; the payloads are dealt out by row.
+
+    Defined cases: a null html is an empty payload; a null page_id is written, never referred to and
+    refers to the smallest page_id with its payload; pages that repeat the smallest page_id are
+    all responses; an empty table gives an empty manifest; other columns are ignored.
     """
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # Payloads that stay under the limit get a key of their own, so they don't meet in one task.
-    key = F.when(F.length("payload") >= LEAST_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id").cast("string")))
-    rows = rows.withColumn("key", key)
-    first = rows.where(F.length("payload") >= LEAST_REVISIT).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "key", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    rows = keyed(pages)
+    rows = rows.select("_row", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    keys = rows.where(F.length("payload") >= LEAST_REVISIT).select("digest", F.pmod("_row", F.lit(32)).alias("salt"), "_row", "page_id")
+    first = salted(keys, ["digest"], "salt", {"first": (F.min("page_id"), F.min("first")), "n": (F.count("*"), F.sum("n"))}).where("n > 1")
+    revisits = keys.join(first, ["digest", "salt"]).where("first IS NOT NULL AND NOT (page_id <=> first)").select("_row", F.col("first").alias("refers_to"))
+    rows = rows.join(revisits, "_row", "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = filesystem(uri)
@@ -187,17 +216,15 @@ def read_archives(manifest: DataFrame, uri: str, range_bytes: int = 4 << 20) ->
             for path in b.column("path").to_pylist():
                 with fs.open_input_file(path) as f:
                     read = lambda at, n: f.read_at(n, at)  # noqa: B023, E731
-                    members = zip_members(read, f.size())
-                    base, index = data_start(read, members[DATA]), members[INDEX]
-                    lines = read(data_start(read, index), index["size"]).decode().split("\n")[:-1]
+                    lines = located(read, f.size())
                 at = length = 0
-                for o, n in (map(int, x.split()) for x in lines):
-                    if length and length + n > range_bytes:
-                        out.append((path, base + at, length))
-                        at, length = o, 0
-                    length += n
+                for o, n in lines:
+                    if length and (length + n > range_bytes or o != at + length):
+                        out.append((path, at, length))
+                        length = 0
+                    at, length = at if length else o, length + n
                 if length:
-                    out.append((path, base + at, length))
+                    out.append((path, at, length))
             yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(("path", "at", "length"))}, pa.schema([("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -221,7 +248,7 @@ def read_archives(manifest: DataFrame, uri: str, range_bytes: int = 4 << 20) ->
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query. Null html: empty payload; null page_id: kept, never referred to; a repeated page_id: a record each, and equal payloads under the smallest page_id are all responses."""
+    """Contract query: write_archives() and read_archives() of pages."""
     uri = shared_dir(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), uri)
     return read_archives(manifest, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -232,7 +259,7 @@ WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
 ), q AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
 SELECT page_id, n::bigint AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+       CASE WHEN n >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM q
 """
