@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import landed, table
+from ._common import landed, sampled, table
 from .units import _Index, chunks
 
 SYMBOLS, BLANKS, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 8
@@ -155,21 +155,29 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, d
     return Trees(np.array(f), np.array(t), np.array(a), np.array(b), np.array(v), np.array(roots), bias)
 
 
+def train(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Trees:
+    """Trees from at most max_labelled rows of stats that labels (doc_id, quality) know."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
+    known = sampled(known.groupBy("doc_id").agg(F.max("y").alias("y")), max_labelled, "doc_id")
+    # At most max_labelled ids: that bounds the broadcast. Rows that repeat an id are bounded by the second sample.
+    rows = sampled(stats.join(F.broadcast(known), "doc_id"), max_labelled, "doc_id", *BASE).select("doc_id", "y", *FEATURES).toPandas()
+    rows = rows.sort_values(list(rows.columns))
+    return fit_trees(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float), list(FEATURES.values()))
+
+
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000) -> DataFrame:
     """Statistics and a quality probability of each row of df: doc_id, BASE, base_failed, score.
 
     The trees learn labels.quality from at most max_labelled labelled rows, the first by a hash
-    of the id: the one bounded sample, collected to the driver as 13 numbers a row. Statistics
+    of id and counts: the one bounded sample, collected to the driver as 13 numbers a row. Statistics
     are computed once, written to the shared folder and scored from there.
 
     Defined cases: a null or empty text has no words and fails the base rules; a null id is
     scored but never learnt from; a repeated id gets a row each; with no labels, or one class
-    only, every document gets the same score.
+    only, every document gets the same score; an empty table gives no rows; other columns are ignored.
     """
     stats = landed(document_statistics(df, id_col, text_col), "quality")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y is not null")
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("y", *FEATURES).toPandas()
-    model = fit_trees(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float), list(FEATURES.values()))
+    model = train(stats, labels, max_labelled)
 
     def score(batches):
         for b in batches:
@@ -181,5 +189,6 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: quality_scores() with its verdict at 0.5."""
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", *BASE, "base_failed", F.expr("NOT base_failed AND score >= 0.5").alias("kept"), "score")
