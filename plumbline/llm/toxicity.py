@@ -6,6 +6,7 @@ state 1 to state 0, so each step is one Möbius map over all chains at once.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import sampled, table
 from .units import _Index
 
 BITS, CORE = 18, 512
@@ -24,9 +25,9 @@ _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a token: the word, its prefixes and suffixes, bias."""
+    """Hashed features of a token: bias, the word, its length, prefixes and suffix."""
     w = word.lower().strip(_TRIM)
-    names = ["b", f"w{w}", f"l{min(len(w), 12)}", f"3{w[:3]}", f"4{w[:4]}", f"5{w[:5]}", f"6{w[:6]}", f"e{w[-3:]}"]
+    names = ["b", f"w{w}", f"l{min(len(w), 12)}", f"4{w[:4]}", f"5{w[:5]}", f"6{w[:6]}", f"7{w[:7]}", f"e{w[-3:]}"]
     return [zlib.crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in names]
 
 
@@ -107,36 +108,39 @@ def evidence(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return x
 
 
-def token_labels(words: np.ndarray, n: np.ndarray, toxic: np.ndarray, table_: np.ndarray, strength: float = 24.0) -> np.ndarray:
+def token_labels(words: np.ndarray, n: np.ndarray, toxic: np.ndarray, table_: np.ndarray, strength: float = 20.0, least: int = 3, most_forms: int = 5) -> np.ndarray:
     """Labels of tokens from labels of documents.
 
-    A token of a toxic document is labelled 1 if one of its features occurs in so many more
-    toxic documents than clean ones that twice the log likelihood ratio exceeds `strength`.
+    A token of a toxic document is labelled 1 if the word or a prefix of it occurs so much
+    more in toxic documents than in clean ones that twice the log likelihood ratio exceeds
+    `strength`. A document counts once for each different word that has the feature, up
+    to most_forms; a feature needs `least` toxic documents.
     """
     doc = np.repeat(np.arange(len(n)), n)
-    n1 = max(int(toxic.sum()), 1)
-    n0 = max(len(toxic) - n1, 1)
-    use = table_[:, [1, 4, 5, 6]]  # the word and its longer prefixes
-    pairs = np.unique((doc[:, None].astype(np.int64) << BITS | use[words]).ravel())
-    kind = pairs & ((1 << BITS) - 1)
-    c1 = np.bincount(kind[toxic[pairs >> BITS] > 0], minlength=1 << BITS).astype(float)
-    c0 = np.bincount(kind[toxic[pairs >> BITS] == 0], minlength=1 << BITS).astype(float)
-    share = (c1 + c0) / (n1 + n0)
+    use = table_[:, [1, 3, 4, 5, 6]]
+    forms = np.unique(doc.astype(np.int64) << 32 | words)
+    d, w = forms >> 32, forms & 0xFFFFFFFF
+    total = np.bincount((toxic[d] > 0).astype(int), minlength=2)
+    once = np.unique(np.stack([np.repeat(d, use.shape[1]) << BITS | use[w].ravel(), np.repeat(w, use.shape[1])], axis=1), axis=0)[:, 0]
+    pairs, many = np.unique(once, return_counts=True)
+    kind, bad, many = pairs & ((1 << BITS) - 1), toxic[pairs >> BITS] > 0, np.minimum(many, most_forms).astype(float)
+    c1, c0 = (np.bincount(kind[x], many[x], 1 << BITS) for x in (bad, ~bad))
+    share = total[1] / max(total.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(c1 > 0, c1 * np.log(c1 / (n1 * share)), 0) + np.where(c0 > 0, c0 * np.log(c0 / (n0 * share)), 0))
-    strong = (g > strength) & ((c1 + 0.5) / (n1 + 1) > 8 * (c0 + 0.5) / (n0 + 1))
+        g = 2 * (np.where(c1 > 0, c1 * np.log(c1 / ((c1 + c0) * share)), 0) + np.where(c0 > 0, c0 * np.log(c0 / ((c1 + c0) * (1 - share))), 0))
+    strong = (g > strength) & (np.bincount(kind[bad], minlength=1 << BITS) >= least) & ((c1 + 0.5) / (total[1] + 1) > 8 * (c0 + 0.5) / (total[0] + 1))
     return (strong[use].any(axis=1)[words] & (toxic[doc] > 0)).astype(float)
 
 
-def distinct_enough(chains: list[list[int]], names: np.ndarray, hashes: int = 6) -> list[int]:
-    """Places of the documents that share no minimum hash of word triples with an earlier one.
+def distinct_enough(chains: list[np.ndarray], names: np.ndarray, hashes: int = 6) -> list[int]:
+    """Places of the documents that share no minimum hash of word triples with an earlier one. names: a hash of each word.
 
     Copies of one document would otherwise make its rare words look like a class's words.
     """
     odd = np.random.default_rng(3).integers(1, 1 << 62, hashes, dtype=np.uint64) | np.uint64(1)
     seen, kept = set(), []
     for d, x in enumerate(chains):
-        h = names[np.array(x, np.int64)].astype(np.uint64)
+        h = names[x].astype(np.uint64)
         h = (h[:-2] * np.uint64(31) + h[1:-1]) * np.uint64(1000003) + h[2:] if len(h) > 2 else h
         h = (h ^ (h >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
         least = {(k, int((h * m >> np.uint64(8)).min())) for k, m in enumerate(odd)} if len(h) else {(-1, 0)}
@@ -146,19 +150,19 @@ def distinct_enough(chains: list[list[int]], names: np.ndarray, hashes: int = 6)
     return kept
 
 
-def fit_tagger(texts: list[str], toxic: np.ndarray, clean_share: float | None = None, rounds: int = 30, rate: float = 0.5, l2: float = 1e-6) -> Tagger:
-    """Train on documents: token labels, then gradient ascent (AdaGrad) of the chains' likelihood, then a logistic blend, with classes weighted to clean_share."""
-    index = _Index()
-    chains = [[index[w] for w in x.split()] for x in texts]
-    kept = distinct_enough(chains, np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in index] or [0]))
+def fit_tagger(chains: list[np.ndarray], names: np.ndarray, table_: np.ndarray, toxic: np.ndarray, clean_share: float | None = None, rounds: int = 30, rate: float = 0.5, l2: float = 1e-6) -> Tagger:
+    """Train on documents: token labels, then gradient ascent (AdaGrad) of the chains' likelihood, then a logistic blend, with classes weighted to clean_share.
+
+    chains: the word numbers of each document; names, table_: a hash and the features of each word.
+    """
+    kept = distinct_enough(chains, names)
     chains, toxic = [chains[d] for d in kept], toxic[kept]
     n = np.array([len(x) for x in chains], np.int64)
     weights, move = np.zeros(1 << BITS), np.array([[0.0, -4.0], [-1.0, -1.0]])
     if not n.sum() or toxic.min() == toxic.max():
         mean = float(np.clip(toxic.mean(), 1e-3, 0.999)) if len(toxic) else 0.01
         return Tagger(weights - 1, move, np.array([np.log(mean / (1 - mean)), 0.0, 0.0]))
-    words = np.fromiter((w for x in chains for w in x), np.int64, int(n.sum()))
-    table_ = np.array([features(w) for w in index], np.int64)
+    words = np.concatenate(chains).astype(np.int64)
     y = token_labels(words, n, toxic, table_)
     first = np.cumsum(n)[n > 0] - n[n > 0]
     inner = np.ones(len(y), bool)
@@ -194,16 +198,53 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000, max_clean: int = 2000) -> Tagger:
-    """A tagger from at most max_toxic and max_clean labelled rows that aren't held out, the first by a hash of the id."""
-    known = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
+def _hashed(rows: DataFrame, most_tokens: int) -> DataFrame:
+    """_toxic, names (64-bit hashes of the tokens, in order) and table (a hash and features of each distinct one) of rows of _text, _toxic."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b.column("_text").to_pylist():
+                words = text.split()
+                if len(words) > most_tokens:  # runs of 50 tokens from all over the text, by a hash of their place
+                    starts = sorted(range(0, len(words), 50), key=lambda i: zlib.crc32(b"%d" % i))[: most_tokens // 50]
+                    words = [w for i in sorted(starts) for w in words[i : i + 50]]
+                index = _Index()
+                chain = [index[w] for w in words]
+                name = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest() for w in index), "<u8")
+                rows = np.column_stack([name, np.array([features(w) for w in index], np.uint64).reshape(len(name), -1)]) if len(name) else np.zeros((0, 9), np.uint64)
+                out.append((name[chain].tobytes() if chain else b"", rows.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("_toxic"), *(pa.array([x[i] for x in out], pa.binary()) for i in (0, 1))], ["_toxic", "names", "table"])
+
+    return rows.select(F.col("_toxic").cast("int").alias("_toxic"), "_text").mapInArrow(run, "_toxic int, names binary, table binary")
+
+
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000, max_clean: int = 2000, most_tokens: int = 4000) -> Tagger:
+    """A tagger from at most max_toxic and max_clean labelled rows that aren't held out, the first by a hash.
+
+    That is the one bounded sample. The driver gets the hashed features of its words, and of a
+    text of more than most_tokens tokens runs from all over it; no texts. Of an id's labels
+    the largest counts.
+    """
+    known = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
+    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     clean = known.agg(F.avg((F.col("_toxic") == 0).cast("double"))).first()[0]
-    order = [F.xxhash64("_id"), "_id"]
-    chosen = known.where("_toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("_toxic = 0").orderBy(*order).limit(max_clean))
-    # At most max_toxic + max_clean ids: that bounds the broadcast.
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").where("_text IS NOT NULL")
-    got = rows.select("_id", "_text", "_toxic").toPandas().sort_values(["_id", "_text"])
-    return fit_tagger(got["_text"].tolist(), got["_toxic"].to_numpy(float), clean)
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL")
+    got = []
+    for kind, most in ((1, max_toxic), (0, max_clean)):
+        # At most `most` ids: that bounds the broadcast. Rows that repeat an id are bounded by the second sample.
+        ids = sampled(known.where(F.col("_toxic") == kind), most, "_id")
+        rows = sampled(texts.join(F.broadcast(ids), "_id"), most, "_id", "_text")
+        got += sorted(map(tuple, _hashed(rows, most_tokens).collect()))
+    table_: dict[int, np.ndarray] = {}
+    chains = []
+    for _, names, rows in got:
+        for row in np.frombuffer(rows, "<u8").reshape(-1, 9):
+            table_.setdefault(int(row[0]), row[1:])
+        chains.append(np.frombuffer(names, "<u8"))
+    names = np.array(sorted(table_), np.uint64)
+    feats = np.array([table_[int(x)] for x in names], np.int64).reshape(len(names), 8)
+    return fit_tagger([np.searchsorted(names, x) for x in chains], names, feats, np.array([x[0] for x in got], float), clean)
 
 
 def _marker(tagger: Tagger, most_words: int):
