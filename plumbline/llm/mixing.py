@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, keyed, table
+from ._common import WORD, keyed, landed, table
 
 #: Halvings of [0, 1] when the exponent is bisected; it is then rounded to 9 places.
 STEPS = 40
@@ -72,7 +72,7 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     that reads every document at least once, so nothing is dropped; a given budget
     may leave out documents of heavy sources, which is what it asks for.
 
-    Each source's documents are hashed into blocks of about block_tokens. An epoch
+    Each source's documents are hashed, by id and content, into blocks of about block_tokens. An epoch
     is a permutation of the blocks, and of the documents of a block; whole epochs
     take all, the last one takes documents from the front until the budget is met.
     Windows run within a block, or over one row per block, never over a source.
@@ -84,16 +84,23 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     only such texts is read once; rows that repeat an id are read as often as
     they occur; an empty table gives no rows; other columns are ignored.
     """
-    n_tokens = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("source"), n_tokens.alias("n_tokens"), *more).withColumn("key", F.expr("coalesce(concat('s', source), 'n')"))
-    name = "coalesce(cast(doc_id AS string), '')"
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), F.md5(text).alias("content"), *more)
+    # The texts are read once; what follows reads these few columns.
+    rows = landed(rows.withColumn("key", F.expr("coalesce(concat('s', source), 'n')")), "mix")
+    name = f"concat_ws(':', {', '.join(f'cast({c} AS string)' for c in ('doc_id', 'content'))})"
     weights = mixing_weights(rows, max_repeats, target_entropy, budget_tokens, block_tokens)
     rows = rows.join(F.broadcast(weights), "key").withColumn("block", F.expr(f"pmod({_hash(repr(f'{seed}b'), name)}, n_blocks)"))
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, full_epochs - IF(rest_tokens > 0, 0L, 1L))")) if budget_tokens is None else F.explode(F.expr("IF(full_epochs = 0 AND rest_tokens = 0, array(), sequence(0L, full_epochs - IF(rest_tokens > 0, 0L, 1L)))")))
     rows = rows.withColumn("doc_order", F.expr(_hash(repr(f"{seed}d"), "cast(epoch AS string)", name)))
     blocks = rows.groupBy("key", "epoch", "block").agg(F.sum("n_tokens").alias("block_n")).withColumn("block_order", F.expr(_hash(repr(f"{seed}p"), "cast(epoch AS string)", "cast(block AS string)")))
-    blocks = blocks.select("key", "epoch", "block", F.expr("coalesce(sum(block_n) OVER (PARTITION BY key, epoch ORDER BY block_order, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("block_start"))
-    rows = rows.withColumn("in_block", F.expr(f"coalesce(sum(n_tokens) OVER (PARTITION BY key, epoch, block ORDER BY {', '.join(('doc_order', 'doc_id', 'n_tokens', *more))} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
+    # The running sum over a source's blocks goes by two levels, so no task takes all blocks of a source.
+    blocks = blocks.withColumn("part", F.expr("block_order div 4194304"))
+    parts = blocks.groupBy("key", "epoch", "part").agg(F.sum("block_n").alias("part_n"))
+    parts = parts.select("key", "epoch", "part", F.expr("coalesce(sum(part_n) OVER (PARTITION BY key, epoch ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("part_start"))
+    within = F.expr("coalesce(sum(block_n) OVER (PARTITION BY key, epoch, part ORDER BY block_order, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)")
+    blocks = blocks.withColumn("within", within).join(parts, ["key", "epoch", "part"]).select("key", "epoch", "block", F.expr("part_start + within").alias("block_start"))
+    rows = rows.withColumn("in_block", F.expr(f"coalesce(sum(n_tokens) OVER (PARTITION BY key, epoch, block ORDER BY {', '.join(('doc_order', 'doc_id', 'content', *more))} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
     rows = rows.join(blocks, ["key", "epoch", "block"]).withColumn("in_epoch", F.expr("block_start + in_block"))
     return rows.where("epoch < full_epochs OR in_epoch < rest_tokens").select("doc_id", "source", "epoch", "block", "n_tokens", F.expr("epoch * tokens + in_epoch").alias("start"), *more)
 
@@ -110,12 +117,13 @@ PARAMS = {"max_repeats": 2.5, "target_entropy": 0.999, "block_tokens": 1 << 18,
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: mix() of documents by PARAMS."""
     return mix(table(spark, sf_dir, "documents"), **PARAMS)
 
 
 SQL = r"""
 WITH RECURSIVE r AS (
-  SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS key, md5(coalesce(text, '')) AS content,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS n_tokens
   FROM documents
 ), s AS (SELECT key, sum(n_tokens)::bigint AS tokens FROM r GROUP BY key),
@@ -146,15 +154,15 @@ w AS (
 ), u AS (
   SELECT *, CASE WHEN tokens > 0 THEN bt // tokens ELSE 1 END AS full_epochs, CASE WHEN tokens > 0 THEN bt % tokens ELSE 0 END AS rest FROM v
 ), x AS (
-  SELECT doc_id, source, r.key, n_tokens, tokens, full_epochs, rest,
-         ('0x' || substr(md5('17b|' || coalesce(doc_id::varchar, '')), 1, 8))::bigint % n_blocks AS block,
+  SELECT doc_id, source, content, r.key, n_tokens, tokens, full_epochs, rest,
+         ('0x' || substr(md5('17b|' || concat_ws(':', doc_id, content)), 1, 8))::bigint % n_blocks AS block,
          unnest(range(0, full_epochs + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch
   FROM r JOIN u ON r.key = u.key
 ), y AS (
   SELECT *, coalesce(sum(n_tokens) OVER (
     PARTITION BY key, epoch
     ORDER BY ('0x' || substr(md5('17p|' || epoch || '|' || block), 1, 8))::bigint, block,
-             ('0x' || substr(md5('17d|' || epoch || '|' || coalesce(doc_id::varchar, '')), 1, 8))::bigint, doc_id, n_tokens
+             ('0x' || substr(md5('17d|' || epoch || '|' || concat_ws(':', doc_id, content)), 1, 8))::bigint, doc_id, content
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS in_epoch
   FROM x
 )
