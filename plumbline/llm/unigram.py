@@ -17,6 +17,11 @@ from .units import UnitEncoder, chunks
 MARK = "▁"
 #: Types of pieces in a model file.
 NORMAL, USER, BYTE = 1, 4, 6
+#: Stands for a marker character that is part of a text: no piece has it, so its bytes fall back, as the marker's own.
+LITERAL, MARK_BYTES = "\udfff", MARK.encode()
+LITERAL_BYTES = LITERAL.encode("utf-8", "surrogatepass")
+#: Units of more bytes are encoded in steps of so many, with the paths carried on.
+LONG = 1 << 16
 #: Below the least score of any piece, for characters that no piece covers.
 UNKNOWN_PENALTY = 10.0
 
@@ -135,25 +140,15 @@ class Model:
         for i, (p, _, t) in enumerate(pieces):
             if t == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
-            text.append(bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() if t in (NORMAL, USER) else b"")
+            text.append(bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t in (NORMAL, USER) else b"")
         if (self.bytes < 0).any():
             raise ValueError("byte fallback needs all 256 byte pieces")
         self.size = np.array([len(x) for x in text])
         self.start, self.pool = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(text), np.uint8)
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best segmentation of each unit (spaces already marked): flat ids and the number of each.
-
-        Matches of all units are found by walking the trie from every character at
-        once; the best paths then grow by start offset, all units side by side.
-        """
-        raw = [u.encode("utf-8", "replace") for u in units]
-        n = np.array([len(x) for x in raw], np.int64)
-        data, unit = np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.arange(len(n)), n)
-        first = np.cumsum(n) - n
-        lead = np.flatnonzero((data & 0xC0) != 0x80)
-        at, state, matches = lead, np.zeros(len(lead), np.int32), []
-        stop = (first + n)[unit]
+    def matches(self, data: np.ndarray, stop: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, bytes and piece of each match from the places `lead`; a character that no piece covers matches alone as piece -1. stop: where each place's unit ends."""
+        at, state, found = lead, np.zeros(len(lead), np.int32), []
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
         covered = np.zeros(len(data), bool)
         for k in range(self.longest):
@@ -165,11 +160,52 @@ class Model:
             ok = self.trie.check[nxt] == state
             at, state = at[ok], nxt[ok]
             hit = self.trie.value[state] >= 0
-            matches.append((at[hit], np.full(hit.sum(), k + 1), self.trie.value[state[hit]]))
+            found.append((at[hit], np.full(hit.sum(), k + 1), self.trie.value[state[hit]]))
             covered[at[hit & (width[at] == k + 1)]] = True
         bare = lead[~covered[lead]]
-        matches.append((bare, width[bare], np.full(len(bare), -1)))
-        a, size, ids = (np.concatenate(x) for x in zip(*matches, strict=True))
+        found.append((bare, width[bare], np.full(len(bare), -1)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def encode_long(self, raw: bytes) -> np.ndarray:
+        """The ids of one unit of any length: matches are looked up LONG starts at a time, the best paths are carried on. The same as encode_units()."""
+        data = np.frombuffer(raw, np.uint8)
+        best, back, piece = np.full(len(raw) + 1, -np.inf), np.zeros(len(raw) + 1, np.int32), np.zeros(len(raw) + 1, np.int32)
+        best[0] = 0
+        for p in range(0, len(raw), LONG):
+            part = data[p : p + LONG + self.longest + 4]
+            lead = np.flatnonzero((part[:LONG] & 0xC0) != 0x80)
+            a, size, ids = self.matches(part, np.full(len(part), len(part)), lead)
+            order = np.argsort(a, kind="stable")
+            score = np.where(ids >= 0, self.scores[ids], self.unknown)[order].tolist()
+            ahead, prev, via = best[p : p + len(part) + 1].tolist(), {}, {}
+            for i, n, s, k in zip(a[order].tolist(), size[order].tolist(), score, ids[order].tolist(), strict=True):
+                if (x := ahead[i] + s) > ahead[i + n]:
+                    ahead[i + n], prev[i + n], via[i + n] = x, p + i, k
+            best[p : p + len(part) + 1] = ahead
+            to = p + np.fromiter(prev, np.int64, len(prev))
+            back[to], piece[to] = list(prev.values()), list(via.values())
+        out, j, emit = [], len(raw), raw.replace(LITERAL_BYTES, MARK_BYTES)
+        while j:
+            i = int(back[j])
+            out.append([int(piece[j])] if piece[j] >= 0 else self.bytes[np.frombuffer(emit[i:j], np.uint8)].tolist())
+            j = i
+        return np.array([x for ids in reversed(out) for x in ids], np.int32)
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best segmentation of each unit (spaces already marked): flat ids and the number of each.
+
+        Matches of all units are found by walking the trie from every character at
+        once; the best paths then grow by start offset, all units side by side.
+        """
+        raw = [u.encode("utf-8", "surrogatepass") for u in units]
+        if any(len(x) > LONG for x in raw):
+            parts = [self.encode_long(x) if len(x) > LONG else self.encode_units([u])[0] for u, x in zip(units, raw, strict=True)]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int32)
+        n = np.array([len(x) for x in raw], np.int64)
+        data, unit = np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.arange(len(n)), n)
+        emit = np.frombuffer(b"".join(raw).replace(LITERAL_BYTES, MARK_BYTES), np.uint8)
+        first = np.cumsum(n) - n
+        a, size, ids = self.matches(data, (first + n)[unit], np.flatnonzero((data & 0xC0) != 0x80))
         offset = a - first[unit[a]]
         order = np.argsort(offset, kind="stable")
         a, size, ids, offset = a[order], size[order], ids[order], offset[order]
@@ -181,6 +217,7 @@ class Model:
         cuts = np.append(np.flatnonzero(np.diff(offset, prepend=-1)), len(offset))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             path = best[src[i:j]] + score[i:j]
+            # Of ties to one place within this step there are none: an offset's matches differ in length.
             better = path > best[dst[i:j]]
             to = dst[i:j][better]
             best[to], back[to] = path[better], i + np.flatnonzero(better)
@@ -200,7 +237,7 @@ class Model:
         many = np.where(ids[m] >= 0, 1, size[m])
         ends = np.cumsum(many)
         part = np.arange(ends[-1]) - np.repeat(ends - many, many)
-        out = np.where(np.repeat(ids[m], many) >= 0, np.repeat(ids[m], many), self.bytes[data[np.repeat(a[m], many) + part]])
+        out = np.where(np.repeat(ids[m], many) >= 0, np.repeat(ids[m], many), self.bytes[emit[np.repeat(a[m], many) + part]])
         return out.astype(np.int32), np.bincount(unit[a[m]], many, len(n)).astype(np.int32)
 
     def encoder(self):
@@ -210,7 +247,7 @@ class Model:
         def units(text: str) -> list[str]:
             if not text:
                 return []
-            marked = text.replace(" ", MARK)
+            marked = text.replace(MARK, LITERAL).replace(" ", MARK)
             parts = (MARK + marked).split(MARK)
             if "" not in parts[1:]:
                 return [MARK + x for x in parts[1:]]
@@ -225,13 +262,12 @@ class Model:
         return lambda texts: cached(map(units, texts))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The UTF-8 texts of consecutive runs of ids: pieces joined, byte pieces as bytes, markers as spaces, the first one dropped."""
+        """The UTF-8 texts of consecutive runs of ids: pieces joined, their markers as spaces, byte pieces as bytes, the first space dropped."""
         size = self.size[ids]
         ends = np.cumsum(size)
         data = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
         bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
-        mark = MARK.encode()
-        out = [data[a:b].replace(mark, b" ") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        out = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return [x[1:] if x[:1] == b" " else x for x in out]
 
 
@@ -245,22 +281,24 @@ def load(path: str) -> Model:
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, ids, round_trip of each row's whole text.
 
-    round_trip: decoding the ids gives the text back (a marker character in a text
-    comes back as a space). Workers read the model file at `path`, one copy each.
-    Defined cases: a null or empty text has no ids and round_trip true; a null or
-    repeated id is passed through, a row each; an empty table gives no rows.
+    round_trip: decoding the ids gives the text back, byte by byte; a marker character that is
+    part of a text goes through byte fallback. Workers read the model file at `path`, one copy each.
+
+    Defined cases: a null or empty text has no ids and round_trip true; a text without
+    spaces may be of any length; a null or repeated id is passed through, a row each; an empty
+    table gives no rows; other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def run(batches):
         model = load(path)
-        encode, is_byte, mark = model.encoder(), np.zeros(len(model.size), bool), MARK.encode()
+        encode, is_byte = model.encoder(), np.zeros(len(model.size), bool)
         is_byte[model.bytes] = True
         for b in (c for b in batches for c in chunks(b, "text")):
             texts = b.column("text").to_pylist()
             ids, n = encode(texts)
-            same = [x == t.encode().replace(mark, b" ") for x, t in zip(model.decode(ids, n), texts, strict=True)]
+            same = [x == t.encode() for x, t in zip(model.decode(ids, n), texts, strict=True)]
             fallback = np.diff(np.append(0, np.cumsum(is_byte[ids]))[np.append(0, np.cumsum(n))])
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), ids)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fallback, pa.int64()), lists, pa.array(same)], schema=schema)
@@ -275,4 +313,5 @@ def model_path() -> str:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: encode_documents() of documents, by the 32,000 piece model."""
     return encode_documents(table(spark, sf_dir, "documents"), model_path())
