@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from math import inf, log, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import landed, table
+from ._common import landed, sampled, table
 
 #: Fixed patterns, in the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -18,7 +19,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "learned"]
 #: What may be a credential that no pattern names: a run of these with a digit and a letter.
-CANDIDATE, DIGIT, LETTER = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+CANDIDATE, RUN, DIGIT, LETTER = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile(r"[A-Za-z0-9+/_=-]{5,}"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -49,20 +50,27 @@ def classes(value: str) -> str:
 class Automaton:
     """A probabilistic automaton learnt by merging compatible states of a prefix tree.
 
-    Two states are compatible if, by Hoeffding's bound at level alpha, they end and
-    go on by each symbol equally often, and so do their successors in turn.
+    Two states are compatible if, by Hoeffding's bound at level alpha, they end and go on by
+    each symbol equally often, and so do their successors in turn. States of the same depth
+    are merged first, layer by layer; that gathers the counts of sparse branches and
+    keeps length and order. States of different depth are merged afterwards, and only
+    if both were seen `least` times: few observations agree with anything.
     """
 
-    def __init__(self, values: list[str], alpha: float = 0.05):
+    def __init__(self, values: list[str], alpha: float = 0.05, least: int = 50):
         self.next: list[dict[str, int]] = [{}]
         self.flow: list[dict[str, int]] = [{}]
         self.stop, self.seen = [0], [0]
+        layers: list[list[int]] = [[0]]
         for v in values:
             s = 0
             self.seen[0] += 1
-            for c in classes(v):
+            for depth, c in enumerate(classes(v), 1):
                 if c not in self.next[s]:
                     self.next[s][c] = len(self.next)
+                    if depth == len(layers):
+                        layers.append([])
+                    layers[depth].append(len(self.next))
                     self.next.append({})
                     self.flow.append({})
                     self.stop.append(0)
@@ -71,71 +79,78 @@ class Automaton:
                 s = self.next[s][c]
                 self.seen[s] += 1
             self.stop[s] += 1
+        self.parent = list(range(len(self.next)))
         self.bound = sqrt(0.5 * log(2 / alpha))
-        red = [0]
-        blue = [(0, c) for c in sorted(self.next[0])]
-        while blue:
-            p, c = blue.pop(0)
-            q = self.next[p][c]
-            if q in red:
-                continue
-            for r in red:
-                if self._compatible(r, q):
-                    self.next[p][c] = r
-                    self._fold(r, q)
-                    break
-            else:
-                red.append(q)
-            blue = [(s, c) for s in red for c in sorted(self.next[s]) if self.next[s][c] not in red]
-        self.states = len(red)
+        kept: list[int] = []
+        for layer in layers:
+            own: list[int] = []
+            for q in sorted({self.find(x) for x in layer}, key=lambda x: (-self.seen[x], x)):
+                if not any(self._merged(r, q) for r in own):
+                    own.append(q)
+            kept += own
+        for i, q in enumerate(kept):
+            any(self._merged(r, q) for r in kept[:i] if min(self.seen[self.find(r)], self.seen[self.find(q)]) >= least)
+        self.states = len({self.find(x) for x in kept})
+
+    def find(self, s: int) -> int:
+        while self.parent[s] != s:
+            self.parent[s] = s = self.parent[self.parent[s]]
+        return s
 
     def _alike(self, f1, n1, f2, n2) -> bool:
         return n1 == 0 or n2 == 0 or abs(f1 / n1 - f2 / n2) < self.bound * (1 / sqrt(n1) + 1 / sqrt(n2))
 
-    def _compatible(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
+    def _merged(self, a: int, b: int) -> bool:
+        """Merge two states, and with them their successors, if they are compatible."""
+        a, b = self.find(a), self.find(b)
+        todo, met = [(a, b)], set()
         while todo:
-            a, b = todo.pop()
-            if not self._alike(self.stop[a], self.seen[a], self.stop[b], self.seen[b]):
+            x, y = todo.pop()
+            if x == y or (x, y) in met:
+                continue
+            met.add((x, y))
+            if not self._alike(self.stop[x], self.seen[x], self.stop[y], self.seen[y]):
                 return False
-            for c in self.flow[a].keys() | self.flow[b].keys():
-                if not self._alike(self.flow[a].get(c, 0), self.seen[a], self.flow[b].get(c, 0), self.seen[b]):
+            for c in self.flow[x].keys() | self.flow[y].keys():
+                if not self._alike(self.flow[x].get(c, 0), self.seen[x], self.flow[y].get(c, 0), self.seen[y]):
                     return False
-                if c in self.next[a] and c in self.next[b]:
-                    todo.append((self.next[a][c], self.next[b][c]))
-        return True
-
-    def _fold(self, a: int, b: int) -> None:
-        """Add the tree below b to the automaton at a."""
+                if c in self.next[x] and c in self.next[y]:
+                    todo.append((self.find(self.next[x][c]), self.find(self.next[y][c])))
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
-            self.seen[a] += self.seen[b]
-            self.stop[a] += self.stop[b]
-            for c, n in self.flow[b].items():
-                self.flow[a][c] = self.flow[a].get(c, 0) + n
-                if c in self.next[a]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+            x, y = (self.find(s) for s in todo.pop())
+            if x == y:
+                continue
+            self.parent[y] = x
+            self.seen[x] += self.seen[y]
+            self.stop[x] += self.stop[y]
+            for c, n in self.flow[y].items():
+                self.flow[x][c] = self.flow[x].get(c, 0) + n
+                if c in self.next[x]:
+                    todo.append((self.next[x][c], self.next[y][c]))
                 else:
-                    self.next[a][c] = self.next[b][c]
+                    self.next[x][c] = self.next[y][c]
+        return True
 
     def rate(self, value: str) -> float:
         """Log likelihood per character; -inf if the format isn't this one's."""
         s, total = 0, 0.0
         for c in classes(value):
+            s = self.find(s)
             if c not in self.next[s]:
                 return -inf
             total += log(self.flow[s][c] / self.seen[s]) - _WITHIN.get(c, 0.0)
             s = self.next[s][c]
+        s = self.find(s)
         return (total + log(self.stop[s] / self.seen[s])) / (len(value) + 1) if self.stop[s] else -inf
 
 
 class Formats:
-    """Automata by kind, the least rate accepted of each, and a model of ordinary words."""
+    """Automata by kind, the least rate accepted of each, and a model of ordinary runs of the same characters."""
 
-    def __init__(self, values: dict[int, list[str]], words: list[str], margin: float = 0.25):
+    def __init__(self, values: dict[int, list[str]], ordinary: list[str], margin: float = 0.25):
         self.margin = margin
-        self.word = Automaton(words) if words else None
+        self.ordinary = Automaton(ordinary) if ordinary else None
         self.by_kind = []
         for _, v in sorted(values.items()):
             v = sorted({x for x in v if len(x) >= 16 and DIGIT.search(x) and LETTER.search(x)})
@@ -144,8 +159,8 @@ class Formats:
                 self.by_kind.append((a, sorted(a.rate(x) for x in v)[len(v) // 20]))
 
     def accepts(self, value: str) -> bool:
-        """True if a format explains the value as well as its own credentials, and better than the words' model does."""
-        ordinary = self.word.rate(value) if self.word else -inf
+        """True if a format explains the value as well as its own credentials, and better than ordinary runs' model does."""
+        ordinary = self.ordinary.rate(value) if self.ordinary else -inf
         return any((rate := a.rate(value)) >= least and rate > ordinary + self.margin for a, least in self.by_kind)
 
 
@@ -156,36 +171,43 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, spans array of (kind, start, end) of each row's whole text, in order.
 
     The texts are read once: fixed patterns and candidates go to the shared folder. At most
-    max_values credentials per kind and as many words, the first by a hash, train the
+    max_values credentials per kind and twice as many ordinary runs, the first by a hash, train the
     automata on the driver (the one bounded sample); every candidate is then scored.
-    Offsets are code points, ends exclusive. A null or empty text has no spans; a null
-    or repeated id is passed through, a row each; an empty table gives no rows.
+    A candidate is a run of at least 16 of [A-Za-z0-9+/_=-] with a letter and a digit that doesn't
+    lie wholly in a fixed pattern's match. Ordinary runs are shorter ones or ones without
+    digits, from four hashed places of each whole text.
+
+    Defined cases: offsets are code points, ends exclusive. A null or empty text has no spans; a null
+    or repeated id is passed through, a row each; an empty table gives no rows; with fewer than 20
+    different credentials of a kind it gets no automaton; other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span)), ("word", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span)), ("ordinary", pa.list_(pa.string()))])
 
     def scan(batches):
         for b in batches:
-            out, words = [], []
+            out, ordinary = [], []
             for text in b.column("text").to_pylist():
                 found = base_spans(text)
                 got = [{"kind": k, "start": s, "end": e, "value": text[vs:ve]} for s, k, e, vs, ve in found]
                 if DIGIT.search(text):
                     for m in CANDIDATE.finditer(text):
-                        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _, _ in found):
+                        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(s <= m.start() and m.end() <= e for s, _, e, _, _ in found):
                             got.append({"kind": 3, "start": m.start(), "end": m.end(), "value": m[0]})
                 out.append(got)
-                words.append(next((w for w in text[-400:].split() if len(w) >= 5 and w.isascii() and w.isalpha()), None))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, schema.field("spans").type), pa.array(words, pa.string())], schema=schema)
+                words = text.split()
+                seed = zlib.crc32(text.encode("utf-8", "replace"))
+                picked = (m[0] for k in range(4) if words for m in RUN.finditer(words[(seed * (2 * k + 1) >> k) % len(words)]))
+                ordinary.append([x for x in picked if (len(x) < 16 or not DIGIT.search(x)) and not base_spans(x)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, schema.field("spans").type), pa.array(ordinary, pa.list_(pa.string()))], schema=schema)
 
-    seen = landed(rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: int, start: int, end: int, value: string>>, word string"), "secrets")
+    seen = landed(rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: int, start: int, end: int, value: string>>, ordinary array<string>"), "secrets")
     each = seen.select(F.explode("spans").alias("s")).select("s.kind", "s.value").where("kind < 3").distinct()
-    values: dict[int, list[str]] = {}
-    for k in range(3):
-        values[k] = [r["value"] for r in each.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(max_values).collect()]
-    words = [r["word"] for r in seen.select("word").where("word IS NOT NULL").distinct().orderBy(F.xxhash64("word"), "word").limit(max_values).collect()]
-    formats = Formats(values, words)
+    values = {k: [r["value"] for r in sampled(each.where(F.col("kind") == k), max_values, "value").collect()] for k in range(3)}
+    runs = seen.select(F.explode("ordinary").alias("run")).distinct()
+    ordinary = [r["run"] for some in (runs.where("run RLIKE '[0-9]'"), runs.where("run NOT RLIKE '[0-9]'")) for r in sampled(some, max_values, "run").collect()]
+    formats = Formats(values, sorted(ordinary))
     final = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
     def score(batches):
@@ -201,6 +223,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: find_secrets(), counted by kind and as text."""
     listed = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
     count = "cast(size(filter(spans, x -> x.kind = '{}')) AS bigint)"
     return find_secrets(table(spark, sf_dir, "documents")).select(
