@@ -7,6 +7,7 @@ entry (offset, id, tokens) of 24 bytes per record, for reads in any order.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, landed, shared_dir, ship, table
+from ._common import filesystem, keyed, landed, shared_dir, ship, table
 from .units import UnitEncoder, chunks
 
 #: Flags of a payload's header (id i64, flags u32, tokens u32): the id is null; ids are 2 bytes wide.
@@ -127,9 +128,6 @@ def _library(path: str, texts: list[str]) -> list[list[int]]:
 
 #: White space other than the space itself, before a space; among Latin-1 characters.
 _EDGE = re.compile("[\t-\r\x1c-\x1f\x85\xa0] ")
-#: Fixed values of byte-level tokenizers: how they cut a text into pieces, and the bytes that stand for themselves (others: 256 and up, in order).
-_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 def _latin(text: str) -> bool:
@@ -140,16 +138,12 @@ def _latin(text: str) -> bool:
     return True
 
 
-def _model_pieces(model):
-    """pieces -> (flat ids, number of each), by the library's model alone."""
-    table_ = {x: chr(256 + k) for k, x in enumerate(sorted({*range(256)} - {*_PLAIN}))}
-
-    def run(pieces):
-        space = table_[32]
-        found = [model.tokenize(x.replace(" ", space) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(table_)) for x in pieces]
-        return np.fromiter((t.id for x in found for t in x), np.int32), np.array([len(x) for x in found], np.int32)
-
-    return run
+def _cuts_at_spaces(tokenizer) -> bool:
+    """True if the file's own settings say that texts may be cut before single spaces: byte-level pieces by its usual pattern, nothing normalised or left to chance."""
+    x = json.loads(tokenizer.to_str())
+    pre, model = x["pre_tokenizer"] or {}, x["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return bool(plain and not x["normalizer"] and not x["truncation"] and not x["padding"] and model.get("type") == "BPE" and not model.get("dropout"))
 
 
 @cache
@@ -158,19 +152,23 @@ def token_encoder(path: str, most: int = 1_000_000):
 
     A byte-level tokenizer splits before a single space that stands between other
     characters. Texts of Latin-1 characters without double spaces and without
-    special tokens are so cut into units. New units are cut into pieces as such a tokenizer
-    does, and the library's model turns each new piece into ids; any other text goes
-    to the library whole. A process has one encoder, so its units outlive a task; it
-    holds up to about `most` units, and as many pieces.
+    special tokens are so cut into units, if the file's settings allow it; the library's pre-tokenizer
+    and model encode each new unit, and any other text whole. A process has one
+    encoder, so its units outlive a task; it holds up to about `most` units, and as many pieces.
     """
-    import regex
-
     tokenizer, special = _tokenizer(path)
-    cut, by_piece = regex.compile(_PIECE).findall, UnitEncoder(_model_pieces(tokenizer.model), most)
+    safe, model = _cuts_at_spaces(tokenizer), tokenizer.model
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str if safe else None
+
+    def pieces(new):
+        found = [model.tokenize(x) for x in new]
+        return np.fromiter((t.id for x in found for t in x), np.int32), np.array([len(x) for x in found], np.int32)
+
+    by_piece = UnitEncoder(pieces, most)
 
     def encode(keys):
         """A key is what follows a unit's space; a key of a unit without one begins with a space."""
-        return by_piece([f" {x}"] if x.isalpha() else cut(x[1:] if x[:1] == " " else f" {x}") for x in keys)
+        return by_piece([p for p, _ in cut(x[1:] if x[:1] == " " else f" {x}")] for x in keys)
 
     cached = UnitEncoder(encode, most)
 
@@ -183,7 +181,7 @@ def token_encoder(path: str, most: int = 1_000_000):
         return keys
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        plain = ["  " not in x and not _EDGE.search(x) and not any(t in x for t in special) and _latin(x) for x in texts]
+        plain = [safe and "  " not in x and not _EDGE.search(x) and not any(t in x for t in special) and _latin(x) for x in texts]
         ids, size = cached(units(x) for x, p in zip(texts, plain, strict=True) if p)
         ends = np.cumsum(size)
         easy = iter(np.split(ids, ends[:-1]) if len(ends) else ())
@@ -202,12 +200,15 @@ def _largest_id(path: str) -> int:
 def write_token_records(df: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
     """Encode each text, append end_id and write shards in ascending id order below uri.
 
-    Rows are range-partitioned and sorted by id (nulls first, ties by text), a shard
-    to a task, streamed batch by batch. Returns the manifest (shard, path, n_docs,
-    n_tokens) as written to the shared folder; retried tasks write new names. Ids take 16
-    bits if all of the tokenizer's and end_id fit, else 32.
+    Rows are range-partitioned and sorted by id (nulls first, ties by a hash of the text, then by
+    row, so that one id doesn't fill a task), a shard to a task, streamed batch by batch. Returns
+    the manifest (shard, path, n_docs, n_tokens) as written to the shared folder; retried
+    tasks write new names. Ids take 16 bits if all of the tokenizer's and end_id fit, else 32.
+
+    Defined cases: a null or empty text has the end id alone; null ids come first; rows that repeat
+    an id get a record each; an empty table gives an empty manifest; other columns are ignored.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = keyed(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "_row").withColumn("tie", F.xxhash64("text"))
     if not 0 <= end_id < 1 << 31:
         raise ValueError("end_id doesn't fit 31 bits")
 
@@ -236,54 +237,60 @@ def write_token_records(df: DataFrame, uri: str, tokenizer: str, id_col: str = "
             index.close()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [name], "n_docs": [docs], "n_tokens": [tokens]})
 
-    sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    sorted_rows = rows.repartitionByRange("doc_id", "tie", "_row").sortWithinPartitions("doc_id", "tie", "_row").select("doc_id", "text")
     return landed(sorted_rows.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_records(manifest: DataFrame, uri: str, range_bytes: int = 8 << 20) -> DataFrame:
     """Each record of the manifest's shards: doc_id, start (tokens before it in all shards), n_tokens, ids_crc32, ids.
 
-    The index gives the record boundaries, so a shard is read by ranges of about
-    range_bytes. Checksums are verified. The running sum has a row per shard.
+    The indexes are read first; they give the record boundaries, and ranges of whole records, about
+    range_bytes each, are dealt out and read one by one. Checksums are verified. The
+    running sum has a row per shard.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    ranges = pa.schema([("path", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("start", pa.int64())])
 
-    def read(batches):
+    def plan(batches):
         fs, _ = filesystem(uri)
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 with fs.open_input_stream(f"{path}.idx") as f:
                     entry = np.frombuffer(f.read(), ENTRY)
                 with fs.open_input_file(f"{path}.rec") as f:
-                    bounds, at = np.append(entry["offset"], f.size()).astype(np.int64), 0
-                    while at < len(entry):
-                        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + range_bytes, "right")) - 1)
-                        ids = []
-                        for p in unframe(f.read_at(int(bounds[end] - bounds[at]), int(bounds[at]))):
-                            flags = int.from_bytes(p[8:12], "little")
-                            ids.append(np.frombuffer(p, "<u2" if flags & NARROW else "<u4", offset=16).astype("<u4"))
-                        size = np.array([len(x) for x in ids], np.int64)
-                        part = entry[at:end]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(part["id"].astype(np.int64), mask=(part["flags"] & NULL_ID) > 0),
-                                pa.array(start + np.cumsum(size) - size),
-                                pa.array(size),
-                                pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                                pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), np.concatenate(ids).astype(np.int32)),
-                            ],
-                            schema=schema,
-                        )
-                        start, at = start + int(size.sum()), end
+                    bounds = np.append(entry["offset"], f.size()).astype(np.int64)
+                before, at, out = start + np.append(0, np.cumsum(entry["tokens"], dtype=np.int64)), 0, []
+                while at < len(entry):
+                    end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + range_bytes, "right")) - 1)
+                    out.append((path, int(bounds[at]), int(bounds[end] - bounds[at]), int(before[at])))
+                    at = end
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(ranges.types)], schema=ranges)
+
+    def read(batches):
+        fs, _ = filesystem(uri)
+        for b in batches:
+            for path, at, length, start in zip(*(b.column(c).to_pylist() for c in ranges.names), strict=True):
+                keys, ids = [], []
+                with fs.open_input_file(f"{path}.rec") as f:
+                    raw = f.read_at(length, at)
+                for p in unframe(raw):
+                    flags = int.from_bytes(p[8:12], "little")
+                    keys.append(None if flags & NULL_ID else int.from_bytes(p[:8], "little", signed=True))
+                    ids.append(np.frombuffer(p, "<u2" if flags & NARROW else "<u4", offset=16).astype("<u4"))
+                size = np.array([len(x) for x in ids], np.int64)
+                crc = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), np.concatenate(ids).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + np.cumsum(size) - size), pa.array(size), crc, lists], schema=schema)
 
     ship(manifest.sparkSession)
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     based = manifest.withColumn("base", F.expr("coalesce(sum(n_tokens) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
-    return based.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    dealt = based.repartition(n, "shard").mapInArrow(plan, "path string, at long, length long, start long").repartition(n, "path", "at")
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query. Null text: only the end id; null doc_id: comes first; a repeated doc_id: a record each, by text; an empty table: no rows."""
+    """Contract query: write_token_records() and read_token_records() of documents."""
     import public_tokenizers
 
     uri = shared_dir(spark, "tokens")
