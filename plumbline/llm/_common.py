@@ -51,7 +51,7 @@ def keyed(df: DataFrame) -> DataFrame:
     A plain read of Parquet files names its own rows; anything else is landed first.
     """
     plan = df._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() != "LogicalRelation" or "Parquet" not in plan.toString():
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
         df = landed(df, "rows")
     return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
 

@@ -159,6 +159,8 @@ def token_encoder(path: str, most: int = 1_000_000):
     tokenizer, special = _tokenizer(path)
     safe, model = _cuts_at_spaces(tokenizer), tokenizer.model
     cut = tokenizer.pre_tokenizer.pre_tokenize_str if safe else None
+    # The characters that stand for bytes, as the library gives them: letters alone need no more than those.
+    stand = {b: c for x in map(chr, range(256)) if safe for b, c in zip(x.encode(), "".join(p for p, _ in cut(x)), strict=True)}
 
     def pieces(new):
         found = [model.tokenize(x) for x in new]
@@ -168,7 +170,7 @@ def token_encoder(path: str, most: int = 1_000_000):
 
     def encode(keys):
         """A key is what follows a unit's space; a key of a unit without one begins with a space."""
-        return by_piece([p for p, _ in cut(x[1:] if x[:1] == " " else f" {x}")] for x in keys)
+        return by_piece([f" {x}".encode().decode("latin-1").translate(stand)] if x.isalpha() else [p for p, _ in cut(x[1:] if x[:1] == " " else f" {x}")] for x in keys)
 
     cached = UnitEncoder(encode, most)
 
