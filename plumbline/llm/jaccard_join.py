@@ -1,10 +1,12 @@
-"""Exact Jaccard similarity join of word shingles by pivots, windows and recursion.
-
-A link needs three quarters of a set to be shared, so only sets most of whose shingles
-occur elsewhere are joined. Their rarest shingles are the outer pivots: a set lies in
-the regions of as many of them as a link could miss, plus one. Within a region, one
-document is the pivot; distances to it split the region into what lies within the
-radius and what lies outside, with windows by the triangle inequality around the border.
+"""Exact Jaccard similarity join of word shingles in metric space: pivots, Voronoi regions, windows, recursion.
+
+Jaccard distances of unrelated documents are all 1, so pivots can't tell those apart. A first
+dealing therefore brings together only documents that share one of their rarest shingles
+(a link must share one); each such region has a document as its first pivot. Where a
+region has more open pairs than a task should compare, further documents become
+pivots: each document belongs to the region of its nearest pivot, and those near a border,
+by the triangle inequality, are replicated across it; regions are split again until
+they are small, and compared exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, landed, table
+from ._common import keyed, landed, salted, table
 from .units import _Index, chunks
 
 WORDS = 5
@@ -51,22 +53,52 @@ class Shingler:
         return out
 
 
-def _tag(keys: np.ndarray) -> int:
-    """63 bits for a set: equal sets have equal tags."""
-    return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little") >> 1
+#: Links are at most this far apart (with room for rounding): similarity 0.75.
+RADIUS = 0.25 + 1e-9
+SALTS = 32
+
+
+def _tag(keys: np.ndarray) -> bytes:
+    """127 bits for a set: equal sets have equal tags. The last bit is set, so that no tag ends in a zero byte."""
+    d = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
+    return d[:15] + bytes([d[15] | 1])
+
+
+def _common(sets: list[np.ndarray], share: float = 0.005, least: int = 3) -> list[dict]:
+    """The shingles that at least this share of these sets have (and `least` of them), and how many do."""
+    most = max(least, share * len(sets))
+    keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    cell = (keys >> np.uint64(20)).astype(np.int64) & 0xFFFFF
+    keys, n = np.unique(keys[np.bincount(cell, minlength=1)[cell] >= most], return_counts=True)
+    return [{"key": k, "n": c} for k, c in zip(keys[n >= most].view(np.int64).tolist(), n[n >= most].tolist(), strict=True)]
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """doc_id, n (set size), tag of each row's whole text, and row_col; a null text is empty."""
+    """doc_id, n (set size), tag of each row's whole text, row_col, and common: the frequent shingles of a batch, in its first row."""
     more = [row_col] if row_col else []
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 
     def run(batches):
         sets = Shingler()
         for b in (c for b in batches for c in chunks(b, "text")):
             found = sets(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([_tag(x) for x in found], pa.int64()), *(b.column(c) for c in more)], ["doc_id", "n", "tag", *more])
+            tags = [_tag(x) for x in found]
+            common = [_common(list(dict(zip(tags, found, strict=True)).values()))] + [None] * (len(found) - 1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(tags, pa.binary()), *(b.column(c) for c in more), pa.array(common[: len(found)], kind)], ["doc_id", "n", "tag", *more, "common"])
 
-    return _texts(df, id_col, text_col, *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "n", "tag", *more)))
+    return _texts(df, id_col, text_col, *more).mapInArrow(run, ", ".join(["doc_id long", "n long", "tag binary", *(f"{c} long" for c in more), "common array<struct<key: long, n: long>>"]))
+
+
+def frequent(rows: DataFrame, share: float = 0.0025) -> np.ndarray:
+    """Of the landed shingle_sets(), the sorted shingles that more than this share of the rows is known to have.
+
+    Their number is bounded by the mean size of a set over `share`, whatever the number of rows.
+    They come last in every set's order and travel without names, so no task has to
+    hold all documents that share one. The order changes no result.
+    """
+    most = max(1000.0, share * rows.count())
+    keys = rows.select(F.explode("common").alias("c")).groupBy("c.key").agg(F.sum("c.n").alias("n")).where(F.col("n") > most).select("key").collect()
+    return np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -77,38 +109,54 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def shared_sets(texts: DataFrame, parts: int) -> DataFrame:
+def _within(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places in the sorted names of those keys that are there."""
+    at = np.minimum(np.searchsorted(names, keys), max(len(names) - 1, 0))
+    return at[names[at] == keys] if len(names) else at[:0]
+
+
+def shared_sets(texts: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
     """tag, n, keys, prefix of each distinct set that may have a link.
 
     Shingles go to `parts` parts by hash, packed; a part counts the distinct sets of each
-    and sends those of two or more back to the sets' buckets, again packed. A set
-    with fewer than three quarters of its shingles shared has no link. prefix: the
-    rarest shared shingles, one more than a link could miss.
+    and sends those of two or more back to the sets' buckets, again packed. Common ones go
+    to the buckets at once. A set with fewer than three quarters of its shingles shared has
+    no link. prefix: the rarest shared shingles, one more than a link could miss.
     """
 
+    def packed_rows(part, who, keys, tags, n):
+        """Of postings (tag number who, key), the places and (part, tags, n, many, keys) of each part."""
+        order = np.lexsort((who, part))
+        keys, who, part = keys[order], who[order], part[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(part)]
+        for i, j in zip(first, np.append(first[1:], len(part)), strict=True):
+            head = np.flatnonzero(np.append(True, who[i + 1 : j] != who[i : j - 1]))
+            own = who[i:j][head]
+            yield order[i:j], (int(part[i]), _blob(tags[own]), _blob(n[own].astype("<u4")), _blob(np.diff(np.append(head, j - i)).astype("<u4")), _blob(keys[i:j]))
+
+    def bucket(tags):
+        return (tags.view("u1").reshape(-1, 16)[:, :8].copy().view("<u8").ravel() % np.uint64(parts)).astype(np.int64)
+
     def scatter(batches):
         sets = Shingler()
         for b in (c for b in batches for c in chunks(b, "text")):
             by_tag = {_tag(x): x for x in sets(b.column("text").to_pylist()) if len(x)}
             if not by_tag:
                 continue
-            tags, n = np.array(list(by_tag), np.int64), np.array([len(x) for x in by_tag.values()], np.int64)
+            tags, n = np.array(list(by_tag), "S16"), np.array([len(x) for x in by_tag.values()], np.int64)
             keys, who = np.concatenate(list(by_tag.values())), np.repeat(np.arange(len(n)), n)
-            part = (keys >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            keys, who, part = keys[order], who[order], part[order].astype(np.int64)
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            rows = []
-            for i, j in zip(first, np.append(first[1:], len(part)), strict=True):
-                head = np.flatnonzero(np.append(True, who[i + 1 : j] != who[i : j - 1]))
-                own = who[i:j][head]
-                rows.append((int(part[i]), _blob(tags[own]), _blob(n[own].astype("<u4")), _blob(np.diff(np.append(head, j - i)).astype("<u4")), _blob(keys[i:j])))
+            part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            if len(common):
+                often = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+                part[often] = parts + bucket(tags)[who[often]]
+            rows = [r for _, r in packed_rows(part, who, keys, tags, n)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["part", "tags", "n", "many", "keys"])
 
     def unpack(rows):
-        """Flat tags, n, keys of packed rows."""
-        tags, n, many, keys = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((0, "<i8"), (1, "<u4"), (2, "<u4"), (3, "<u8")))
-        return np.repeat(tags, many), np.repeat(n, many), keys
+        """The distinct tags of packed rows; flat tag numbers, n, keys."""
+        tags, n, many, keys = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((0, "S16"), (1, "<u4"), (2, "<u4"), (3, "<u8")))
+        names, codes = np.unique(tags, return_inverse=True)
+        return names, np.repeat(codes, many), np.repeat(n, many).astype(np.int64), keys
 
     def grouped(batches, columns):
         """Rows of a stream sorted by its first column, by that column."""
@@ -116,94 +164,124 @@ def shared_sets(texts: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for k, *r in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if rows and k != last:
-                    yield rows
+                    yield last, rows
                     rows = []
                 rows.append(r)
                 last = k
         if rows:
-            yield rows
+            yield last, rows
+
+    counts = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("tags", "n", "many", "keys", "df"))])
 
     def count(batches):
-        for rows in grouped(batches, ["part", "tags", "n", "many", "keys"]):
-            tags, n, keys = unpack(rows)
-            order = np.lexsort((tags, keys))
-            tags, n, keys = tags[order], n[order], keys[order]
+        for part, rows in grouped(batches, ["part", "tags", "n", "many", "keys"]):
+            if part >= parts:
+                for r in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part - parts, *r, _blob(np.full(len(r[3]) // 8, 2**32 - 1, "<u4"))), counts.types, strict=True)], schema=counts)
+                continue
+            names, who, n, keys = unpack(rows)
+            order = np.lexsort((who, keys))
+            who, n, keys = who[order], n[order], keys[order]
             new = np.append(True, keys[1:] != keys[:-1])
-            once = new | np.append(True, tags[1:] != tags[:-1])  # copies of a set count once
-            tags, n, keys, new = tags[once], n[once], keys[once], new[once]
+            once = new | np.append(True, who[1:] != who[:-1])  # copies of a set count once
+            who, n, keys, new = who[once], n[once], keys[once], new[once]
             size = np.diff(np.append(np.flatnonzero(new), len(keys)))
-            size = np.repeat(size, size)
-            tags, n, keys, size = (x[size > 1] for x in (tags, n, keys, size))
-            bucket = tags % parts
-            order = np.lexsort((tags, bucket))
-            tags, n, keys, size, bucket = (x[order] for x in (tags, n, keys, size, bucket))
-            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(tags) else []
-            for i, j in zip(first, np.append(first[1:], len(tags)), strict=True):
-                head = np.flatnonzero(np.append(True, tags[i + 1 : j] != tags[i : j - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(bucket[i]), _blob(tags[i:j][head]), _blob(n[i:j][head].astype("<u4")), _blob(np.diff(np.append(head, j - i)).astype("<u4")), _blob(keys[i:j]), _blob(np.minimum(size[i:j], 2**32 - 1).astype("<u4")))], ["bucket", "tags", "n", "many", "keys", "df"])
-
-    schema = pa.schema([("tag", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+            size = np.minimum(np.repeat(size, size), 2**32 - 2)
+            who, n, keys, size = (x[size > 1] for x in (who, n, keys, size))
+            if not len(who):
+                continue
+            of = np.zeros(len(names), np.int64)
+            of[who] = n
+            out = [(*r, _blob(size[at].astype("<u4"))) for at, r in packed_rows(bucket(names)[who], who, keys, names, of)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), counts.types, strict=True)], schema=counts)
+
+    schema = pa.schema([("tag", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def gather(batches):
-        for rows in grouped(batches, ["bucket", "tags", "n", "many", "keys", "df"]):
+        for _, rows in grouped(batches, ["bucket", "tags", "n", "many", "keys", "df"]):
             df = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows])
-            tags, n, keys = unpack(rows)
-            order = np.lexsort((keys, df, tags))
-            tags, n, keys = tags[order], n[order].astype(np.int64), keys[order]
-            first = np.flatnonzero(np.append(True, tags[1:] != tags[:-1]))
+            names, who, n, keys = unpack(rows)
+            order = np.lexsort((keys, df, who))
+            who, n, keys = who[order], n[order], keys[order]
+            once = np.append(True, (who[1:] != who[:-1]) | (keys[1:] != keys[:-1]))  # a common one comes with each copy
+            who, n, keys = who[once], n[once], keys[once]
+            first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
             out = []
-            for i, j in zip(first, np.append(first[1:], len(tags)), strict=True):
+            for i, j in zip(first, np.append(first[1:], len(who)), strict=True):
                 need = (3 * n[i] + 3) // 4
                 if j - i >= need:
-                    out.append((int(tags[i]), int(n[i]), np.sort(keys[i:j]).view(np.int64), keys[i : j - need + 1].view(np.int64)))
-                if len(out) >= 2000 or (out and j == len(tags)):
+                    out.append((names[who[i]], int(n[i]), np.sort(keys[i:j]).view(np.int64), keys[i : j - need + 1].view(np.int64)))
+                if len(out) >= 2000 or (out and j == len(who)):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                     out = []
 
     packed = texts.mapInArrow(scatter, "part long, tags binary, n binary, many binary, keys binary")
     counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "bucket long, tags binary, n binary, many binary, keys binary, df binary")
-    return counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "tag long, n long, keys array<long>, prefix array<long>")
+    return counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "tag binary, n long, keys array<long>, prefix array<long>")
+
+
+def _salt(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(SALTS))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, parts: int, most: int = 500) -> DataFrame:
-    """a, b, d: the exact Jaccard distance of each pair. A pivot a meets its documents in salted streams of about `most`."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(most))).cast("int").alias("salts"))
+def _streams(members: DataFrame, pivots: DataFrame, sets: DataFrame, parts: int, most: int) -> DataFrame:
+    """Rows grp, turn, p, b, n, keys in streams of about `most` members: of each, the pivots of a group (turn 0, numbered p), then members (turn 1).
+
+    members: grp, b. pivots: grp, p, a. A group of any size is dealt into as many streams as it needs.
+    """
+    members = members.withColumn("_s", _salt("b"))
+    sizes = salted(members.select("grp", "_s"), ["grp"], "_s", {"_n": (F.count("*"), F.sum("_n"))}).withColumn("salts", F.expr(f"cast(ceil(_n / {float(most)}D) AS bigint)"))
     named = sets.select("tag", "n", "keys")
-    heads = counts.join(named, counts["a"] == named["tag"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"), F.col("a").alias("b"), "n", "keys")
-    rows = pairs.join(counts, "a").join(named, F.col("b") == F.col("tag")).select("a", F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("turn"), "b", "n", "keys")
+    per_group = sizes.groupBy("grp").agg(F.max("salts").alias("salts"))
+    heads = pivots.join(named, F.col("a") == F.col("tag")).join(per_group, "grp").select("grp", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("turn"), "p", F.col("a").alias("b"), "n", "keys")
+    rows = members.join(sizes, ["grp", "_s"]).join(named, F.col("b") == F.col("tag")).select("grp", F.pmod(F.xxhash64("b", F.lit(7)), "salts").alias("salt"), F.lit(1).alias("turn"), F.lit(0).alias("p"), "b", "n", "keys")
+    return heads.unionByName(rows).repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", "turn", "p")
+
+
+def _measured(streams: DataFrame) -> DataFrame:
+    """grp, b, dists: for each member of a stream, (pivot, both, any) of each pivot: sizes of intersection and union."""
+    kind = pa.list_(pa.struct([("pivot", pa.binary()), ("both", pa.int64()), ("any", pa.int64())]))
 
     def run(batches):
-        pivot, size = None, 0
+        pivots: list[tuple] = []
+        names, rows, head = np.zeros(0, np.int64), np.zeros((0, 0), np.int32), False
         for x in batches:
             out = []
-            for a, turn, b, n, keys in zip(*(x.column(c) for c in ("a", "turn", "b", "n", "keys")), strict=True):
+            for grp, turn, b, n, keys in zip(*(x.column(c) for c in ("grp", "turn", "b", "n", "keys")), strict=True):
                 own, n = keys.values.to_numpy(), n.as_py()
                 if turn.as_py() == 0:
-                    pivot, size = own, n
+                    pivots = [*(pivots if head else []), (b.as_py(), n, own)]
+                    head = True
                     continue
-                both = len(np.intersect1d(pivot, own, assume_unique=True))
-                out.append((a.as_py(), b.as_py(), both, size + n - both))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["a", "b", "both", "any"])
+                if head:
+                    names = np.unique(np.concatenate([k for _, _, k in pivots]))
+                    rows = np.zeros((len(pivots), len(names)), np.int32)
+                    for i, (_, _, k) in enumerate(pivots):
+                        rows[i, np.searchsorted(names, k)] = 1
+                    head = False
+                both = rows[:, _within(names, own)].sum(axis=1).tolist()
+                out.append((grp.as_py(), b.as_py(), [{"pivot": p, "both": c, "any": m + n - c} for (p, m, _), c in zip(pivots, both, strict=True)]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), kind))], ["grp", "b", "dists"])
 
-    streams = heads.unionByName(rows).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "turn")
-    return streams.mapInArrow(run, "a long, b long, both long, any long")
+    return streams.mapInArrow(run, "grp binary, b binary, dists array<struct<pivot: binary, both: long, any: long>>")
 
 
 LINKED = "4 * both >= 3 * any"
 
 
-def components(links: DataFrame, rounds: int = 60, local_edges: int = 1_000_000) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, local_edges: int = 200_000) -> DataFrame:
     """node, root: the least node that links (a, b) reach, for the nodes of links.
 
     Up to local_edges of them, counted first, are joined up within one task. More go through
     large-star and small-star steps in turn, each landed in the shared folder, until nothing
-    changes. Both ways give the same rows.
+    changes; RuntimeError if that isn't within `rounds`. Both ways give the same rows.
     """
+    node = links.schema["a"].dataType
     edges = landed(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v").distinct(), "edges")
     if edges.count() <= local_edges:
 
         def join(batches):
-            parent: dict[int, int] = {}
+            parent: dict = {}
 
             def find(x):
                 while (p := parent.setdefault(x, x)) != x:
@@ -215,9 +293,11 @@ def components(links: DataFrame, rounds: int = 60, local_edges: int = 1_000_000)
                     u, v = find(u), find(v)
                     parent[max(u, v)] = min(u, v)
             nodes = list(parent)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+            kind = pa.binary() if nodes and isinstance(nodes[0], bytes) else pa.int64()
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "root"])
 
-        return landed(edges.coalesce(1).mapInArrow(join, "node long, root long"), "roots")
+        return landed(edges.coalesce(1).mapInArrow(join, f"node {node.simpleString()}, root {node.simpleString()}"), "roots")
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
@@ -229,113 +309,177 @@ def components(links: DataFrame, rounds: int = 60, local_edges: int = 1_000_000)
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == last:
             break
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     roots = edges.selectExpr("u AS node", "v AS root")
     return roots.unionByName(roots.selectExpr("root AS node", "root").distinct())
 
 
-def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -> DataFrame:
-    """a, b, both, any: links that connect open documents and all of their group as all links do, block by block.
+def _pruned(groups: DataFrame) -> DataFrame:
+    """groups (tag, grp, home, open, d) without what can have no unknown link in its region, with m and n_open of what is left.
+
+    d: distance to the region's pivot; open: not linked to it; home: the pivot is the nearest
+    one. Two documents that are linked to the pivot are connected, and of two that aren't at
+    home another region takes care. Links differ by at most the radius in d, so a document
+    stays only if one that it needs is that near.
+    """
+    groups = groups.withColumn("_s", _salt("tag"))
+    ends = {"low": ("open", F.min), "high": ("home", F.max)}
+    spans = salted(groups, ["grp"], "_s", {k: (f(F.when(F.col(c), F.col("d"))), f(k)) for k, (c, f) in ends.items()})
+    kept = groups.join(spans, ["grp", "_s"]).where(f"(open OR d >= low - {RADIUS!r}D) AND (home OR d <= high + {RADIUS!r}D)").drop("low", "high")
+    kept = landed(kept, "regions")
+    sizes = salted(kept, ["grp"], "_s", {"m": (F.count("*"), F.sum("m")), "n_open": (F.count_if("open"), F.sum("n_open"))})
+    return kept.join(sizes.where("n_open > 0 AND m > 1"), ["grp", "_s"]).drop("_s")
+
+
+def _split(groups: DataFrame, sets: DataFrame, parts: int, pivots: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """(regions, links): Voronoi regions of each group around `pivots` of its documents, with windows, and links to the pivots.
+
+    A document is at home with its nearest pivot i. It also enters the region of j if
+    d(x, j) - d(x, i) is at most twice the radius: a document linked to x may be at home there.
+    """
+    h = F.xxhash64("tag", F.lit(level))
+    chosen = groups.groupBy("grp", F.pmod(h, F.lit(pivots)).cast("int").alias("p")).agg(F.min(F.struct(h.alias("h"), "tag")).alias("x")).select("grp", "p", F.col("x.tag").alias("a"))
+    every = _measured(_streams(groups.select("grp", F.col("tag").alias("b")), chosen, sets, parts, 500))
+    near = "array_min(transform(dists, (x, i) -> struct(1 - x.both / cast(x.any AS double) AS d, i AS i)))"
+    rows = every.withColumn("near", F.expr(near)).select("grp", "b", "near", F.posexplode("dists").alias("i", "x")).select("grp", "b", "near", "i", "x.*").withColumn("d", F.expr("1 - both / cast(any AS double)"))
+    rows = landed(rows.where(f"d - near.d <= {2 * RADIUS!r}D"), "voronoi")
+    regions = rows.select(F.col("b").alias("tag"), F.expr("unhex(md5(concat(grp, pivot)))").alias("grp"), F.expr("i = near.i").alias("home"), F.expr(f"NOT ({LINKED})").alias("open"), "d")
+    return regions, rows.where(LINKED).where("b <> pivot").select(F.col("pivot").alias("a"), "b")
+
+
+def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 250) -> DataFrame:
+    """a, b: links that connect the documents of each region as all its links do, tile by tile.
 
-    groups: tag, grp, open, d (distance to the pivot). The open documents of a group and all
-    of it are dealt into blocks of about `block`; a task holds two blocks, whatever the
-    group's size. Two documents are compared if their distances to the pivot differ by no
-    more than the radius, as the triangle inequality demands of links.
+    groups: as from _pruned(). The open documents of a region and all of it are dealt
+    into blocks of about `block`; a tile holds two blocks, whatever the region's size.
     """
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("nb"), F.ceil(F.count_if("open") / F.lit(float(block))).cast("int").alias("nz"))
-    h = F.xxhash64("tag")
-    rows = groups.join(sizes.where("nz > 0"), "grp").withColumn("j", F.pmod(h, F.col("nb").cast("long")).cast("int")).withColumn("i", F.pmod(h, F.col("nz").cast("long")).cast("int"))
-    every = rows.select("tag", "grp", "d", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("i"), "j", F.lit(False).alias("side"))
-    opened = rows.where("open").select("tag", "grp", "d", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("side"))
+    rows = groups.withColumn("nb", F.expr(f"cast(ceil(m / {float(block)}D) AS int)")).withColumn("nz", F.expr(f"cast(ceil(n_open / {float(block)}D) AS int)"))
+    h = F.xxhash64("tag", "grp")
+    rows = rows.withColumn("j", F.pmod(h, F.col("nb").cast("long")).cast("int")).withColumn("i", F.pmod(h, F.col("nz").cast("long")).cast("int"))
+    every = rows.select("tag", "grp", "d", "home", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("i"), "j", F.lit(False).alias("side"))
+    opened = rows.where("open").select("tag", "grp", "d", "home", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("side"))
     tiles = every.unionByName(opened).join(sets.select("tag", "n", "keys"), "tag").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
     def tile(rows):
-        """Links of the open rows with the others; of all those, the ones that first connect two documents."""
+        """Of the links of open rows with the others, the ones that first connect two documents."""
         z, x = ([r for r in rows if r[2] is s] for s in (True, False))
         if not z or not x:
             return
-        _, ids = np.unique(np.concatenate([r[1] for r in x]), return_inverse=True)
-        names = np.unique(np.concatenate([r[1] for r in x]))
+        flat = np.concatenate([r[1] for r in x])
+        names, ids = np.unique(flat, return_inverse=True)
         starts = np.cumsum([0, *(len(r[1]) for r in x)])[:-1]
-        n, tags, far = (np.array([r[k] for r in x]) for k in (3, 0, 4))
+        n, far, home = (np.array([r[k] for r in x]) for k in (3, 4, 5))
+        tags = [r[0] for r in x]
         flag = np.zeros(len(names), np.int32)
-        parent = {t: t for t in [*(r[0] for r in z), *tags.tolist()]}
+        parent = {t: t for t in [*(r[0] for r in z), *tags]}
 
         def find(t):
             while parent[t] != t:
                 parent[t] = t = parent[parent[t]]
             return t
 
-        for tag, keys, _, size, d in z:
-            at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-            at = at[names[at] == keys]
+        for tag, keys, _, size, d, at_home in z:
+            may = np.abs(far - d) <= RADIUS
+            if not at_home:
+                may &= home
+            if not may.any():
+                continue
+            at = _within(names, keys)
             flag[at] = 1
             both = np.add.reduceat(flag[ids], starts)
             flag[at] = 0
-            for k in np.flatnonzero((np.abs(far - d) <= 0.25 + 1e-9) & (4 * both >= 3 * (size + n - both)) & (tags != tag)):
-                if (u := find(tag)) != (v := find(int(tags[k]))):
+            for k in np.flatnonzero(may & (4 * both >= 3 * (size + n - both))):
+                if (u := find(tag)) != (v := find(tags[k])):
                     parent[u] = v
-                    yield int(tag), int(tags[k]), int(both[k]), int(size + n[k] - both[k])
+                    yield tag, tags[k]
 
     def run(batches):
         rows, last = [], None
-        empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["a", "b", "both", "any"])
 
         def close():
             out = list(tile(rows))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["a", "b", "both", "any"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
-            for g, i, j, tag, keys, side, n, d in zip(*(b.column(c) for c in ("grp", "i", "j", "tag", "keys", "side", "n", "d")), strict=True):
+            for g, i, j, tag, keys, side, n, d, home in zip(*(b.column(c) for c in ("grp", "i", "j", "tag", "keys", "side", "n", "d", "home")), strict=True):
                 key = (g.as_py(), i.as_py(), j.as_py())
                 if rows and key != last:
                     yield close()
                     rows = []
-                rows.append((tag.as_py(), keys.values.to_numpy(), side.as_py(), n.as_py(), d.as_py()))
+                rows.append((tag.as_py(), keys.values.to_numpy(), side.as_py(), n.as_py(), d.as_py(), home.as_py()))
                 last = key
-            yield empty
         if rows:
             yield close()
 
-    return tiles.mapInArrow(run, "a long, b long, both long, any long")
-
+    return tiles.mapInArrow(run, "a binary, b binary")
 
-def jaccard_links(texts: DataFrame, parts: int) -> DataFrame:
-    """a, b: links between distinct sets (by tag) whose components are those of all links."""
-    sets = landed(shared_sets(texts, parts), "sets")
-    members = sets.select("tag", F.explode("prefix").alias("key"))
-    pivots = members.groupBy("key").agg(F.count("*").alias("size"), F.min("tag").alias("pivot")).where("size > 1")
-    stars = members.join(pivots, "key").where("tag <> pivot").selectExpr("pivot AS a", "tag AS b").distinct()
-    near = landed(_compared(landed(stars, "stars"), sets, parts).withColumn("linked", F.expr(LINKED)), "near")
-    # Two documents of a region share its pivot. Those within the radius are linked to it, and so to each
-    # other; the rest of the pivot's documents are open: they are compared with all of its documents.
-    groups = near.selectExpr("b AS tag", "a AS grp", "NOT linked AS open", "1 - both / cast(any AS double) AS d")
-    rest = _settled(groups, sets, parts)
-    return near.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
 
+def jaccard_links(texts: DataFrame, parts: int, common: np.ndarray, leaf: int = 400, pivots: int = 8, levels: int = 4) -> DataFrame:
+    """a, b: links between distinct sets (by tag) whose components are those of all links.
 
-def _rooted(rows: DataFrame, df: DataFrame, id_col: str, text_col: str, part_shingles: int, *aggs: Column) -> DataFrame:
+    A region is compared once it has at most leaf * leaf open pairs, and otherwise split
+    around `pivots` documents, up to `levels` times; what is then still larger (documents that
+    share a shingle, but are far from each other and from any pivot) is compared in tiles.
+    """
+    sets = landed(shared_sets(texts, parts, common), "sets")
+    members = sets.select("tag", F.explode("prefix").alias("key"), _salt("tag").alias("salt"))
+    first = salted(members, ["key"], "salt", {"size": (F.count("*"), F.sum("size")), "pivot": (F.min("tag"), F.min("pivot"))}).where("size > 1")
+    stars = landed(members.join(first, ["key", "salt"]).where("tag <> pivot").selectExpr("pivot AS grp", "tag AS b").distinct(), "stars")
+    heads = stars.select("grp").distinct().select("grp", F.lit(0).alias("p"), F.col("grp").alias("a"))
+    near = landed(_measured(_streams(stars, heads, sets, parts, 500)).select("grp", "b", F.expr("dists[0].both").alias("both"), F.expr("dists[0].any").alias("any")), "near")
+    links = [near.where(LINKED).select(F.col("grp").alias("a"), "b")]
+    groups = near.select(F.col("b").alias("tag"), "grp", F.lit(True).alias("home"), F.expr(f"NOT ({LINKED})").alias("open"), F.expr("1 - both / cast(any AS double)").alias("d"))
+    small = []
+    for level in range(levels + 1):
+        groups = landed(_pruned(groups), "groups")
+        large = F.col("m") * F.col("n_open") > leaf * leaf
+        if level == levels or groups.where(large).isEmpty():
+            small.append(groups)
+            break
+        small.append(groups.where(~large))
+        groups, more = _split(groups.where(large).select("tag", "grp"), sets, parts, pivots, level)
+        links.append(more)
+    rest = small[0]
+    for x in small[1:]:
+        rest = rest.unionByName(x)
+    links.append(_settled(rest, sets, parts))
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _rooted(rows: DataFrame, df: DataFrame, id_col: str, text_col: str, part_shingles: int, *aggs: Column, local_edges: int = 200_000, **split) -> DataFrame:
     """tag, root of its component, and aggs of its rows, for each distinct set of rows, the landed shingle_sets() of df."""
     total = rows.agg(F.sum("n")).first()[0] or 0
-    links = jaccard_links(_texts(df, id_col, text_col), max(8, -(-total // part_shingles)))
+    links = jaccard_links(_texts(df, id_col, text_col), max(8, -(-total // part_shingles)), frequent(rows), **split)
     classes = rows.where("n > 0").groupBy("tag").agg(*aggs)
-    roots = components(links)
+    roots = components(links, local_edges=local_edges)
     return classes.join(roots, F.col("tag") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tag")).drop("node")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000) -> DataFrame:
+def _back(rows: DataFrame, classes: DataFrame, value: str) -> DataFrame:
+    """rows with their class's value (null for rows without shingles): the classes meet their rows by tag and salt, so copies stay dealt out."""
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    held = rows.where("n > 0").select("tag", "_s").distinct().join(classes.select("tag", value), "tag")
+    return rows.join(held, ["tag", "_s"], "left").drop("_s")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000, **options) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: components of links of similarity 0.75 or more.
 
     Defined cases: a null, empty or blank text has no shingles and is its own component;
     fewer than five words are one shingle; equal sets are one document with many rows; a
     null id takes the smallest id of its component, and counts for none; a repeated id gets a
-    row each; an empty table gives no rows; other columns are ignored. Sets are named by 63
+    row each; an empty table gives no rows; other columns are ignored. Sets are named by 127
     bits of a digest and shingles by 64 bits.
     """
-    rows = landed(shingle_sets(df, id_col, text_col), "shingle-sets")
-    classes = _rooted(rows, df, id_col, text_col, part_shingles, F.min("doc_id").alias("first"))
+    rows = landed(shingle_sets(keyed(df), id_col, text_col, "_row"), "shingle-sets")
+    classes = _rooted(rows, df, id_col, text_col, part_shingles, F.min("doc_id").alias("first"), **options)
     least = classes.groupBy("root").agg(F.min("first").alias("component"))
-    named = classes.join(least, "root").select(F.col("tag").alias("_tag"), "component")
-    return rows.join(named, (F.col("tag") == F.col("_tag")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = _back(rows.select("doc_id", "n", "tag", "_row"), classes.join(least, "root"), "component")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000) -> DataFrame:
@@ -351,12 +495,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("one")
     classes = _rooted(rows, df, id_col, text_col, part_shingles, F.min("doc_id").alias("first"), one)
     kept = classes.groupBy("root").agg(F.coalesce(F.min_by("one", "first"), F.min("one")).alias("kept"))
-    named = classes.join(kept, "root").select("tag", "kept")
-    out = rows.where("n > 0").join(named, "tag").where("_row <> kept").select("_row")
-    return docs.join(out, "_row", "left_anti").select(*df.columns)
+    named = _back(rows.select("tag", "n", "_row"), classes.join(kept, "root"), "kept")
+    return docs.join(named.where("_row <> kept").select("_row"), "_row", "left_anti").select(*df.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: jaccard_components() of documents."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

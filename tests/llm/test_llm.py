@@ -153,8 +153,9 @@ def test_jaccard(spark):
                 old, new = root[i], root[j]
                 root = [new if r == old else r for r in root]
     want = sorted((str(d), len(s), min((e for (e, _), r in zip(sets, root, strict=True) if r == root[i] and e is not None), default=None)) for i, (d, s) in enumerate(sets))
-    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, rows), part_shingles=200).collect())
-    assert got == want
+    for options in ({}, {"leaf": 2, "pivots": 3}, {"leaf": 2, "pivots": 2, "levels": 1, "local_edges": 0}):
+        got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, rows), part_shingles=200, **options).collect())
+        assert got == want
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (41, 50)], "a long, b long")
     ways = [sorted(map(tuple, jaccard_join.components(links, local_edges=k).collect())) for k in (0, 1000)]
     assert ways[0] == ways[1]
