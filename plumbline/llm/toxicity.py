@@ -121,7 +121,7 @@ def token_labels(words: np.ndarray, n: np.ndarray, toxic: np.ndarray, table_: np
     forms = np.unique(doc.astype(np.int64) << 32 | words)
     d, w = forms >> 32, forms & 0xFFFFFFFF
     total = np.bincount((toxic[d] > 0).astype(int), minlength=2)
-    once = np.unique(np.stack([np.repeat(d, use.shape[1]) << BITS | use[w].ravel(), np.repeat(w, use.shape[1])], axis=1), axis=0)[:, 0]
+    once = np.unique((np.repeat(d, use.shape[1]) << BITS | use[w].ravel()) * len(table_) + np.repeat(w, use.shape[1])) // len(table_)
     pairs, many = np.unique(once, return_counts=True)
     kind, bad, many = pairs & ((1 << BITS) - 1), toxic[pairs >> BITS] > 0, np.minimum(many, most_forms).astype(float)
     c1, c0 = (np.bincount(kind[x], many[x], 1 << BITS) for x in (bad, ~bad))
