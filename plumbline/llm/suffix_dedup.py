@@ -1,14 +1,17 @@
 """Removal of repeated byte strings by suffix arrays over shards.
 
-A text's anchors (minimal hashes of 32-byte grams within each window of 100 bytes) route
-the work: equal windows have equal anchors at equal offsets, so a repeated window lies
-around anchors that occur more than once. The bytes around those, and no others,
-are dealt into shards by anchor; each shard has its suffix array.
+A text's anchors (least hashes of 32-byte grams within each window of 100 bytes) route the
+work: equal windows have equal anchors at equal offsets, so a repeated window belongs
+to an anchor that occurs more than once. The windows of those anchors are dealt into shards
+by anchor; each shard has its suffix array and common prefixes. An anchor with
+more windows than a shard takes is cut into many, and their sorted windows are merged by
+binary search.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,26 +19,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, landed, table
+from ._common import keyed, landed, salted, shared_dir, table
 from .units import chunks
 
 GRAM = 32
+#: An anchor with more occurrences than these, and than this share of all, is dealt into several shards from the start.
+HOT_ROWS, HOT_SHARE = 500, 1 / 2000
 
 
 # --- suffix arrays ----------------------------------------------------------------------
 
 
-def refined_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each position by its first `depth` bytes (zeros follow the end); equal strings have equal ranks.
-
-    Larsson and Sadakane's refinement: positions sorted by 8 bytes, then by pairs of
-    ranks of twice the depth; a position alone in its group is never sorted again.
-    """
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as one number, big-endian; zeros follow the end."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : n + k]
+    return key
+
+
+def refined_ranks(key: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of each position by its first `depth` bytes (zeros follow the end); equal strings have equal ranks. key: _words() of the bytes.
+
+    Larsson and Sadakane's refinement: positions sorted by 8 bytes, then by pairs of
+    ranks of twice the depth; a position alone in its group is never sorted again.
+    """
+    n = len(key)
 
     def numbered(order, new):
         """Ranks (first place of each group) of sorted positions, and which of them aren't alone."""
@@ -63,50 +74,70 @@ def refined_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     return rank[:n]
 
 
-def later_windows(parts: list[bytes], window: int, group: list[int]) -> list[np.ndarray]:
-    """For each part, in order: which starts of window bytes repeat one of an earlier part of its group, or an earlier start of it."""
+def suffixes(key: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the given starts (ascending) by `window` bytes, and the common prefix of each entry with the one before, `window` at most.
+
+    Kasai's algorithm, all runs of 64 starts side by side: the prefix that a start shares with
+    its predecessor is at most one byte shorter than that of the start before it, so
+    comparison goes on where that one ended.
+    """
+    rank = refined_ranks(key, window)[starts]
+    order = starts[np.argsort(rank, kind="stable")]
+    before = np.full(len(key) + 1, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    kind = np.zeros(len(key) + 1, bool)
+    kind[starts] = True
+    padded = np.concatenate([key, np.zeros(window + 8, np.uint64)])
+    common = np.zeros(len(key), np.int64)
+    head = np.append(True, np.diff(starts) != 1)[: len(starts)]
+    run = np.flatnonzero(head)
+    place = np.arange(len(starts)) - np.repeat(run, np.diff(np.append(run, len(starts))))
+    lanes = starts[place % 64 == 0]
+    ends = np.append(np.flatnonzero(place % 64 == 0)[1:], len(starts))
+    many = ends - np.flatnonzero(place % 64 == 0)
+    shared = np.zeros(len(lanes), np.int64)
+    for t in range(int(many.max(initial=0))):
+        on = np.flatnonzero(many > t)
+        i = lanes[on] + t
+        j = before[i]
+        if t:  # the lemma needs the predecessor's successor to be an entry, too
+            last = before[i - 1]
+            length = np.where((last >= 0) & kind[last + 1], np.maximum(shared[on] - 1, 0), 0)
+            # A prefix cut off at `window` tells nothing of what follows: either that byte is equal, too, or all is compared anew.
+            whole = np.flatnonzero((length == window - 1) & (shared[on] == window))
+            same = key[i[whole] + window - 1] >> np.uint64(56) == key[last[whole] + window] >> np.uint64(56)
+            length[whole] = np.where(same, window, 0)
+        else:
+            length = np.zeros(len(on), np.int64)
+        length[j < 0] = 0
+        todo = np.flatnonzero((j >= 0) & (length < window))
+        while len(todo):
+            x = padded[i[todo] + length[todo]] ^ padded[j[todo] + length[todo]]
+            same = (x[:, None] < _LEADING).sum(axis=1)
+            length[todo] += same
+            todo = todo[(same == 8) & (length[todo] < window)]
+        shared[on] = common[i] = np.minimum(length, window)
+    return order, common[order]
+
+
+#: A difference below the k-th of these leaves k + 1 leading bytes equal.
+_LEADING = np.array([1 << (56 - 8 * k) for k in range(8)], np.uint64)
+
+
+def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
+    """For each part, in order: which starts of `window` bytes repeat one of an earlier part, or an earlier start of it."""
     sizes = np.array([len(x) for x in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum(sizes)
     at = np.arange(len(data))
-    valid = at[at + window <= np.repeat(ends, sizes)]
-    rank = refined_ranks(data, window)[valid]
     later = np.zeros(len(data), bool)
-    later[valid] = True
-    rank += np.repeat(np.array(group, np.int64), sizes)[valid] * (len(data) + 1)
-    _, first = np.unique(rank, return_index=True)  # the first of equal ranks is the earliest start
-    later[valid[first]] = False
+    starts = at[at + window <= np.repeat(ends, sizes)]
+    if len(starts):
+        order, common = suffixes(_words(data), starts, window)
+        later[order[1:]] = common[1:] >= window  # of equal entries the first has the least position
     return np.split(later, ends[:-1])
 
 
-def _keys(part: bytes, window: int) -> np.ndarray:
-    if len(part) < window:
-        return np.zeros(0, f"V{window}")
-    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(part, np.uint8), window)
-    return np.ascontiguousarray(views).view(f"V{window}").ravel()
-
-
-class Shards:
-    """Windows of earlier shards of one anchor too large for one suffix array; later ones are found by binary search."""
-
-    def __init__(self, window: int):
-        self.window, self.runs = window, []
-
-    def seen(self, part: bytes) -> np.ndarray:
-        keys = _keys(part, self.window).view("u1").reshape(-1, self.window)
-        keys = np.array([x.tobytes() for x in keys], f"S{self.window + 1}") if len(keys) else np.zeros(0, f"S{self.window + 1}")
-        hit = np.zeros(len(part), bool)
-        for run in self.runs:
-            i = np.minimum(np.searchsorted(run, keys), len(run) - 1)
-            hit[: len(keys)] |= run[i] == keys
-        return hit
-
-    def add(self, parts: list[bytes], later: list[np.ndarray]) -> None:
-        fresh = [p[i : i + self.window] for p, x in zip(parts, later, strict=True) for i in np.flatnonzero(~x[: max(0, len(p) - self.window + 1)])]
-        if fresh:
-            self.runs.append(np.unique(np.array(fresh, f"S{self.window + 1}")))
-
-
 # --- anchors ----------------------------------------------------------------------------
 
 
@@ -120,14 +151,14 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x, np.append(x[rest:], x[len(x) - rest :])[: len(x)]) if rest else x
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of texts that lie end to end.
+def anchors(data: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of texts that lie end to end, and the first and last start of the windows that are theirs.
 
-    A gram is an anchor if its hash is the least of a whole window's grams; all that tie
-    are, so equal windows have equal anchors wherever they lie.
+    A gram is an anchor if its hash is the least of a whole window's grams. A window belongs
+    to the first of those, so equal windows have equal anchors at equal offsets.
     """
     if len(data) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, power, k = data.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
     while k < GRAM:
         with np.errstate(over="ignore"):
@@ -142,7 +173,25 @@ def anchors(data: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarra
     least[left < window] = 0
     held = _slide(least[::-1], window - GRAM + 1, np.maximum)[::-1]
     at = np.flatnonzero((held == h) & (left >= GRAM))
-    return at, h[at]
+    h, reach, ends = h[at], window - GRAM, np.cumsum(sizes)
+    text = np.searchsorted(ends, at, "right")
+    # An anchor's windows end before the next lesser one, and begin after the last one that isn't greater.
+    low, high = np.maximum(at - reach, (ends - sizes)[text]), np.minimum(at, ends[text] - window)
+    for step, beats in ((-1, np.less_equal), (1, np.less)):
+        todo, k = np.arange(len(at)), step
+        while len(todo):
+            todo = todo[(todo + k >= 0) & (todo + k < len(at))]
+            other = todo + k
+            near = np.abs(at[other] - at[todo]) <= reach
+            todo, other = todo[near], other[near]
+            hit = beats(h[other], h[todo])
+            if step < 0:
+                low[todo[hit]] = np.maximum(low[todo[hit]], at[other[hit]] + 1)
+            else:
+                high[todo[hit]] = np.minimum(high[todo[hit]], at[other[hit]] - reach - 1)
+            todo, k = todo[~hit], k + step
+    own = low <= high
+    return at[own], h[own], low[own], high[own]
 
 
 # --- jobs -------------------------------------------------------------------------------
@@ -158,134 +207,263 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], top[np.append(np.flatnonzero(first)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def _carried(batches: Iterator[pa.RecordBatch], limit: int, parts) -> Iterator[list[tuple]]:
-    """Rows (h, tag, start, bytes) sorted by h, as lists of whole anchors of about limit bytes; parts gets what is cut within one anchor."""
-    rows, size, own = [], 0, 0
-    for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("h", "tag", "start", "part")), strict=True):
-            if rows and r[0] != rows[-1][0]:
-                if size >= limit or parts:
-                    yield rows
-                    rows, size = [], 0
-                    parts.clear()
-                own = 0
-            elif own >= 4 * limit:  # one anchor with more than a suffix array takes
-                if not parts and rows[0][0] != rows[-1][0]:
-                    k = next(i for i, x in enumerate(rows) if x[0] == rows[-1][0])
-                    yield rows[:k]
-                    rows = rows[k:]
-                parts.append(True)
-                yield rows
-                rows, size, own = [], 0, 0
-            rows.append(r)
-            size += len(r[3])
-            own += len(r[3])
-    if rows:
-        yield rows
+def _found(docs: DataFrame, window: int) -> DataFrame:
+    """k, h, tag, pos, kind of the anchors of all texts; pos holds the place and how far its windows reach from there.
 
-
-def repeated_spans(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, suspects, spans): digests of all rows, texts with repeated anchors, and their repeated runs.
-
-    Of rows with equal texts only one is looked at further, under the smallest id; the
-    others repeat it whole. Texts come in the order of their ids, null ids last, and of
-    their digests where ids are equal or null; a text's tag names it. Anchors stream by hash through each task, in sorted order; a shard takes
-    whole anchors up to shard_bytes, and an anchor with more than four times as much is
-    cut into shards that binary search joins.
+    Of an anchor that two texts or places of one batch share, the rows are known to be shared
+    (kind 1) and go by a key of their own; one more row of it (kind 2) tells the others (kind 0). So
+    no key gets more than a few rows a batch, however many documents share an anchor.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = keyed(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "_row")
-    docs = docs.withColumn("digest", F.sha2("text", 256)).withColumn("tag", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("kind", pa.int8())])
 
     def scan(batches):
         for b in (c for b in batches for c in chunks(b, "text", 2 << 20)):
             raw = [x.encode() for x in b.column("text").to_pylist()]
             sizes = np.array([len(x) for x in raw], np.int64)
-            at, h = anchors(np.frombuffer(b"".join(raw), np.uint8), sizes, window)
+            at, h, low, high = anchors(np.frombuffer(b"".join(raw), np.uint8), sizes, window)
+            if not len(at):
+                continue
             ends = np.cumsum(sizes)
             d = np.searchsorted(ends, at, "right")
-            tags = b.column("tag").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tags[d]), pa.array((at - (ends - sizes)[d]).astype(np.int32))], ["h", "tag", "pos"])
+            tag, h = b.column("tag").to_numpy()[d], h.view(np.int64)
+            pos = (at - (ends - sizes)[d]) << 16 | (at - low) << 8 | (at - high)
+            order = np.lexsort((pos, tag, h))
+            h, tag, pos = h[order], tag[order], pos[order]
+            once = np.append(True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]))
+            h, tag, pos = h[once], tag[once], pos[once]
+            first = np.append(True, h[1:] != h[:-1])
+            size = np.diff(np.append(np.flatnonzero(first), len(h)))
+            known = np.repeat(size > 1, size)
+            told = np.flatnonzero(first & known)
+            key = np.where(known, (h ^ (tag * np.int64(0x9E3779B97F4A7C1 | 1)) ^ pos), h)
+            parts = [np.concatenate(x) for x in ((key, h[told]), (h, h[told]), (tag, tag[told]), (pos, pos[told]), (known.astype(np.int8), np.full(len(told), 2, np.int8)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], schema=schema)
+
+    return docs.select("text", "tag").mapInArrow(scan, "k long, h long, tag long, pos long, kind byte")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a stream sorted by k, kind, tag, pos: the known rows once each, and the others whose anchor another row has, too."""
+    kept: list[np.ndarray] = []
+
+    def settle(rows):
+        k, h, tag, pos, kind = rows
+        known = kind == 1
+        once = np.append(True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]) | (kind[1:] != kind[:-1]))
+        out = known & once
+        x = np.flatnonzero(~known & once)
+        if len(x):
+            first = np.flatnonzero(np.append(True, h[x][1:] != h[x][:-1]))
+            size = np.diff(np.append(first, len(x)))
+            told = np.maximum.reduceat(kind[x], first) == 2
+            out[x] = np.repeat((size > 1) | told, size) & (kind[x] == 0)
+        return pa.RecordBatch.from_arrays([pa.array(tag[out]), pa.array(pos[out]), pa.array(h[out])], ["tag", "pos", "h"])
 
-    found = docs.select("text", "tag").mapInArrow(scan, "h long, tag long, pos int")
+    for b in batches:
+        rows = [b.column(c).to_numpy() for c in ("k", "h", "tag", "pos", "kind")]
+        if kept:
+            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+        # What has the last key waits for the next batch.
+        cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        if cut:
+            yield settle([x[:cut] for x in rows])
+        kept = [x[cut:] for x in rows]
+    if kept and len(kept[0]):
+        yield settle(kept)
+
+
+def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df written to the shared folder in n buckets by key, and read back: a join on key needn't move it again."""
+    spark, name = df.sparkSession, f"plumbline_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).option("path", shared_dir(spark, "suspects")).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
+_PIECE = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("late", pa.int32()), ("id", pa.int64()), ("tag", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("part", pa.binary())])
 
-    def shared(batches):
-        """Of a sorted stream, the rows whose hash another (tag, pos) has too."""
-        last, told = None, True
-        for b in batches:
-            h, tag, pos = (b.column(c).to_numpy() for c in ("h", "tag", "pos"))
-            if last is not None:
-                h, tag, pos = (np.append(x, y) for x, y in zip(last, (h, tag, pos), strict=True))
-            same = (h[1:] == h[:-1]) & ((tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]))
-            copy = np.append(False, (h[1:] == h[:-1]) & (tag[1:] == tag[:-1]) & (pos[1:] == pos[:-1]))
-            # A run of equal hashes with any change in it is shared; copies in it are dropped.
-            run = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-            any_ = np.bincount(run, np.append(False, same), run[-1] + 1) > 0
-            if last is not None and told:
-                any_[0] = True
-            keep = any_[run] & ~copy
-            if last is not None and told:
-                keep[0] = False
-            # The last row waits for the next batch, unless its run is known to be shared.
-            end_known = bool(any_[-1])
-            if not end_known:
-                keep[-1] = False
-            told = end_known
-            last = (h[-1:], tag[-1:], pos[-1:])
-            yield pa.RecordBatch.from_arrays([pa.array(tag[keep]), pa.array(pos[keep]), pa.array(h[keep])], ["tag", "pos", "h"])
-
-    ties = found.repartition(n, "h").sortWithinPartitions("h", "tag", "pos").mapInArrow(shared, "tag long, pos int, h long")
-    by_text = ties.groupBy("tag").agg(F.collect_list(F.struct("pos", "h")).alias("anchors"))
-    firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.min("_row").alias("_row"))
-    chosen = firsts.join(by_text, "tag").select("digest", "_row", "tag", F.col("doc_id").isNull().cast("int").alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "anchors")
-    suspects = landed(docs.select("_row", "text", "digest").join(chosen, ["_row", "digest"]).drop("_row"), "suspects")
 
-    around = pa.schema([("h", pa.int64()), ("late", pa.int32()), ("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("part", pa.binary())])
+def _cut(window: int, hot: dict[int, int], most: int = 64 << 20):
+    """suspects -> pieces: the bytes of runs of windows of each shared anchor, and (part null) runs that repeat an earlier piece of this task.
 
-    def cut(batches):
+    hot: the number of shards of each frequent anchor.
+    """
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
+
+    def run(batches):
+        seen: dict[tuple, tuple] = {}
+        held = 0
         for b in batches:
-            for late, i, tag, text, own in zip(*(b.column(c) for c in ("late", "id", "tag", "text", "anchors")), strict=True):
+            out: list[tuple] = []
+            for late, i, tag, row, text, own in zip(*(b.column(c) for c in ("late", "id", "tag", "_row", "text", "anchors")), strict=True):
                 raw, own = text.as_py().encode(), own.values
-                pos, h = own.field("pos").to_numpy().astype(np.int64), own.field("h").to_numpy()
-                ok = pos + GRAM <= len(raw)
-                order = np.lexsort((pos[ok], h[ok]))
-                pos, h = pos[ok][order], h[ok][order]
-                a, e = np.maximum(pos - (window - GRAM), 0), np.minimum(pos + window, len(raw))
-                new = np.append(True, (h[1:] != h[:-1]) | (a[1:] > e[:-1]))[: len(h)]
+                pos, h = own.field("pos").to_numpy(), own.field("h").to_numpy()
+                a, e = (pos >> 16) - (pos >> 8 & 255), (pos >> 16) - (pos & 255) + window
+                order = np.lexsort((a, h))
+                h, a, e = h[order], a[order], e[order]
+                once = np.append(True, (h[1:] != h[:-1]) | (a[1:] != a[:-1]))[: len(h)]
+                h, a, e = h[once], a[once], e[once]
+                new = np.append(True, (h[1:] != h[:-1]) | (a[1:] != e[:-1] - window + 1))[: len(h)]
                 first = np.flatnonzero(new)
-                last = np.append(first[1:], len(h)) - 1
-                a, e, h = a[first], e[last], h[first]
-                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array([x.as_py()] * len(h), t) for x, t in ((late, pa.int32()), (i, pa.int64()), (tag, pa.int64()))), pa.array(a.astype(np.int32)), pa.array([raw[j:k] for j, k in zip(a.tolist(), e.tolist(), strict=True)], pa.binary())], schema=around)
-
-    parts = suspects.mapInArrow(cut, "h long, late int, id long, tag long, start int, part binary")
-
-    def shards(batches):
-        split: list = []
-        earlier = Shards(window)
-        for rows in _carried(batches, shard_bytes, split):
-            first: dict[tuple, int] = {}
-            keep, spans = [], []
+                h, a, e = h[first].tolist(), a[first].tolist(), e[np.append(first[1:], len(h)) - 1].tolist()
+                late, i, tag, row = late.as_py(), i.as_py(), tag.as_py(), row.as_py()
+                for k, j, m in zip(h, a, e, strict=True):
+                    piece, place = raw[j:m], (late, i, tag, j)
+                    last = seen.get((k, piece))
+                    if last is not None and last < place:
+                        out.append((tag ^ j, 0, late, i, tag, row, j, m, None))
+                        continue
+                    if last is None:
+                        held += len(piece) + 200
+                    seen[k, piece] = place
+                    n = hot.get(k, 1)
+                    out.append((k, (tag % n) if n > 1 else 0, late, i, tag, row, j, m, piece))
+                if len(out) >= 20_000:
+                    yield batch(out)
+                    out = []
+                if held > most:
+                    seen, held = {}, 0
+            if out:
+                yield batch(out)
+
+    return run
+
+
+_RUN = pa.schema([("cell", pa.int64()), ("tag", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("windows", pa.binary()), ("places", pa.binary())])
+#: Of a window that waits for other shards: 16 bytes of its hash; its text's order, and where it stands.
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8")])
+_PLACE = np.dtype([("late", "<i8"), ("id", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("row", "<i8")])
+
+
+def _shard(window: int, limit: int, hot: dict[int, int], cells: int):
+    """Pieces sorted by anchor, shard and order -> spans (tag, row, start, end), and for anchors of several shards the sorted runs of windows that are new to one."""
+
+    def run(batches):
+        rows: list[tuple] = []
+        size = own = 0
+        cut = False  # the last anchor of rows goes on, or began, in another shard
+
+        def close(more: bool):
+            split = {rows[0][0]} if cut and rows else set()
+            if rows and more:
+                split.add(rows[-1][0])
+            rows.sort(key=lambda r: (r[0], r[2:5], r[6]))  # shards of one anchor may have met again
+            whole = [r for r in rows if r[8] is None]
+            first, keep = {}, []
+            spans = [(r[4], r[5], r[6], r[7]) for r in whole]
             for r in rows:
-                if (r[0], r[3]) in first:  # equal bytes around the same anchor: all of it is a repeat
-                    if len(r[3]) >= window:
-                        spans.append((r[1], r[2], r[2] + len(r[3])))
+                if r[8] is None:
+                    continue
+                if (r[0], r[8]) in first:  # the bytes of an earlier piece: all of it is a repeat
+                    spans.append((r[4], r[5], r[6], r[7]))
                 else:
-                    first[r[0], r[3]] = len(keep)
+                    first[r[0], r[8]] = True
                     keep.append(r)
-            # A window is judged at its own anchor: there its text's parts don't overlap, and come in order.
-            number = {h: k for k, h in enumerate(dict.fromkeys(r[0] for r in keep))}
-            later = later_windows([r[3] for r in keep], window, [number[r[0]] for r in keep])
-            if split:
-                later = [x | earlier.seen(r[3]) for r, x in zip(keep, later, strict=True)]
-                earlier.add([r[3] for r in keep], later)
-            else:
-                earlier = Shards(window)
+            later = repeated_starts([r[8] for r in keep], window) if keep else []
+            fresh = []
             for r, x in zip(keep, later, strict=True):
-                if len(starts := np.flatnonzero(x)):
-                    spans += [(r[1], r[2] + int(i), r[2] + int(j)) for i, j in _union(np.stack([starts, starts + window], axis=1))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["tag", "start", "end"])
+                if len(at := np.flatnonzero(x)):
+                    spans += [(r[4], r[5], r[6] + int(i), r[6] + int(j)) for i, j in _union(np.stack([at, at + window], axis=1))]
+                if r[0] in hot or r[0] in split:
+                    fresh.append((r, np.flatnonzero(~x[: len(r[8]) - window + 1])))
+            out = [(-1, *s, None, None) for s in spans]
+            if fresh:
+                names = np.frombuffer(b"".join(hashlib.blake2b(r[8][i : i + window], digest_size=16).digest() for r, at in fresh for i in at.tolist()), _WINDOW)
+                places = np.array([(r[2], r[3], r[4], r[6] + i, r[5]) for r, at in fresh for i in at.tolist()], _PLACE)
+                cell = (names["a"] % np.uint64(cells)).astype(np.int64)
+                order = np.lexsort((names["b"], names["a"], cell))
+                names, places, cell = names[order], places[order], cell[order]
+                heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))[: len(cell)]
+                for i, j in zip(heads, np.append(heads[1:], len(cell)), strict=True):
+                    out.append((int(cell[i]), None, None, None, None, names[i:j].tobytes(), places[i:j].tobytes()))
+            if out:
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _RUN.types, strict=True)], schema=_RUN)
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in _PIECE.names), strict=True):
+                n = r[7] - r[6] if r[8] is not None else 100
+                if rows and (r[:2] != rows[-1][:2]):
+                    own = 0
+                    if size >= limit:
+                        if (batch := close(False)) is not None:
+                            yield batch
+                        rows, size, cut = [], 0, False
+                elif own >= limit:
+                    if (batch := close(True)) is not None:
+                        yield batch
+                    rows, size, own, cut = [], 0, 0, True
+                rows.append(r)
+                size, own = size + n, own + n
+        if rows and (batch := close(False)) is not None:
+            yield batch
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of windows by cell -> tag, row, first and last start of the windows that another shard has under an earlier place.
+
+    Each run is looked up by binary search in the windows of all runs of its cell.
+    """
 
-    spans = parts.repartition(n, "h").sortWithinPartitions("h", "late", "id", "tag", "start").mapInArrow(shards, "tag long, start int, end int")
+    def settle(runs):
+        names = np.concatenate([np.frombuffer(w, _WINDOW) for w, _ in runs])
+        places = np.concatenate([np.frombuffer(p, _PLACE) for _, p in runs])
+        every = np.unique(names["a"])
+        at = np.searchsorted(every, names["a"])
+        order = np.lexsort((places["start"], places["tag"], places["id"], places["late"], names["b"], at))
+        a, b = at[order], names["b"][order]
+        later = order[np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))]
+        x = places[later][np.lexsort((places["start"][later], places["tag"][later], places["row"][later]))]
+        first = np.flatnonzero(np.append(True, (x["row"][1:] != x["row"][:-1]) | (x["tag"][1:] != x["tag"][:-1]) | (x["start"][1:] != x["start"][:-1] + 1)))[: len(x)]
+        last = np.append(first[1:], len(x)) - 1
+        return x["tag"][first], x["row"][first], x["start"][first], x["start"][last[: len(first)]]
+
+    rows, last = [], None
+    for b in batches:
+        for cell, w, p in zip(*(b.column(c).to_pylist() for c in ("cell", "windows", "places")), strict=True):
+            if rows and cell != last:
+                yield settle(rows)
+                rows = []
+            rows.append((w, p))
+            last = cell
+    if rows:
+        yield settle(rows)
+
+
+def repeated_spans(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, suspects, spans): digests of all rows, texts with repeated anchors, and their repeated runs.
+
+    Of rows with equal texts only one is looked at further, under the smallest id; the
+    others repeat it whole. Texts come in the order of their ids, null ids last, and of
+    their digests where ids are equal or null. A shard takes whole anchors up to shard_bytes;
+    an anchor with more, or one that is frequent everywhere, is cut into several, whose windows are merged.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = keyed(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "_row")
+    docs = docs.withColumn("digest", F.sha2("text", 256)).withColumn("tag", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+    ties = _found(docs, window).repartition(n, "k").sortWithinPartitions("k", "h", "kind", "tag", "pos").mapInArrow(_shared, "tag long, pos long, h long")
+    by_text = ties.groupBy("tag").agg(F.collect_list(F.struct("pos", "h")).alias("anchors"))
+    firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.min("_row").alias("_row"))
+    chosen = firsts.join(by_text, "tag").select(F.col("digest").alias("_digest"), "_row", "tag", F.col("doc_id").isNull().cast("int").alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "anchors")
+    suspects = _bucketed(docs.select("_row", "text", "digest").join(chosen, "_row").where("digest = _digest").drop("_digest"), "_row", n)
+    counts = suspects.select(F.explode("anchors.h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    total = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    most = max(HOT_ROWS, total * HOT_SHARE)  # so there are at most 1 / HOT_SHARE frequent anchors
+    hot = {r["h"]: int(-(-r["n"] // most)) for r in counts.where(F.col("n") > most).collect()}
+    pieces = suspects.select("late", "id", "tag", "_row", "text", "anchors").mapInArrow(_cut(window, hot), "h long, salt int, late int, id long, tag long, row long, start long, end long, part binary")
+    dealt = pieces.repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "late", "id", "tag", "start")
+    runs = landed(dealt.mapInArrow(_shard(window, shard_bytes, hot, 16 * n), "cell long, tag long, row long, start long, end long, windows binary, places binary"), "spans")
+
+    def merged(batches):
+        for tag, row, start, last in _merged(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(row), pa.array(start), pa.array(last + window)], ["tag", "row", "start", "end"])
+
+    waiting = runs.where("cell >= 0").select("cell", "windows", "places").repartition(n, "cell").sortWithinPartitions("cell")
+    spans = runs.where("cell < 0").select("tag", "row", "start", "end").unionByName(waiting.mapInArrow(merged, "tag long, row long, start long, end long"))
     return docs, suspects, spans
 
 
@@ -301,14 +479,15 @@ def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
     document, judged alike; an empty table gives no rows; other columns are ignored.
     """
     docs, suspects, spans = repeated_spans(df, window, id_col, text_col)
-    by_text = spans.groupBy("tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    by_text = spans.groupBy("row").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans")).withColumnRenamed("row", "_row")
 
     def finish(batches):
         for b in batches:
             out = []
-            for digest, text, own in zip(*(b.column(c) for c in ("digest", "text", "spans")), strict=True):
+            for digest, tag, text, own in zip(*(b.column(c) for c in ("digest", "tag", "text", "spans")), strict=True):
                 raw, own = text.as_py().encode(), own.values
-                runs = _union(np.stack([own.field("start").to_numpy().astype(np.int64), own.field("end").to_numpy().astype(np.int64)], axis=1))
+                rows = np.stack([own.field("start").to_numpy(), own.field("end").to_numpy()], axis=1)
+                runs = _union(rows[own.field("tag").to_numpy() == tag.as_py()])
                 kept, at = hashlib.sha256(), 0
                 for i, j in runs.tolist():
                     kept.update(raw[at:i])
@@ -317,12 +496,12 @@ def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
                 out.append((digest.as_py(), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["digest", "n_removed", "n_spans", "kept_sha256"])
 
-    cut = suspects.select("tag", "digest", "text").join(by_text, "tag").mapInArrow(finish, "digest string, n_removed long, n_spans long, kept_sha256 string")
-    rows = docs.select("doc_id", "digest", "_row", F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("_row").alias("first_row")).join(cut, "digest", "left")
+    cut = suspects.select("_row", "tag", "digest", "text").join(by_text, "_row").mapInArrow(finish, "digest string, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select("doc_id", "digest", "_row", F.octet_length("text").cast("long").alias("n_bytes"), F.pmod("_row", F.lit(32)).alias("salt"))
+    firsts = salted(rows, ["digest"], "salt", {"first_id": (F.min("doc_id"), F.min("first_id")), "first_row": (F.min("_row"), F.min("first_row"))}).join(cut, "digest", "left")
     first = F.when(F.col("first_id").isNull(), F.col("_row") == F.col("first_row")).otherwise(F.col("doc_id").eqNullSafe(F.col("first_id")))
     copy = (F.col("n_bytes") >= window) & ~first
-    return rows.join(firsts, "digest").select(
+    return rows.join(firsts, ["digest", "salt"]).select(
         "doc_id", "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
@@ -331,4 +510,5 @@ def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: remove_repeats() of documents."""
     return remove_repeats(table(spark, sf_dir, "documents"))
