@@ -25,6 +25,13 @@ class Config:
     strip_ratio: float = 0.5
     roi_min_points: int = 100
     seed: int = 42
+    max_points: int = 5_000_000
+    chunk_size: int = 1_000_000
+    sweep_points: int = 500_000
+    roi_points: int = 500_000
+    surface_points: int = 500_000
+    surface_resolution: int = 200
+    z_exaggeration: float = 1.0
     width_sweep: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0, 5.0, 7.0, 10.0)
     tolerance_sweep: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)
     percentile_sweep: tuple[float, ...] = (10.0, 20.0, 25.0, 30.0, 40.0, 50.0, 75.0)

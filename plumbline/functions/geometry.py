@@ -4,9 +4,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def color_distance(r: str, g: str, b: str) -> Column:
-    """Euclidean distance of (r, g, b) to the means (mr, mg, mb) of the same row."""
-    return F.sqrt(sum((F.pow(F.col(c) - F.col(m), 2) for c, m in ((r, "mr"), (g, "mg"), (b, "mb"))), F.lit(0.0)))
+def distance(*axes: tuple[str, float]) -> Column:
+    """Euclidean distance of columns to given values."""
+    return F.sqrt(sum((F.pow(F.col(c) - F.lit(m), 2) for c, m in axes), F.lit(0.0)))
 
 
 def tilt_degrees() -> Column:

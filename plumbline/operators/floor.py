@@ -4,40 +4,53 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.geometry import color_distance
+from ..functions.geometry import distance
 from .histogram import floor_peak
+from .select import quantiles, sample_exact
 
 
-def _stats(on: str, percentiles: list[float]):
-    """Aggregates of the points for which `on` holds: percentiles, colour means and spread."""
+def _given(points: DataFrame, intensity: bool | None, color: bool | None) -> tuple[bool, bool]:
+    """Which filters there are columns for, unless the caller says so."""
+    return "intensity" in points.columns if intensity is None else intensity, {"r", "g", "b"} <= set(points.columns) if color is None else color
+
+
+def _spread(on: str) -> list[Column]:
+    """Aggregates of the points for which `on` holds: colour means and spread."""
     of = lambda c: F.when(F.expr(on), F.col(c))
-    return [
-        F.percentile(of("intensity"), F.array(*[F.lit(p / 100) for p in percentiles])).alias("thresholds"),
-        *(F.avg(of(c)).alias(f"m{c}") for c in "rgb"),
-        ((F.stddev_pop(of("r")) + F.stddev_pop(of("g")) + F.stddev_pop(of("b"))) / 3).alias("spread"),
-    ]
+    return [*(F.avg(of(c)).alias(f"m{c}") for c in "rgb"), ((F.stddev_pop(of("r")) + F.stddev_pop(of("g")) + F.stddev_pop(of("b"))) / 3).alias("spread")]
+
 
+def refine_stats(points: DataFrame, peak: DataFrame, cfg: Config = Config(), intensity: bool | None = None, color: bool | None = None) -> DataFrame:
+    """One row, computed now: threshold, mr, mg, mb, spread over the peak's Z band; nulls where a column is absent."""
+    intensity, color = _given(points, intensity, color)
+    low, high = peak.select("z_min", "z_max").first()
+    band = points.where(F.col("z").between(low, high))
+    threshold = quantiles(band, "intensity", [cfg.intensity_percentile / 100])[0][0] if intensity else None
+    means = band.agg(*_spread("true")).first() if color else [None] * 4
+    return points.sparkSession.range(0, 1, 1, 1).select(*(F.lit(v).cast("double").alias(n) for v, n in zip((threshold, *means), ("threshold", "mr", "mg", "mb", "spread"), strict=True)))
 
-def refine_stats(points: DataFrame, peak: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row: thresholds [one], mr, mg, mb, spread over the peak's Z band."""
-    return points.crossJoin(F.broadcast(peak.select("z_min", "z_max"))).agg(*_stats("z BETWEEN z_min AND z_max", [cfg.intensity_percentile]))
 
+def with_floor(points: DataFrame, cfg: Config = Config(), intensity: bool | None = None, color: bool | None = None, peak: DataFrame | None = None) -> DataFrame:
+    """points with in_band and is_floor. A point in the band is floor if either active filter passes it, or none is active.
 
-def with_floor(points: DataFrame, cfg: Config = Config(), intensity: bool = True, color: bool = True, peak: DataFrame | None = None) -> DataFrame:
-    """points with in_band and is_floor. A point in the band is floor if either active filter passes it, or none is active."""
-    peak = floor_peak(points, cfg) if peak is None else peak
-    rows = points.crossJoin(F.broadcast(peak.select("z_min", "z_max"))).crossJoin(F.broadcast(refine_stats(points, peak, cfg)))
-    gate = F.coalesce(F.col("spread") > cfg.color_std_threshold, F.lit(False)) if color else F.lit(False)
-    passed = [F.col("intensity") >= F.col("thresholds")[0]] * intensity + [gate & (color_distance("r", "g", "b") <= cfg.color_tolerance)] * color
-    ok = ~gate if not intensity else F.lit(False)
+    intensity, color: whether to use those columns; by default if they are there. The peak and the
+    band's statistics are computed now, once; the rows stay lazy.
+    """
+    intensity, color = _given(points, intensity, color)
+    low, high = (floor_peak(points, cfg) if peak is None else peak).select("z_min", "z_max").first()
+    limit, mr, mg, mb, spread = refine_stats(points, points.sparkSession.range(0, 1, 1, 1).select(F.lit(low).alias("z_min"), F.lit(high).alias("z_max")), cfg, intensity, color).first()
+    passed = [F.col("intensity") >= F.lit(limit).cast("double")] if intensity else []
+    if color and spread is not None and spread > cfg.color_std_threshold:
+        passed.append(distance(("r", mr), ("g", mg), ("b", mb)) <= cfg.color_tolerance)
+    ok = F.lit(not passed)
     for x in passed:
         ok = ok | x
-    band = F.col("z").between(F.col("z_min"), F.col("z_max"))
-    return rows.select(points["*"], band.alias("in_band"), (band & F.coalesce(ok, F.lit(False))).alias("is_floor"))
+    band = F.col("z").between(low, high)
+    return points.select("*", band.alias("in_band"), (band & F.coalesce(ok, F.lit(False))).alias("is_floor"))
 
 
 def stage_counts(points: DataFrame, cfg: Config = Config(), **kwargs) -> DataFrame:
@@ -45,29 +58,39 @@ def stage_counts(points: DataFrame, cfg: Config = Config(), **kwargs) -> DataFra
     return with_floor(points, cfg, **kwargs).agg(F.count("*").alias("total"), F.count_if("in_band").alias("after_z_filter"), F.count_if("is_floor").alias("after_refinement"))
 
 
-def sensitivity(points: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """param, value, is_current, floor_ratio of all sweeps: two passes over the points, whatever the number of values.
+PARAMS = ("width_multiplier", "color_tolerance", "intensity_percentile")
+
+
+def sensitivity(points: DataFrame, cfg: Config = Config(), params: tuple[str, ...] = PARAMS, max_points: int | None = None) -> DataFrame:
+    """param, value, is_current, floor_ratio of the sweeps of `params`, of all points or a seeded sample of max_points.
 
-    The first pass takes the statistics of each distinct band, the second counts
-    every combination; nothing is multiplied out.
+    The statistics of each distinct band are computed now; one pass then counts every
+    combination, whatever their number; nothing is multiplied out.
     """
-    peak = floor_peak(points, replace(cfg, width_multiplier=1.0))  # z_max - peak_z is half a width
-    bands = sorted({cfg.width_multiplier, *cfg.width_sweep})
-    on = {m: f"z BETWEEN peak_z - h * {m!r}D AND peak_z + h * {m!r}D" for m in bands}
-    one = F.broadcast(peak.selectExpr("peak_z", "z_max - peak_z AS h", "is_fallback OR is_tilt_limited AS fixed", "z_min AS lo", "z_max AS hi"))
-    on = {m: f"IF(fixed, z BETWEEN lo AND hi, {x})" for m, x in on.items()}
-    ps = sorted({cfg.intensity_percentile, *cfg.percentile_sweep})
-    rows = points.crossJoin(one)
-    stats = rows.agg(*(a.alias(f"{name}_{k}") for k, m in enumerate(bands) for a, name in zip(_stats(on[m], ps), ("t", "mr", "mg", "mb", "s"), strict=True)))
-    runs = [("width_multiplier", m, m, cfg.color_tolerance, cfg.intensity_percentile) for m in cfg.width_sweep]
-    runs += [("color_tolerance", t, cfg.width_multiplier, t, cfg.intensity_percentile) for t in cfg.tolerance_sweep]
-    runs += [("intensity_percentile", p, cfg.width_multiplier, cfg.color_tolerance, p) for p in cfg.percentile_sweep]
+    if max_points is not None:
+        points = sample_exact(points, max_points, cfg.seed)
+    peak = floor_peak(points, replace(cfg, width_multiplier=1.0)).first()  # z_max - peak_z is half a width
+    half = peak["z_max"] - peak["peak_z"]
+    ends = lambda m: (peak["z_min"], peak["z_max"]) if peak["is_fallback"] or peak["is_tilt_limited"] or cfg.band_width is not None else (peak["peak_z"] - half * m, peak["peak_z"] + half * m)
+    values = {"width_multiplier": cfg.width_sweep, "color_tolerance": cfg.tolerance_sweep, "intensity_percentile": cfg.percentile_sweep}
+    current = {p: getattr(cfg, p) for p in PARAMS}
+    runs = [(p, v, *({**current, p: v}[q] for q in PARAMS)) for p in params for v in values[p]]
+    bands = sorted({m for _, _, m, _, _ in runs})
+    on = [f"z BETWEEN {a!r}D AND {b!r}D" for a, b in map(ends, bands)]
+    ps = sorted({p for *_, p in runs})
+    thresholds = quantiles(points, "intensity", [p / 100 for p in ps], on)
+    stats = points.agg(*(a.alias(f"s{k}_{i}") for k, x in enumerate(on) for i, a in enumerate(_spread(x)))).first()
     counts = []
     for k, (_, _, m, t, p) in enumerate(runs):
         b = bands.index(m)
-        dist = f"sqrt(pow(r - mr_{b}, 2) + pow(g - mg_{b}, 2) + pow(b - mb_{b}, 2))"
-        counts.append(F.expr(f"count_if({on[m]} AND (intensity >= t_{b}[{ps.index(p)}] OR (s_{b} > {cfg.color_std_threshold!r}D AND {dist} <= {t!r}D)))").alias(f"c{k}"))
-    done = rows.crossJoin(F.broadcast(stats)).agg(F.count("*").alias("total"), *counts)
-    current = {"width_multiplier": cfg.width_multiplier, "color_tolerance": cfg.color_tolerance, "intensity_percentile": cfg.intensity_percentile}
+        limit, (mr, mg, mb, spread) = thresholds[b][ps.index(p)], stats[4 * b : 4 * b + 4]
+        ok = [F.col("intensity") >= limit] if limit is not None else []
+        if spread is not None and spread > cfg.color_std_threshold:
+            ok.append(distance(("r", mr), ("g", mg), ("b", mb)) <= t)
+        near = F.lit(False)
+        for x in ok:
+            near = near | x
+        counts.append(F.count_if(F.expr(on[b]) & near).alias(f"c{k}"))
+    done = points.agg(F.count("*").alias("total"), *counts)
     out = ", ".join(f"named_struct('param', '{p}', 'value', {v!r}D, 'is_current', {str(v == current[p]).lower()}, 'floor_ratio', coalesce(try_divide(c{k}, total), 0D))" for k, (p, v, *_) in enumerate(runs))
     return done.select(F.inline(F.expr(f"array({out})")))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import tilt_degrees
+from .select import fixed
 
 
 def geometry(df: DataFrame, target: int) -> DataFrame:
-    """One row: x_min, y_min, cell, nx, ny of square cells, `target` of them along the longer side."""
+    """One row, computed now: x_min, y_min, cell, nx, ny of square cells, `target` of them along the longer side."""
     e = df.agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
     e = e.withColumn("longest", F.expr("greatest(x_max - x_min, y_max - y_min)")).withColumn("cell", F.expr(f"IF(longest > 0, longest / {float(target)}D, 1D)"))
     side = "coalesce(greatest(cast(ceil(({0}_max + cell - {0}_min) / cell) AS bigint) - 1, 1L), 1L) AS n{0}"
-    return e.selectExpr("x_min", "y_min", "coalesce(cell, 1D) AS cell", side.format("x"), side.format("y"))
+    return fixed(e.selectExpr("x_min", "y_min", "coalesce(cell, 1D) AS cell", side.format("x"), side.format("y")))
 
 
 def with_cell(df: DataFrame, geo: DataFrame) -> DataFrame:
@@ -22,17 +23,17 @@ def with_cell(df: DataFrame, geo: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(geo)).withColumn("ix", F.expr(at.format("x"))).withColumn("iy", F.expr(at.format("y")))
 
 
-def cell_covariance(df: DataFrame, target: int) -> DataFrame:
+def cell_covariance(df: DataFrame, target: int, geo: DataFrame | None = None) -> DataFrame:
     """ix, iy, n and the covariances of x, y, z of each cell with points."""
-    return with_cell(df, geometry(df, target)).groupBy("ix", "iy").agg(
+    return with_cell(df, geometry(df, target) if geo is None else geo).groupBy("ix", "iy").agg(
         F.count("*").alias("n"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.var_pop("z").alias("zz"),
         F.covar_pop("x", "y").alias("xy"), F.covar_pop("x", "z").alias("xz"), F.covar_pop("y", "z").alias("yz"),
     )
 
 
-def flatness_cells(df: DataFrame, target: int, min_points: int = 3) -> DataFrame:
+def flatness_cells(df: DataFrame, target: int, min_points: int = 3, geo: DataFrame | None = None) -> DataFrame:
     """ix, iy, n, tilt (degrees) of each cell with enough points."""
-    return cell_covariance(df, target).where(F.col("n") >= min_points).select("ix", "iy", "n", tilt_degrees().alias("tilt"))
+    return cell_covariance(df, target, geo).where(F.col("n") >= min_points).select("ix", "iy", "n", tilt_degrees().alias("tilt"))
 
 
 def dense(cells: DataFrame, geo: DataFrame) -> DataFrame:
@@ -43,21 +44,28 @@ def dense(cells: DataFrame, geo: DataFrame) -> DataFrame:
 
 def flatness_summary(df: DataFrame, target: int, min_points: int = 3) -> DataFrame:
     """One row: mean_tilt, max_tilt, valid_cells, total_cells, cell_size."""
-    cells = flatness_cells(df, target, min_points).agg(F.avg("tilt").alias("mean_tilt"), F.max("tilt").alias("max_tilt"), F.count("tilt").alias("valid_cells"))
-    return cells.crossJoin(F.broadcast(geometry(df, target))).selectExpr("mean_tilt", "max_tilt", "valid_cells", "nx * ny AS total_cells", "cell AS cell_size")
+    geo = geometry(df, target)
+    cells = flatness_cells(df, target, min_points, geo).agg(F.avg("tilt").alias("mean_tilt"), F.max("tilt").alias("max_tilt"), F.count("tilt").alias("valid_cells"))
+    return cells.crossJoin(F.broadcast(geo)).selectExpr("mean_tilt", "max_tilt", "valid_cells", "nx * ny AS total_cells", "cell AS cell_size")
 
 
 def plane(df: DataFrame) -> DataFrame:
-    """One row a, b, c of the least-squares plane z = ax + by + c.
+    """One row a, b, c, computed now, of the least-squares plane z = ax + by + c.
 
-    Centred normal equations. If x and y don't span a plane, the axis that varies is
-    fitted alone and the other slope is 0.
+    Centred normal equations. Points on a line or in one place leave planes to choose from: of those,
+    the one with the least a * a + b * b + c * c.
     """
     s = df.agg(F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"), F.covar_pop("x", "z").alias("xz"), F.covar_pop("y", "z").alias("yz"), *(F.avg(c).alias(f"m{c}") for c in "xyz"))
     s = s.withColumn("det", F.expr("xx * yy - xy * xy")).withColumn("flat", F.expr("det <= 1e-12 * xx * yy OR xx = 0 OR yy = 0"))
-    s = s.withColumn("a", F.expr("CASE WHEN NOT flat THEN try_divide(xz * yy - yz * xy, det) WHEN xx >= yy THEN coalesce(try_divide(xz, xx), 0D) ELSE 0D END"))
-    s = s.withColumn("b", F.expr("CASE WHEN NOT flat THEN try_divide(yz * xx - xz * xy, det) WHEN xx >= yy THEN 0D ELSE coalesce(try_divide(yz, yy), 0D) END"))
-    return s.selectExpr("a", "b", "mz - a * mx - b * my AS c")
+    # On a line: (u, v) is its direction, g the slope along it. Any plane with that slope fits; t turns it about the line.
+    s = s.withColumn("len", F.expr("sqrt(xx + yy)"))
+    s = s.withColumn("u", F.expr("coalesce(try_divide(sqrt(xx), len), 0D)")).withColumn("v", F.expr("coalesce(try_divide(sqrt(yy), len), 0D) * IF(xy < 0, -1, 1)"))
+    s = s.withColumn("g", F.expr("coalesce(try_divide(xz * u + yz * v, xx + yy), 0D)"))
+    s = s.withColumn("c0", F.expr("mz - g * (u * mx + v * my)")).withColumn("w", F.expr("u * my - v * mx")).withColumn("t", F.expr("c0 * w / (1 + w * w)"))
+    s = s.withColumn("one", F.expr("mz / (1 + mx * mx + my * my)"))
+    s = s.withColumn("a", F.expr("CASE WHEN NOT flat THEN try_divide(xz * yy - yz * xy, det) WHEN len > 0 THEN g * u - t * v ELSE one * mx END"))
+    s = s.withColumn("b", F.expr("CASE WHEN NOT flat THEN try_divide(yz * xx - xz * xy, det) WHEN len > 0 THEN g * v + t * u ELSE one * my END"))
+    return fixed(s.selectExpr("a", "b", "mz - a * mx - b * my AS c"))
 
 
 def detrended(df: DataFrame, fit: DataFrame | None = None) -> DataFrame:
@@ -71,11 +79,14 @@ def height_cells(df: DataFrame, target: int = 100, min_points: int = 3) -> DataF
     return cells.where(F.col("n") >= min_points)
 
 
-def height_profile(df: DataFrame, target: int = 100, strip_ratio: float = 0.5, min_points: int = 3) -> DataFrame:
-    """bin, x_center, z_mean: mean residuals along x in the central strip of y; bins are as wide as the height grid's cells."""
-    span = df.agg(F.min("y").alias("y0"), F.max("y").alias("y1")).crossJoin(F.broadcast(geometry(df, target).select("cell")))
-    strip = detrended(df).crossJoin(F.broadcast(span)).where(f"y BETWEEN (y0 + y1) / 2 - (y1 - y0) * {strip_ratio!r}D / 2 AND (y0 + y1) / 2 + (y1 - y0) * {strip_ratio!r}D / 2").select("x", "residual", "cell")
-    ends = strip.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("cell").alias("w")).withColumn("nb", F.expr("greatest(cast(ceil((x1 + w - x0) / w) AS bigint) - 1, 1L)"))
+def height_profile(df: DataFrame, target: int = 100, strip_ratio: float = 0.5, min_points: int = 3, cell: float | None = None) -> DataFrame:
+    """bin, x_center, z_mean: mean residuals along x in the central strip of y; bins are as wide as the height grid's cells unless cell says so."""
+    low, high = df.agg(F.min("y"), F.max("y")).first()
+    if low is None:
+        return df.sparkSession.range(0).selectExpr("id AS bin", "0D AS x_center", "0D AS z_mean")
+    w = geometry(df, target).first()["cell"] if cell is None else cell
+    strip = detrended(df).where(F.expr(f"y BETWEEN ({low!r}D + {high!r}D) / 2 - ({high!r}D - {low!r}D) * {strip_ratio!r}D / 2 AND ({low!r}D + {high!r}D) / 2 + ({high!r}D - {low!r}D) * {strip_ratio!r}D / 2")).select("x", "residual")
+    ends = fixed(strip.agg(F.min("x").alias("x0"), F.max("x").alias("x1")).selectExpr("x0", f"{w!r}D AS w", f"greatest(cast(ceil((x1 + {w!r}D - x0) / {w!r}D) AS bigint) - 1, 1L) AS nb"))
     bins = strip.crossJoin(F.broadcast(ends)).withColumn("bin", F.expr("greatest(least(cast(floor((x - x0) / w) AS bigint), nb - 1), 0L)"))
     out = bins.groupBy("bin").agg(F.count("*").alias("n"), F.avg("residual").alias("z_mean"), F.first("x0").alias("x0"), F.first("w").alias("w"))
     return out.where(F.col("n") >= min_points).selectExpr("bin", "x0 + (bin + 0.5D) * w AS x_center", "z_mean")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .select import fixed
 
 
 def extent(df: DataFrame, col: str) -> DataFrame:
@@ -22,7 +23,7 @@ def bin_index(col: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, col: str, bins: int, span: DataFrame | None = None) -> DataFrame:
     """bin, lo, hi, n: equal bins over the extent (or a one-row span of lo, hi), empty ones too."""
-    one = F.broadcast((extent(df, col) if span is None else span).select("lo", "hi"))
+    one = F.broadcast((fixed(extent(df, col)) if span is None else span).select("lo", "hi"))
     counts = df.where(F.col(col).isNotNull()).select(col).crossJoin(one).where(F.col(col).between(F.col("lo"), F.col("hi"))).groupBy(bin_index(F.col(col), bins).alias("bin")).agg(F.count("*").alias("n"))
     every = one.where("lo IS NOT NULL").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<long>")))
     width = f"((hi - lo) / {float(bins)}D)"
@@ -73,12 +74,13 @@ def peak_candidates(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def floor_peak(df: DataFrame, cfg: Config = Config(), col: str = "z") -> DataFrame:
-    """One row: peak_z, z_min, z_max, fwhm, is_fallback, is_tilt_limited; zeros for no points."""
-    hist = histogram(df, col, cfg.num_bins)
+    """One row: peak_z, z_min, z_max, fwhm, is_fallback, is_tilt_limited; zeros for no points. Two scans: extent and histogram."""
+    span = fixed(extent(df, col))
+    hist = histogram(df, col, cfg.num_bins, span)
     one = hist.agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("top"), F.min(F.when(F.col("n") > 0, F.col("lo"))).alias("first"))
     ok = f"filter(p, x -> x.prominence >= {cfg.prominence_ratio!r}D * top AND x.width >= {float(cfg.min_peak_width)!r}D)"
     one = one.withColumn("p", _peaks(F.expr("transform(h, x -> x.n)"))).withColumn("best", F.expr(f"array_max(transform({ok}, x -> struct(x.n AS n, -x.bin AS bin, x.width AS width)))"))
-    one = one.withColumn("w", F.expr(f"(hi - lo) / {float(cfg.num_bins)}D")).withColumn("fwhm", F.expr("best.width * w")).crossJoin(F.broadcast(extent(df, col).select("mn", "mx")))
+    one = one.withColumn("w", F.expr(f"(hi - lo) / {float(cfg.num_bins)}D")).withColumn("fwhm", F.expr("best.width * w")).crossJoin(F.broadcast(span.select("mn", "mx")))
     tilt = f"fwhm > {cfg.tilt_fwhm_threshold!r}D"
     half = f"{cfg.band_width!r}D" if cfg.band_width is not None else f"fwhm * IF({tilt}, {cfg.tilt_width_multiplier!r}D, {cfg.width_multiplier!r}D) / 2"
     top = f"(mn + (mx - mn) * {cfg.fallback_z_ratio!r}D)"

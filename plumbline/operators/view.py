@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .select import quantiles, sample_exact
 
 
 def roi(df: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
@@ -24,10 +25,9 @@ def require_points(df: DataFrame, least: int = 100) -> DataFrame:
     return df
 
 
-def sample_exact(df: DataFrame, k: int, seed: int = 42, key: str = "vertex_idx") -> DataFrame:
-    """Exactly k rows (all, if there are fewer), without replacement, the same for a seed."""
-    rank = F.expr(f"pmod({key} * 1664525 + 1013904223 + {seed}, 4294967296)")
-    return df.withColumn("_rank", rank).orderBy("_rank", key).limit(k).drop("_rank")
+def capped(df: DataFrame, most: int, cfg: Config = Config(), key: str = "vertex_idx") -> DataFrame:
+    """df, or a seeded sample of `most` of its rows: the caps of loading, displays, surfaces and sweeps (Config.max_points and so on)."""
+    return sample_exact(df, most, cfg.seed, key)
 
 
 def rgba(df: DataFrame) -> DataFrame:
@@ -45,7 +45,23 @@ def roi_rectangle(df: DataFrame, x: tuple[float, float], y: tuple[float, float])
     """corner, x, y, z: the rectangle's corners at the median height."""
     pts = [(min(x), min(y)), (max(x), min(y)), (max(x), max(y)), (min(x), max(y))]
     rows = ", ".join(f"named_struct('corner', {k}, 'x', {float(a)!r}D, 'y', {float(b)!r}D, 'z', z)" for k, (a, b) in enumerate(pts))
-    return df.agg(F.percentile("z", 0.5).alias("z")).select(F.inline(F.expr(f"array({rows})")))
+    one = df.sparkSession.range(0, 1, 1, 1).select(F.lit(quantiles(df, "z", [0.5])[0][0]).cast("double").alias("z"))
+    return one.select(F.inline(F.expr(f"array({rows})")))
+
+
+def roi_segments(df: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
+    """segment, x0, y0, x1, y1, z: the rectangle's four sides, each from a corner to the next."""
+    c = roi_rectangle(df, x, y)
+    ends = c.selectExpr("(corner + 3) % 4 AS corner", "x AS x1", "y AS y1")
+    return c.join(F.broadcast(ends), "corner").selectExpr("corner AS segment", "x AS x0", "y AS y0", "x1", "y1", "z")
+
+
+def roi_context(df: DataFrame, x: tuple[float, float], y: tuple[float, float], cfg: Config = Config()) -> DataFrame:
+    """A seeded sample of df (Config.roi_points at most) with inside, and shade: z between its least (0) and greatest (1)."""
+    low, high = df.agg(F.min("z"), F.max("z")).first()
+    inside = F.col("x").between(min(x), max(x)) & F.col("y").between(min(y), max(y))
+    shade = F.coalesce(F.try_divide(F.col("z") - F.lit(low), F.lit(high) - F.lit(low)), F.lit(0.0))
+    return capped(df, cfg.roi_points, cfg).withColumns({"inside": inside, "shade": shade})
 
 
 def roi_box(df: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
@@ -59,28 +75,62 @@ def exaggerated(df: DataFrame, factor: float) -> DataFrame:
     """z stretched about its mean; as it is at factor 1."""
     if factor == 1.0:
         return df
-    return df.crossJoin(F.broadcast(df.agg(F.avg("z").alias("_m")))).withColumn("z", F.expr(f"_m + (z - _m) * {factor!r}D")).drop("_m")
+    m = df.agg(F.avg("z")).first()[0]
+    return df if m is None else df.withColumn("z", F.expr(f"{m!r}D + (z - {m!r}D) * {factor!r}D"))
 
 
-def lattice(df: DataFrame, resolution: float) -> DataFrame:
-    """ix, iy, x, y: a regular lattice over the extent, at least two nodes a side."""
-    e = df.agg(*(f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, 0), (F.max, 1))))
-    e = e.withColumn("nx", F.expr(f"greatest(cast((x1 - x0) / {resolution!r}D AS bigint), 2L)")).withColumn("ny", F.expr(f"greatest(cast((y1 - y0) / {resolution!r}D AS bigint), 2L)"))
-    e = e.withColumn("ix", F.explode(F.expr("sequence(0L, nx - 1)"))).withColumn("iy", F.explode(F.expr("sequence(0L, ny - 1)")))
-    return e.selectExpr("ix", "iy", "x0 + (x1 - x0) * ix / (nx - 1) AS x", "y0 + (y1 - y0) * iy / (ny - 1) AS y")
+def _spans(df: DataFrame, resolution: int) -> tuple[float, ...]:
+    """x0, x1, y0, y1 and the spacing of `resolution` steps along the longer side; ValueError without a side to divide."""
+    x0, x1, y0, y1 = df.agg(*(f(c) for c in "xy" for f in (F.min, F.max))).first()
+    if x0 is None or max(x1 - x0, y1 - y0) <= 0:
+        raise ValueError("the points have no extent in x or y: no surface")
+    return x0, x1, y0, y1, max(x1 - x0, y1 - y0) / resolution
 
 
-def surface(df: DataFrame, resolution: float) -> DataFrame:
-    """ix, iy, x, y, z: an approximate surface, inverse-distance means of the points in the 3 x 3 cells around each node.
+def _nodes(df: DataFrame, spans: tuple[float, ...]) -> DataFrame:
+    x0, x1, y0, y1, step = spans
+    nx, ny = max(int((x1 - x0) / step), 2), max(int((y1 - y0) / step), 2)
+    grid = df.sparkSession.range(nx * ny).selectExpr(f"id div {ny} AS ix", f"id % {ny} AS iy")
+    return grid.selectExpr("ix", "iy", f"{x0!r}D + ({x1!r}D - {x0!r}D) * ix / {nx - 1} AS x", f"{y0!r}D + ({y1!r}D - {y0!r}D) * iy / {ny - 1} AS y")
 
-    Nodes with no point there take the mean of all points; heights stay in the input's range.
+
+def lattice(df: DataFrame, resolution: int) -> DataFrame:
+    """ix, iy, x, y: a regular lattice over the extent, about `resolution` nodes along the longer side and at least two a side."""
+    return _nodes(df, _spans(df, resolution))
+
+
+def surface(df: DataFrame, resolution: int, factor: float = 1.0) -> DataFrame:
+    """ix, iy, x, y, z: an approximate surface over the lattice; heights stay in the input's range, and are stretched by factor before.
+
+    Points stand in square cells as wide as the lattice's spacing, each by its mean. A node takes the mean of
+    the 3 x 3 cells around it, weighted by points and inverse squared distance; where those are
+    empty, the nearest cell of all. Cells, not points, are joined, so a cell of any number of points is one row.
     """
-    nodes = lattice(df, resolution)
-    cell = lambda a: f"cast(floor({a} / {resolution!r}D) AS bigint)"
-    # Cells, not points, are joined: a cell of any number of points is one row.
-    cells = df.groupBy(F.expr(cell("x")).alias("cx"), F.expr(cell("y")).alias("cy")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    near = nodes.withColumn("cx", F.explode(F.expr(f"sequence({cell('x')} - 1, {cell('x')} + 1)"))).withColumn("cy", F.explode(F.expr(f"sequence({cell('y')} - 1, {cell('y')} + 1)")))
+    df = exaggerated(df, factor)
+    spans = _spans(df, resolution)
+    low, high = df.agg(F.min("z"), F.max("z")).first()
+    x0, y0, step = spans[0], spans[2], spans[4]
+    nodes = _nodes(df, spans)
+    at = lambda a, o, size: f"cast(floor(({a} - {o!r}D) / {size!r}D) AS bigint)"
+    cells = df.groupBy(F.expr(at("x", x0, step)).alias("cx"), F.expr(at("y", y0, step)).alias("cy")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in "xyz"))
+
+    def around(rows: DataFrame, size: float) -> DataFrame:
+        """rows with each of the nine squares around them."""
+        for c, a, o in (("cx", "x", x0), ("cy", "y", y0)):
+            rows = rows.withColumn(c, F.explode(F.expr(f"sequence({at(a, o, size)} - 1, {at(a, o, size)} + 1)")))
+        return rows
+
     w = "n / (pow(x - mx, 2) + pow(y - my, 2) + 1e-12)"
-    mean = near.join(cells, ["cx", "cy"]).groupBy("ix", "iy").agg(F.expr(f"sum({w} * mz) / sum({w})").alias("z"))
-    all_ = F.broadcast(df.agg(F.avg("z").alias("zm"), F.min("z").alias("z0"), F.max("z").alias("z1")))
-    return nodes.join(mean, ["ix", "iy"], "left").crossJoin(all_).selectExpr("ix", "iy", "x", "y", "least(greatest(coalesce(z, zm), z0), z1) AS z")
+    mean = around(nodes, step).join(cells, ["cx", "cy"]).groupBy("ix", "iy").agg(F.expr(f"sum({w} * mz) / sum({w})").alias("z"))
+    known = nodes.join(mean, ["ix", "iy"], "left")
+    holes, done = known.where("z IS NULL").drop("z"), known.where("z IS NOT NULL")
+    # Squares double until a node's nearest cell is nearer than a square is wide: none outside of the nine can be nearer.
+    means, size = cells.select("mx", "my", "mz"), step
+    while not holes.isEmpty():
+        size *= 2
+        dealt = means.withColumns({"cx": F.expr(at("mx", x0, size)), "cy": F.expr(at("my", y0, size))})
+        d2 = F.expr("pow(x - mx, 2) + pow(y - my, 2)")
+        best = around(holes, size).join(dealt, ["cx", "cy"]).groupBy("ix", "iy").agg(F.min(F.struct(d2.alias("d2"), "mx", "my", "mz")).alias("best")).where(f"best.d2 <= {size * size!r}D")
+        done = done.unionByName(holes.join(best, ["ix", "iy"]).select("ix", "iy", "x", "y", F.col("best.mz").alias("z")))
+        holes = holes.join(best, ["ix", "iy"], "left_anti")
+    return done.selectExpr("ix", "iy", "x", "y", f"least(greatest(z, {low!r}D), {high!r}D) AS z")

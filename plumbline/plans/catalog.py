@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.geometry import color_distance
 from ..functions.text import format_size
-from ..operators import floor, grid, histogram, view
+from ..operators import charts, floor, grid, histogram, select, view
 from ..sources.fixture import points
 from .report import report
 
@@ -52,51 +51,27 @@ def _ratio(s, d):
 
 def _refine(s, d):
     pts = points(s, d)
-    return rounded(floor.refine_stats(pts, histogram.floor_peak(pts)).selectExpr("thresholds[0] AS threshold", "mr", "mg", "mb", "spread"))
+    return rounded(floor.refine_stats(pts, histogram.floor_peak(pts)))
 
 
 def _intensity(s, d):
-    f = _floor(s, d)
-    one = F.broadcast(f.agg(F.percentile("intensity", 0.25).alias("threshold")))
-    out = f.crossJoin(one).groupBy("threshold").agg(F.count_if(F.expr("intensity >= threshold")).alias("passed"), F.count_if(F.expr("intensity < threshold")).alias("failed"))
-    return rounded(out.selectExpr("threshold", "passed", "failed", "least(100L, greatest(20L, (passed + failed) div 50)) AS bins"))
-
-
-def _intensity_histogram(s, d):
-    f = _floor(s, d)
-    one = f.agg(F.percentile("intensity", 0.25).alias("threshold"), F.min("intensity").alias("lo"), F.max("intensity").alias("hi"), F.count("*").alias("total")).withColumn("bins", F.expr("least(100L, greatest(20L, total div 50))"))
-    at = F.expr("least(cast(floor((intensity - lo) / ((hi - lo) / bins)) AS bigint), bins - 1)")
-    return f.crossJoin(F.broadcast(one)).groupBy(at.alias("bin")).agg(F.count_if(F.expr("intensity >= threshold")).alias("passed"), F.count_if(F.expr("intensity < threshold")).alias("failed"))
+    return rounded(charts.intensity_threshold(_floor(s, d)))
 
 
 def _color(s, d):
-    f = _floor(s, d)
-    return f.crossJoin(F.broadcast(f.agg(*(F.avg(c).alias(f"m{c}") for c in "rgb")))).withColumn("dist", color_distance("r", "g", "b"))
+    return charts.with_color_distance(_floor(s, d))
 
 
 def _color_stats(s, d):
     return rounded(_color(s, d).agg(*(F.avg(c).alias(f"mean_{c}") for c in "rgb"), *(F.stddev_pop(c).alias(f"std_{c}") for c in "rgb"), F.max("dist").alias("max_dist")))
 
 
-def _color_histogram(s, d):
-    c = _color(s, d)
-    h = histogram.histogram(c, "dist", 59, c.agg(F.lit(0.0).alias("lo"), (F.max("dist") * 1.05).alias("hi")))
-    return rounded(h.selectExpr("bin", "n", "(lo + hi) / 2 <= 0.6D AS passed"))
-
-
 def _color_split(s, d):
     return _color(s, d).agg(F.count_if(F.col("dist") <= CFG.color_tolerance).alias("passed"), F.count_if(F.col("dist") > CFG.color_tolerance).alias("removed"))
 
 
 def _sweep(param: str):
-    return lambda s, d: rounded(floor.sensitivity(points(s, d)).where(F.col("param") == param))
-
-
-def _fwhm_overlay(s, d):
-    pts = points(s, d)
-    h = histogram.histogram(pts, "z", CFG.num_bins).crossJoin(F.broadcast(histogram.floor_peak(pts)))
-    best = h.groupBy("peak_z", "fwhm").agg(F.min_by("n", F.struct(F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("peak_z")), "bin")).alias("n"))
-    return rounded(best.selectExpr("peak_z - fwhm / 2 AS z_left", "peak_z + fwhm / 2 AS z_right", "n / 2D AS level"))
+    return lambda s, d: rounded(floor.sensitivity(points(s, d), params=(param,)))
 
 
 def queries():
@@ -110,7 +85,7 @@ def queries():
         "floor_peak_fallback": _peak(replace(CFG, min_peak_width=3)),
         "floor_peak_fixed_band": _peak(replace(CFG, band_width=0.04)),
         "floor_peak_tilt_limited": _peak(CFG, 100.0),
-        "fwhm_overlay": _fwhm_overlay,
+        "fwhm_overlay": lambda s, d: rounded(charts.fwhm_overlay(points(s, d))),
         "z_filter_count": lambda s, d: floor.with_floor(points(s, d)).agg(F.count_if("in_band").alias("n")),
         "refine_stats": _refine,
         "filtering_funnel": _funnel,
@@ -120,9 +95,9 @@ def queries():
         "refine_no_attributes": _counts(intensity=False, color=False),
         "floor_ratio": _ratio,
         "intensity_threshold": _intensity,
-        "intensity_histogram": _intensity_histogram,
+        "intensity_histogram": lambda s, d: rounded(charts.intensity_histogram(_floor(s, d))),
         "color_stats": _color_stats,
-        "color_distance_histogram": _color_histogram,
+        "color_distance_histogram": lambda s, d: rounded(charts.color_histogram(_floor(s, d)).selectExpr("bin", "n", "passed")),
         "color_distance_split": _color_split,
         "sweep_width_multiplier": _sweep("width_multiplier"),
         "sweep_color_tolerance": _sweep("color_tolerance"),
@@ -131,7 +106,7 @@ def queries():
         "cell_counts": lambda s, d: grid.cell_covariance(flat(s, d), 20).select("ix", "iy", "n"),
         "cell_covariance": lambda s, d: rounded(grid.cell_covariance(flat(s, d), 20)),
         "flatness_cells": lambda s, d: rounded(grid.flatness_cells(flat(s, d), 20), 4),
-        "flatness_grid_dense": lambda s, d: rounded(grid.dense(grid.flatness_cells(f := flat(s, d), 20), grid.geometry(f, 20)), 4),
+        "flatness_grid_dense": lambda s, d: rounded(grid.dense(grid.flatness_cells(f := flat(s, d), 20, geo=(g := grid.geometry(f, 20))), g), 4),
         "flatness_summary": lambda s, d: rounded(grid.flatness_summary(flat(s, d), CFG.flatness_grid), 4),
         "plane_fit": lambda s, d: rounded(grid.plane(_roi(s, d))),
         "detrended_residuals": lambda s, d: rounded(grid.detrended(_roi(s, d)).agg(F.count("*").alias("n"), F.min("residual").alias("low"), F.max("residual").alias("high"), F.stddev_pop("residual").alias("sigma"))),
@@ -142,15 +117,17 @@ def queries():
         "height_grid_summary": lambda s, d: rounded(grid.height_cells(_roi(s, d)).agg(F.count("*").alias("valid"), F.avg("z_range").alias("mean_range"), F.max("z_range").alias("max_range"))),
         "height_profile": lambda s, d: rounded(grid.height_profile(_roi(s, d))),
         "height_profile_stats": lambda s, d: rounded(grid.profile_stats(grid.height_profile(_roi(s, d))), 4),
-        "sample_exact_k": lambda s, d: view.sample_exact(points(s, d, indexed=True), 1000).select("vertex_idx"),
+        "sample_exact_k": lambda s, d: select.sample_exact(points(s, d, indexed=True), 1000).select("vertex_idx"),
         "view_floor": lambda s, d: floor.with_floor(points(s, d)).where("is_floor").agg(F.count("*").alias("n"), F.sum(F.expr("cast(r * 255 AS int)")).alias("sum_r")),
         "view_nonfloor": lambda s, d: floor.with_floor(points(s, d)).where("NOT is_floor").agg(F.count("*").alias("n"), F.sum(F.expr("cast(r * 255 AS int)")).alias("sum_r")),
         "view_highlight_rgba": lambda s, d: view.highlighted(floor.with_floor(points(s, d))).groupBy("cr", "cg", "cb", "ca").agg(F.count("*").alias("n")),
         "roi_rectangle": lambda s, d: rounded(view.roi_rectangle(points(s, d), *ROI)),
         "roi_box": lambda s, d: rounded(view.roi_box(points(s, d), *ROI)),
-        "surface_lattice": lambda s, d: rounded(view.lattice(_roi(s, d), 0.25)),
-        "surface_interpolated": lambda s, d: rounded(view.surface(_roi(s, d), 0.25)),
+        "roi_segments": lambda s, d: rounded(view.roi_segments(points(s, d), *ROI)),
+        "surface_lattice": lambda s, d: rounded(view.lattice(_roi(s, d), 40)),
+        "surface_interpolated": lambda s, d: rounded(view.surface(_roi(s, d), 40)),
+        "surface_nearest": lambda s, d: rounded(view.surface(_roi(s, d), CFG.surface_resolution)),
         "z_exaggeration": lambda s, d: rounded(view.exaggerated(_roi(s, d), 3.0).agg(F.min("z").alias("low"), F.max("z").alias("high"))),
-        "format_size": lambda s, d: points(s, d, indexed=True).where("vertex_idx < 48").select("vertex_idx", format_size(F.expr("cast(pow(2D, vertex_idx) AS bigint)")).alias("size")),
+        "format_size": lambda s, d: points(s, d, indexed=True).select("vertex_idx", format_size(F.expr("cast(pow(2D, vertex_idx % 60) AS bigint)")).alias("size")),
         "report_document": lambda s, d: report(points(s, d)),
     }

@@ -75,6 +75,23 @@ pab AS (SELECT (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * x
 res AS (SELECT f.*, f.z - (pl.a * f.x + pl.b * f.y + pl.c) AS residual FROM f, pl)"""
 
 
+def _surface(resolution: int) -> str:
+    return f"""e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM f),
+n0 AS (SELECT *, greatest(x1 - x0, y1 - y0) / {resolution}.0::double AS step FROM e),
+n AS (SELECT *, greatest(trunc((x1 - x0) / step)::bigint, 2) AS nx, greatest(trunc((y1 - y0) / step)::bigint, 2) AS ny FROM n0),
+nodes AS (SELECT i AS ix, j AS iy, x0 + (x1 - x0) * i / (nx - 1) AS x, y0 + (y1 - y0) * j / (ny - 1) AS y FROM n, range(0, nx) a(i), range(0, ny) b(j))"""
+
+
+#: Heights of the nodes: means of the cells around, or of the nearest cell, by comparing all of them.
+_HEIGHTS = """cl AS (SELECT floor((x - x0) / step)::bigint AS cx, floor((y - y0) / step)::bigint AS cy, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM f, n GROUP BY 1, 2),
+idw AS (SELECT ix, iy, any_value(q.x) AS x, any_value(q.y) AS y, sum(w * mz) / sum(w) AS z FROM (
+    SELECT ix, iy, d.x, d.y, mz, cl.n / (pow(d.x - mx, 2) + pow(d.y - my, 2) + 1e-12) AS w
+    FROM (SELECT nodes.*, floor((x - x0) / step)::bigint + i AS cx, floor((y - y0) / step)::bigint + j AS cy FROM nodes, n, range(-1, 2) a(i), range(-1, 2) b(j)) d JOIN cl USING (cx, cy)) q GROUP BY ix, iy),
+holes AS (SELECT nodes.* FROM nodes ANTI JOIN idw USING (ix, iy)),
+heights AS (SELECT * FROM idw UNION ALL
+  SELECT ix, iy, any_value(x), any_value(y), arg_min(mz, pow(x - mx, 2) + pow(y - my, 2)) FROM holes, cl GROUP BY ix, iy)"""
+
+
 def _sweep(param: str, values, kind: str) -> str:
     """One scan for each value, unlike the query's two for all."""
     parts = []
@@ -114,7 +131,7 @@ pr AS (SELECT greatest(least(floor((x - x0) / cell)::bigint, nb - 1), 0)::bigint
         "refine_no_attributes": f"WITH {_mask(intensity=False, color=False)} {stages}",
         "floor_ratio": f"WITH {_mask()} SELECT count(*) FILTER (WHERE is_floor) AS floor, count(*) FILTER (WHERE NOT is_floor) AS non_floor, round(count(*) FILTER (WHERE is_floor) / count(*)::double, 6) AS floor_ratio FROM m",
         "intensity_threshold": f"WITH {_mask()}, t AS (SELECT quantile_cont(intensity, 0.25) AS threshold FROM f) SELECT threshold, count(*) FILTER (WHERE intensity >= threshold) AS passed, count(*) FILTER (WHERE intensity < threshold) AS failed, least(100, greatest(20, count(*) // 50))::bigint AS bins FROM f, t GROUP BY 1",
-        "intensity_histogram": f"WITH {_mask()}, t AS (SELECT quantile_cont(intensity, 0.25) AS threshold, min(intensity) AS lo, max(intensity) AS hi, least(100, greatest(20, count(*) // 50))::bigint AS bins FROM f) SELECT least(floor((intensity - lo) / ((hi - lo) / bins))::bigint, bins - 1)::bigint AS bin, count(*) FILTER (WHERE intensity >= threshold) AS passed, count(*) FILTER (WHERE intensity < threshold) AS failed FROM f, t GROUP BY 1",
+        "intensity_histogram": f"WITH {_mask()}, t AS (SELECT quantile_cont(intensity, 0.25) AS threshold, min(intensity) AS lo, max(intensity) AS hi, least(100, greatest(20, count(*) // 50))::bigint AS bins FROM f), c AS (SELECT least(floor((intensity - lo) / ((hi - lo) / bins))::bigint, bins - 1)::bigint AS bin, count(*) FILTER (WHERE intensity >= threshold) AS passed, count(*) FILTER (WHERE intensity < threshold) AS failed FROM f, t GROUP BY 1) SELECT k AS bin, {_r('lo + k * ((hi - lo) / bins) AS lo', 'lo + (k + 1) * ((hi - lo) / bins) AS hi')}, coalesce(passed, 0)::bigint AS passed, coalesce(failed, 0)::bigint AS failed FROM t, range(0, bins) b(k) LEFT JOIN c ON c.bin = k",
         "color_stats": f"WITH {floor_color} SELECT {_r(*(f'avg({c}) AS mean_{c}' for c in 'rgb'), *(f'stddev_pop({c}) AS std_{c}' for c in 'rgb'), 'max(dist) AS max_dist')} FROM cd",
         "color_distance_histogram": f"WITH {floor_color}, {_hist('cd', 'dist', 59, 'ch', '0.0::double', 'max(dist) * 1.05::double')} SELECT bin, n, (lo + hi) / 2 <= 0.6 AS passed FROM ch",
         "color_distance_split": f"WITH {floor_color} SELECT count(*) FILTER (WHERE dist <= 0.6) AS passed, count(*) FILTER (WHERE dist > 0.6) AS removed FROM cd",
@@ -136,13 +153,16 @@ pr AS (SELECT greatest(least(floor((x - x0) / cell)::bigint, nb - 1), 0)::bigint
         "height_grid_summary": f"{roi_grid} SELECT count(*) AS valid, {_r('avg(z_range) AS mean_range', 'max(z_range) AS max_range')} FROM hc",
         "height_profile": f"{profile} SELECT bin, {_r('x_center', 'z_mean')} FROM pr",
         "height_profile_stats": f"{profile} SELECT {_r('stddev_pop(z_mean * 1000) AS sigma_mm', '(max(z_mean) - min(z_mean)) * 1000 AS peak_to_valley_mm', n=4)} FROM pr",
-        "sample_exact_k": f"WITH {_POINTS} SELECT vertex_idx FROM pts ORDER BY (vertex_idx * 1664525 + 1013904223 + 42) % 4294967296, vertex_idx LIMIT 1000",
+        "sample_exact_k": f"WITH {_POINTS} SELECT vertex_idx FROM pts ORDER BY ('0x' || substr(md5('42|' || vertex_idx), 1, 15))::bigint, vertex_idx LIMIT 1000",
         "view_floor": f"WITH {_mask()} SELECT count(*) AS n, sum({px('r')})::bigint AS sum_r FROM m WHERE is_floor",
         "view_nonfloor": f"WITH {_mask()} SELECT count(*) AS n, sum({px('r')})::bigint AS sum_r FROM m WHERE NOT is_floor",
         "view_highlight_rgba": f"WITH {_mask()} SELECT CASE WHEN is_floor THEN 255 ELSE {px('r')} END AS cr, CASE WHEN is_floor THEN 51 ELSE {px('g')} END AS cg, CASE WHEN is_floor THEN 51 ELSE {px('b')} END AS cb, 255 AS ca, count(*) AS n FROM m GROUP BY 1, 2, 3, 4",
         "roi_rectangle": f"WITH {_POINTS} SELECT k AS corner, [5.0, 15.0, 15.0, 5.0][k + 1]::double AS x, [2.0, 2.0, 8.0, 8.0][k + 1]::double AS y, round(z, 6) AS z FROM (SELECT median(z) AS z FROM pts), (SELECT unnest([0, 1, 2, 3]) AS k)",
         "roi_box": f"WITH {_ROI} SELECT {_r('min(z) AS z_low', 'max(z) AS z_high')} FROM q",
-        "surface_lattice": f"WITH {_ROI}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM f), n AS (SELECT *, greatest(trunc((x1 - x0) / 0.25)::bigint, 2) AS nx, greatest(trunc((y1 - y0) / 0.25)::bigint, 2) AS ny FROM e) SELECT i AS ix, j AS iy, {_r('x0 + (x1 - x0) * i / (nx - 1) AS x', 'y0 + (y1 - y0) * j / (ny - 1) AS y')} FROM n, range(0, nx) a(i), range(0, ny) b(j)",
+        "surface_lattice": f"WITH {_ROI}, {_surface(40)} SELECT ix, iy, {_r('x', 'y')} FROM nodes",
+        "surface_interpolated": f"WITH {_ROI}, {_surface(40)}, {_HEIGHTS} SELECT ix, iy, {_r('x', 'y', 'least(greatest(z, z0), z1) AS z')} FROM heights, n",
+        "surface_nearest": f"WITH {_ROI}, {_surface(200)}, {_HEIGHTS} SELECT ix, iy, {_r('x', 'y', 'least(greatest(z, z0), z1) AS z')} FROM heights, n",
+        "roi_segments": f"WITH {_POINTS} SELECT k AS segment, [5.0, 15.0, 15.0, 5.0][k + 1]::double AS x0, [2.0, 2.0, 8.0, 8.0][k + 1]::double AS y0, [15.0, 15.0, 5.0, 5.0][k + 1]::double AS x1, [2.0, 8.0, 8.0, 2.0][k + 1]::double AS y1, round(z, 6) AS z FROM (SELECT median(z) AS z FROM pts), (SELECT unnest([0, 1, 2, 3]) AS k)",
         "z_exaggeration": f"WITH {_ROI}, mm AS (SELECT avg(z) AS m FROM f) SELECT {_r('min(m + (z - m) * 3.0) AS low', 'max(m + (z - m) * 3.0) AS high')} FROM f, mm",
-        "format_size": "SELECT k AS vertex_idx, format('{:.1f} ' || ['B', 'KB', 'MB', 'GB', 'TB'][(k // 10 + 1)::int], pow(2, k % 10)::double) AS size FROM range(0, 48) t(k)",
+        "format_size": f"WITH {_POINTS} SELECT vertex_idx, format('{{:.1f}} ' || ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][((vertex_idx % 60) // 10 + 1)::int], pow(2, vertex_idx % 60 % 10)::double) AS size FROM pts",
     }

@@ -1,4 +1,4 @@
-"""The report document."""
+"""The report: its document, and the data of all charts."""
 
 from __future__ import annotations
 
@@ -6,23 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import floor, grid, histogram
+from ..operators import charts, floor, grid, histogram
+from ..operators.select import fixed
 
 
-def report(points: DataFrame, cfg: Config = Config(), filename: str = "", elapsed: float | None = None) -> DataFrame:
-    """One row, one column `report`: JSON of metadata, peak, filtering, parameters, sensitivity, flatness. Missing statistics are null."""
-    peak = histogram.floor_peak(points, cfg)
-    counts = floor.stage_counts(points, cfg, peak=peak)
-    sweep = floor.sensitivity(points, cfg).groupBy("param").agg(F.sort_array(F.collect_list(F.struct("value", "floor_ratio"))).alias("points")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("param", "points")))).alias("sensitivity"))
-    flat = grid.flatness_summary(floor.with_floor(points, cfg, peak=peak).where("is_floor").select("x", "y", "z"), cfg.flatness_grid, cfg.min_points)
-    one = F.broadcast(peak).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(sweep)).crossJoin(F.broadcast(flat))
+def report(points: DataFrame, cfg: Config = Config(), filename: str = "", elapsed: float | None = None, timestamp: str | None = None, view_mode: int = 4, total_points: int | None = None) -> DataFrame:
+    """One row, one column `report`: JSON of metadata, peak, filtering, parameters, sensitivity, flatness.
+
+    Missing statistics are null. timestamp: a label of the run, given and not read off a clock.
+    total_points: of the file, if points is a sample of it.
+    """
+    return run_report(points, cfg, filename, elapsed, timestamp, view_mode, total_points)["report"]
+
+
+def run_report(points: DataFrame, cfg: Config = Config(), filename: str = "", elapsed: float | None = None, timestamp: str | None = None, view_mode: int = 4, total_points: int | None = None) -> dict[str, DataFrame]:
+    """The data of the seven charts and the document, by name. The peak and the floor's statistics are computed once for all."""
+    peak = fixed(histogram.floor_peak(points, cfg))
+    rows = floor.with_floor(points, cfg, peak=peak)
+    own = rows.where("is_floor").drop("in_band", "is_floor")
+    counts = fixed(rows.agg(F.count("*").alias("total"), F.count_if("in_band").alias("after_z_filter"), F.count_if("is_floor").alias("after_refinement")))
+    stages = "array(named_struct('stage', 'total', 'n', total), named_struct('stage', 'after_z_filter', 'n', after_z_filter), named_struct('stage', 'after_refinement', 'n', after_refinement))"
+    attributes = {"intensity", "r", "g", "b"} <= set(points.columns)
+    sweep = floor.sensitivity(points, cfg) if attributes else points.sparkSession.range(0).selectExpr("'' AS param", "0D AS value", "false AS is_current", "0D AS floor_ratio")
+    flat = fixed(grid.flatness_summary(own.select("x", "y", "z"), cfg.flatness_grid, cfg.min_points))
+    swept = sweep.groupBy("param").agg(F.sort_array(F.collect_list(F.struct("value", "floor_ratio"))).alias("points")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("param", "points")))).alias("sensitivity"))
+    one = F.broadcast(peak).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(swept)).crossJoin(F.broadcast(flat))
     r = lambda c, n: F.bround(c, n).alias(c)
+    given = (F.lit(filename).alias("file"), F.lit(timestamp).cast("string").alias("timestamp"), F.bround(F.lit(elapsed).cast("double"), 3).alias("elapsed_seconds"), F.lit(view_mode).alias("view_mode"))
     doc = F.struct(
-        F.struct(F.lit(filename).alias("filename"), F.lit(elapsed).cast("double").alias("elapsed_seconds")).alias("metadata"),
+        F.struct(*given, F.coalesce(F.lit(total_points).cast("long"), "total").alias("total_points"), F.lit(cfg.max_points).alias("max_points"), F.col("total").alias("actual_points")).alias("metadata"),
         F.struct(*(r(c, 6) for c in ("peak_z", "z_min", "z_max", "fwhm")), "is_fallback", "is_tilt_limited").alias("peak_detection"),
         F.struct("total", "after_z_filter", "after_refinement", F.bround(F.coalesce(F.try_divide("after_refinement", "total"), F.lit(0.0)), 6).alias("floor_ratio")).alias("filtering"),
         F.struct(*(F.lit(getattr(cfg, c)).alias(c) for c in ("num_bins", "width_multiplier", "intensity_percentile", "color_tolerance", "prominence_ratio", "min_peak_width"))).alias("parameters_used"),
         "sensitivity",
         F.struct(*(r(c, 4) for c in ("mean_tilt", "max_tilt", "cell_size")), "valid_cells", "total_cells").alias("flatness"),
     )
-    return one.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("report"))
+    return {
+        "z_histogram": histogram.histogram(points, "z", cfg.num_bins),
+        "fwhm_overlay": charts.fwhm_overlay(points, cfg, peak),
+        "filtering_funnel": counts.select("total", F.inline(F.expr(stages))).selectExpr("stage", "n", "n / cast(greatest(total, 1) AS double) * 100 AS pct"),
+        "intensity_histogram": charts.intensity_histogram(own, cfg),
+        "color_histogram": charts.color_histogram(own, cfg),
+        "floor_ratio": counts.selectExpr("after_refinement AS floor", "total - after_refinement AS non_floor", "coalesce(try_divide(after_refinement, total), 0D) AS floor_ratio"),
+        "sensitivity": sweep,
+        "flatness_cells": grid.flatness_cells(own, cfg.flatness_grid, cfg.min_points),
+        "report": one.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("report")),
+    }

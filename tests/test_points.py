@@ -1,10 +1,18 @@
 """Point-cloud operators: published peak rules, golden values, recovered planes, regions, files."""
 
+import json
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from plumbline.config import Config
-from plumbline.operators import floor, grid, histogram, view
+from plumbline.operators import charts, floor, grid, histogram, select, view
+from plumbline.plans import report
 from plumbline.sources import ply
 from plumbline.sources.fixture import points
 
@@ -59,7 +67,7 @@ def test_regions_and_samples(spark):
     with pytest.raises(ValueError):
         view.require_points(df)
     many = spark.range(5000).withColumnRenamed("id", "vertex_idx")
-    a, b = (view.sample_exact(many.repartition(n), 200).collect() for n in (3, 7))
+    a, b = (select.sample_exact(many.repartition(n), 200).collect() for n in (3, 7))
     assert len(a) == 200 and sorted(a) == sorted(b)
     low, high = view.exaggerated(df, 3.0).agg({"z": "min"}).first()[0], view.exaggerated(df, 3.0).agg({"z": "max"}).first()[0]
     assert high - low == 9.0
@@ -87,3 +95,84 @@ def test_ply_round_trip(spark, tmp_path):
         (tmp_path / "bad.ply").write_bytes(bad)
         with pytest.raises(ValueError):
             ply.read_header(str(tmp_path / "bad.ply"))
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(7)
+    for v in (rng.normal(size=4001), rng.integers(0, 5, 999).astype(float), np.array([2.0]), np.full(50, 3.5)):
+        df = spark.createDataFrame([(float(x),) for x in v], "v double")
+        got = select.quantiles(df, "v", [0, 0.25, 0.5, 0.9, 1], ["true", "v > 2.5", "v > 1e9"], buckets=64)
+        for g, x in zip(got, (v, v[v > 2.5]), strict=False):
+            assert np.allclose(g, np.quantile(x, [0, 0.25, 0.5, 0.9, 1]), atol=1e-12) if len(x) else g == [None] * 5
+        assert got[2] == [None] * 5
+    assert select.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [[None]]
+
+
+def test_samples(spark):
+    rows = spark.range(20000).withColumnRenamed("id", "vertex_idx")
+    one, two = ({r[0] for r in select.sample_exact(rows, 3000, seed).collect()} for seed in (1, 2))
+    assert len(one) == len(two) == 3000 and 350 < len(one & two) < 550
+    assert abs(np.mean(list(one)) - 10000) < 500
+    assert select.sample_exact(rows, 0).count() == 0 and select.sample_exact(rows, 10**6).count() == 20000
+
+
+def test_plane_of_least_norm(spark):
+    x = np.linspace(0, 4, 50)
+    for y, z in ((x * 0 + 3, 2 * x + 1), (x, x + 2), (-2 * x + 1, 3 * x), (x * 0, x * 0 + 1), (x * 0 + 2, x * 0 + 5)):
+        want = np.linalg.lstsq(np.column_stack([x, y, np.ones(50)]), z, rcond=None)[0]
+        assert np.allclose(tuple(grid.plane(cloud(spark, x, y, z)).first()), want, atol=1e-9)
+    one = np.linalg.lstsq(np.array([[1.0, 2.0, 1.0]]), np.array([6.0]), rcond=None)[0]
+    assert np.allclose(tuple(grid.plane(cloud(spark, [1, 1], [2, 2], [6, 6])).first()), one)
+
+
+def test_surface(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(0, 10, 400), rng.uniform(0, 5, 400)
+    df = cloud(spark, x, y, x + y)
+    few, many = (view.surface(df, k).collect() for k in (10, 40))
+    assert len(few) == 10 * 4 or len(few) == 10 * 5 and len(many) > len(few)
+    assert all(min(x + y) <= r.z <= max(x + y) for r in many)
+    assert max(abs(r.z - r.x - r.y) for r in many) < 2.5
+    flat, steep = (np.ptp([r.z for r in view.surface(df, 20, k).collect()]) for k in (1.0, 3.0))
+    assert steep / flat > 2.5
+    far = cloud(spark, [0, 0.1, 9.9, 10], [0, 0.1, 4.9, 5], [1, 1, 7, 7])
+    got = {(r.ix, r.iy): round(r.z, 9) for r in view.surface(far, 30).collect()}
+    assert got[0, 0] == 1 and got[29, 13] == 7 and set(got.values()) == {1.0, 7.0}
+    with pytest.raises(ValueError):
+        view.surface(cloud(spark, [1, 1], [2, 2], [3, 4]), 10)
+
+
+def test_missing_columns(spark):
+    pts = points(spark, SF)
+    assert floor.stage_counts(pts.drop("intensity")).first() == floor.stage_counts(pts, intensity=False).first()
+    bare = pts.select("x", "y", "z")
+    assert floor.stage_counts(bare).first().after_refinement == 4032
+    assert charts.intensity_histogram(bare).count() == charts.color_histogram(bare).count() == 0
+    assert charts.color_histogram(pts.withColumns({"r": pts.z * 0, "g": pts.z * 0, "b": pts.z * 0})).count() == 0
+    same = charts.intensity_histogram(pts.withColumn("intensity", pts.z * 0 + 5)).collect()
+    assert len(same) == 100 and sum(r.passed for r in same) == 6000
+
+
+def test_run_report(spark):
+    got = report.run_report(points(spark, SF), filename="a.ply", timestamp="t", total_points=9000)
+    assert set(got) == {"z_histogram", "fwhm_overlay", "filtering_funnel", "intensity_histogram", "color_histogram", "floor_ratio", "sensitivity", "flatness_cells", "report"}
+    doc = json.loads(got["report"].first()[0])
+    assert doc["metadata"] | {"max_points": 0} == {"file": "a.ply", "timestamp": "t", "elapsed_seconds": None, "view_mode": 4, "total_points": 9000, "max_points": 0, "actual_points": 6000}
+    assert doc["filtering"]["after_refinement"] == 3699 and doc["flatness"]["valid_cells"] == 56 and len(doc["sensitivity"]) == 3
+    assert got["filtering_funnel"].count() == 3 and got["floor_ratio"].first().floor == 3699
+
+
+def test_roi_context(spark):
+    rows = view.roi_context(points(spark, SF, indexed=True), (5, 15), (2, 8), Config(roi_points=500)).collect()
+    assert len(rows) == 500 and {r.inside for r in rows} == {True, False} and all(0 <= r.shade <= 1 for r in rows)
+    assert [r.segment for r in view.roi_segments(points(spark, SF), (3, 1), (2, 5)).orderBy("segment").collect()] == [0, 1, 2, 3]
+
+
+def test_without_the_training_data_folders(tmp_path):
+    """The rest imports and lists its queries when the training-data folders are gone, with corpus_pipeline.py left or not."""
+    root = Path(__file__).resolve().parents[1]
+    for pipeline in (True, False):
+        copy = tmp_path / str(pipeline)
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache", *([] if pipeline else ["corpus_pipeline.py"])))
+        code = "import __spark_entry__ as e; q = set(e.queries()); assert q and set(e.oracle_sql()) <= q and 'pipeline' not in q and not any(x.startswith('op') for x in q)"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": ""})
