@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -54,7 +54,7 @@ def refined_ranks(key: np.ndarray, depth: int) -> np.ndarray:
         size = np.diff(np.append(first, len(order)))
         return np.repeat(first, size), np.repeat(size > 1, size)
 
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     place, tied = numbered(order, np.append(True, key[order][1:] != key[order][:-1]))
     rank = np.zeros(n + 1, np.int64)
     rank[order] = place + 1
@@ -62,7 +62,7 @@ def refined_ranks(key: np.ndarray, depth: int) -> np.ndarray:
     while done < depth and len(todo):
         step = min(done, depth - done)  # strings of `done` bytes at i and at i + step overlap if step < done
         nxt = rank[np.minimum(todo + step, n)]
-        by = np.lexsort((nxt, rank[todo]))
+        by = np.argsort(rank[todo] * (n + 1) + nxt)
         todo, nxt = todo[by], nxt[by]
         own = rank[todo]
         head = np.append(True, own[1:] != own[:-1])
@@ -82,7 +82,7 @@ def suffixes(key: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarr
     comparison goes on where that one ended.
     """
     rank = refined_ranks(key, window)[starts]
-    order = starts[np.argsort(rank, kind="stable")]
+    order = starts[np.argsort(rank * len(starts) + np.arange(len(starts)))]
     before = np.full(len(key) + 1, -1, np.int64)
     before[order[1:]] = order[:-1]
     kind = np.zeros(len(key) + 1, bool)
@@ -207,14 +207,18 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], top[np.append(np.flatnonzero(first)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
+#: Kinds of anchor rows, in the low bits of pos: alone in its batch; tells that its anchor is shared; known to be shared.
+ALONE, TELLS, KNOWN = 0, 1, 2
+
+
 def _found(docs: DataFrame, window: int) -> DataFrame:
-    """k, h, tag, pos, kind of the anchors of all texts; pos holds the place and how far its windows reach from there.
+    """h, tag, pos of the anchors of all texts; pos packs the place, how far its windows reach from there, and the row's kind.
 
     Of an anchor that two texts or places of one batch share, the rows are known to be shared
-    (kind 1) and go by a key of their own; one more row of it (kind 2) tells the others (kind 0). So
-    no key gets more than a few rows a batch, however many documents share an anchor.
+    and needn't meet; one more row of it tells the others. So no anchor sends more than one
+    row a batch to where it is counted, however many documents share it.
     """
-    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("kind", pa.int8())])
+    schema = pa.schema([("h", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64())])
 
     def scan(batches):
         for b in (c for b in batches for c in chunks(b, "text", 2 << 20)):
@@ -226,50 +230,56 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
             ends = np.cumsum(sizes)
             d = np.searchsorted(ends, at, "right")
             tag, h = b.column("tag").to_numpy()[d], h.view(np.int64)
-            pos = (at - (ends - sizes)[d]) << 16 | (at - low) << 8 | (at - high)
-            order = np.lexsort((pos, tag, h))
-            h, tag, pos = h[order], tag[order], pos[order]
-            once = np.append(True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]))
-            h, tag, pos = h[once], tag[once], pos[once]
-            first = np.append(True, h[1:] != h[:-1])
-            size = np.diff(np.append(np.flatnonzero(first), len(h)))
-            known = np.repeat(size > 1, size)
-            told = np.flatnonzero(first & known)
-            key = np.where(known, (h ^ (tag * np.int64(0x9E3779B97F4A7C1 | 1)) ^ pos), h)
-            parts = [np.concatenate(x) for x in ((key, h[told]), (h, h[told]), (tag, tag[told]), (pos, pos[told]), (known.astype(np.int8), np.full(len(told), 2, np.int8)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], schema=schema)
-
-    return docs.select("text", "tag").mapInArrow(scan, "k long, h long, tag long, pos long, kind byte")
+            pos = (at - (ends - sizes)[d]) << 18 | (at - low) << 10 | (at - high) << 2
+            order = np.argsort(h)
+            first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            size = np.diff(np.append(first, len(h)))
+            alone, some = order[first[size == 1]], order[np.repeat(size > 1, size)]
+            some = some[np.lexsort((pos[some], tag[some], h[some]))]  # copies of a text are one
+            x, y, z = h[some], tag[some], pos[some]
+            some = some[np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1]))[: len(some)]]
+            first = np.flatnonzero(np.append(True, h[some][1:] != h[some][:-1]))[: len(some)]
+            size = np.diff(np.append(first, len(some)))
+            alone, told, known = np.append(alone, some[first[size == 1]]), some[first[size > 1]], some[np.repeat(size > 1, size)]
+            rows = np.concatenate([alone, told, known])
+            kind = np.repeat([ALONE, TELLS, KNOWN], [len(alone), len(told), len(known)])
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(tag[rows]), pa.array(pos[rows] | kind)], schema=schema)
+
+    return docs.select("text", "tag").mapInArrow(scan, "h long, tag long, pos long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a stream sorted by k, kind, tag, pos: the known rows once each, and the others whose anchor another row has, too."""
-    kept: list[np.ndarray] = []
-
-    def settle(rows):
-        k, h, tag, pos, kind = rows
-        known = kind == 1
-        once = np.append(True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]) | (kind[1:] != kind[:-1]))
-        out = known & once
-        x = np.flatnonzero(~known & once)
-        if len(x):
-            first = np.flatnonzero(np.append(True, h[x][1:] != h[x][:-1]))
-            size = np.diff(np.append(first, len(x)))
-            told = np.maximum.reduceat(kind[x], first) == 2
-            out[x] = np.repeat((size > 1) | told, size) & (kind[x] == 0)
-        return pa.RecordBatch.from_arrays([pa.array(tag[out]), pa.array(pos[out]), pa.array(h[out])], ["tag", "pos", "h"])
+    """Of rows sorted by h, tag, pos: those known to be shared once each, and the others whose anchor another row has, too."""
+    last, kept = None, [np.zeros(0, np.int64)] * 3
+
+    def out(h, tag, pos):
+        return pa.RecordBatch.from_arrays([pa.array(tag), pa.array(pos >> 2), pa.array(h)], ["tag", "pos", "h"])
+
+    def settled(h, tag, pos):
+        once = np.append(True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]))
+        h, tag, pos = h[once], tag[once], pos[once]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(first, len(h)))
+        told = np.maximum.reduceat(pos & 3, first) == TELLS
+        keep = np.repeat((size > 1) | told, size) & (pos & 3 == ALONE)
+        return out(h[keep], tag[keep], pos[keep])
 
     for b in batches:
-        rows = [b.column(c).to_numpy() for c in ("k", "h", "tag", "pos", "kind")]
-        if kept:
-            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-        # What has the last key waits for the next batch.
+        rows = [b.column(c).to_numpy() for c in ("h", "tag", "pos")]
+        known = rows[2] & 3 == KNOWN
+        if known.any():  # these stream by
+            h, tag, pos = (x[known] for x in rows)
+            once = np.append(last != (h[0], tag[0], pos[0]), (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]))
+            last = (h[-1], tag[-1], pos[-1])
+            yield out(h[once], tag[once], pos[once])
+        rows = [np.append(x, y[~known]) for x, y in zip(kept, rows, strict=True)]
+        # What has the last anchor waits for the next batch.
         cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
         if cut:
-            yield settle([x[:cut] for x in rows])
+            yield settled(*(x[:cut] for x in rows))
         kept = [x[cut:] for x in rows]
-    if kept and len(kept[0]):
-        yield settle(kept)
+    if len(kept[0]):
+        yield settled(*kept)
 
 
 def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -340,65 +350,73 @@ _PLACE = np.dtype([("late", "<i8"), ("id", "<i8"), ("tag", "<i8"), ("start", "<i
 
 def _shard(window: int, limit: int, hot: dict[int, int], cells: int):
     """Pieces sorted by anchor, shard and order -> spans (tag, row, start, end), and for anchors of several shards the sorted runs of windows that are new to one."""
-
-    def run(batches):
-        rows: list[tuple] = []
-        size = own = 0
-        cut = False  # the last anchor of rows goes on, or began, in another shard
-
-        def close(more: bool):
-            split = {rows[0][0]} if cut and rows else set()
-            if rows and more:
-                split.add(rows[-1][0])
-            rows.sort(key=lambda r: (r[0], r[2:5], r[6]))  # shards of one anchor may have met again
-            whole = [r for r in rows if r[8] is None]
-            first, keep = {}, []
-            spans = [(r[4], r[5], r[6], r[7]) for r in whole]
-            for r in rows:
-                if r[8] is None:
-                    continue
-                if (r[0], r[8]) in first:  # the bytes of an earlier piece: all of it is a repeat
-                    spans.append((r[4], r[5], r[6], r[7]))
-                else:
-                    first[r[0], r[8]] = True
-                    keep.append(r)
-            later = repeated_starts([r[8] for r in keep], window) if keep else []
-            fresh = []
-            for r, x in zip(keep, later, strict=True):
-                if len(at := np.flatnonzero(x)):
-                    spans += [(r[4], r[5], r[6] + int(i), r[6] + int(j)) for i, j in _union(np.stack([at, at + window], axis=1))]
-                if r[0] in hot or r[0] in split:
-                    fresh.append((r, np.flatnonzero(~x[: len(r[8]) - window + 1])))
-            out = [(-1, *s, None, None) for s in spans]
-            if fresh:
-                names = np.frombuffer(b"".join(hashlib.blake2b(r[8][i : i + window], digest_size=16).digest() for r, at in fresh for i in at.tolist()), _WINDOW)
-                places = np.array([(r[2], r[3], r[4], r[6] + i, r[5]) for r, at in fresh for i in at.tolist()], _PLACE)
+    often = np.sort(np.array(list(hot), np.int64))
+    columns = _PIECE.names[:-1]
+
+    def close(x: dict[str, np.ndarray], parts: list, split: list[int]):
+        order = np.lexsort((x["start"], x["tag"], x["id"], x["late"], x["h"]))  # shards of one anchor may have met again
+        x, parts = {c: v[order] for c, v in x.items()}, [parts[k] for k in order.tolist()]
+        first: dict[tuple, int] = {}
+        new = np.array([p is not None and first.setdefault((h, p), k) == k for k, (h, p) in enumerate(zip(x["h"].tolist(), parts, strict=True))], bool)
+        spans = [[x[c][~new] for c in ("tag", "row", "start", "end")]]  # an earlier piece's bytes: all of it is a repeat
+        x, parts = {c: v[new] for c, v in x.items()}, [p for p, k in zip(parts, new.tolist(), strict=True) if k]
+        runs = []
+        if parts:
+            later = np.concatenate(repeated_starts(parts, window))
+            sizes = np.array([len(p) for p in parts], np.int64)
+            begin = np.cumsum(sizes) - sizes
+            at = np.flatnonzero(later)
+            piece = np.searchsorted(begin, at, "right") - 1
+            head = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (at[1:] > at[:-1] + window)))[: len(at)]
+            tail = np.append(head[1:], len(at))[: len(head)] - 1
+            place = x["start"][piece] + at - begin[piece]
+            spans.append([x["tag"][piece[head]], x["row"][piece[head]], place[head], place[tail] + window])
+            wait = np.isin(x["h"], split)
+            if len(often):
+                wait |= often[np.minimum(np.searchsorted(often, x["h"]), len(often) - 1)] == x["h"]
+            fresh = np.repeat(wait, sizes) & ~later
+            ends = np.repeat(begin + sizes, sizes)
+            at = np.flatnonzero(fresh & (np.arange(len(fresh)) + window <= ends))
+            if len(at):
+                data, piece = b"".join(parts), np.searchsorted(begin, at, "right") - 1
+                names = np.frombuffer(b"".join(hashlib.blake2b(data[i : i + window], digest_size=16).digest() for i in at.tolist()), _WINDOW)
+                places = np.zeros(len(at), _PLACE)
+                for c in _PLACE.names:
+                    places[c] = x[c][piece]
+                places["start"] += at - begin[piece]
                 cell = (names["a"] % np.uint64(cells)).astype(np.int64)
                 order = np.lexsort((names["b"], names["a"], cell))
                 names, places, cell = names[order], places[order], cell[order]
                 heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))[: len(cell)]
-                for i, j in zip(heads, np.append(heads[1:], len(cell)), strict=True):
-                    out.append((int(cell[i]), None, None, None, None, names[i:j].tobytes(), places[i:j].tobytes()))
-            if out:
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _RUN.types, strict=True)], schema=_RUN)
+                runs = [(int(cell[i]), names[i:j].tobytes(), places[i:j].tobytes()) for i, j in zip(heads, np.append(heads[1:], len(cell)), strict=True)]
+        flat = [np.concatenate(v) for v in zip(*spans, strict=True)]
+        n, m = len(flat[0]), len(runs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1)), *map(pa.array, flat), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_RUN)
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs]), *(pa.nulls(m, pa.int64()) for _ in range(4)), *(pa.array([r[k] for r in runs], pa.binary()) for k in (1, 2))], schema=_RUN)
 
+    def run(batches):
+        x: dict[str, np.ndarray] = {c: np.zeros(0, np.int64) for c in columns}
+        parts: list = []
+        size, going = 0, None  # going: the anchor whose earlier part another shard has
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in _PIECE.names), strict=True):
-                n = r[7] - r[6] if r[8] is not None else 100
-                if rows and (r[:2] != rows[-1][:2]):
-                    own = 0
-                    if size >= limit:
-                        if (batch := close(False)) is not None:
-                            yield batch
-                        rows, size, cut = [], 0, False
-                elif own >= limit:
-                    if (batch := close(True)) is not None:
-                        yield batch
-                    rows, size, own, cut = [], 0, 0, True
-                rows.append(r)
-                size, own = size + n, own + n
-        if rows and (batch := close(False)) is not None:
-            yield batch
+            x = {c: np.append(x[c], b.column(c).to_numpy()) for c in columns}
+            parts += (own := b.column("part").to_pylist())
+            size += sum(len(p) for p in own if p is not None) + 100 * len(own)
+            while size >= limit:
+                change = np.flatnonzero((x["h"][1:] != x["h"][:-1]) | (x["salt"][1:] != x["salt"][:-1]))
+                sizes = np.cumsum([100 + len(p or b"") for p in parts])
+                # Whole anchors where they fit, else as much of the first one as does.
+                k = int(change[max(np.searchsorted(sizes[change], limit, "right") - 1, 0)]) + 1 if len(change) else len(parts)
+                more = sizes[k - 1] > 2 * limit
+                if more or not len(change):
+                    more, k = True, max(1, min(k, int(np.searchsorted(sizes, limit, "right"))))
+                last = int(x["h"][k - 1])
+                yield from close({c: v[:k] for c, v in x.items()}, parts[:k], [v for v in (going, last if more else None) if v is not None])
+                going = last if more else None
+                x, parts, size = {c: v[k:] for c, v in x.items()}, parts[k:], size - int(sizes[k - 1])
+        if parts:
+            yield from close(x, parts, [] if going is None else [going])
 
     return run
 
@@ -445,11 +463,13 @@ def repeated_spans(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = keyed(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "_row")
     docs = docs.withColumn("digest", F.sha2("text", 256)).withColumn("tag", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
-    ties = _found(docs, window).repartition(n, "k").sortWithinPartitions("k", "h", "kind", "tag", "pos").mapInArrow(_shared, "tag long, pos long, h long")
+    dealt = _found(docs, window).repartition(n, F.expr(f"IF(pos & 3 = {KNOWN}, xxhash64(h, tag, pos), h)"))
+    ties = dealt.sortWithinPartitions("h", "tag", "pos").mapInArrow(_shared, "tag long, pos long, h long")
     by_text = ties.groupBy("tag").agg(F.collect_list(F.struct("pos", "h")).alias("anchors"))
     firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.min("_row").alias("_row"))
     chosen = firsts.join(by_text, "tag").select(F.col("digest").alias("_digest"), "_row", "tag", F.col("doc_id").isNull().cast("int").alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "anchors")
-    suspects = _bucketed(docs.select("_row", "text", "digest").join(chosen, "_row").where("digest = _digest").drop("_digest"), "_row", n)
+    # Not by equality, or the digest would become a second key and the rows leave their buckets.
+    suspects = _bucketed(docs.select("_row", "text", "digest").join(chosen, "_row").where("instr(digest, _digest) = 1").drop("_digest"), "_row", n)
     counts = suspects.select(F.explode("anchors.h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     total = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
     most = max(HOT_ROWS, total * HOT_SHARE)  # so there are at most 1 / HOT_SHARE frequent anchors
@@ -512,3 +532,22 @@ def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: remove_repeats() of documents."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS o, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::bigint AS n,
+         hex(encode(coalesce(text, ''))) AS h
+  FROM documents
+), w AS (SELECT o, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT o, h, unnest(range(0, n - 99)) AS s FROM d)),
+l AS (SELECT o, s FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY o, s) > 1),
+i AS (SELECT o, s, sum(new) OVER (PARTITION BY o ORDER BY s) AS run FROM (SELECT o, s, CASE WHEN s <= lag(s) OVER (PARTITION BY o ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM l)),
+r AS (SELECT o, min(s) AS a, max(s) + 100 AS e FROM i GROUP BY o, run),
+c AS (
+  SELECT o, sum(e - a)::bigint AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS before
+  FROM (SELECT o, a, e, coalesce(lag(e) OVER (PARTITION BY o ORDER BY a), 0) AS p FROM r) JOIN d USING (o) GROUP BY o
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+       CASE WHEN n_spans IS NULL THEN sha256(t) ELSE sha256(unhex(before || substr(h, 2 * last + 1))) END AS kept_sha256
+FROM d LEFT JOIN c USING (o)
+"""
