@@ -337,18 +337,22 @@ def _split(groups: DataFrame, sets: DataFrame, parts: int, pivots: int, level: i
 
     A document is at home with its nearest pivot i. It also enters the region of j if
     d(x, j) - d(x, i) is at most twice the radius: a document linked to x may be at home there.
+    No distance exceeds 1, so at half or more from the nearest pivot that says nothing: such
+    documents have a region of their own, and enter that of j if d(x, j) is at most half and a radius.
     """
     h = F.xxhash64("tag", F.lit(level))
     chosen = groups.groupBy("grp", F.pmod(h, F.lit(pivots)).cast("int").alias("p")).agg(F.min(F.struct(h.alias("h"), "tag")).alias("x")).select("grp", "p", F.col("x.tag").alias("a"))
     every = _measured(_streams(groups.select("grp", F.col("tag").alias("b")), chosen, sets, parts, 500))
     near = "array_min(transform(dists, (x, i) -> struct(1 - x.both / cast(x.any AS double) AS d, i AS i)))"
-    rows = every.withColumn("near", F.expr(near)).select("grp", "b", "near", F.posexplode("dists").alias("i", "x")).select("grp", "b", "near", "i", "x.*").withColumn("d", F.expr("1 - both / cast(any AS double)"))
-    rows = landed(rows.where(f"d - near.d <= {2 * RADIUS!r}D"), "voronoi")
-    regions = rows.select(F.col("b").alias("tag"), F.expr("unhex(md5(concat(grp, pivot)))").alias("grp"), F.expr("i = near.i").alias("home"), F.expr(f"NOT ({LINKED})").alias("open"), "d")
-    return regions, rows.where(LINKED).where("b <> pivot").select(F.col("pivot").alias("a"), "b")
+    keep = f"filter(transform(dists, (x, i) -> struct(x.pivot AS pivot, x.both AS both, x.any AS any, i AS i, 1 - x.both / cast(x.any AS double) AS d)), x -> x.d <= least(near.d + {2 * RADIUS!r}D, {0.5 + RADIUS!r}D))"
+    rows = landed(every.withColumn("near", F.expr(near)).select("grp", "b", "near", F.expr(keep).alias("cells")), "voronoi")
+    cells = rows.select("grp", "b", "near", F.explode("cells").alias("x")).select("grp", "b", "near", "x.*")
+    regions = cells.select(F.col("b").alias("tag"), F.expr("unhex(md5(concat(grp, pivot)))").alias("grp"), F.expr("i = near.i AND near.d < 0.5D").alias("home"), F.expr(f"NOT ({LINKED})").alias("open"), "d")
+    outer = rows.where("near.d >= 0.5D").select(F.col("b").alias("tag"), F.expr("unhex(md5(concat(grp, cast('far' AS binary))))").alias("grp"), F.lit(True).alias("home"), F.lit(True).alias("open"), F.lit(1.0).alias("d"))
+    return regions.unionByName(outer), cells.where(LINKED).where("b <> pivot").select(F.col("pivot").alias("a"), "b")
 
 
-def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 250) -> DataFrame:
+def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 400) -> DataFrame:
     """a, b: links that connect the documents of each region as all its links do, tile by tile.
 
     groups: as from _pruned(). The open documents of a region and all of it are dealt
@@ -415,7 +419,7 @@ def _settled(groups: DataFrame, sets: DataFrame, parts: int, block: int = 250) -
     return tiles.mapInArrow(run, "a binary, b binary")
 
 
-def jaccard_links(texts: DataFrame, parts: int, common: np.ndarray, leaf: int = 400, pivots: int = 8, levels: int = 4) -> DataFrame:
+def jaccard_links(texts: DataFrame, parts: int, common: np.ndarray, leaf: int = 4000, pivots: int = 16, levels: int = 3) -> DataFrame:
     """a, b: links between distinct sets (by tag) whose components are those of all links.
 
     A region is compared once it has at most leaf * leaf open pairs, and otherwise split
