@@ -47,7 +47,7 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
         h, order = h[at], np.argsort(h[at])
         same = h[order][1:] == h[order][:-1]
         twice = np.zeros(len(flat) + 1, np.int64)
-        hit = at[order[np.append(same, False) | np.append(False, same)]]
+        hit = at[order[(np.append(same, False) | np.append(False, same))[: len(order)]]]
         twice[hit] += 1
         np.subtract.at(twice, np.minimum(hit + WINDOW, len(flat)), 1)
         repeat = np.bincount(doc[np.cumsum(twice[:-1]) > 0], minlength=len(n))
