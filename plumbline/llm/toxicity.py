@@ -121,14 +121,18 @@ def token_labels(words: np.ndarray, n: np.ndarray, toxic: np.ndarray, table_: np
     forms = np.unique(doc.astype(np.int64) << 32 | words)
     d, w = forms >> 32, forms & 0xFFFFFFFF
     total = np.bincount((toxic[d] > 0).astype(int), minlength=2)
-    once = np.unique((np.repeat(d, use.shape[1]) << BITS | use[w].ravel()) * len(table_) + np.repeat(w, use.shape[1])) // len(table_)
-    pairs, many = np.unique(once, return_counts=True)
-    kind, bad, many = pairs & ((1 << BITS) - 1), toxic[pairs >> BITS] > 0, np.minimum(many, most_forms).astype(float)
-    c1, c0 = (np.bincount(kind[x], many[x], 1 << BITS) for x in (bad, ~bad))
+    c1, c0, docs = (np.zeros(1 << BITS) for _ in range(3))
+    for column in use.T:
+        once = np.unique((d << BITS | column[w]) * len(table_) + w) // len(table_)
+        pairs, many = np.unique(once, return_counts=True)
+        kind, bad, many = pairs & ((1 << BITS) - 1), toxic[pairs >> BITS] > 0, np.minimum(many, most_forms).astype(float)
+        c1 += np.bincount(kind[bad], many[bad], 1 << BITS)
+        c0 += np.bincount(kind[~bad], many[~bad], 1 << BITS)
+        docs += np.bincount(kind[bad], minlength=1 << BITS)
     share = total[1] / max(total.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(c1 > 0, c1 * np.log(c1 / ((c1 + c0) * share)), 0) + np.where(c0 > 0, c0 * np.log(c0 / ((c1 + c0) * (1 - share))), 0))
-    strong = (g > strength) & (np.bincount(kind[bad], minlength=1 << BITS) >= least) & ((c1 + 0.5) / (total[1] + 1) > 8 * (c0 + 0.5) / (total[0] + 1))
+    strong = (g > strength) & (docs >= least) & ((c1 + 0.5) / (total[1] + 1) > 8 * (c0 + 0.5) / (total[0] + 1))
     return (strong[use].any(axis=1)[words] & (toxic[doc] > 0)).astype(float)
 
 
@@ -177,10 +181,11 @@ def fit_tagger(chains: list[np.ndarray], names: np.ndarray, table_: np.ndarray,
         r, s = messages(e, n, move)
         p = r * s / (1 + r * s)
         a, b = np.exp(move), np.exp(np.clip(e, -30, 30))[inner] * s[inner]
-        joint = np.array([[np.full(len(inner), a[0, 0]), a[0, 1] * b], [r[inner - 1] * a[1, 0], r[inner - 1] * a[1, 1] * b]])
+        joint = [a[0, 0], a[0, 1] * b, r[inner - 1] * a[1, 0], r[inner - 1] * a[1, 1] * b]
+        some = joint[0] + joint[1] + joint[2] + joint[3]
         push = np.bincount(words, y - p, len(table_))
         grad = np.bincount(table_.ravel(), np.repeat(push, table_.shape[1]), 1 << BITS) / len(n) - l2 * weights
-        turn = (seen - (joint / joint.sum(axis=(0, 1))).sum(axis=2)) / len(n)
+        turn = (seen - np.array([(x / some).sum() for x in joint]).reshape(2, 2)) / len(n)
         turn[0, 0] = 0
         sum_w, sum_m = sum_w + grad**2, sum_m + turn**2
         weights, move = weights + rate * grad / np.sqrt(sum_w), np.clip(move + rate * turn / np.sqrt(sum_m), -6, 3)
@@ -198,6 +203,10 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+#: A word's hash and features.
+_ROW = np.dtype([("name", "<u8"), ("features", "<u4", 8)])
+
+
 def _hashed(rows: DataFrame, most_tokens: int) -> DataFrame:
     """_toxic, names (64-bit hashes of the tokens, in order) and table (a hash and features of each distinct one) of rows of _text, _toxic."""
 
@@ -212,14 +221,15 @@ def _hashed(rows: DataFrame, most_tokens: int) -> DataFrame:
                 index = _Index()
                 chain = [index[w] for w in words]
                 name = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest() for w in index), "<u8")
-                rows = np.column_stack([name, np.array([features(w) for w in index], np.uint64).reshape(len(name), -1)]) if len(name) else np.zeros((0, 9), np.uint64)
+                rows = np.zeros(len(name), _ROW)
+                rows["name"], rows["features"] = name, np.array([features(w) for w in index], "<u4").reshape(-1, 8)
                 out.append((name[chain].tobytes() if chain else b"", rows.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("_toxic"), *(pa.array([x[i] for x in out], pa.binary()) for i in (0, 1))], ["_toxic", "names", "table"])
 
     return rows.select(F.col("_toxic").cast("int").alias("_toxic"), "_text").mapInArrow(run, "_toxic int, names binary, table binary")
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000, max_clean: int = 2000, most_tokens: int = 4000) -> Tagger:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000, max_clean: int = 2000, most_tokens: int = 2000) -> Tagger:
     """A tagger from at most max_toxic and max_clean labelled rows that aren't held out, the first by a hash.
 
     That is the one bounded sample. The driver gets the hashed features of its words, and of a
@@ -230,21 +240,26 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     clean = known.agg(F.avg((F.col("_toxic") == 0).cast("double"))).first()[0]
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL")
-    got = []
+    parts, chains, toxic = [np.zeros(0, _ROW)], [], []
     for kind, most in ((1, max_toxic), (0, max_clean)):
         # At most `most` ids: that bounds the broadcast. Rows that repeat an id are bounded by the second sample.
         ids = sampled(known.where(F.col("_toxic") == kind), most, "_id")
         rows = sampled(texts.join(F.broadcast(ids), "_id"), most, "_id", "_text")
-        got += sorted(map(tuple, _hashed(rows, most_tokens).collect()))
-    table_: dict[int, np.ndarray] = {}
-    chains = []
-    for _, names, rows in got:
-        for row in np.frombuffer(rows, "<u8").reshape(-1, 9):
-            table_.setdefault(int(row[0]), row[1:])
-        chains.append(np.frombuffer(names, "<u8"))
-    names = np.array(sorted(table_), np.uint64)
-    feats = np.array([table_[int(x)] for x in names], np.int64).reshape(len(names), 8)
-    return fit_tagger([np.searchsorted(names, x) for x in chains], names, feats, np.array([x[0] for x in got], float), clean)
+        for b in _hashed(rows, most_tokens).toArrow().to_batches():
+            for names, table_ in zip(b.column("names"), b.column("table"), strict=True):
+                chains.append(np.frombuffer(names.as_buffer(), "<u8").copy())
+                toxic.append(kind)
+                parts.append(np.frombuffer(table_.as_buffer(), _ROW).copy())
+                if len(parts) > 200:
+                    parts = [_distinct(parts)]
+    words = _distinct(parts)
+    order = sorted(range(len(chains)), key=lambda k: (-toxic[k], chains[k].tobytes()))
+    return fit_tagger([np.searchsorted(words["name"], chains[k]).astype(np.int32) for k in order], words["name"], words["features"].astype(np.int64), np.array([toxic[k] for k in order], float), clean)
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    return rows[np.unique(rows["name"], return_index=True)[1]]
 
 
 def _marker(tagger: Tagger, most_words: int):
