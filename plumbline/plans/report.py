@@ -52,3 +52,11 @@ def run_report(points: DataFrame, cfg: Config = Config(), filename: str = "", el
         "flatness_cells": grid.flatness_cells(own, cfg.flatness_grid, cfg.min_points),
         "report": one.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("report")),
     }
+
+
+def write_report(points: DataFrame, folder: str, timestamp: str, **kwargs) -> str:
+    """Write run_report() below folder/timestamp: a Parquet table a chart, and the document as text. Returns that path."""
+    path = f"{folder.rstrip('/')}/{timestamp}"
+    for name, df in run_report(points, timestamp=timestamp, **kwargs).items():
+        (df.write.text if name == "report" else df.write.parquet)(f"{path}/{name}")
+    return path

@@ -64,9 +64,21 @@ def read_header(path: str) -> dict:
     return {"count": count, "properties": properties, "start": start, "width": width}
 
 
+def sampled_numbers(n: int, k: int, seed: int) -> np.ndarray:
+    """k different numbers under n, ascending, each set of them as likely: memory is in proportion to k, never to n."""
+    rng, own = np.random.default_rng(seed), np.zeros(0, np.int64)
+    most = min(k, n - k)  # the fewer of those taken and those left out are drawn
+    while len(own) < most:
+        own = np.unique(np.append(own, rng.integers(0, n, most - len(own) + most // 16 + 16)))
+    own = np.sort(rng.permutation(own)[:most])
+    return own if most == k else np.setdiff1d(np.arange(n), own, assume_unique=True)
+
+
 class _Range(InputPartition):
-    def __init__(self, first: int, end: int):
-        self.first, self.end = first, end
+    """Vertices first to end; own: those of them that a sample takes (None: all)."""
+
+    def __init__(self, first: int, end: int, own: np.ndarray | None = None):
+        self.first, self.end, self.own = first, end, own
 
 
 class PlySource(DataSource):
@@ -87,16 +99,15 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.head = options["path"], read_header(options["path"])
         self.chunk = int(options.get("chunk_size", 1_000_000))
-        n, k = self.head["count"], int(options.get("max_points", 0))
-        # Driver memory holds the sampled numbers alone, as many as were asked for.
-        self.sample = np.sort(np.random.default_rng(int(options.get("seed", 42))).choice(n, k, replace=False)) if 0 < k < n else None
+        self.most, self.seed = int(options.get("max_points", 0)), int(options.get("seed", 42))
 
     def partitions(self):
         n = self.head["count"]
-        first = np.arange(0, n, self.chunk)
-        if self.sample is not None:
-            first = first[np.unique(self.sample // self.chunk)]
-        return [_Range(int(a), int(min(a + self.chunk, n))) for a in first]
+        if not 0 < self.most < n:
+            return [_Range(a, min(a + self.chunk, n)) for a in range(0, n, self.chunk)]
+        sample = sampled_numbers(n, self.most, self.seed)
+        first, at = np.unique(sample // self.chunk, return_index=True)
+        return [_Range(a, min(a + self.chunk, n), own) for a, own in zip((first * self.chunk).tolist(), np.split(sample, at[1:]), strict=True)]
 
     def read(self, part):
         h = self.head
@@ -104,9 +115,8 @@ class _Reader(DataSourceReader):
             raw = f.read_at((part.end - part.first) * h["width"], h["start"] + part.first * h["width"])
         rows = np.frombuffer(raw, np.dtype([(n, SCALARS[t][0]) for n, t in h["properties"]]))
         index = np.arange(part.first, part.end)
-        if self.sample is not None:
-            own = self.sample[np.searchsorted(self.sample, part.first) : np.searchsorted(self.sample, part.end)]
-            rows, index = rows[own - part.first], own
+        if part.own is not None:
+            rows, index = rows[part.own - part.first], part.own
         columns = [pa.array(index, pa.int64()), *(pa.array(np.ascontiguousarray(rows[n])).cast(_ARROW[SCALARS[t][1]]) for n, t in h["properties"])]
         yield pa.RecordBatch.from_arrays(columns, ["vertex_idx", *(n for n, _ in h["properties"])])
 
@@ -126,13 +136,24 @@ def read_ply(spark, path: str, **options):
     return df.select(*columns)
 
 
+def observed(df, name: str = "points"):
+    """(df, observation): once an action on df ran, observation.get["rows"] is the number of rows that it read."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def list_files(spark, folder: str):
-    """path, length, size (readable) of the *.ply files of a folder, by name."""
+    """path, length, size (readable) of the *.ply files of a folder, by name; FileNotFoundError if there are none."""
     from pyspark.sql import functions as F
 
     from ..functions.text import format_size
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(folder)
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no *.ply files in {folder}")
     return files.select("path", "length", format_size(F.col("length")).alias("size")).orderBy("path")
 
 

@@ -91,6 +91,16 @@ def test_ply_round_trip(spark, tmp_path):
     assert np.allclose(got["x"], cols["x"]) and np.allclose(got["r"] * 255, cols["red"])
     assert ply.read_ply(spark, str(path), chunk_size="700", max_points="100").count() == 100
     assert ply.list_files(spark, str(tmp_path)).first().size.endswith("KB")
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        ply.list_files(spark, str(tmp_path / "none"))
+    few = ply.read_ply(spark, str(path), chunk_size="100", max_points="5")
+    assert few.rdd.getNumPartitions() <= 5 and few.count() == 5
+    rows, seen = ply.observed(ply.read_ply(spark, str(path), max_points="2400", seed="7"))
+    assert rows.count() == seen.get["rows"] == 2400
+    for n, k in ((10, 3), (10, 9), (1000, 500), (10**12, 50)):
+        got = ply.sampled_numbers(n, k, 5)
+        assert len(np.unique(got)) == k and got.min() >= 0 and got.max() < n
     for bad in (b"ply\nformat ascii 1.0\nend_header\n", b"ply\nformat binary_little_endian 1.0\n", path.read_bytes()[:-5]):
         (tmp_path / "bad.ply").write_bytes(bad)
         with pytest.raises(ValueError):
@@ -153,13 +163,16 @@ def test_missing_columns(spark):
     assert len(same) == 100 and sum(r.passed for r in same) == 6000
 
 
-def test_run_report(spark):
+def test_run_report(spark, tmp_path):
     got = report.run_report(points(spark, SF), filename="a.ply", timestamp="t", total_points=9000)
     assert set(got) == {"z_histogram", "fwhm_overlay", "filtering_funnel", "intensity_histogram", "color_histogram", "floor_ratio", "sensitivity", "flatness_cells", "report"}
     doc = json.loads(got["report"].first()[0])
     assert doc["metadata"] | {"max_points": 0} == {"file": "a.ply", "timestamp": "t", "elapsed_seconds": None, "view_mode": 4, "total_points": 9000, "max_points": 0, "actual_points": 6000}
     assert doc["filtering"]["after_refinement"] == 3699 and doc["flatness"]["valid_cells"] == 56 and len(doc["sensitivity"]) == 3
     assert got["filtering_funnel"].count() == 3 and got["floor_ratio"].first().floor == 3699
+    empty = report.write_report(points(spark, SF).where("false"), tmp_path.as_uri(), "20240102")
+    assert json.loads(spark.read.text(f"{empty}/report").first()[0])["flatness"]["mean_tilt"] is None
+    assert spark.read.parquet(f"{empty}/filtering_funnel").count() == 3
 
 
 def test_roi_context(spark):
