@@ -59,12 +59,12 @@ SALTS = 32
 
 
 def _tag(keys: np.ndarray) -> bytes:
-    """127 bits for a set: equal sets have equal tags. The last bit is set, so that no tag ends in a zero byte."""
-    d = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
-    return d[:15] + bytes([d[15] | 1])
+    """95 bits for a set: equal sets have equal tags. The last bit is set, so that no tag ends in a zero byte."""
+    d = hashlib.blake2b(keys.tobytes(), digest_size=12).digest()
+    return d[:11] + bytes([d[11] | 1])
 
 
-def _common(sets: list[np.ndarray], share: float = 0.005, least: int = 3) -> list[dict]:
+def _often(sets: list[np.ndarray], share: float = 0.005, least: int = 3) -> list[dict]:
     """The shingles that at least this share of these sets have (and `least` of them), and how many do."""
     most = max(least, share * len(sets))
     keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -83,7 +83,7 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in (c for b in batches for c in chunks(b, "text")):
             found = sets(b.column("text").to_pylist())
             tags = [_tag(x) for x in found]
-            common = [_common(list(dict(zip(tags, found, strict=True)).values()))] + [None] * (len(found) - 1)
+            common = [_often(list(dict(zip(tags, found, strict=True)).values()))] + [None] * (len(found) - 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(tags, pa.binary()), *(b.column(c) for c in more), pa.array(common[: len(found)], kind)], ["doc_id", "n", "tag", *more, "common"])
 
     return _texts(df, id_col, text_col, *more).mapInArrow(run, ", ".join(["doc_id long", "n long", "tag binary", *(f"{c} long" for c in more), "common array<struct<key: long, n: long>>"]))
@@ -135,7 +135,7 @@ def shared_sets(texts: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
             yield order[i:j], (int(part[i]), _blob(tags[own]), _blob(n[own].astype("<u4")), _blob(np.diff(np.append(head, j - i)).astype("<u4")), _blob(keys[i:j]))
 
     def bucket(tags):
-        return (tags.view("u1").reshape(-1, 16)[:, :8].copy().view("<u8").ravel() % np.uint64(parts)).astype(np.int64)
+        return (tags.view("u1").reshape(-1, 12)[:, :8].copy().view("<u8").ravel() % np.uint64(parts)).astype(np.int64)
 
     def scatter(batches):
         sets = Shingler()
@@ -143,7 +143,7 @@ def shared_sets(texts: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
             by_tag = {_tag(x): x for x in sets(b.column("text").to_pylist()) if len(x)}
             if not by_tag:
                 continue
-            tags, n = np.array(list(by_tag), "S16"), np.array([len(x) for x in by_tag.values()], np.int64)
+            tags, n = np.array(list(by_tag), "S12"), np.array([len(x) for x in by_tag.values()], np.int64)
             keys, who = np.concatenate(list(by_tag.values())), np.repeat(np.arange(len(n)), n)
             part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             if len(common):
@@ -154,9 +154,9 @@ def shared_sets(texts: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
 
     def unpack(rows):
         """The distinct tags of packed rows; flat tag numbers, n, keys."""
-        tags, n, many, keys = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((0, "S16"), (1, "<u4"), (2, "<u4"), (3, "<u8")))
+        tags, n, many, keys = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((0, "S12"), (1, "<u4"), (2, "<u4"), (3, "<u8")))
         names, codes = np.unique(tags, return_inverse=True)
-        return names, np.repeat(codes, many), np.repeat(n, many).astype(np.int64), keys
+        return names, np.repeat(codes.astype(np.int32), many), np.repeat(n, many).astype(np.int32), keys
 
     def grouped(batches, columns):
         """Rows of a stream sorted by its first column, by that column."""
@@ -186,7 +186,7 @@ def shared_sets(texts: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
             once = new | np.append(True, who[1:] != who[:-1])  # copies of a set count once
             who, n, keys, new = who[once], n[once], keys[once], new[once]
             size = np.diff(np.append(np.flatnonzero(new), len(keys)))
-            size = np.minimum(np.repeat(size, size), 2**32 - 2)
+            size = np.repeat(np.minimum(size, 2**32 - 2).astype(np.uint32), size)
             who, n, keys, size = (x[size > 1] for x in (who, n, keys, size))
             if not len(who):
                 continue
@@ -208,7 +208,7 @@ def shared_sets(texts: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
             first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
             out = []
             for i, j in zip(first, np.append(first[1:], len(who)), strict=True):
-                need = (3 * n[i] + 3) // 4
+                need = (3 * int(n[i]) + 3) // 4
                 if j - i >= need:
                     out.append((names[who[i]], int(n[i]), np.sort(keys[i:j]).view(np.int64), keys[i : j - need + 1].view(np.int64)))
                 if len(out) >= 2000 or (out and j == len(who)):
@@ -470,13 +470,13 @@ def _back(rows: DataFrame, classes: DataFrame, value: str) -> DataFrame:
     return rows.join(held, ["tag", "_s"], "left").drop("_s")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000, **options) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 2_500_000, **options) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: components of links of similarity 0.75 or more.
 
     Defined cases: a null, empty or blank text has no shingles and is its own component;
     fewer than five words are one shingle; equal sets are one document with many rows; a
     null id takes the smallest id of its component, and counts for none; a repeated id gets a
-    row each; an empty table gives no rows; other columns are ignored. Sets are named by 127
+    row each; an empty table gives no rows; other columns are ignored. Sets are named by 95
     bits of a digest and shingles by 64 bits.
     """
     rows = landed(shingle_sets(keyed(df), id_col, text_col, "_row"), "shingle-sets")
@@ -486,7 +486,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 1_500_000) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_shingles: int = 2_500_000) -> DataFrame:
     """df with one row of each component, one of the smallest id; columns as they were.
 
     Rows are told apart by keyed(): a row with a null id goes if its component has a row
