@@ -20,6 +20,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "learned"]
 #: What may be a credential that no pattern names: a run of these with a digit and a letter.
 CANDIDATE, RUN, DIGIT, LETTER = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile(r"[A-Za-z0-9+/_=-]{5,}"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Runs of more characters train no automaton (candidates of any length are scored).
+LONGEST = 128
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -88,8 +90,10 @@ class Automaton:
                 if not any(self._merged(r, q) for r in own):
                     own.append(q)
             kept += own
-        for i, q in enumerate(kept):
-            any(self._merged(r, q) for r in kept[:i] if min(self.seen[self.find(r)], self.seen[self.find(q)]) >= least)
+        strong: list[int] = []
+        for q in kept:
+            if self.seen[self.find(q)] >= least and not any(self._merged(r, q) for r in strong):
+                strong.append(q)
         self.states = len({self.find(x) for x in kept})
 
     def find(self, s: int) -> int:
@@ -153,7 +157,7 @@ class Formats:
         self.ordinary = Automaton(ordinary) if ordinary else None
         self.by_kind = []
         for _, v in sorted(values.items()):
-            v = sorted({x for x in v if len(x) >= 16 and DIGIT.search(x) and LETTER.search(x)})
+            v = sorted({x for x in v if 16 <= len(x) <= LONGEST and DIGIT.search(x) and LETTER.search(x)})
             if len(v) >= 20:
                 a = Automaton(v)
                 self.by_kind.append((a, sorted(a.rate(x) for x in v)[len(v) // 20]))
@@ -199,7 +203,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words = text.split()
                 seed = zlib.crc32(text.encode("utf-8", "replace"))
                 picked = (m[0] for k in range(4) if words for m in RUN.finditer(words[(seed * (2 * k + 1) >> k) % len(words)]))
-                ordinary.append([x for x in picked if (len(x) < 16 or not DIGIT.search(x)) and not base_spans(x)])
+                ordinary.append([x for x in picked if len(x) <= LONGEST and (len(x) < 16 or not DIGIT.search(x)) and not base_spans(x)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, schema.field("spans").type), pa.array(ordinary, pa.list_(pa.string()))], schema=schema)
 
     seen = landed(rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: int, start: int, end: int, value: string>>, ordinary array<string>"), "secrets")
