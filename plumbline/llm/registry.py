@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, warc
+from . import exact_dedup, jaccard_join, lexical, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, warc
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_secrets": secrets.op8_secrets,
         "op9_token_records": token_records.op9_token_records,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_lexical_search": lexical.op11_lexical_search,
     }
 
 
 def oracle_sql():
-    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_lexical_search": lexical.SQL}
