@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lexical, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, warc
+from . import exact_dedup, jaccard_join, lexical, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, vectors, warc
 
 
 def queries():
@@ -18,8 +18,9 @@ def queries():
         "op9_token_records": token_records.op9_token_records,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op13_vector_search": vectors.op13_vector_search,
     }
 
 
 def oracle_sql():
-    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_lexical_search": lexical.SQL}
+    return {"op1_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_lexical_search": lexical.SQL, "op13_vector_search": vectors.SQL}
