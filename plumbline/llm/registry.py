@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lexical, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, vectors, warc
+from . import alignment, exact_dedup, jaccard_join, lexical, mixing, quality, secrets, suffix_dedup, token_records, toxicity, unigram, vectors, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_token_records": token_records.op9_token_records,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_token_alignment": alignment.op12_token_alignment,
         "op13_vector_search": vectors.op13_vector_search,
     }
 

@@ -103,6 +103,7 @@ class Shard:
         size = (self.end - self.start)[order]
         done = np.cumsum(size)
         acc, met, at = np.zeros(n), np.zeros(n, np.int64), 0
+        most, begun = np.maximum.reduceat(high, self.first), np.zeros(self.dim, bool)
         self.seen += int(done[-1])
         for share in LOOKS:
             to = int(np.searchsorted(done, share * done[-1])) + 1
@@ -111,13 +112,15 @@ class Shard:
             acc += np.bincount(place, np.repeat(low[s], size[at:to]), n)
             met += np.bincount(place, minlength=n)
             self.processed += len(place)
+            begun[self.seg_dim[s]] = True
             at = min(to, len(order))
             left = int(high[order[at]]) if at < len(order) else 0  # no posting to come adds more
+            rest = (begun.sum() - met) * left + most[~begun].sum()  # what the dimensions not met yet add, at most
             floor = acc.copy()
             if own >= 0:
                 floor[own] = -1
             least = np.partition(floor, n - k)[n - k]
-            possible = every[acc + wide + (len(used) - met) * left >= least]
+            possible = every[acc + wide + rest >= least]
             if len(possible) * len(used) <= done[-1] - done[at - 1] or at == len(order):
                 return possible
         return every
