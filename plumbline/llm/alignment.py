@@ -12,7 +12,7 @@ import json
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import cache
+from functools import cache, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import landed, ship, table
+from ._common import filesystem, landed, shared_dir, ship, table
 from .units import chunks
 from .unigram import BYTE, read_pieces
 
@@ -30,8 +30,8 @@ MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Where a space has white space, or the text's end, beside it.
 _ODD = re.compile(r"\s | \s| \Z")
-PARTS = "part long, ids array<long>, n_units array<int>, flat array<int>, units array<string>, times array<long>"
-#: Pairs up to so many are broadcast (their number is counted first); more are joined by shuffle.
+PARTS = "part int, ids array<long>, n_units array<int>, flat array<int>, units array<string>, times array<long>"
+#: Up to so many pairs (they are counted first) tasks read the table of pairs whole; more are joined by shuffle.
 MOST_PAIRS = 1 << 20
 
 
@@ -87,19 +87,19 @@ def _pieces(path: str):
     return model, out
 
 
-def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20) -> DataFrame:
-    """Landed parts of the documents, about part_bytes of text each: ids, how many units each has, their numbers, and the part's distinct units with counts.
+def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20) -> str:
+    """A folder with parts of the documents, about part_bytes of text each: ids, how many units each has, their numbers, and the part's distinct units with counts.
 
     A null or empty text, and one with the marker character (which the second tokenizer spells as a space), has no units.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, flat, names, size, k = [], [], [], {}, 0, TaskContext.get().partitionId() << 32
+        ids, sizes, flat, names, size, k = [], [], [], {}, 0, TaskContext.get().partitionId() << 12
 
         def row():
             all_flat = np.concatenate(flat)
             cols = [[k], [ids], [np.array(sizes, np.int32)], [all_flat], [list(names)], [np.bincount(all_flat, minlength=len(names))]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PARTS.split(", ")])
 
         for b in (c for b in batches for c in chunks(b, "text")):
@@ -118,12 +118,14 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
         if ids:
             yield row()
 
+    uri = shared_dir(docs.sparkSession, "alignment-parts")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return landed(rows.mapInArrow(cut, PARTS), "alignment-parts")
+    rows.mapInArrow(cut, PARTS).write.partitionBy("part").option("compression", "zstd").parquet(uri)
+    return uri
 
 
 def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """units (unit, times) landed with uid and tokens a, b: arrays of (id, len), len in bytes. Each unit's tokens are checked to spell it."""
+    """units (unit, times, homes) landed with uid and tokens a, b: arrays of id << 8 | length in bytes. Each unit's tokens are checked to spell it."""
 
     def run(batches):
         (ta, bytes_a), (tb, bytes_b) = _byte_level(a_path), _pieces(b_path)
@@ -133,17 +135,16 @@ def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
             flat = np.fromiter(chain.from_iterable(lists), np.int32)
             if b"".join(map(spelt.__getitem__, flat.tolist())) != want:
                 raise ValueError("tokens don't spell their text")
-            return pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32), pa.StructArray.from_arrays([pa.array(flat), pa.array(lens[flat])], ["id", "len"]))
+            return pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32), pa.array(flat << 8 | lens[flat]))
 
         for b in (c for b in batches for c in chunks(b, "unit", 1 << 20)):
             texts = b.column("unit").to_pylist()
             want = "".join(texts).encode()
             a = tokens([x.ids for x in ta.encode_batch_fast(texts, add_special_tokens=False)], bytes_a, len_a, want)
             bb = tokens(tb.encode([x[1:] for x in texts], num_threads=1), bytes_b, len_b, want)
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("times"), a, bb], ["unit", "times", "a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("times"), b.column("homes"), a, bb], ["times", "homes", "a", "b"])
 
-    kind = "array<struct<id: int, len: int>>"
-    return landed(units.mapInArrow(run, f"unit string, times long, a {kind}, b {kind}").withColumn("uid", F.monotonically_increasing_id()), "alignment-units")
+    return landed(units.mapInArrow(run, "times long, homes array<long>, a array<int>, b array<int>").withColumn("uid", F.monotonically_increasing_id()), "alignment-units", compression="zstd")
 
 
 @contextmanager
@@ -158,43 +159,76 @@ def _together(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def _dealt(units: DataFrame, *columns: str) -> DataFrame:
+    return units.select("uid", *columns).repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
+
+
 def _ends(units: DataFrame, side: str) -> DataFrame:
     """uid, end, id of one tokenizer: tokens by place, with running sums of their lengths."""
-    t = units.select("uid", side).repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid").select("uid", F.posexplode(side).alias("pos", "t"))
-    end = F.sum("t.len").over(Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return t.select("uid", end.alias("end"), F.col("t.id").alias(f"{side}_id"))
+    t = _dealt(units, side).select("uid", F.posexplode(side).alias("pos", "t"))
+    end = F.sum(F.expr("t & 255")).over(Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return t.select("uid", end.alias("end"), F.shiftright("t", 8).cast("long").alias(f"{side}_id"))
 
 
 def aligned(units: DataFrame) -> DataFrame:
-    """uid, n_a, n_b, n_groups, links, groups of each unit, landed. links: (a << 32 | b) of each pair of tokens whose bytes overlap.
+    """times, homes, cells of each unit, landed. A cell is a << 32 | b << 2 | flags: the two tokens over a stretch of bytes, and whether a (1) and b (2) end with it.
 
     The join's rows are the stretches between ends of either tokenizer. A stretch lies in one token of each, the
-    first to end there or later, and two tokens that overlap share exactly one stretch, so the
-    links of a group of m and n tokens are at most m + n - 1 rows and never all pairs. Counted from the unit's end, each end that
-    both share begins a group.
+    first to end there or later, and two tokens that overlap share exactly one stretch. So cells are the
+    links, at most m + n - 1 of a group of m and n tokens and never all its pairs; flags 3 are the shared ends, which close a group.
     """
     back = Window.partitionBy("uid").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
     rows = _ends(units, "a").join(_ends(units, "b"), ["uid", "end"], "full")
-    rows = rows.select("uid", "end", "a_id", "b_id", F.last("a_id", True).over(back).alias("a"), F.last("b_id", True).over(back).alias("b"), (-F.sum(both.cast("int")).over(back)).alias("g"))
-    # Tokens in the order of the digest: by group, the first tokenizer's before the other's, by end.
-    token = lambda side, k: F.when(F.col(f"{side}_id").isNotNull(), F.struct(F.col("g"), F.lit(k).alias("k"), F.col("end"), F.col(f"{side}_id").alias("id")))
-    one = rows.groupBy("uid").agg(
-        F.count("a_id").cast("int").alias("n_a"), F.count("b_id").cast("int").alias("n_b"), F.count_if(both).cast("int").alias("n_groups"),
-        F.collect_list(F.expr("(cast(a AS bigint) << 32) | b")).alias("links"), F.array_sort(F.concat(F.collect_list(token("a", 0)), F.collect_list(token("b", 1)))).alias("t"),
-    )
-    sep = "CASE WHEN i = 0 THEN '' WHEN x.g <> t[i - 1].g THEN ';' WHEN x.k <> t[i - 1].k THEN '|' ELSE ',' END"
+    flags = "IF(a_id IS NULL, 0L, 1L) | IF(b_id IS NULL, 0L, 2L)"
+    rows = rows.select("uid", "end", F.last("a_id", True).over(back).alias("a"), F.last("b_id", True).over(back).alias("b"), F.expr(flags).alias("flags"))
+    one = rows.select("uid", F.struct("end", F.expr("(a << 32) | (b << 2) | flags").alias("cell")).alias("c")).groupBy("uid").agg(F.sort_array(F.collect_list("c")).alias("c"))
     with _together(units.sparkSession):
-        return landed(one.select("uid", "n_a", "n_b", "n_groups", "links", F.expr(f"array_join(transform(t, (x, i) -> concat({sep}, x.id)), '')").alias("groups")), "alignment")
+        return landed(one.join(_dealt(units, "times", "homes"), "uid").select("uid", "times", "homes", F.col("c.cell").alias("cells")), "alignment", compression="zstd")
 
 
-def pair_counts(units: DataFrame, found: DataFrame) -> DataFrame:
-    """link, n, best, landed: how many links of all documents hold each pair of ids, and whether none of its second id's is higher."""
-    n = found.select("uid", F.explode("links").alias("link")).groupBy("uid", "link").agg(F.count("*").alias("m")).join(units.select("uid", "times"), "uid").groupBy("link").agg(F.sum(F.expr("m * times")).alias("n"))
-    top = F.max("n").over(Window.partitionBy(F.expr("cast(link & 4294967295 AS int)")))
+def pair_counts(found: DataFrame) -> DataFrame:
+    """link (a << 30 | b), n, best, landed in order: how many links of all documents hold each pair of ids, and whether none of its second id's is higher."""
+    n = found.select("times", F.explode("cells").alias("cell")).groupBy(F.shiftright("cell", 2).alias("link")).agg(F.sum("times").alias("n"))
+    top = F.max("n").over(Window.partitionBy(F.expr("link & 1073741823")))
     return landed(n.select("link", "n", (F.col("n") == top).alias("best")), "alignment-pairs")
 
 
+@lru_cache(2)
+def _pair_table(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The landed pairs, sorted by link."""
+    t = _read(uri)
+    link = t.column("link").to_numpy()
+    order = np.argsort(link)
+    return link[order], t.column("n").to_numpy()[order], t.column("best").to_numpy(zero_copy_only=False)[order]
+
+
+def _read(uri: str) -> pa.Table:
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, top = filesystem(uri)
+    return pa.concat_tables(pq.read_table(f.path, filesystem=fs, partitioning=None) for f in fs.get_file_info(pafs.FileSelector(top)) if f.path.endswith(".parquet"))
+
+
+def spelt(cells: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The groups of each unit as text, from its cells; the running count of shared ends numbers the groups."""
+    flags, link = cells & 3, cells >> 2
+    group = np.cumsum(flags == 3) - (flags == 3)
+    a, b = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
+    key = np.concatenate([group[a] * 2, group[b] * 2 + 1])
+    order = np.argsort(key, kind="stable")
+    key, ids = key[order], np.concatenate([link[a] >> 30, link[b] & 0x3FFFFFFF])[order]
+    # A token after another one of its kind in the group, after the group's first kind, or in a new group.
+    mark = np.where(np.diff(key, prepend=-2) == 0, 0, np.where(key & 1, 1, 2))
+    names = [[f"{m}{i}" for i in range(int(ids.max(initial=0)) + 1)] for m in ",|;"]
+    table = np.array(names, object)
+    pieces = table[mark, ids].tolist()
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    count = np.bincount(np.concatenate([unit[a], unit[b]]), minlength=len(sizes))
+    ends = np.cumsum(count)
+    return ["".join(pieces[s:e])[1:] for s, e in zip((ends - count).tolist(), ends.tolist(), strict=True)]
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 32 << 20, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document.
 
@@ -204,34 +238,56 @@ def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 32 << 20,
     spaces as one unit; an empty table gives no rows; other columns are ignored.
     """
     spark = ship(docs.sparkSession)
-    dealt = parts(docs, part_bytes=part_bytes)
-    named = dealt.select("part", F.posexplode(F.arrays_zip("units", "times")).alias("no", "x")).select("part", "no", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
-    units = encoded(named.groupBy("unit").agg(F.sum("times").alias("times")), a_path, b_path)
+    uri = parts(docs, part_bytes=part_bytes)
+    dealt = spark.read.schema(PARTS).parquet(uri)
+    named = dealt.select("part", F.posexplode(F.arrays_zip("units", "times")).alias("no", "x")).select(F.col("x.units").alias("unit"), F.col("x.times").alias("times"), F.expr("cast(part AS bigint) << 32 | no").alias("home"))
+    units = encoded(named.groupBy("unit").agg(F.sum("times").alias("times"), F.collect_list("home").alias("homes")), a_path, b_path)
     found = aligned(units)
-    pairs = pair_counts(units, found)
-    if pairs.count() <= most_pairs:
-        pairs = F.broadcast(pairs)
-    scored = found.select("uid", F.explode("links").alias("link")).join(pairs, "link").groupBy("uid").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    whole = units.select("uid", "unit").join(found.drop("links"), "uid").join(scored, "uid").drop("uid")
-    cells = named.select(F.col("part").alias("of"), "no", "unit").join(whole, "unit").drop("unit")
+    pairs = pair_counts(found)
+    if pairs.count() <= most_pairs:  # tasks look their links up in the whole table of pairs
+        pair_uri, scores = pairs.inputFiles()[0].rpartition("/")[0], F.array().cast("array<bigint>")
+    else:  # links are joined with theirs
+        scored = found.select("uid", F.explode("cells").alias("cell")).withColumn("link", F.shiftright("cell", 2)).join(pairs, "link").groupBy("uid").agg(F.array(F.count_if("best"), F.sum("n")).alias("scores"))
+        pair_uri, found, scores = None, found.join(scored, "uid"), F.col("scores")
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
-    def gather(docs: pa.Table, units: pa.Table) -> pa.Table:
-        order = np.argsort(units.column("no").to_numpy())
-        groups = units.column("groups").take(order).to_pylist()
-        value = np.array([units.column(c).to_numpy()[order] for c in sums], np.int64).reshape(len(sums), -1)
-        out = []
-        for d in docs.to_batches():
-            for ids, size, flat in zip(*(d.column(c) for c in ("ids", "n_units", "flat")), strict=True):
-                size, flat = size.values.to_numpy(), flat.values.to_numpy()
-                ends = np.cumsum(size, dtype=np.int64)
-                runs = np.concatenate([np.zeros((len(sums), 1), np.int64), np.cumsum(value[:, flat], axis=1)], axis=1) if len(flat) else np.zeros((len(sums), 1), np.int64)
-                digest = [hashlib.sha256(";".join(map(groups.__getitem__, flat[e - s : e].tolist())).encode()).hexdigest() if s else "" for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
-                out.append(pa.table([pa.array(ids.values.to_pylist(), pa.int64()), *(pa.array(r[ends] - r[ends - size]) for r in runs), pa.array(digest, pa.string())], ["doc_id", *sums, "groups_sha256"]))
-        return pa.concat_tables(out)
+    def whole(ids, value, size, flat, groups):
+        ends = np.cumsum(size, dtype=np.int64)
+        digest = [hashlib.sha256(";".join(map(groups.__getitem__, flat[e - s : e].tolist())).encode()).hexdigest() if s else "" for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
+        cols = []
+        for v in value:
+            run = np.append(0, np.cumsum(v[flat]))
+            cols.append(pa.array(run[ends] - run[ends - size]))
+        return pa.table([pa.array(ids, pa.int64()), *cols, pa.array(digest, pa.string())], ["doc_id", *sums, "groups_sha256"])
+
+    def gather(units: pa.Table) -> pa.Table:
+        units = units.combine_chunks()
+        home = units.column("home").to_numpy()
+        order = np.argsort(home)
+        lists = units.column("cells").combine_chunks().take(pa.array(order))
+        cells, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        start = np.cumsum(size) - size
+        per = lambda x: np.add.reduceat(x.astype(np.int64), start)
+        if pair_uri:
+            keys, n, best = _pair_table(pair_uri)
+            at = np.searchsorted(keys, cells >> 2)
+            scores = [per(best[at]), per(n[at])]
+        else:
+            scores = units.column("scores").combine_chunks().take(pa.array(order)).flatten().to_numpy().reshape(-1, 2).T
+        value = [per(cells & 1), per(cells >> 1 & 1), per((cells & 3) == 3), size.astype(np.int64), *scores]
+        groups = spelt(cells, size)
+        docs = _read(f"{uri}/part={home[0] >> 32}")
+        return pa.concat_tables(whole(x.column("ids")[0].values.to_pylist(), value, x.column("n_units")[0].values.to_numpy(), x.column("flat")[0].values.to_numpy(), groups) for x in (docs.slice(i, 1).combine_chunks() for i in range(len(docs))))
+
+    def bare(batches):
+        for b in batches:
+            for ids in b.column("ids").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(np.zeros(len(ids), np.int64))] * len(sums), pa.array([""] * len(ids))], ["doc_id", *sums, "groups_sha256"])
 
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in sums), "groups_sha256 string"])
-    return dealt.select("part", "ids", "n_units", "flat").groupBy("part").cogroup(cells.groupBy("of")).applyInArrow(gather, schema)
+    cells = found.select(F.explode("homes").alias("home"), "cells", scores.alias("scores"))
+    # parts whose documents have no units at all meet no cell
+    return cells.groupBy(F.shiftright("home", 32)).applyInArrow(gather, schema).unionByName(dealt.where("size(units) = 0").select("ids").mapInArrow(bare, schema))
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
