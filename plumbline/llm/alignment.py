@@ -36,12 +36,8 @@ MOST_PAIRS = 1 << 20
 
 
 def units_of(text: str) -> list[str]:
-    """Units of a text with a space before it; each begins with a space."""
-    text = f" {text}"
-    if _ODD.search(text):
-        return _CUT.split(text)
-    head, *rest = text.split(" ")[1:]
-    return [f" {head}", *(f" {x}" for x in rest)]
+    """Units of a text with a space before it; each begins with a space, which is left out here."""
+    return [x[1:] for x in _CUT.split(f" {text}")] if _ODD.search(f" {text}") else text.split(" ")
 
 
 @cache
@@ -87,7 +83,7 @@ def _pieces(path: str):
     return model, out
 
 
-def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20) -> str:
+def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 12 << 20) -> str:
     """A folder with parts of the documents, about part_bytes of text each: ids, how many units each has, their numbers, and the part's distinct units with counts.
 
     A null or empty text, and one with the marker character (which the second tokenizer spells as a space), has no units.
@@ -125,7 +121,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
 
 
 def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """units (unit, times, homes) landed with uid and tokens a, b: arrays of id << 8 | length in bytes. Each unit's tokens are checked to spell it."""
+    """times, homes, and tokens a, b of each distinct unit of (unit, times, home), landed with uid. Tokens are id << 8 | length in bytes, and are checked to spell the unit."""
 
     def run(batches):
         (ta, bytes_a), (tb, bytes_b) = _byte_level(a_path), _pieces(b_path)
@@ -137,14 +133,28 @@ def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 raise ValueError("tokens don't spell their text")
             return pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32), pa.array(flat << 8 | lens[flat]))
 
+        def rows(texts, times, homes, sizes):
+            want = (" " + " ".join(texts)).encode() if texts else b""
+            a = tokens([x.ids for x in ta.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)], bytes_a, len_a, want)
+            bb = tokens(tb.encode(texts, num_threads=1), bytes_b, len_b, want)
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(homes))
+            return pa.RecordBatch.from_arrays([pa.array(times), lists, a, bb], ["times", "homes", "a", "b"])
+
+        # Rows come sorted by unit; the last unit of a batch may go on in the next one.
+        unit, times, homes = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in (c for b in batches for c in chunks(b, "unit", 1 << 20)):
-            texts = b.column("unit").to_pylist()
-            want = "".join(texts).encode()
-            a = tokens([x.ids for x in ta.encode_batch_fast(texts, add_special_tokens=False)], bytes_a, len_a, want)
-            bb = tokens(tb.encode([x[1:] for x in texts], num_threads=1), bytes_b, len_b, want)
-            yield pa.RecordBatch.from_arrays([b.column("times"), b.column("homes"), a, bb], ["times", "homes", "a", "b"])
+            unit += b.column("unit").to_pylist()
+            times, homes = np.append(times, b.column("times").to_numpy()), np.append(homes, b.column("home").to_numpy())
+            first = np.array([0, *(i for i in range(1, len(unit)) if unit[i] != unit[i - 1])])
+            done = int(first[-1])
+            if done:
+                yield rows([unit[i] for i in first[:-1]], np.add.reduceat(times[:done], first[:-1]), homes[:done], np.diff(first))
+                unit, times, homes = unit[done:], times[done:], homes[done:]
+        if unit:
+            yield rows(unit[:1], times.sum(keepdims=True), homes, np.array([len(unit)]))
 
-    return landed(units.mapInArrow(run, "times long, homes array<long>, a array<int>, b array<int>").withColumn("uid", F.monotonically_increasing_id()), "alignment-units", compression="zstd")
+    dealt = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
+    return landed(dealt.mapInArrow(run, "times long, homes array<long>, a array<int>, b array<int>").withColumn("uid", F.monotonically_increasing_id()), "alignment-units", compression="zstd")
 
 
 @contextmanager
@@ -210,6 +220,16 @@ def _read(uri: str) -> pa.Table:
     return pa.concat_tables(pq.read_table(f.path, filesystem=fs, partitioning=None) for f in fs.get_file_info(pafs.FileSelector(top)) if f.path.endswith(".parquet"))
 
 
+@lru_cache(1)
+def _marks(most: int) -> np.ndarray:
+    """Every id up to `most` as text, after a comma, a bar and a semicolon."""
+    return np.array([[f"{m}{i}" for i in range(most + 1)] for m in ",|;"], object)
+
+
+def _marked(most: int) -> np.ndarray:
+    return _marks((1 << most.bit_length()) - 1)
+
+
 def spelt(cells: np.ndarray, sizes: np.ndarray) -> list[str]:
     """The groups of each unit as text, from its cells; the running count of shared ends numbers the groups."""
     flags, link = cells & 3, cells >> 2
@@ -220,16 +240,14 @@ def spelt(cells: np.ndarray, sizes: np.ndarray) -> list[str]:
     key, ids = key[order], np.concatenate([link[a] >> 30, link[b] & 0x3FFFFFFF])[order]
     # A token after another one of its kind in the group, after the group's first kind, or in a new group.
     mark = np.where(np.diff(key, prepend=-2) == 0, 0, np.where(key & 1, 1, 2))
-    names = [[f"{m}{i}" for i in range(int(ids.max(initial=0)) + 1)] for m in ",|;"]
-    table = np.array(names, object)
-    pieces = table[mark, ids].tolist()
+    pieces = _marked(int(ids.max(initial=0)))[mark, ids].tolist()
     unit = np.repeat(np.arange(len(sizes)), sizes)
     count = np.bincount(np.concatenate([unit[a], unit[b]]), minlength=len(sizes))
     ends = np.cumsum(count)
     return ["".join(pieces[s:e])[1:] for s, e in zip((ends - count).tolist(), ends.tolist(), strict=True)]
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 32 << 20, most_pairs: int = MOST_PAIRS) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 12 << 20, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document.
 
     a: a byte-level tokenizer over space and text; b: a SentencePiece model with byte pieces. Defined
@@ -241,7 +259,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 32 << 20,
     uri = parts(docs, part_bytes=part_bytes)
     dealt = spark.read.schema(PARTS).parquet(uri)
     named = dealt.select("part", F.posexplode(F.arrays_zip("units", "times")).alias("no", "x")).select(F.col("x.units").alias("unit"), F.col("x.times").alias("times"), F.expr("cast(part AS bigint) << 32 | no").alias("home"))
-    units = encoded(named.groupBy("unit").agg(F.sum("times").alias("times"), F.collect_list("home").alias("homes")), a_path, b_path)
+    units = encoded(named, a_path, b_path)
     found = aligned(units)
     pairs = pair_counts(found)
     if pairs.count() <= most_pairs:  # tasks look their links up in the whole table of pairs
@@ -275,7 +293,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 32 << 20,
         else:
             scores = units.column("scores").combine_chunks().take(pa.array(order)).flatten().to_numpy().reshape(-1, 2).T
         value = [per(cells & 1), per(cells >> 1 & 1), per((cells & 3) == 3), size.astype(np.int64), *scores]
-        groups = spelt(cells, size)
+        groups = []
+        for i in range(0, len(size), 20_000):
+            groups += spelt(cells[start[i] :][: size[i : i + 20_000].sum()], size[i : i + 20_000])
         docs = _read(f"{uri}/part={home[0] >> 32}")
         return pa.concat_tables(whole(x.column("ids")[0].values.to_pylist(), value, x.column("n_units")[0].values.to_numpy(), x.column("flat")[0].values.to_numpy(), groups) for x in (docs.slice(i, 1).combine_chunks() for i in range(len(docs))))
 

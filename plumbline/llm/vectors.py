@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import landed, shared_dir, ship, table
-from .lexical import _items, _ranges
+from .lexical import _items
 
 SHARD = "shard long, dim int, ids array<long>, vectors binary, places binary, seg_dim binary, seg_low binary, seg_high binary, seg_end binary"
 #: Shares of all postings after which the bounds are looked at.
-LOOKS = (0.3, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95, 1.0)
+LOOKS = (0.5, 0.7, 0.8, 0.87, 0.94, 1.0)
 
 
 def impact_segments(v: np.ndarray, levels: int) -> tuple[np.ndarray, ...]:
@@ -38,7 +38,7 @@ def impact_segments(v: np.ndarray, levels: int) -> tuple[np.ndarray, ...]:
     return places, start // n, np.minimum.reduceat(value, start), np.maximum.reduceat(value, start), end
 
 
-def shards(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, rows: int = 8192, levels: int = 32) -> DataFrame:
+def shards(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, rows: int = 16384, levels: int = 64) -> DataFrame:
     """The landed index of all vectors of whole finite components, floor(scale * component) each, `rows` to a shard."""
     x = F.col(vector_col)
     own = x.isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)))
@@ -76,11 +76,13 @@ class Shard:
     def __init__(self, x: dict):
         self.ids, self.dim = x["ids"], x["dim"]
         self.v = np.frombuffer(x["vectors"], np.int64).reshape(len(self.ids), self.dim)
-        self.places = np.frombuffer(x["places"], "<u4").astype(np.int64)
+        places = np.frombuffer(x["places"], "<u4").astype(np.int64)
         self.seg_dim, self.low, self.high, self.end = (np.frombuffer(x[c], "<i8") for c in ("seg_dim", "seg_low", "seg_high", "seg_end"))
         self.start = np.append(0, self.end[:-1]) if self.dim else self.end
+        self.segments = np.split(places, self.end[:-1])
         self.first = np.searchsorted(self.seg_dim, np.arange(self.dim))
         self.most = int(np.abs(self.v).max(initial=0))
+        self.doubles = self.v.astype(float)
         self.key = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
         self.null = np.array([i is None for i in self.ids], bool)
         self.seen = self.processed = 0
@@ -90,8 +92,8 @@ class Shard:
         n = len(self.ids)
         every = np.arange(n)
         used = np.flatnonzero(q)
-        if n <= 2 * k or not len(used) or float(np.abs(q[used].astype(float)).sum()) * self.most >= 2**50:
-            return every  # too few, no difference, or beyond what doubles hold
+        if n <= 2 * k or not len(used) or float(np.abs(q[used].astype(float)).sum()) * self.most >= 2**53 / (self.dim + 1):
+            return every  # too few, no difference, or beyond what doubles hold exactly
         x = q[self.seg_dim]
         a, b = x * self.low, x * self.high
         low, high = np.minimum(a, b), np.maximum(a, b)
@@ -102,25 +104,25 @@ class Shard:
         order = order[np.argsort(-high[order], kind="stable")]
         size = (self.end - self.start)[order]
         done = np.cumsum(size)
-        acc, met, at = np.zeros(n), np.zeros(n, np.int64), 0
+        acc, at = np.zeros(n), 0
         most, begun = np.maximum.reduceat(high, self.first), np.zeros(self.dim, bool)
         self.seen += int(done[-1])
         for share in LOOKS:
             to = int(np.searchsorted(done, share * done[-1])) + 1
+            if to <= at:
+                continue
             s = order[at:to]
-            place = self.places[_ranges(self.start[s], self.end[s])]
-            acc += np.bincount(place, np.repeat(low[s], size[at:to]), n)
-            met += np.bincount(place, minlength=n)
+            place = np.concatenate([self.segments[i] for i in s.tolist()])
+            # One sum has both: what was added, and in how many dimensions.
+            acc += np.bincount(place, np.repeat(low[s] * (self.dim + 1.0) + 1, size[at:to]), n)
             self.processed += len(place)
             begun[self.seg_dim[s]] = True
             at = min(to, len(order))
             left = int(high[order[at]]) if at < len(order) else 0  # no posting to come adds more
-            rest = (begun.sum() - met) * left + most[~begun].sum()  # what the dimensions not met yet add, at most
-            floor = acc.copy()
-            if own >= 0:
-                floor[own] = -1
-            least = np.partition(floor, n - k)[n - k]
-            possible = every[acc + wide + rest >= least]
+            sure = np.floor_divide(acc, self.dim + 1)
+            rest = (begun.sum() - (acc - sure * (self.dim + 1))) * left + most[~begun].sum()  # what the dimensions not met yet add, at most
+            least = np.partition(np.delete(sure, own) if own >= 0 else sure, -k)[-k]
+            possible = every[sure + wide + rest >= least]
             if len(possible) * len(used) <= done[-1] - done[at - 1] or at == len(order):
                 return possible
         return every
@@ -130,12 +132,13 @@ class Shard:
         q = np.append(q, np.zeros(max(0, self.dim - len(q)), np.int64))[: self.dim]
         p = self.members(q, k, own)
         p = p[p != own]
-        score = self.v[p] @ q
+        small = float(np.abs(q.astype(float)).sum()) * self.most < 2**53
+        score = (self.doubles[p] @ q.astype(float)).astype(np.int64) if small else self.v[p] @ q
         keep = np.lexsort((p, self.key[p], self.null[p], -score))[:k]
         return p[keep], score[keep]
 
 
-def nearest(index: DataFrame, every: int = 20, k: int = 20, block: int = 16384) -> DataFrame:
+def nearest(index: DataFrame, every: int = 20, k: int = 20, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the k best other vectors of each indexed one whose id is divisible by `every`.
 
     Queries are landed in blocks of about `block`, which tasks read one by one: each task takes a shard and a block. Of each
