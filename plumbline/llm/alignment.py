@@ -83,7 +83,7 @@ def _pieces(path: str):
     return model, out
 
 
-def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 12 << 20) -> str:
+def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 8 << 20) -> str:
     """A folder with parts of the documents, about part_bytes of text each: ids, how many units each has, their numbers, and the part's distinct units with counts.
 
     A null or empty text, and one with the marker character (which the second tokenizer spells as a space), has no units.
@@ -98,7 +98,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
             kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PARTS.split(", ")])
 
-        for b in (c for b in batches for c in chunks(b, "text")):
+        for b in (c for b in batches for c in chunks(b, "text", 1 << 20)):
             texts = b.column("text").to_pylist()
             more = sum(map(len, texts))
             if ids and size + more > part_bytes:
@@ -142,7 +142,7 @@ def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         # Rows come sorted by unit; the last unit of a batch may go on in the next one.
         unit, times, homes = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in (c for b in batches for c in chunks(b, "unit", 1 << 20)):
+        for b in (c for b in batches for c in chunks(b, "unit", 1 << 17)):
             unit += b.column("unit").to_pylist()
             times, homes = np.append(times, b.column("times").to_numpy()), np.append(homes, b.column("home").to_numpy())
             first = np.array([0, *(i for i in range(1, len(unit)) if unit[i] != unit[i - 1])])
@@ -247,7 +247,7 @@ def spelt(cells: np.ndarray, sizes: np.ndarray) -> list[str]:
     return ["".join(pieces[s:e])[1:] for s, e in zip((ends - count).tolist(), ends.tolist(), strict=True)]
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 12 << 20, most_pairs: int = MOST_PAIRS) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, part_bytes: int = 8 << 20, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document.
 
     a: a byte-level tokenizer over space and text; b: a SentencePiece model with byte pieces. Defined

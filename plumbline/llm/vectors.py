@@ -21,7 +21,7 @@ from .lexical import _items
 
 SHARD = "shard long, dim int, ids array<long>, vectors binary, places binary, seg_dim binary, seg_low binary, seg_high binary, seg_end binary"
 #: Shares of all postings after which the bounds are looked at.
-LOOKS = (0.5, 0.7, 0.8, 0.87, 0.94, 1.0)
+LOOKS = (0.65, 0.75, 0.85, 1.0)
 
 
 def impact_segments(v: np.ndarray, levels: int) -> tuple[np.ndarray, ...]:
@@ -38,7 +38,7 @@ def impact_segments(v: np.ndarray, levels: int) -> tuple[np.ndarray, ...]:
     return places, start // n, np.minimum.reduceat(value, start), np.maximum.reduceat(value, start), end
 
 
-def shards(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, rows: int = 16384, levels: int = 64) -> DataFrame:
+def shards(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, rows: int = 65536, levels: int = 64) -> DataFrame:
     """The landed index of all vectors of whole finite components, floor(scale * component) each, `rows` to a shard."""
     x = F.col(vector_col)
     own = x.isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)))
@@ -67,7 +67,8 @@ def shards(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         if ids:
             yield row(at, ids, lists)
 
-    return landed(whole.mapInArrow(build, SHARD), "vector-shards")
+    whole = landed(whole, "vectors")
+    return landed(whole.repartition(max(1, -(-whole.count() // rows))).mapInArrow(build, SHARD), "vector-shards")
 
 
 class Shard:
@@ -76,10 +77,12 @@ class Shard:
     def __init__(self, x: dict):
         self.ids, self.dim = x["ids"], x["dim"]
         self.v = np.frombuffer(x["vectors"], np.int64).reshape(len(self.ids), self.dim)
-        places = np.frombuffer(x["places"], "<u4").astype(np.int64)
+        n = len(self.ids)
+        # By dimension: places and values, in ascending order of impact.
+        self.places = np.frombuffer(x["places"], "<u4").astype(np.int64).reshape(self.dim, n)
+        self.values = np.take_along_axis(self.v.T, self.places, axis=1).astype(float)
         self.seg_dim, self.low, self.high, self.end = (np.frombuffer(x[c], "<i8") for c in ("seg_dim", "seg_low", "seg_high", "seg_end"))
         self.start = np.append(0, self.end[:-1]) if self.dim else self.end
-        self.segments = np.split(places, self.end[:-1])
         self.first = np.searchsorted(self.seg_dim, np.arange(self.dim))
         self.most = int(np.abs(self.v).max(initial=0))
         self.doubles = self.v.astype(float)
@@ -87,6 +90,12 @@ class Shard:
         self.null = np.array([i is None for i in self.ids], bool)
         self.seen = self.processed = 0
 
+    def _by_dim(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(dimensions, number of postings) of segments."""
+        n = np.bincount(self.seg_dim[segments], (self.end - self.start)[segments], self.dim).astype(np.int64)
+        d = np.flatnonzero(n)
+        return d, n[d]
+
     def members(self, q: np.ndarray, k: int, own: int) -> np.ndarray:
         """Places that can be among the k best of q: all others are proven not to be."""
         n = len(self.ids)
@@ -96,33 +105,36 @@ class Shard:
             return every  # too few, no difference, or beyond what doubles hold exactly
         x = q[self.seg_dim]
         a, b = x * self.low, x * self.high
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        base = np.minimum.reduceat(low, self.first)
-        low, high = low - base[self.seg_dim], high - base[self.seg_dim]
-        wide = int(np.maximum.reduceat(high - low, self.first)[used].sum())  # what quantising hides, at most
+        base = np.minimum.reduceat(np.minimum(a, b), self.first)
+        high = np.maximum(a, b) - base[self.seg_dim]  # what a segment's postings add to the least possible score, at most
         order = np.flatnonzero(x)
         order = order[np.argsort(-high[order], kind="stable")]
         size = (self.end - self.start)[order]
         done = np.cumsum(size)
         acc, at = np.zeros(n), 0
         most, begun = np.maximum.reduceat(high, self.first), np.zeros(self.dim, bool)
+        upto, unit = np.zeros(self.dim, np.int64), self.dim + 1.0
         self.seen += int(done[-1])
         for share in LOOKS:
             to = int(np.searchsorted(done, share * done[-1])) + 1
             if to <= at:
                 continue
             s = order[at:to]
-            place = np.concatenate([self.segments[i] for i in s.tolist()])
-            # One sum has both: what was added, and in how many dimensions.
-            acc += np.bincount(place, np.repeat(low[s] * (self.dim + 1.0) + 1, size[at:to]), n)
-            self.processed += len(place)
+            for d, more in zip(*(y.tolist() for y in self._by_dim(s)), strict=True):
+                # Segments of one dimension come in the order of its list, from the end that the query's sign says.
+                took = int(upto[d])
+                part = slice(n - took - more, n - took) if q[d] > 0 else slice(took, took + more)
+                # One sum has both: what was added, and in how many dimensions.
+                acc[self.places[d, part]] += self.values[d, part] * (float(q[d]) * unit) + (1 - float(base[d]) * unit)
+                upto[d] += more
+                self.processed += more
             begun[self.seg_dim[s]] = True
             at = min(to, len(order))
             left = int(high[order[at]]) if at < len(order) else 0  # no posting to come adds more
             sure = np.floor_divide(acc, self.dim + 1)
             rest = (begun.sum() - (acc - sure * (self.dim + 1))) * left + most[~begun].sum()  # what the dimensions not met yet add, at most
             least = np.partition(np.delete(sure, own) if own >= 0 else sure, -k)[-k]
-            possible = every[sure + wide + rest >= least]
+            possible = every[sure + rest >= least]
             if len(possible) * len(used) <= done[-1] - done[at - 1] or at == len(order):
                 return possible
         return every
