@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..session import landed
 from .select import quantiles, sample_exact
+from .surface import nearest, sites, triangulated
 
 
 def roi(df: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
@@ -79,7 +81,7 @@ def exaggerated(df: DataFrame, factor: float) -> DataFrame:
     return df if m is None else df.withColumn("z", F.expr(f"{m!r}D + (z - {m!r}D) * {factor!r}D"))
 
 
-def _spans(df: DataFrame, resolution: int) -> tuple[float, ...]:
+def spans(df: DataFrame, resolution: int) -> tuple[float, ...]:
     """x0, x1, y0, y1 and the spacing of `resolution` steps along the longer side; ValueError without a side to divide."""
     x0, x1, y0, y1 = df.agg(*(f(c) for c in "xy" for f in (F.min, F.max))).first()
     if x0 is None or max(x1 - x0, y1 - y0) <= 0:
@@ -87,8 +89,8 @@ def _spans(df: DataFrame, resolution: int) -> tuple[float, ...]:
     return x0, x1, y0, y1, max(x1 - x0, y1 - y0) / resolution
 
 
-def _nodes(df: DataFrame, spans: tuple[float, ...]) -> DataFrame:
-    x0, x1, y0, y1, step = spans
+def _nodes(df: DataFrame, box: tuple[float, ...]) -> DataFrame:
+    x0, x1, y0, y1, step = box
     nx, ny = max(int((x1 - x0) / step), 2), max(int((y1 - y0) / step), 2)
     grid = df.sparkSession.range(nx * ny).selectExpr(f"id div {ny} AS ix", f"id % {ny} AS iy")
     return grid.selectExpr("ix", "iy", f"{x0!r}D + ({x1!r}D - {x0!r}D) * ix / {nx - 1} AS x", f"{y0!r}D + ({y1!r}D - {y0!r}D) * iy / {ny - 1} AS y")
@@ -96,41 +98,40 @@ def _nodes(df: DataFrame, spans: tuple[float, ...]) -> DataFrame:
 
 def lattice(df: DataFrame, resolution: int) -> DataFrame:
     """ix, iy, x, y: a regular lattice over the extent, about `resolution` nodes along the longer side and at least two a side."""
-    return _nodes(df, _spans(df, resolution))
+    return _nodes(df, spans(df, resolution))
 
 
-def surface(df: DataFrame, resolution: int, factor: float = 1.0) -> DataFrame:
-    """ix, iy, x, y, z: an approximate surface over the lattice; heights stay in the input's range, and are stretched by factor before.
+def cell_means(df: DataFrame, nodes: DataFrame, x0: float, y0: float, step: float) -> DataFrame:
+    """ix, iy, z of each node with points near it: the mean of the 3 x 3 square cells around, weighted by points and inverse squared distance.
 
-    Points stand in square cells as wide as the lattice's spacing, each by its mean. A node takes the mean of
-    the 3 x 3 cells around it, weighted by points and inverse squared distance; where those are
-    empty, the nearest cell of all. Cells, not points, are joined, so a cell of any number of points is one row.
+    Cells, not points, are joined, so a cell of any number of points is one row.
     """
-    df = exaggerated(df, factor)
-    spans = _spans(df, resolution)
-    low, high = df.agg(F.min("z"), F.max("z")).first()
-    x0, y0, step = spans[0], spans[2], spans[4]
-    nodes = _nodes(df, spans)
-    at = lambda a, o, size: f"cast(floor(({a} - {o!r}D) / {size!r}D) AS bigint)"
-    cells = df.groupBy(F.expr(at("x", x0, step)).alias("cx"), F.expr(at("y", y0, step)).alias("cy")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    at = lambda a, o: f"cast(floor(({a} - {o!r}D) / {step!r}D) AS bigint)"
+    cells = df.groupBy(F.expr(at("x", x0)).alias("cx"), F.expr(at("y", y0)).alias("cy")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    for c, a, o in (("cx", "x", x0), ("cy", "y", y0)):
+        nodes = nodes.withColumn(c, F.explode(F.expr(f"sequence({at(a, o)} - 1, {at(a, o)} + 1)")))
+    w = "n / (pow(x - mx, 2) + pow(y - my, 2) + 1e-12)"
+    return nodes.join(cells, ["cx", "cy"]).groupBy("ix", "iy").agg(F.expr(f"sum({w} * mz) / sum({w})").alias("z"))
 
-    def around(rows: DataFrame, size: float) -> DataFrame:
-        """rows with each of the nine squares around them."""
-        for c, a, o in (("cx", "x", x0), ("cy", "y", y0)):
-            rows = rows.withColumn(c, F.explode(F.expr(f"sequence({at(a, o, size)} - 1, {at(a, o, size)} + 1)")))
-        return rows
 
-    w = "n / (pow(x - mx, 2) + pow(y - my, 2) + 1e-12)"
-    mean = around(nodes, step).join(cells, ["cx", "cy"]).groupBy("ix", "iy").agg(F.expr(f"sum({w} * mz) / sum({w})").alias("z"))
-    known = nodes.join(mean, ["ix", "iy"], "left")
-    holes, done = known.where("z IS NULL").drop("z"), known.where("z IS NOT NULL")
-    # Squares double until a node's nearest cell is nearer than a square is wide: none outside of the nine can be nearer.
-    means, size = cells.select("mx", "my", "mz"), step
-    while not holes.isEmpty():
-        size *= 2
-        dealt = means.withColumns({"cx": F.expr(at("mx", x0, size)), "cy": F.expr(at("my", y0, size))})
-        d2 = F.expr("pow(x - mx, 2) + pow(y - my, 2)")
-        best = around(holes, size).join(dealt, ["cx", "cy"]).groupBy("ix", "iy").agg(F.min(F.struct(d2.alias("d2"), "mx", "my", "mz")).alias("best")).where(f"best.d2 <= {size * size!r}D")
-        done = done.unionByName(holes.join(best, ["ix", "iy"]).select("ix", "iy", "x", "y", F.col("best.mz").alias("z")))
-        holes = holes.join(best, ["ix", "iy"], "left_anti")
-    return done.selectExpr("ix", "iy", "x", "y", f"least(greatest(z, {low!r}D), {high!r}D) AS z")
+def surface(df: DataFrame, resolution: int, factor: float = 1.0, method: str = "cubic", cfg: Config = Config()) -> DataFrame:
+    """ix, iy, x, y, z over the lattice; heights stay in the input's range, and are stretched by factor before.
+
+    method: "cubic" or "linear" patches on Delaunay triangles, or "mean" of the cells around. A node that this
+    leaves open (outside of the points' hull, or without points near it) has the height of the point nearest to it; of points
+    in one place the first counts. With a vertex_idx, at most cfg.surface_points points take part, a seeded sample.
+    """
+    if method not in ("cubic", "linear", "mean"):
+        raise ValueError(f"no method {method!r}: cubic, linear or mean")
+    if "vertex_idx" in df.columns:
+        df = capped(df, cfg.surface_points, cfg)
+    df = exaggerated(df, factor)
+    box = spans(df, resolution)
+    x0, x1, y0, y1, step = box
+    low, high = df.agg(F.min("z"), F.max("z")).first()
+    nodes = _nodes(df, box)
+    points = landed(sites(df), "sites")
+    known = cell_means(df, nodes, x0, y0, step) if method == "mean" else triangulated(nodes, points, method)
+    holes = nodes.join(known, ["ix", "iy"], "left_anti")
+    every = known.unionByName(nearest(holes, points, x0, y0, max(x1 - x0, y1 - y0), step))
+    return nodes.join(every, ["ix", "iy"]).selectExpr("ix", "iy", "x", "y", f"least(greatest(z, {low!r}D), {high!r}D) AS z")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import format_size
-from ..operators import charts, floor, grid, histogram, select, view
+from ..operators import charts, floor, grid, histogram, select, surface, view
+from ..session import shared_dir
+from ..sources import ply
 from ..sources.fixture import points
 from .report import report
 
@@ -27,8 +29,24 @@ def _floor(spark: SparkSession, d: str) -> DataFrame:
     return floor.with_floor(points(spark, d)).where("is_floor").drop("in_band", "is_floor")
 
 
-def _roi(spark: SparkSession, d: str) -> DataFrame:
-    return view.z_band(view.roi(points(spark, d), *ROI), *BAND)
+def _roi(spark: SparkSession, d: str, indexed: bool = False) -> DataFrame:
+    return view.z_band(view.roi(points(spark, d, indexed), *ROI), *BAND)
+
+
+def _ply(s, d):
+    """The cloud written as PLY files with zone maps to the shared folder, and read from there."""
+    folder = shared_dir(s, "cloud")
+    ply.write_ply(points(s, d, indexed=True), folder)
+    ply.write_zones(s, folder, every=100_000)
+    return ply.read_ply(s, folder)
+
+
+def _nearest(s, d):
+    pts = _roi(s, d, True)
+    x0, x1, y0, y1, _ = view.spans(pts, 1)
+    nodes = view.lattice(pts, 25)
+    found = surface.nearest(nodes, surface.sites(pts), x0, y0, max(x1 - x0, y1 - y0), 0.05)
+    return rounded(nodes.join(found, ["ix", "iy"]))
 
 
 def _counts(**kwargs):
@@ -125,8 +143,13 @@ def queries():
         "roi_box": lambda s, d: rounded(view.roi_box(points(s, d), *ROI)),
         "roi_segments": lambda s, d: rounded(view.roi_segments(points(s, d), *ROI)),
         "surface_lattice": lambda s, d: rounded(view.lattice(_roi(s, d), 40)),
-        "surface_interpolated": lambda s, d: rounded(view.surface(_roi(s, d), 40)),
-        "surface_nearest": lambda s, d: rounded(view.surface(_roi(s, d), CFG.surface_resolution)),
+        "surface_interpolated": lambda s, d: rounded(view.surface(_roi(s, d, True), 40, method="mean")),
+        "surface_nearest": lambda s, d: rounded(view.surface(_roi(s, d, True), CFG.surface_resolution, method="mean")),
+        "surface_linear": lambda s, d: rounded(view.surface(_roi(s, d, True), 40, method="linear")),
+        "surface_cubic": lambda s, d: rounded(view.surface(_roi(s, d, True), 40)),
+        "nearest_points": _nearest,
+        "ply_round_trip": lambda s, d: rounded(_ply(s, d)),
+        "ply_region": lambda s, d: rounded(view.z_band(view.roi(_ply(s, d), *ROI), *BAND).select("vertex_idx", "x", "y", "z")),
         "z_exaggeration": lambda s, d: rounded(view.exaggerated(_roi(s, d), 3.0).agg(F.min("z").alias("low"), F.max("z").alias("high"))),
         "format_size": lambda s, d: points(s, d, indexed=True).select("vertex_idx", format_size(F.expr("cast(pow(2D, vertex_idx % 60) AS bigint)")).alias("size")),
         "report_document": lambda s, d: report(points(s, d)),

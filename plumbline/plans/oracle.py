@@ -82,14 +82,26 @@ n AS (SELECT *, greatest(trunc((x1 - x0) / step)::bigint, 2) AS nx, greatest(tru
 nodes AS (SELECT i AS ix, j AS iy, x0 + (x1 - x0) * i / (nx - 1) AS x, y0 + (y1 - y0) * j / (ny - 1) AS y FROM n, range(0, nx) a(i), range(0, ny) b(j))"""
 
 
-#: Heights of the nodes: means of the cells around, or of the nearest cell, by comparing all of them.
-_HEIGHTS = """cl AS (SELECT floor((x - x0) / step)::bigint AS cx, floor((y - y0) / step)::bigint AS cy, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM f, n GROUP BY 1, 2),
-idw AS (SELECT ix, iy, any_value(q.x) AS x, any_value(q.y) AS y, sum(w * mz) / sum(w) AS z FROM (
+#: Means of the cells around each node.
+_MEANS = """cl AS (SELECT floor((x - x0) / step)::bigint AS cx, floor((y - y0) / step)::bigint AS cy, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM f, n GROUP BY 1, 2),
+known AS (SELECT ix, iy, any_value(q.x) AS x, any_value(q.y) AS y, sum(w * mz) / sum(w) AS z FROM (
     SELECT ix, iy, d.x, d.y, mz, cl.n / (pow(d.x - mx, 2) + pow(d.y - my, 2) + 1e-12) AS w
-    FROM (SELECT nodes.*, floor((x - x0) / step)::bigint + i AS cx, floor((y - y0) / step)::bigint + j AS cy FROM nodes, n, range(-1, 2) a(i), range(-1, 2) b(j)) d JOIN cl USING (cx, cy)) q GROUP BY ix, iy),
-holes AS (SELECT nodes.* FROM nodes ANTI JOIN idw USING (ix, iy)),
-heights AS (SELECT * FROM idw UNION ALL
-  SELECT ix, iy, any_value(x), any_value(y), arg_min(mz, pow(x - mx, 2) + pow(y - my, 2)) FROM holes, cl GROUP BY ix, iy)"""
+    FROM (SELECT nodes.*, floor((x - x0) / step)::bigint + i AS cx, floor((y - y0) / step)::bigint + j AS cy FROM nodes, n, range(-1, 2) a(i), range(-1, 2) b(j)) d JOIN cl USING (cx, cy)) q GROUP BY ix, iy)"""
+#: The Delaunay triangle around a node has, of all triangles around it, the least mean of squared distances to the node, weighted as the node lies in it.
+#: Corners come from the nearest points, as the triangle's circle holds no point, and from those along the axes, as triangles at the border are long and flat. Nodes move a little inwards to be looked up, so none lies on a side.
+_TRIANGLES = """one AS (SELECT row_number() OVER () AS id, x AS px, y AS py, arg_min(z, vertex_idx) AS z FROM f GROUP BY x, y),
+few AS (SELECT ix, iy, x, y, unnest(list_distinct(arg_min(id, pow(px - x, 2) + pow(py - y, 2), 36) || arg_min(id, pow(px - x, 2) + 1e6 * pow(py - y, 2), 6) || arg_min(id, 1e6 * pow(px - x, 2) + pow(py - y, 2), 6))) AS id FROM nodes, one GROUP BY ix, iy, x, y),
+near AS (SELECT ix, iy, x, y, id AS k, z, px - x AS u, py - y AS v, px - (x + 1e-8 * ((x0 + x1) / 2 + 0.001 - x)) AS us, py - (y + 1e-8 * ((y0 + y1) / 2 + 0.002 - y)) AS vs FROM few JOIN one USING (id), n),
+trio AS (SELECT a.ix, a.iy, a.x, a.y, b.us * c.vs - c.us * b.vs AS p, c.us * a.vs - a.us * c.vs AS q, a.us * b.vs - b.us * a.vs AS r,
+    a.us * a.us + a.vs * a.vs AS ha, b.us * b.us + b.vs * b.vs AS hb, c.us * c.us + c.vs * c.vs AS hc,
+    ((b.u * c.v - c.u * b.v) * a.z + (c.u * a.v - a.u * c.v) * b.z + (a.u * b.v - b.u * a.v) * c.z) AS zz, (b.u * c.v - c.u * b.v) + (c.u * a.v - a.u * c.v) + (a.u * b.v - b.u * a.v) AS w
+  FROM near a JOIN near b ON a.ix = b.ix AND a.iy = b.iy AND a.k < b.k JOIN near c ON b.ix = c.ix AND b.iy = c.iy AND b.k < c.k),
+known AS (SELECT ix, iy, any_value(x) AS x, any_value(y) AS y, arg_min(zz / w, (p * ha + q * hb + r * hc) / (p + q + r)) AS z
+  FROM trio WHERE abs(p + q + r) > 1e-12 AND p / (p + q + r) >= 0 AND q / (p + q + r) >= 0 AND r / (p + q + r) >= 0 GROUP BY ix, iy)"""
+#: The nearest point of the other nodes, by comparing all of them.
+_NEAREST = """holes AS (SELECT nodes.* FROM nodes ANTI JOIN known USING (ix, iy)),
+heights AS (SELECT ix, iy, x, y, z FROM known UNION ALL SELECT ix, iy, x, y, z FROM (
+  SELECT ix, iy, holes.x, holes.y, f.z, row_number() OVER (PARTITION BY ix, iy ORDER BY (f.x - holes.x) * (f.x - holes.x) + (f.y - holes.y) * (f.y - holes.y), vertex_idx) AS k FROM holes, f) WHERE k = 1)"""
 
 
 def _sweep(param: str, values, kind: str) -> str:
@@ -160,8 +172,12 @@ pr AS (SELECT greatest(least(floor((x - x0) / cell)::bigint, nb - 1), 0)::bigint
         "roi_rectangle": f"WITH {_POINTS} SELECT k AS corner, [5.0, 15.0, 15.0, 5.0][k + 1]::double AS x, [2.0, 2.0, 8.0, 8.0][k + 1]::double AS y, round(z, 6) AS z FROM (SELECT median(z) AS z FROM pts), (SELECT unnest([0, 1, 2, 3]) AS k)",
         "roi_box": f"WITH {_ROI} SELECT {_r('min(z) AS z_low', 'max(z) AS z_high')} FROM q",
         "surface_lattice": f"WITH {_ROI}, {_surface(40)} SELECT ix, iy, {_r('x', 'y')} FROM nodes",
-        "surface_interpolated": f"WITH {_ROI}, {_surface(40)}, {_HEIGHTS} SELECT ix, iy, {_r('x', 'y', 'least(greatest(z, z0), z1) AS z')} FROM heights, n",
-        "surface_nearest": f"WITH {_ROI}, {_surface(200)}, {_HEIGHTS} SELECT ix, iy, {_r('x', 'y', 'least(greatest(z, z0), z1) AS z')} FROM heights, n",
+        "surface_interpolated": f"WITH {_ROI}, {_surface(40)}, {_MEANS}, {_NEAREST} SELECT ix, iy, {_r('x', 'y', 'least(greatest(z, z0), z1) AS z')} FROM heights, n",
+        "surface_nearest": f"WITH {_ROI}, {_surface(200)}, {_MEANS}, {_NEAREST} SELECT ix, iy, {_r('x', 'y', 'least(greatest(z, z0), z1) AS z')} FROM heights, n",
+        "surface_linear": f"WITH {_ROI}, {_surface(40)}, {_TRIANGLES}, {_NEAREST} SELECT ix, iy, {_r('x', 'y', 'least(greatest(z, z0), z1) AS z')} FROM heights, n",
+        "nearest_points": f"WITH {_ROI}, {_surface(25)}, known AS (SELECT *, 0.0::double AS z FROM nodes WHERE false), {_NEAREST} SELECT ix, iy, {_r('x', 'y', 'z')} FROM heights",
+        "ply_round_trip": f"WITH {_POINTS} SELECT vertex_idx, {_r(*(f'{c}::float::double AS {c}' for c in 'xyz'), *(f'trunc({c} * 255) / 255.0 AS {c}' for c in 'rgb'), 'intensity::float::double AS intensity')} FROM pts",
+        "ply_region": f"WITH {_POINTS}, fl AS (SELECT vertex_idx, x::float::double AS x, y::float::double AS y, z::float::double AS z FROM pts) SELECT vertex_idx, {_r('x', 'y', 'z')} FROM fl WHERE x BETWEEN 5 AND 15 AND y BETWEEN 2 AND 8 AND z BETWEEN -0.05 AND 0.1",
         "roi_segments": f"WITH {_POINTS} SELECT k AS segment, [5.0, 15.0, 15.0, 5.0][k + 1]::double AS x0, [2.0, 2.0, 8.0, 8.0][k + 1]::double AS y0, [15.0, 15.0, 5.0, 5.0][k + 1]::double AS x1, [2.0, 8.0, 8.0, 2.0][k + 1]::double AS y1, round(z, 6) AS z FROM (SELECT median(z) AS z FROM pts), (SELECT unnest([0, 1, 2, 3]) AS k)",
         "z_exaggeration": f"WITH {_ROI}, mm AS (SELECT avg(z) AS m FROM f) SELECT {_r('min(m + (z - m) * 3.0) AS low', 'max(m + (z - m) * 3.0) AS high')} FROM f, mm",
         "format_size": f"WITH {_POINTS} SELECT vertex_idx, format('{{:.1f}} ' || ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][((vertex_idx % 60) // 10 + 1)::int], pow(2, vertex_idx % 60 % 10)::double) AS size FROM pts",

@@ -139,14 +139,14 @@ def test_surface(spark):
     rng = np.random.default_rng(3)
     x, y = rng.uniform(0, 10, 400), rng.uniform(0, 5, 400)
     df = cloud(spark, x, y, x + y)
-    few, many = (view.surface(df, k).collect() for k in (10, 40))
+    few, many = (view.surface(df, k, method="mean").collect() for k in (10, 40))
     assert len(few) == 10 * 4 or len(few) == 10 * 5 and len(many) > len(few)
     assert all(min(x + y) <= r.z <= max(x + y) for r in many)
     assert max(abs(r.z - r.x - r.y) for r in many) < 2.5
     flat, steep = (np.ptp([r.z for r in view.surface(df, 20, k).collect()]) for k in (1.0, 3.0))
     assert steep / flat > 2.5
     far = cloud(spark, [0, 0.1, 9.9, 10], [0, 0.1, 4.9, 5], [1, 1, 7, 7])
-    got = {(r.ix, r.iy): round(r.z, 9) for r in view.surface(far, 30).collect()}
+    got = {(r.ix, r.iy): round(r.z, 9) for r in view.surface(far, 30, method="mean").collect()}
     assert got[0, 0] == 1 and got[29, 13] == 7 and set(got.values()) == {1.0, 7.0}
     with pytest.raises(ValueError):
         view.surface(cloud(spark, [1, 1], [2, 2], [3, 4]), 10)
