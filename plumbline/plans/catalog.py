@@ -120,6 +120,9 @@ def queries():
         "sweep_width_multiplier": _sweep("width_multiplier"),
         "sweep_color_tolerance": _sweep("color_tolerance"),
         "sweep_intensity_percentile": _sweep("intensity_percentile"),
+        "sweep_grid": lambda s, d: rounded(floor.sensitivity_grid(points(s, d))),
+        "sweep_without_intensity": lambda s, d: rounded(floor.sensitivity(points(s, d).drop("intensity"))),
+        "sweep_without_colors": lambda s, d: rounded(floor.sensitivity(points(s, d).drop("r", "g", "b"))),
         "grid_geometry": lambda s, d: rounded(grid.geometry(flat(s, d), CFG.flatness_grid)),
         "cell_counts": lambda s, d: grid.cell_covariance(flat(s, d), 20).select("ix", "iy", "n"),
         "cell_covariance": lambda s, d: rounded(grid.cell_covariance(flat(s, d), 20)),

@@ -104,15 +104,30 @@ heights AS (SELECT ix, iy, x, y, z FROM known UNION ALL SELECT ix, iy, x, y, z F
   SELECT ix, iy, holes.x, holes.y, f.z, row_number() OVER (PARTITION BY ix, iy ORDER BY (f.x - holes.x) * (f.x - holes.x) + (f.y - holes.y) * (f.y - holes.y), vertex_idx) AS k FROM holes, f) WHERE k = 1)"""
 
 
-def _sweep(param: str, values, kind: str) -> str:
-    """One scan for each value, unlike the query's two for all."""
+SWEEPS = {"mult": ("width_multiplier", [1, 2, 3, 4, 5, 7, 10], 2.5), "tol": ("color_tolerance", [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8], 0.6), "pct": ("intensity_percentile", [10, 20, 25, 30, 40, 50, 75], 25)}
+
+
+def _sweep(kind: str, **given) -> str:
+    """One scan for each value, unlike the query's one for all."""
+    param, values, current = SWEEPS[kind]
     parts = []
     for v in values:
         args = {"mult": "2.5", "tol": "0.6", "pct": "25.0"} | {kind: str(float(v))}
-        parts.append(f"SELECT '{param}' AS param, {float(v)}::double AS value, {str(float(v) == float({'mult': 2.5, 'tol': 0.6, 'pct': 25}[kind])).lower()} AS is_current, (WITH {_mask(**args)} SELECT round(count(*) FILTER (WHERE is_floor) / count(*)::double, 6) FROM m) AS floor_ratio")
+        parts.append(f"SELECT '{param}' AS param, {float(v)}::double AS value, {str(v == current).lower()} AS is_current, (WITH {_mask(**args, **given)} SELECT round(count(*) FILTER (WHERE is_floor) / count(*)::double, 6) FROM m) AS floor_ratio")
     return " UNION ALL ".join(parts)
 
 
+def _sweep_grid() -> str:
+    """Every combination, by comparing all points of each band with all thresholds and tolerances."""
+    lists = {k: f"unnest([{', '.join(str(float(v)) for v in values)}]::double[])" for k, (_, values, _) in SWEEPS.items()}
+    return f"""WITH {_POINTS}, {_peak(mult="1.0")}, w AS (SELECT {lists["mult"]} AS mult), t AS (SELECT {lists["tol"]} AS tol), p AS (SELECT {lists["pct"]} AS pct),
+band AS (SELECT mult, pts.* FROM pts, pk, w WHERE z BETWEEN peak_z - (z_max - peak_z) * mult AND peak_z + (z_max - peak_z) * mult),
+tone AS (SELECT mult, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, (stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3 AS spread FROM band GROUP BY 1),
+lim AS (SELECT mult, pct, any_value(l[i]) AS thr FROM (SELECT mult, quantile_cont(intensity, [0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75]) AS l FROM band GROUP BY 1), (SELECT pct, row_number() OVER (ORDER BY pct) AS i FROM p) GROUP BY 1, 2)
+SELECT mult AS width_multiplier, tol AS color_tolerance, pct AS intensity_percentile, round(count(*) / (SELECT count(*) FROM pts)::double, 6) AS floor_ratio
+FROM band JOIN tone USING (mult) JOIN lim USING (mult), t WHERE intensity >= thr OR (spread > 0.01 AND sqrt(pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2)) <= tol) GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     peak_cols = _r("peak_z", "z_min", "z_max", "fwhm") + ", is_fallback, is_tilt_limited"
     stages = "SELECT count(*) AS total, count(*) FILTER (WHERE in_band) AS after_z_filter, count(*) FILTER (WHERE is_floor) AS after_refinement FROM m"
@@ -147,9 +162,12 @@ pr AS (SELECT greatest(least(floor((x - x0) / cell)::bigint, nb - 1), 0)::bigint
         "color_stats": f"WITH {floor_color} SELECT {_r(*(f'avg({c}) AS mean_{c}' for c in 'rgb'), *(f'stddev_pop({c}) AS std_{c}' for c in 'rgb'), 'max(dist) AS max_dist')} FROM cd",
         "color_distance_histogram": f"WITH {floor_color}, {_hist('cd', 'dist', 59, 'ch', '0.0::double', 'max(dist) * 1.05::double')} SELECT bin, n, (lo + hi) / 2 <= 0.6 AS passed FROM ch",
         "color_distance_split": f"WITH {floor_color} SELECT count(*) FILTER (WHERE dist <= 0.6) AS passed, count(*) FILTER (WHERE dist > 0.6) AS removed FROM cd",
-        "sweep_width_multiplier": _sweep("width_multiplier", [1, 2, 3, 4, 5, 7, 10], "mult"),
-        "sweep_color_tolerance": _sweep("color_tolerance", [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8], "tol"),
-        "sweep_intensity_percentile": _sweep("intensity_percentile", [10, 20, 25, 30, 40, 50, 75], "pct"),
+        "sweep_width_multiplier": _sweep("mult"),
+        "sweep_color_tolerance": _sweep("tol"),
+        "sweep_intensity_percentile": _sweep("pct"),
+        "sweep_grid": _sweep_grid(),
+        "sweep_without_intensity": " UNION ALL ".join(_sweep(k, intensity=False) for k in SWEEPS),
+        "sweep_without_colors": " UNION ALL ".join(_sweep(k, color=False) for k in SWEEPS),
         "grid_geometry": f"WITH {_mask()}, {_grid('f', 150)} SELECT {_r('x_min', 'y_min', 'cell')}, nx, ny FROM geo",
         "cell_counts": f"{geo20} SELECT ix, iy, n FROM cov",
         "cell_covariance": f"{geo20} SELECT ix, iy, n, {_r('xx', 'yy', 'zz', 'xy', 'xz', 'yz')} FROM cov",
