@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, keyed, landed, table
+from ._common import WORD, keyed, landed, salted, table
 
 #: Halvings of [0, 1] when the exponent is bisected; it is then rounded to 9 places.
 STEPS = 40
+#: A block has no more documents than this, on average, however few their tokens.
+BLOCK_ROWS = 1 << 16
 
 
 def _exponent_sql(max_repeats: float, target_entropy: float | None, budget_tokens: int | None) -> str:
@@ -30,7 +32,7 @@ def _exponent_sql(max_repeats: float, target_entropy: float | None, budget_token
     return f"IF({zero}, 0D, round({halve}.hi, 9))"
 
 
-def mixing_weights(df: DataFrame, max_repeats: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1 << 20, max_sources: int = 1_000_000) -> DataFrame:
+def mixing_weights(df: DataFrame, max_repeats: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1 << 20, max_sources: int = 1_000_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per source of df (key, n_tokens): tokens, weight, budget, epochs and rest of the mix.
 
     The (source, tokens) pairs meet in one row, since the exponent depends on all of
@@ -53,7 +55,7 @@ def mixing_weights(df: DataFrame, max_repeats: float = 2.0, target_entropy: floa
         "key", "tokens", "docs", "exponent", "weight", "budget_tokens",
         F.expr("CASE WHEN tokens > 0 THEN budget_tokens div tokens ELSE 1L END").alias("full_epochs"),
         F.expr("CASE WHEN tokens > 0 THEN budget_tokens % tokens ELSE 0L END").alias("rest_tokens"),
-        F.expr(f"greatest(1L, cast(ceil(tokens / {float(block_tokens)!r}D) AS bigint))").alias("n_blocks"),
+        F.expr(f"greatest(1L, cast(ceil(tokens / {float(block_tokens)!r}D) AS bigint), cast(ceil(docs / {float(block_rows)!r}D) AS bigint))").alias("n_blocks"),
     )
 
 
@@ -62,7 +64,7 @@ def _hash(*parts: str) -> str:
     return f"cast(conv(substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8), 16, 10) AS bigint)"
 
 
-def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_repeats: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1 << 20, seed: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_repeats: float = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1 << 20, seed: int = 0, more: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents of a mix, a row for each time that one is read.
 
     A source with share p of all tokens (words) gets weight p**t / sum(p**t). The
@@ -72,7 +74,8 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     that reads every document at least once, so nothing is dropped; a given budget
     may leave out documents of heavy sources, which is what it asks for.
 
-    Each source's documents are hashed, by id and content, into blocks of about block_tokens. An epoch
+    Each source's documents are hashed into blocks of about block_tokens, or block_rows if those are fewer: by id and
+    content, and where several rows have both in common, by row, so that no block holds all of those. An epoch
     is a permutation of the blocks, and of the documents of a block; whole epochs
     take all, the last one takes documents from the front until the budget is met.
     Windows run within a block, or over one row per block, never over a source.
@@ -85,11 +88,14 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     they occur; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), F.md5(text).alias("content"), *more)
+    df = df if "_row" in more else keyed(df)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), F.md5(text).alias("content"), *dict.fromkeys(("_row", *more)))
     # The texts are read once; what follows reads these few columns.
-    rows = landed(rows.withColumn("key", F.expr("coalesce(concat('s', source), 'n')")), "mix")
-    name = f"concat_ws(':', {', '.join(f'cast({c} AS string)' for c in ('doc_id', 'content'))})"
-    weights = mixing_weights(rows, max_repeats, target_entropy, budget_tokens, block_tokens)
+    rows = landed(rows.withColumns({"key": F.expr("coalesce(concat('s', source), 'n')"), "same": F.xxhash64("doc_id", "content"), "salt": F.pmod(F.hash("_row"), F.lit(32))}), "mix")
+    again = salted(rows, ["same"], "salt", {"m": (F.count("*"), F.sum("m"))}).where("m > 1").select("same", "salt", F.lit("").alias("again"))
+    rows = rows.join(again, ["same", "salt"], "left").drop("same", "salt")
+    name = "concat_ws(':', cast(doc_id AS string), content, again || cast(_row AS string))"
+    weights = mixing_weights(rows, max_repeats, target_entropy, budget_tokens, block_tokens, block_rows=block_rows)
     rows = rows.join(F.broadcast(weights), "key").withColumn("block", F.expr(f"pmod({_hash(repr(f'{seed}b'), name)}, n_blocks)"))
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, full_epochs - IF(rest_tokens > 0, 0L, 1L))")) if budget_tokens is None else F.explode(F.expr("IF(full_epochs = 0 AND rest_tokens = 0, array(), sequence(0L, full_epochs - IF(rest_tokens > 0, 0L, 1L)))")))
     rows = rows.withColumn("doc_order", F.expr(_hash(repr(f"{seed}d"), "cast(epoch AS string)", name)))
@@ -126,7 +132,7 @@ WITH RECURSIVE r AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS key, md5(coalesce(text, '')) AS content,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS n_tokens
   FROM documents
-), s AS (SELECT key, sum(n_tokens)::bigint AS tokens FROM r GROUP BY key),
+), s AS (SELECT key, sum(n_tokens)::bigint AS tokens, count(*) AS docs FROM r GROUP BY key),
 o AS (SELECT sum(tokens)::double AS total FROM s),
 q AS (SELECT list(tokens / total ORDER BY key) AS ps FROM s, o WHERE tokens > 0),
 b(i, lo, hi) AS (
@@ -144,11 +150,11 @@ b(i, lo, hi) AS (
 ), t AS (SELECT round(arg_min(hi, -i), 9) AS exponent FROM b),
 z AS (SELECT exponent, list_sum(list_transform(ps, lambda p: pow(p, exponent))) AS z FROM t, q),
 w AS (
-  SELECT key, tokens, exponent, z, total, tokens / total AS p,
+  SELECT key, tokens, docs, exponent, z, total, tokens / total AS p,
          max(total * pow(tokens / total, 1 - exponent) * z) FILTER (WHERE tokens > 0) OVER () AS budget
   FROM s, o, z
 ), v AS (
-  SELECT key, tokens, greatest(1, ceil(tokens / 262144.0))::bigint AS n_blocks,
+  SELECT key, tokens, greatest(1, ceil(tokens / 262144.0), ceil(docs / 65536.0))::bigint AS n_blocks,
          CASE WHEN tokens > 0 THEN greatest(tokens, round(budget * (pow(p, exponent) / z))::bigint) ELSE 0 END AS bt
   FROM w
 ), u AS (
