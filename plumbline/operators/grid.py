@@ -95,3 +95,30 @@ def height_profile(df: DataFrame, target: int = 100, strip_ratio: float = 0.5, m
 def profile_stats(profile: DataFrame) -> DataFrame:
     """One row: sigma_mm and peak_to_valley_mm of the bins' means, each bin alike."""
     return profile.agg(F.stddev_pop(F.col("z_mean") * 1000).alias("sigma_mm"), ((F.max("z_mean") - F.min("z_mean")) * 1000).alias("peak_to_valley_mm"))
+
+
+def spline(profile: DataFrame, per_bin: int = 10) -> DataFrame:
+    """step, x, z: the not-a-knot cubic spline through a profile (x_center, z_mean), at per_bin places a bin from its first to its last centre.
+
+    With fewer than four bins the profile itself. The bins (as many as a grid has along x) meet in one row; the second derivatives solve a
+    tridiagonal system, by a fold forward over the array and one back.
+    """
+    one = profile.where("x_center IS NOT NULL AND z_mean IS NOT NULL").agg(F.sort_array(F.collect_list(F.struct(F.col("x_center").alias("x"), F.col("z_mean").alias("z")))).alias("p")).withColumn("n", F.expr("size(p)"))
+    one = one.withColumn("h", F.expr("transform(sequence(0, greatest(n - 2, 0)), i -> IF(n < 2, 0D, p[least(i + 1, n - 1)].x - p[i].x))"))
+    one = one.withColumn("s", F.expr("transform(sequence(0, greatest(n - 2, 0)), i -> IF(n < 2, 0D, (p[least(i + 1, n - 1)].z - p[i].z) / h[i]))"))
+    # Rows 1 to n - 2: h[i-1] m[i-1] + 2 (h[i-1] + h[i]) m[i] + h[i] m[i+1] = 6 (s[i] - s[i-1]). At the ends the third derivative goes on over
+    # the second and the last but one point, so m[0] and m[n-1] are replaced by their neighbours.
+    a = "IF(i = n - 2, h[i - 1] - h[i] * h[i] / h[i - 1], h[i - 1])"
+    b = "2 * (h[i - 1] + h[i]) + IF(i = 1, h[0] * (1 + h[0] / h[1]), 0D) + IF(i = n - 2, h[i] * (1 + h[i] / h[i - 1]), 0D)"
+    c = "IF(i = 1, h[i] - h[0] * h[0] / h[1], h[i])"
+    one = one.withColumn("rows", F.expr(f"IF(n < 4, array(), transform(sequence(1, greatest(n - 2, 1)), i -> struct(IF(i = 1, 0D, {a}) AS a, {b} AS b, IF(i = n - 2, 0D, {c}) AS c, 6 * (s[i] - s[i - 1]) AS d)))"))
+    first = "cast(array() AS array<struct<c: double, d: double>>)"
+    ahead = "transform(array(r.b - r.a * coalesce(element_at(w, -1).c, 0D)), v -> struct(r.c / v AS c, (r.d - r.a * coalesce(element_at(w, -1).d, 0D)) / v AS d))"
+    one = one.withColumn("w", F.expr(f"aggregate(rows, {first}, (w, r) -> concat(w, IF(size(w) = 0, array(struct(r.c / r.b AS c, r.d / r.b AS d)), {ahead})))"))
+    one = one.withColumn("m", F.expr("reverse(aggregate(reverse(w), cast(array() AS array<double>), (m, r) -> concat(m, array(r.d - r.c * IF(size(m) = 0, 0D, element_at(m, -1))))))"))
+    one = one.withColumn("m", F.expr("IF(n < 4, m, concat(array((1 + h[0] / h[1]) * m[0] - h[0] / h[1] * m[1]), m, array((1 + h[n - 2] / h[n - 3]) * m[n - 3] - h[n - 2] / h[n - 3] * m[n - 4])))"))
+    at = one.select("*", F.posexplode(F.expr(f"IF(n < 4, transform(p, q -> q.x), transform(sequence(0, n * {per_bin} - 1), k -> IF(k = n * {per_bin} - 1, p[n - 1].x, p[0].x + k * ((p[n - 1].x - p[0].x) / (n * {per_bin} - 1)))))")).alias("step", "x"))
+    at = at.withColumn("i", F.expr("IF(n < 4, step, greatest(least(size(filter(p, q -> q.x <= x)), n - 1), 1) - 1)"))
+    left, right = "(p[i + 1].x - x)", "(x - p[i].x)"
+    curve = f"(m[i] * {left} * {left} * {left} + m[i + 1] * {right} * {right} * {right}) / (6 * h[i]) + (p[i].z / h[i] - m[i] * h[i] / 6) * {left} + (p[i + 1].z / h[i] - m[i + 1] * h[i] / 6) * {right}"
+    return at.selectExpr("cast(step AS bigint) AS step", "x", f"IF(n < 4, p[step].z, {curve}) AS z")

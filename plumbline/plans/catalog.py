@@ -13,7 +13,7 @@ from ..operators import charts, floor, grid, histogram, select, surface, view
 from ..session import shared_dir
 from ..sources import ply
 from ..sources.fixture import points
-from .report import report
+from .report import report, report_fields
 
 CFG = Config()
 ROI = ((5.0, 15.0), (2.0, 8.0))
@@ -156,4 +156,6 @@ def queries():
         "z_exaggeration": lambda s, d: rounded(view.exaggerated(_roi(s, d), 3.0).agg(F.min("z").alias("low"), F.max("z").alias("high"))),
         "format_size": lambda s, d: points(s, d, indexed=True).select("vertex_idx", format_size(F.expr("cast(pow(2D, vertex_idx % 60) AS bigint)")).alias("size")),
         "report_document": lambda s, d: report(points(s, d)),
+        "report_fields": lambda s, d: rounded(report_fields(report(points(s, d)))),
+        "profile_spline": lambda s, d: rounded(grid.spline(grid.height_profile(_roi(s, d)))),
     }

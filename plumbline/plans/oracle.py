@@ -128,6 +128,35 @@ SELECT mult AS width_multiplier, tol AS color_tolerance, pct AS intensity_percen
 FROM band JOIN tone USING (mult) JOIN lim USING (mult), t WHERE intensity >= thr OR (spread > 0.01 AND sqrt(pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2)) <= tol) GROUP BY ALL"""
 
 
+def _spline(profile: str) -> str:
+    """The not-a-knot spline as a least sum: its second derivatives solve the system that a recursion eliminates row by row."""
+    return f"""WITH RECURSIVE {profile.removeprefix("WITH ")}, knots AS (SELECT row_number() OVER (ORDER BY x_center) - 1 AS i, x_center AS x, z_mean AS z, count(*) OVER () AS n FROM pr),
+hs AS (SELECT i, n, x, z, lead(x) OVER w - x AS h, (lead(z) OVER w - z) / (lead(x) OVER w - x) AS s, x - lag(x) OVER w AS g, (z - lag(z) OVER w) / (x - lag(x) OVER w) AS t FROM knots WINDOW w AS (ORDER BY i)),
+sys AS (SELECT i, n, g, h, CASE WHEN i = n - 2 THEN g - h * h / g ELSE g END AS a, 2 * (g + h) + CASE WHEN i = 1 THEN g + g * g / h ELSE 0 END + CASE WHEN i = n - 2 THEN h + h * h / g ELSE 0 END AS b,
+  CASE WHEN i = 1 THEN h - g * g / h ELSE h END AS c, 6 * (s - t) AS d FROM hs WHERE i BETWEEN 1 AND n - 2),
+down AS (SELECT i, c / b AS c, d / b AS d FROM sys WHERE i = 1 UNION ALL SELECT y.i, y.c / (y.b - y.a * p.c), (y.d - y.a * p.d) / (y.b - y.a * p.c) FROM down p JOIN sys y ON y.i = p.i + 1),
+up AS (SELECT i, d AS m FROM down WHERE i = (SELECT max(i) FROM down) UNION ALL SELECT y.i, y.d - y.c * p.m FROM up p JOIN down y ON y.i = p.i - 1),
+curve AS (SELECT * FROM up UNION ALL SELECT 0, (1 + g / h) * u.m - g / h * v.m FROM sys, up u, up v WHERE sys.i = 1 AND u.i = 1 AND v.i = 2
+  UNION ALL SELECT n - 1, (1 + h / g) * u.m - h / g * v.m FROM sys, up u, up v WHERE sys.i = n - 2 AND u.i = n - 2 AND v.i = n - 3),
+piece AS (SELECT a.i, a.x AS x0, b.x AS x1, a.z AS z0, b.z AS z1, ma.m AS m0, mb.m AS m1, b.x - a.x AS h FROM knots a JOIN knots b ON b.i = a.i + 1 JOIN curve ma ON ma.i = a.i JOIN curve mb ON mb.i = b.i),
+reach AS (SELECT min(x) AS lo, max(x) AS hi, any_value(n) AS n FROM knots),
+steps AS (SELECT k AS step, CASE WHEN k = n * 10 - 1 THEN hi ELSE lo + k * ((hi - lo) / (n * 10 - 1)) END AS x FROM reach, range(0, n * 10) r(k))
+SELECT step, {_r("x")}, round((m0 * pow(x1 - x, 3) + m1 * pow(x - x0, 3)) / (6 * h) + (z0 / h - m0 * h / 6) * (x1 - x) + (z1 / h - m1 * h / 6) * (x - x0), 6) + 0.0 AS z
+FROM steps ASOF JOIN (SELECT * FROM piece) piece ON steps.x >= piece.x0"""
+
+
+def _report_fields() -> str:
+    """The document's numbers, each from the tables rather than from the document."""
+    rows = lambda section, names, src: " UNION ALL ".join(f"SELECT '{section}' AS section, '{f}' AS field, {e}::double AS value FROM {src}" for f, e in names.items())
+    peak = {c: f"round_even({c}, 6)" for c in ("peak_z", "z_min", "z_max", "fwhm")} | {"num_bins": "200"}
+    stages = {"total_points": "count(*)", "after_z_filter": "count(*) FILTER (WHERE in_band)", "after_refinement": "count(*) FILTER (WHERE is_floor)", "floor_ratio": "round_even(count(*) FILTER (WHERE is_floor) / count(*)::double, 6)"}
+    given = {"width_multiplier": "2.5", "intensity_percentile": "25", "color_tolerance": "0.6", "num_bins": "200", "prominence_ratio": "0.1", "min_peak_width": "2"}
+    flat = {"mean_tilt_degrees": "round_even(avg(tilt), 4)", "max_tilt_degrees": "round_even(max(tilt), 4)", "cell_size_meters": "round_even(any_value(cell), 4)", "valid_cells": "count(tilt)", "total_cells": "any_value(nx * ny)"}
+    sweeps = " UNION ALL ".join(f"SELECT 'sensitivity', param || '.' || (row_number() OVER (ORDER BY value) - 1), floor_ratio FROM ({_sweep(k)})" for k in SWEEPS)
+    return f"""WITH {_mask()}, {_grid('f', 150)}, {_COV}, {_TILT}
+SELECT section, field, round(value, 6) + 0.0 AS value FROM ({rows("peak_detection", peak, "pk")} UNION ALL {rows("filtering", stages, "m")} UNION ALL {rows("parameters_used", given, "(SELECT 1)")} UNION ALL {rows("flatness", flat, "tilts, geo")} UNION ALL {sweeps})"""
+
+
 def oracle_sql() -> dict[str, str]:
     peak_cols = _r("peak_z", "z_min", "z_max", "fwhm") + ", is_fallback, is_tilt_limited"
     stages = "SELECT count(*) AS total, count(*) FILTER (WHERE in_band) AS after_z_filter, count(*) FILTER (WHERE is_floor) AS after_refinement FROM m"
@@ -196,6 +225,8 @@ pr AS (SELECT greatest(least(floor((x - x0) / cell)::bigint, nb - 1), 0)::bigint
         "nearest_points": f"WITH {_ROI}, {_surface(25)}, known AS (SELECT *, 0.0::double AS z FROM nodes WHERE false), {_NEAREST} SELECT ix, iy, {_r('x', 'y', 'z')} FROM heights",
         "ply_round_trip": f"WITH {_POINTS} SELECT vertex_idx, {_r(*(f'{c}::float::double AS {c}' for c in 'xyz'), *(f'trunc({c} * 255) / 255.0 AS {c}' for c in 'rgb'), 'intensity::float::double AS intensity')} FROM pts",
         "ply_region": f"WITH {_POINTS}, fl AS (SELECT vertex_idx, x::float::double AS x, y::float::double AS y, z::float::double AS z FROM pts) SELECT vertex_idx, {_r('x', 'y', 'z')} FROM fl WHERE x BETWEEN 5 AND 15 AND y BETWEEN 2 AND 8 AND z BETWEEN -0.05 AND 0.1",
+        "report_fields": _report_fields(),
+        "profile_spline": _spline(profile),
         "roi_segments": f"WITH {_POINTS} SELECT k AS segment, [5.0, 15.0, 15.0, 5.0][k + 1]::double AS x0, [2.0, 2.0, 8.0, 8.0][k + 1]::double AS y0, [15.0, 15.0, 5.0, 5.0][k + 1]::double AS x1, [2.0, 8.0, 8.0, 2.0][k + 1]::double AS y1, round(z, 6) AS z FROM (SELECT median(z) AS z FROM pts), (SELECT unnest([0, 1, 2, 3]) AS k)",
         "z_exaggeration": f"WITH {_ROI}, mm AS (SELECT avg(z) AS m FROM f) SELECT {_r('min(m + (z - m) * 3.0) AS low', 'max(m + (z - m) * 3.0) AS high')} FROM f, mm",
         "format_size": f"WITH {_POINTS} SELECT vertex_idx, format('{{:.1f}} ' || ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][((vertex_idx % 60) // 10 + 1)::int], pow(2, vertex_idx % 60 % 10)::double) AS size FROM pts",

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.operators import charts, floor, grid, histogram, select, view
@@ -167,12 +168,53 @@ def test_run_report(spark, tmp_path):
     got = report.run_report(points(spark, SF), filename="a.ply", timestamp="t", total_points=9000)
     assert set(got) == {"z_histogram", "fwhm_overlay", "filtering_funnel", "intensity_histogram", "color_histogram", "floor_ratio", "sensitivity", "flatness_cells", "report"}
     doc = json.loads(got["report"].first()[0])
-    assert doc["metadata"] | {"max_points": 0} == {"file": "a.ply", "timestamp": "t", "elapsed_seconds": None, "view_mode": 4, "total_points": 9000, "max_points": 0, "actual_points": 6000}
+    assert doc["metadata"] == {"file": "a.ply", "timestamp": "t", "elapsed_seconds": None, "view_mode": 4, "total_vertices": 9000, "max_points_loaded": 5_000_000, "actual_points_loaded": 6000}
+    assert doc["peak_detection"]["num_bins"] == 200 and doc["filtering"]["total_points"] == 6000
+    assert doc["sensitivity"]["width_multiplier"]["values"] == list(Config().width_sweep) and len(doc["sensitivity"]["color_tolerance"]["floor_ratios"]) == 7
     assert doc["filtering"]["after_refinement"] == 3699 and doc["flatness"]["valid_cells"] == 56 and len(doc["sensitivity"]) == 3
     assert got["filtering_funnel"].count() == 3 and got["floor_ratio"].first().floor == 3699
     empty = report.write_report(points(spark, SF).where("false"), tmp_path.as_uri(), "20240102")
-    assert json.loads(spark.read.text(f"{empty}/report").first()[0])["flatness"]["mean_tilt"] is None
-    assert spark.read.parquet(f"{empty}/filtering_funnel").count() == 3
+    assert json.loads(spark.read.text(f"{empty}/report").first()[0])["flatness"]["mean_tilt_degrees"] is None
+    assert spark.read.json(f"{empty}/filtering_funnel").count() == 3
+    assert sorted(os.listdir(f"{tmp_path}")) == ["20240102"] and "_SUCCESS" in os.listdir(f"{tmp_path}/20240102")
+
+
+def test_failed_report_leaves_nothing(spark, tmp_path):
+    spark.dataSource.register(report.ReportSink)
+    good = spark.range(40).selectExpr("'z' AS chart", "concat('{\"a\":', id, '}') AS row").repartition(4)
+    bad = good.withColumn("row", F.expr("IF(row LIKE '%39%', raise_error('broken'), row)"))
+    with pytest.raises(Exception, match="broken"):
+        bad.write.format("report").mode("append").option("path", f"{tmp_path}/r").save()
+    shown = lambda: [x for x in os.listdir(tmp_path) if not x.startswith("_writing-")]  # noqa: E731 (killed tasks may leave a hidden folder, which no reader takes for data)
+    assert shown() == []
+    good.write.format("report").mode("append").option("path", f"{tmp_path}/r").save()
+    assert shown() == ["r"] and spark.read.json(f"{tmp_path}/r/z").count() == 40
+
+
+def test_spline(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 3, 4, 5, 30):
+        x, z = np.cumsum(rng.uniform(0.2, 1, n)), rng.normal(size=n)
+        got = sorted(tuple(r) for r in grid.spline(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, z, strict=True)], "x_center double, z_mean double")).collect())
+        if n < 4:
+            assert [r[1:] for r in got] == list(zip(x, z, strict=True))
+            continue
+        # Unknowns: four coefficients a piece, all conditions at once.
+        a, b = np.zeros((4 * n - 4, 4 * n - 4)), np.zeros(4 * n - 4)
+        power = lambda t, k: np.array([np.prod(range(p - k + 1, p + 1)) * t ** max(p - k, 0) if p >= k else 0.0 for p in range(4)])
+        row = 0
+        for i in range(n - 1):
+            h = x[i + 1] - x[i]
+            for t, v in ((0, z[i]), (h, z[i + 1])):
+                a[row, 4 * i : 4 * i + 4], b[row], row = power(t, 0), v, row + 1
+            for k in (1, 2, *([3] if i in (0, n - 3) else [])):
+                if i < n - 2:
+                    a[row, 4 * i : 4 * i + 4], a[row, 4 * i + 4 : 4 * i + 8], row = power(h, k), -power(0, k), row + 1
+        c = (np.linalg.solve(a, b) if n > 4 else np.linalg.lstsq(a, b, rcond=None)[0]).reshape(-1, 4)
+        xs = np.linspace(x[0], x[-1], 10 * n)
+        at = np.clip(np.searchsorted(x, xs, "right") - 1, 0, n - 2)
+        want = [(c[i] * power(t - x[i], 0)).sum() for i, t in zip(at, xs, strict=True)]
+        assert np.allclose([r[1] for r in got], xs) and np.allclose([r[2] for r in got], want, atol=1e-9)
 
 
 def test_roi_context(spark):
