@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,36 +28,8 @@ def histogram(df: DataFrame, col: str, bins: int, span: DataFrame | None = None)
     return every.join(counts, "bin", "left").selectExpr("bin", f"lo + bin * {width} AS lo", f"lo + (bin + 1) * {width} AS hi", "coalesce(n, 0L) AS n")
 
 
-def peaks(n: np.ndarray) -> list[tuple[int, float, float]]:
-    """(bin, prominence, width at half prominence) of each interior local maximum; a plateau counts at its middle."""
-    found, i = [], 1
-    while i < len(n) - 1:
-        j = i
-        while j < len(n) - 1 and n[j + 1] == n[i]:
-            j += 1
-        if j < len(n) - 1 and n[i - 1] < n[i] > n[j + 1]:
-            at, sides = (i + j) // 2, []
-            for step in (-1, 1):
-                low, base, k = n[at], at, at
-                while 0 <= k < len(n) and n[k] <= n[at]:
-                    if n[k] < low:
-                        low, base = n[k], k
-                    k += step
-                sides.append((low, base))
-            prominence = n[at] - max(sides[0][0], sides[1][0])
-            level, ends = n[at] - prominence / 2, []
-            for step, (_, base) in zip((-1, 1), sides, strict=True):
-                k = at
-                while k != base and n[k] > level:
-                    k += step
-                ends.append(k - step * (level - n[k]) / (n[k - step] - n[k]) if n[k] < level else float(k))
-            found.append((at, float(prominence), float(ends[1] - ends[0])))
-        i = j + 1
-    return found
-
-
 def peak_structs(h: str) -> str:
-    """peaks() of an array h of counts as an expression: an array of (bin, n, prominence, width)."""
+    """The interior local maxima of an array h of counts as an expression: an array of (bin, n, prominence, width at half prominence). A plateau counts at its middle."""
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     # A rise to a plateau's first bin i, which ends in a fall after its last bin j.
     rises = f"filter(sequence(1, greatest(size({h}) - 2, 1)), i -> i < size({h}) - 1 AND {h}[i - 1] < {h}[i])"

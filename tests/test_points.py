@@ -24,12 +24,6 @@ def cloud(spark, x, y, z):
     return spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, y, z, strict=True)], "x double, y double, z double")
 
 
-def test_peaks():
-    assert histogram.peaks(np.array([0, 1, 0.0])) == [(1, 1.0, 1.0)]
-    assert [p[0] for p in histogram.peaks(np.array([0, 2, 2, 2, 0, 5, 5.0]))] == [2]  # a plateau's middle; edges never
-    assert histogram.peaks(np.zeros(5)) == []
-
-
 def test_golden_counts(spark):
     row = floor.stage_counts(points(spark, SF)).first()
     assert tuple(row) == (6000, 4032, 3699)
