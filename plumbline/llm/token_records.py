@@ -291,6 +291,49 @@ def read_token_records(manifest: DataFrame, uri: str, range_bytes: int = 8 << 20
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
+def shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
+    """shard, number, place: every record of the manifest's shards once; place is its turn's hash, so that reads by place are in shuffled order."""
+    one = manifest.where("n_docs > 0").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1)).alias("number"))
+    return one.withColumn("place", F.xxhash64(F.lit(seed), "shard", "number"))
+
+
+def fetch_records(manifest: DataFrame, wanted: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of wanted (shard, number and any others) with doc_id, n_tokens and ids of that record, in the order of the column `by`, if given.
+
+    The index entry of a record, and then the record alone, are read by their places; nothing else of a shard is. Checksums are verified. Rows of
+    wanted may repeat; one whose shard or number doesn't exist is left out.
+    """
+    ship(manifest.sparkSession)
+    rows = wanted.join(F.broadcast(manifest.select("shard", "path", "n_docs")) if manifest.count() <= 10_000 else manifest.select("shard", "path", "n_docs"), "shard").where("number BETWEEN 0 AND n_docs - 1")
+    if by:
+        rows = rows.orderBy(by)
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+
+    def read(batches):
+        for b in batches:
+            fs, files, found = filesystem(b.column("path")[0].as_py())[0] if b.num_rows else None, {}, []
+            try:
+                for path, number in zip(b.column("path").to_pylist(), b.column("number").to_pylist(), strict=True):
+                    if path not in files:
+                        files[path] = fs.open_input_file(f"{path}.idx"), fs.open_input_file(f"{path}.rec")
+                    index, records = files[path]
+                    entry = np.frombuffer(index.read_at(2 * ENTRY.itemsize, number * ENTRY.itemsize), ENTRY)
+                    end = int(entry["offset"][1]) if len(entry) > 1 else records.size()
+                    (raw,) = unframe(records.read_at(end - int(entry["offset"][0]), int(entry["offset"][0])))
+                    flags = int(entry["flags"][0])
+                    ids = np.frombuffer(raw, "<u2" if flags & NARROW else "<u4", offset=16).astype(np.int32)
+                    found.append((None if flags & NULL_ID else int(entry["id"][0]), len(ids), ids))
+            finally:
+                for pair in files.values():
+                    for f in pair:
+                        f.close()
+            keep = [c for c in b.schema.names if c not in ("path", "n_docs")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array([r[i] for r in found], t) for i, t in enumerate(kinds.values()))], [*keep, *kinds])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("path", "n_docs"))
+    return rows.mapInArrow(read, f"{own}, doc_id long, n_tokens long, ids array<int>")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: write_token_records() and read_token_records() of documents."""
     import public_tokenizers
