@@ -22,6 +22,8 @@ LITERAL, MARK_BYTES = "\udfff", MARK.encode()
 LITERAL_BYTES = LITERAL.encode("utf-8", "surrogatepass")
 #: Units of more bytes are encoded in steps of so many, with the paths carried on.
 LONG = 1 << 16
+#: Units whose paths grow side by side.
+AT_ONCE = 20_000
 #: Below the least score of any piece, for characters that no piece covers.
 UNKNOWN_PENALTY = 10.0
 
@@ -241,8 +243,13 @@ class Model:
         return out.astype(np.int32), np.bincount(unit[a[m]], many, len(n)).astype(np.int32)
 
     def encoder(self):
-        """texts -> (flat ids, number of each), units of a space and what follows it encoded once each."""
-        cached = UnitEncoder(self.encode_units)
+        """texts -> (flat ids, number of each), units of a space and what follows it encoded once each, so many at a time that their matches take little memory."""
+
+        def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            parts = [self.encode_units(new[i : i + AT_ONCE]) for i in range(0, len(new), AT_ONCE)]
+            return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+        cached = UnitEncoder(encode)
 
         def units(text: str) -> list[str]:
             if not text:
