@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, keyed, landed, salted, table
+from ._common import WORD, keyed, landed, table
 
 #: Halvings of [0, 1] when the exponent is bisected; it is then rounded to 9 places.
 STEPS = 40
@@ -75,7 +75,7 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     may leave out documents of heavy sources, which is what it asks for.
 
     Each source's documents are hashed into blocks of about block_tokens, or block_rows if those are fewer: by id and
-    content, and where several rows have both in common, by row, so that no block holds all of those. An epoch
+    content, and where several rows have both in common, by their numbers, so that no block holds all of those. An epoch
     is a permutation of the blocks, and of the documents of a block; whole epochs
     take all, the last one takes documents from the front until the budget is met.
     Windows run within a block, or over one row per block, never over a source.
@@ -91,10 +91,12 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     df = df if "_row" in more else keyed(df)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), F.md5(text).alias("content"), *dict.fromkeys(("_row", *more)))
     # The texts are read once; what follows reads these few columns.
-    rows = landed(rows.withColumns({"key": F.expr("coalesce(concat('s', source), 'n')"), "same": F.xxhash64("doc_id", "content"), "salt": F.pmod(F.hash("_row"), F.lit(32))}), "mix")
-    again = salted(rows, ["same"], "salt", {"m": (F.count("*"), F.sum("m"))}).where("m > 1").select("same", "salt", F.lit("").alias("again"))
-    rows = rows.join(again, ["same", "salt"], "left").drop("same", "salt")
-    name = "concat_ws(':', cast(doc_id AS string), content, again || cast(_row AS string))"
+    rows = landed(rows.withColumns({"key": F.expr("coalesce(concat('s', source), 'n')"), "same": F.xxhash64("source", "doc_id", "content"), "salt": F.pmod(F.hash("_row"), F.lit(256))}), "mix")
+    # Rows of one source, id and content are numbered, by salt and within it; as they are alike, it doesn't matter which one has which number.
+    groups = rows.groupBy("same", "salt").agg(F.count("*").alias("m"))
+    groups = groups.selectExpr("same", "salt", "sum(m) OVER (PARTITION BY same) AS times", "sum(m) OVER (PARTITION BY same ORDER BY salt) - m AS before").where("times > 1")
+    rows = rows.join(groups, ["same", "salt"], "left").withColumn("turn", F.expr("before + row_number() OVER (PARTITION BY same, salt ORDER BY _row) - 1")).drop("same", "salt", "times", "before")
+    name = "concat_ws(':', cast(doc_id AS string), content, cast(turn AS string))"
     weights = mixing_weights(rows, max_repeats, target_entropy, budget_tokens, block_tokens, block_rows=block_rows)
     rows = rows.join(F.broadcast(weights), "key").withColumn("block", F.expr(f"pmod({_hash(repr(f'{seed}b'), name)}, n_blocks)"))
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, full_epochs - IF(rest_tokens > 0, 0L, 1L))")) if budget_tokens is None else F.explode(F.expr("IF(full_epochs = 0 AND rest_tokens = 0, array(), sequence(0L, full_epochs - IF(rest_tokens > 0, 0L, 1L)))")))
@@ -106,7 +108,7 @@ def mix(df: DataFrame, group_col: str = "source", id_col: str = "doc_id", text_c
     parts = parts.select("key", "epoch", "part", F.expr("coalesce(sum(part_n) OVER (PARTITION BY key, epoch ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("part_start"))
     within = F.expr("coalesce(sum(block_n) OVER (PARTITION BY key, epoch, part ORDER BY block_order, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)")
     blocks = blocks.withColumn("within", within).join(parts, ["key", "epoch", "part"]).select("key", "epoch", "block", F.expr("part_start + within").alias("block_start"))
-    rows = rows.withColumn("in_block", F.expr(f"coalesce(sum(n_tokens) OVER (PARTITION BY key, epoch, block ORDER BY {', '.join(('doc_order', 'doc_id', 'content', *more))} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
+    rows = rows.withColumn("in_block", F.expr(f"coalesce(sum(n_tokens) OVER (PARTITION BY key, epoch, block ORDER BY {', '.join(('doc_order', 'doc_id', 'content', 'turn', *more))} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
     rows = rows.join(blocks, ["key", "epoch", "block"]).withColumn("in_epoch", F.expr("block_start + in_block"))
     return rows.where("epoch < full_epochs OR in_epoch < rest_tokens").select("doc_id", "source", "epoch", "block", "n_tokens", F.expr("epoch * tokens + in_epoch").alias("start"), *more)
 
@@ -130,6 +132,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE r AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS key, md5(coalesce(text, '')) AS content,
+         CASE WHEN count(*) OVER (PARTITION BY source, doc_id, text) > 1 THEN row_number() OVER (PARTITION BY source, doc_id, text) - 1 END AS turn,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS n_tokens
   FROM documents
 ), s AS (SELECT key, sum(n_tokens)::bigint AS tokens, count(*) AS docs FROM r GROUP BY key),
@@ -160,15 +163,15 @@ w AS (
 ), u AS (
   SELECT *, CASE WHEN tokens > 0 THEN bt // tokens ELSE 1 END AS full_epochs, CASE WHEN tokens > 0 THEN bt % tokens ELSE 0 END AS rest FROM v
 ), x AS (
-  SELECT doc_id, source, content, r.key, n_tokens, tokens, full_epochs, rest,
-         ('0x' || substr(md5('17b|' || concat_ws(':', doc_id, content)), 1, 8))::bigint % n_blocks AS block,
+  SELECT doc_id, source, content, turn, r.key, n_tokens, tokens, full_epochs, rest,
+         ('0x' || substr(md5('17b|' || concat_ws(':', doc_id, content, turn)), 1, 8))::bigint % n_blocks AS block,
          unnest(range(0, full_epochs + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch
   FROM r JOIN u ON r.key = u.key
 ), y AS (
   SELECT *, coalesce(sum(n_tokens) OVER (
     PARTITION BY key, epoch
     ORDER BY ('0x' || substr(md5('17p|' || epoch || '|' || block), 1, 8))::bigint, block,
-             ('0x' || substr(md5('17d|' || epoch || '|' || concat_ws(':', doc_id, content)), 1, 8))::bigint, doc_id, content
+             ('0x' || substr(md5('17d|' || epoch || '|' || concat_ws(':', doc_id, content, turn)), 1, 8))::bigint, doc_id, content
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS in_epoch
   FROM x
 )
