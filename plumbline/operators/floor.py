@@ -56,22 +56,23 @@ def band_stats(points: DataFrame, bands: list[tuple[float, float]], shares: list
     v = F.col("intensity").cast("double") if intensity and known.intensity else F.lit(None).cast("double")
     rows = points.select(ring.alias("ring"), F.when(~F.isnan(v), v).alias("v"), *("rgb" if color else ())).where("ring IS NOT NULL")
     rows = rows.withColumn("at", F.coalesce(bucket("v", *known.intensity, buckets), F.lit(-1)) if intensity and known.intensity else F.lit(-1))
-    tones = [f(c) for c in ("rgb" if color else ()) for f in (F.count, F.avg, F.var_pop)]
-    got = rows.groupBy("ring", "at").agg(F.min("v"), F.max("v"), F.count("v"), *tones).collect()
+    tones = [f(c).cast("double") for c in ("rgb" if color else ()) for f in (F.count, F.avg, F.var_pop)]
+    got = rows.groupBy("ring", "at").agg(F.min("v"), F.max("v"), F.count("v"), *tones).toArrow()
+    in_ring, at, least, most, n, *tones = (x.to_numpy() for x in got.columns)
     counts, ends = np.zeros((len(bands), buckets), np.int64), np.array([np.full(buckets, np.inf), np.full(buckets, -np.inf)])
-    for r in got:
-        if r["at"] >= 0:
-            counts[r["ring"] :, r["at"]] += r[4]
-            ends[:, r["at"]] = min(ends[0, r["at"]], r[2]), max(ends[1, r["at"]], r[3])
-    thresholds = Ranks(counts, *ends, shares).values(rows, [f"ring <= {k}" for k in range(len(bands))]) if intensity else [[None] * len(shares)] * len(bands)
+    np.add.at(counts, (in_ring[at >= 0], at[at >= 0]), n[at >= 0])
+    np.minimum.at(ends[0], at[at >= 0], least[at >= 0])
+    np.maximum.at(ends[1], at[at >= 0], most[at >= 0])
+    thresholds = Ranks(np.cumsum(counts, axis=0), *ends, shares).values(rows, [f"ring <= {k}" for k in range(len(bands))]) if intensity else [[None] * len(shares)] * len(bands)
     out = []
     for k, t in enumerate(thresholds):
         means, spreads = [], []
-        for c in range(3 if color else 0):
-            n, mean, var = np.array([r[5 + 3 * c : 8 + 3 * c] for r in got if r["ring"] <= k and r[5 + 3 * c]], float).reshape(-1, 3).T
-            if len(n):
-                means.append(float((n * mean).sum() / n.sum()))
-                spreads.append(float((n * (var + (mean - means[-1]) ** 2)).sum() / n.sum()) ** 0.5)
+        for n, mean, var in zip(tones[::3], tones[1::3], tones[2::3], strict=True):
+            on = (in_ring <= k) & (n > 0)
+            if on.any():
+                total = n[on].sum()
+                means.append(float((n[on] * mean[on]).sum() / total))
+                spreads.append(float((n[on] * (var[on] + (mean[on] - means[-1]) ** 2)).sum() / total) ** 0.5)
         out.append((t, (*means, sum(spreads) / 3) if len(means) == 3 else (None,) * 4))
     return out
 

@@ -302,7 +302,7 @@ def ply_bytes(columns: dict[str, np.ndarray]) -> bytes:
 def write_ply(points, folder: str, files: int | None = None) -> None:
     """Write points (vertex_idx, x, y, z; r, g, b and intensity where there) as PLY files of float and uchar properties, in the order of vertex_idx.
 
-    Each task (about `files` of them; by size if None) writes a file of its own, named so that the files' order is that of the vertices.
+    Each task (about `files` of them; by size if None) writes a file of its own, named so that the files' order is that of the vertices, and holds its rows in memory until then.
     """
     from pyspark import TaskContext
     from pyspark.sql import functions as F
