@@ -89,3 +89,30 @@ def test_surface_cap(spark, scattered):
     few = view.surface(df, 12, cfg=Config(surface_points=400)).agg(F.max(F.abs(F.expr("z - (0.5 * x - 0.2 * y + 1)")))).first()[0]
     whole = view.surface(df, 12, cfg=Config(surface_points=10**6)).agg(F.max(F.abs(F.expr("z - (0.5 * x - 0.2 * y + 1)")))).first()[0]
     assert whole < few < 1  # the nodes outside of the sample's hull
+
+
+def test_all_points_take_part(spark):
+    """More points than Config.surface_points: no sample unless a cfg asks for one."""
+    n = 520_000
+    df = spark.range(n).selectExpr("id AS vertex_idx", "id % 1000 / 10D AS x", "id div 1000 / 10D AS y", "pmod(hash(id), 1000) / 1000D AS z")
+    got = {(r.ix, r.iy): r.z for r in view.surface(df, 8, method="mean").collect()}
+    x, y, z = (df.toPandas()[c].to_numpy() for c in "xyz")
+    step = 99.9 / 8
+    cx, cy = np.floor(x / step).astype(int), np.floor(y / step).astype(int)
+    for n_ in view.lattice(df, 8).collect():
+        i, j = int(np.floor(n_.x / step)), int(np.floor(n_.y / step))
+        cells = [(cx == a) & (cy == b) for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1)]
+        w = [c.sum() / ((x[c].mean() - n_.x) ** 2 + (y[c].mean() - n_.y) ** 2 + 1e-12) for c in cells if c.any()]
+        assert abs(got[n_.ix, n_.iy] - np.average([z[c].mean() for c in cells if c.any()], weights=w)) < 1e-9
+
+
+def test_far_circles(spark):
+    """Nodes on a border whose neighbours there lie far apart: the height between these two, whatever the points of the tile are."""
+    rng = np.random.default_rng(8)
+    inner = np.column_stack([rng.uniform(0, 10, 3000), rng.uniform(0.001, 5, 3000)])
+    border = np.array([[0, 0], [1, 0], *[[9 + k / 10, 0] for k in range(11)], [0, 5], [10, 5]])
+    xy = np.concatenate([inner, border])
+    z = np.concatenate([rng.uniform(-1, 1, 3000), border[:, 0]])
+    nodes = spark.createDataFrame([(i, 0, 1.5 + i, 0.0) for i in range(8)], "ix long, iy long, x double, y double")
+    got = {r.ix: r.z for r in surface.triangulated(nodes, surface.sites(cloud(spark, xy, z).repartition(3)), "linear").collect()}
+    assert len(got) == 8 and all(abs(got[i] - (1.5 + i)) < 1e-9 for i in range(8))
