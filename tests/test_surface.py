@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.operators import surface, view
+from plumbline.sources import fixture
 
 FORMS = {"plane": lambda x, y: 0.5 * x - 0.2 * y + 1, "quadric": lambda x, y: 0.1 * x * x - 0.05 * x * y + 0.2 * y * y + x, "wave": lambda x, y: np.sin(x) * np.cos(y)}
 
@@ -116,3 +117,15 @@ def test_far_circles(spark):
     nodes = spark.createDataFrame([(i, 0, 1.5 + i, 0.0) for i in range(8)], "ix long, iy long, x double, y double")
     got = {r.ix: r.z for r in surface.triangulated(nodes, surface.sites(cloud(spark, xy, z).repartition(3)), "linear").collect()}
     assert len(got) == 8 and all(abs(got[i] - (1.5 + i)) < 1e-9 for i in range(8))
+
+
+def test_indexed_cloud_is_not_shuffled_for_its_places(spark):
+    """What needs no vertex_idx (extents, cells) leaves the rows of an indexed cloud where they are, even where no join is broadcast by size."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = fixture.points(spark, "/root/testdata/sf0.001", indexed=True).groupBy(F.floor("x").alias("cx")).agg(F.avg("z"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "row_number" not in plan and len(df.collect()) > 10
