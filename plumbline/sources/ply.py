@@ -9,6 +9,7 @@ gives, and in each task which ones.
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -291,18 +292,29 @@ def list_files(spark, folder: str):
     return files.select("path", "length", format_size(F.col("length")).alias("size")).orderBy("path")
 
 
+def ply_head(kinds: dict[str, np.dtype], count: int) -> bytes:
+    """The header of a file with `count` vertices of these properties."""
+    names = {np.dtype(v[0]): k for k, v in reversed(SCALARS.items())}
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {count}"]
+    head += [f"property {names[v]} {k}" for k, v in kinds.items()]
+    return ("\n".join([*head, "end_header"]) + "\n").encode()
+
+
+def ply_rows(columns: dict[str, np.ndarray]) -> bytes:
+    """The vertices of columns, as they lie in a file."""
+    return np.rec.fromarrays(list(columns.values()), names=list(columns)).tobytes()
+
+
 def ply_bytes(columns: dict[str, np.ndarray]) -> bytes:
     """A whole file of columns such as x, y, z (float), red, green, blue (uchar)."""
-    names = {np.dtype(v[0]): k for k, v in reversed(SCALARS.items())}
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(next(iter(columns.values())))}"]
-    head += [f"property {names[v.dtype]} {k}" for k, v in columns.items()]
-    return ("\n".join([*head, "end_header"]) + "\n").encode() + np.rec.fromarrays(list(columns.values()), names=list(columns)).tobytes()
+    return ply_head({k: v.dtype for k, v in columns.items()}, len(next(iter(columns.values())))) + ply_rows(columns)
 
 
 def write_ply(points, folder: str, files: int | None = None) -> None:
     """Write points (vertex_idx, x, y, z; r, g, b and intensity where there) as PLY files of float and uchar properties, in the order of vertex_idx.
 
-    Each task (about `files` of them; by size if None) writes a file of its own, named so that the files' order is that of the vertices, and holds its rows in memory until then.
+    Each task (about `files` of them; by size if None) writes a file of its own, named so that the files' order is that of the vertices. As the header, which
+    comes first, has their number, rows are spooled to the task's temp folder beyond 8 MB, and copied behind it; memory holds a batch of them.
     """
     from pyspark import TaskContext
     from pyspark.sql import functions as F
@@ -316,20 +328,27 @@ def write_ply(points, folder: str, files: int | None = None) -> None:
     if "intensity" in points.columns:
         cols["scalar_Intensity"] = F.col("intensity").cast("float")
 
-    names = list(cols)
+    kinds = {c: np.dtype("<f4" if c in "xyz" or c.startswith("scalar") else "u1") for c in cols}
 
     def write(batches):
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            t = pa.Table.from_batches(parts)
-            raw = ply_bytes({c: t.column(c).to_numpy().astype("u1" if pa.types.is_int16(t.schema.field(c).type) else "<f4") for c in names})
+        n, block = 0, 8 << 20
+        with tempfile.SpooledTemporaryFile(max_size=block) as body:
+            for b in batches:
+                if b.num_rows:
+                    body.write(ply_rows({c: b.column(c).to_numpy(zero_copy_only=False).astype(k) for c, k in kinds.items()}))
+                    n += b.num_rows
+            if not n:
+                return
+            body.seek(0)
             fs, top = _filesystem(folder)
             fs.create_dir(top, recursive=True)
             name = f"{top}/part-{TaskContext.get().partitionId():06d}"
             with fs.open_output_stream(f"{name}.writing-{TaskContext.get().taskAttemptId()}") as f:
-                f.write(raw)
+                f.write(ply_head(kinds, n))
+                while part := body.read(block):
+                    f.write(part)
             fs.move(f"{name}.writing-{TaskContext.get().taskAttemptId()}", f"{name}.ply")  # whole, whichever attempt comes last
-            yield pa.RecordBatch.from_pydict({"n": [t.num_rows]})
+        yield pa.RecordBatch.from_pydict({"n": [n]})
 
     points.repartitionByRange(*[files] * (files is not None), "vertex_idx").sortWithinPartitions("vertex_idx").select(*(e.alias(c) for c, e in cols.items())).mapInArrow(write, "n long").count()
 

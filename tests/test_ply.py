@@ -1,5 +1,9 @@
 """The PLY source: pruning by zone maps, bounded batches, samples without lists, folders, progress."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
@@ -97,6 +101,37 @@ def test_folder_round_trip(spark, tmp_path):
         spark.read.format("ply").options(path=folder, columns="x,nothing").load()
 
 
+LONG_FILE = """
+import resource, sys, time
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from plumbline.sources import ply
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+
+def peak(batches):
+    list(batches)
+    time.sleep(1)
+    yield pa.RecordBatch.from_pydict({"kb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss]})
+
+def most():
+    return max(r[0] for r in spark.range(2, numPartitions=2).mapInArrow(peak, "kb long").collect())
+
+cloud = lambda n: spark.range(n).selectExpr("id AS vertex_idx", "id / 7D AS x", "id / 5D AS y", "id / 3D AS z", "id / 2D AS intensity")
+ply.write_ply(cloud(1000), sys.argv[1] + "/short", files=1)
+before = most()
+ply.write_ply(cloud(4_000_000), sys.argv[1] + "/long", files=1)
+print(before, most(), ply.read_header(ply.ply_files(sys.argv[1] + "/long")[0])["count"])
+"""
+
+
+def test_writer_memory_is_bounded(tmp_path):
+    """A file of 64 MB takes the task that writes it less than that: rows aren't held until its end."""
+    got = subprocess.run([sys.executable, "-c", LONG_FILE, str(tmp_path)], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    before, after, n = map(int, got.stdout.split())
+    assert n == 4_000_000 and after - before < 40_000
+
+
 def test_progress(spark, strip):
     path, _ = strip
     seen = []
