@@ -1,9 +1,10 @@
 """Exact top-k search by inner product over an impact-ordered index, score at a time.
 
 A shard holds some vectors of whole numbers. For each dimension, its places stand in segments of equal
-quantised value (impact). A query takes the segments of all dimensions in descending order of what they
-can add, keeps for each vector a lower and an upper bound of its score, and stops only when that
-proves few vectors to be possible members; those are then scored exactly.
+quantised value (impact). A block of queries takes the segments of all dimensions in descending order of what
+they can change in its scores, posting by posting for all its queries at once, and keeps for each query and
+vector a sum and a bound of what is left. A query stops only when that proves few vectors to be possible
+members; those are then scored exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +22,13 @@ from .lexical import _items
 
 SHARD = "shard long, dim int, ids array<long>, vectors binary, places binary, seg_dim binary, seg_low binary, seg_high binary, seg_end binary"
 #: Shares of all postings after which the bounds are looked at.
-LOOKS = (0.65, 0.75, 0.85, 1.0)
+LOOKS = (0.65, 0.8, 1.0)
+#: Queries that take segments together, and places whose sums for all of them a processor's cache holds.
+BLOCK, TILE = 256, 2048
+#: Postings of a tile that fill more than one in so many places of their dimensions are multiplied as a matrix.
+DENSE = 16
+#: Scoring a place exactly takes as long as so many postings in each of its dimensions.
+EXACT = 4
 
 
 def impact_segments(v: np.ndarray, levels: int) -> tuple[np.ndarray, ...]:
@@ -78,76 +85,122 @@ class Shard:
         self.ids, self.dim = x["ids"], x["dim"]
         self.v = np.frombuffer(x["vectors"], np.int64).reshape(len(self.ids), self.dim)
         n = len(self.ids)
-        # By dimension: places and values, in ascending order of impact.
-        self.places = np.frombuffer(x["places"], "<u4").astype(np.int64).reshape(self.dim, n)
-        self.values = np.take_along_axis(self.v.T, self.places, axis=1).astype(float)
-        self.seg_dim, self.low, self.high, self.end = (np.frombuffer(x[c], "<i8") for c in ("seg_dim", "seg_low", "seg_high", "seg_end"))
-        self.start = np.append(0, self.end[:-1]) if self.dim else self.end
-        self.first = np.searchsorted(self.seg_dim, np.arange(self.dim))
-        self.most = int(np.abs(self.v).max(initial=0))
-        self.doubles = self.v.astype(float)
+        seg_dim, low, high, end = (np.frombuffer(x[c], "<i8") for c in ("seg_dim", "seg_low", "seg_high", "seg_end"))
+        start, peak = np.append(0, end[:-1])[: len(end)], np.maximum(np.abs(low), np.abs(high))
+        # Of each dimension, segments and their postings in descending order of impact, so that what a search takes is a prefix.
+        order = np.lexsort((-peak, seg_dim))
+        self.seg_dim, self.peak, self.size = seg_dim[order], peak[order], (end - start)[order]
+        places = np.frombuffer(x["places"], "<u4")[np.repeat(start[order] - np.cumsum(self.size) + self.size, self.size) + np.arange(n * self.dim)]
+        # Tiles of places: columns at to at + TILE of `places` are the tile's own list in each dimension.
+        tile = (places // TILE).astype(np.uint16 if n < TILE << 16 else np.int64).reshape(self.dim, n)
+        at = np.argsort(tile, axis=1, kind="stable")
+        self.places = np.take_along_axis(places.reshape(self.dim, n), at, axis=1).astype(np.int64)
+        self.values = np.take_along_axis(np.ascontiguousarray(self.v.T), self.places, axis=1)
+        # By tile and dimension: postings in the first 0, 1, 2 ... segments. Dimension d begins at column heads[d].
+        segments = np.bincount(self.seg_dim, minlength=self.dim)
+        first = np.cumsum(segments) - segments
+        self.heads, tiles = first + np.arange(self.dim), -(-n // TILE)
+        count = np.bincount(tile.reshape(-1).astype(np.int64) * len(order) + np.repeat(np.arange(len(order)), self.size), minlength=tiles * len(order)).reshape(tiles, len(order))
+        self.upto = np.insert(count, first, 0, axis=1)
+        np.cumsum(self.upto, axis=1, out=self.upto)
+        self.upto -= np.repeat(self.upto[:, self.heads], segments + 1, axis=1)
+        self.most = max(int(self.v.max(initial=0)), -int(self.v.min(initial=0)))
+        self.rows = self.v.astype(np.float32 if self.most < 2**24 else float)
         self.key = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
         self.null = np.array([i is None for i in self.ids], bool)
         self.seen = self.processed = 0
 
-    def _by_dim(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(dimensions, number of postings) of segments."""
-        n = np.bincount(self.seg_dim[segments], (self.end - self.start)[segments], self.dim).astype(np.int64)
-        d = np.flatnonzero(n)
-        return d, n[d]
+    def _scores(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        reach = float(np.abs(q.astype(float)).sum()) * self.most
+        if reach >= 2**53:
+            return self.v[p] @ q
+        return (self.rows[p] @ q.astype(np.float32) if reach < 2**24 else self.rows[p].astype(float) @ q.astype(float)).astype(np.int64)
 
-    def members(self, q: np.ndarray, k: int, own: int) -> np.ndarray:
-        """Places that can be among the k best of q: all others are proven not to be."""
-        n = len(self.ids)
-        every = np.arange(n)
-        used = np.flatnonzero(q)
-        if n <= 2 * k or not len(used) or float(np.abs(q[used].astype(float)).sum()) * self.most >= 2**53 / (self.dim + 1):
-            return every  # too few, no difference, or beyond what doubles hold exactly
-        x = q[self.seg_dim]
-        a, b = x * self.low, x * self.high
-        base = np.minimum.reduceat(np.minimum(a, b), self.first)
-        high = np.maximum(a, b) - base[self.seg_dim]  # what a segment's postings add to the least possible score, at most
-        order = np.flatnonzero(x)
-        order = order[np.argsort(-high[order], kind="stable")]
-        size = (self.end - self.start)[order]
-        done = np.cumsum(size)
-        acc, at = np.zeros(n), 0
-        most, begun = np.maximum.reduceat(high, self.first), np.zeros(self.dim, bool)
-        upto, unit = np.zeros(self.dim, np.int64), self.dim + 1.0
-        self.seen += int(done[-1])
+    def _take(self, sums: np.ndarray, rest: np.ndarray, qs: np.ndarray, weight: np.ndarray, took: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Adds segments took to upto of each dimension to the sums of the queries `rest`; the weighted length of what each place has left."""
+        dims, kind = np.flatnonzero(upto > took), sums.dtype
+        q, left = np.ascontiguousarray(qs[rest][:, dims].T.astype(kind)), np.zeros(sums.shape[1])
+        for t, (a, b) in enumerate(zip(self.upto[:, self.heads + took].tolist(), self.upto[:, self.heads + upto].tolist(), strict=True)):
+            at, n = t * TILE, min(TILE, len(left) - t * TILE)
+            postings = sum(b) - sum(a)
+            self.processed += postings * len(rest)
+            if postings * DENSE > n * len(dims):
+                block = np.zeros((n, len(dims)), kind)
+                for j, d in enumerate(dims.tolist()):
+                    block[self.places[d, at + a[d] : at + b[d]] - at, j] = self.values[d, at + a[d] : at + b[d]]
+                part = block @ q
+            else:
+                part = np.zeros((n, len(rest)), kind)
+                for j, d in enumerate(dims.tolist()):
+                    part[self.places[d, at + a[d] : at + b[d]] - at] += self.values[d, at + a[d] : at + b[d], None].astype(kind) * q[j]
+            sums[rest, at : at + n] += part.T
+            for d in np.flatnonzero(weight).tolist():
+                left[self.places[d, at + b[d] : at + n]] += (self.values[d, at + b[d] : at + n] * weight[d]) ** 2
+        return np.sqrt(left)
+
+    def members_of_block(self, qs: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+        """Of each query of a block, the places that can be among its k best: all others are proven not to be."""
+        n, every = len(self.ids), np.arange(len(self.ids))
+        reach = np.abs(qs.astype(float)).sum(axis=1) * self.most
+        found, rest = [every] * len(qs), np.flatnonzero((reach > 0) & (reach < 2**53))
+        if n <= 2 * k or not len(rest):
+            return found  # too few, no difference, or beyond what doubles hold exactly
+        # What a segment can change in the scores of the block: its impact times the root mean square of the queries' components.
+        weight = np.sqrt((qs[rest].astype(float) ** 2).mean(axis=0))
+        gain = weight[self.seg_dim] * self.peak
+        order = np.argsort(-gain, kind="stable")
+        order = order[gain[order] > 0]
+        if not len(order):
+            return found
+        done = np.cumsum(self.size[order])
+        used = weight > 0
+        length = np.sqrt(((qs[:, used] / weight[used]) ** 2).sum(axis=1))
+        # Whole numbers, so sums are exact.
+        sums, took = np.zeros((len(qs), n), np.float32 if reach[rest].max() < 2**24 else float), np.zeros(self.dim, np.int64)
+        group = min(32, n // (2 * k))
+        self.seen += int(done[-1]) * len(rest)
         for share in LOOKS:
             to = int(np.searchsorted(done, share * done[-1])) + 1
-            if to <= at:
-                continue
-            s = order[at:to]
-            for d, more in zip(*(y.tolist() for y in self._by_dim(s)), strict=True):
-                # Segments of one dimension come in the order of its list, from the end that the query's sign says.
-                took = int(upto[d])
-                part = slice(n - took - more, n - took) if q[d] > 0 else slice(took, took + more)
-                # One sum has both: what was added, and in how many dimensions.
-                acc[self.places[d, part]] += self.values[d, part] * (float(q[d]) * unit) + (1 - float(base[d]) * unit)
-                upto[d] += more
-                self.processed += more
-            begun[self.seg_dim[s]] = True
-            at = min(to, len(order))
-            left = int(high[order[at]]) if at < len(order) else 0  # no posting to come adds more
-            sure = np.floor_divide(acc, self.dim + 1)
-            rest = (begun.sum() - (acc - sure * (self.dim + 1))) * left + most[~begun].sum()  # what the dimensions not met yet add, at most
-            least = np.partition(np.delete(sure, own) if own >= 0 else sure, -k)[-k]
-            possible = every[sure + rest >= least]
-            if len(possible) * len(used) <= done[-1] - done[at - 1] or at == len(order):
-                return possible
-        return every
+            upto = np.bincount(self.seg_dim[order[:to]], minlength=self.dim)
+            left = self._take(sums, rest, qs, weight, took, upto).astype(sums.dtype)
+            took, more, open_ = upto, int(done[-1] - done[min(to, len(order)) - 1]), []
+            for i in rest.tolist():
+                # The k-th best exact score of the leaders of the best groups of places; no member scores less.
+                groups = sums[i, : n // group * group].reshape(-1, group)
+                best = np.argpartition(groups.max(axis=1), -2 * k)[-2 * k :]
+                lead = best * group + groups[best].argmax(axis=1)
+                least = float(np.partition(self._scores(lead[lead != own[i]], qs[i]), -k)[-k])
+                # By Cauchy and Schwarz, what is left adds at most the product of the two lengths; the rest is for rounding.
+                p = np.flatnonzero(sums[i] >= (least - 2) - left * left.dtype.type(length[i] * (1 + 1e-5)))
+                if EXACT * len(p) * self.dim <= more or not more:
+                    found[i] = p
+                else:
+                    open_.append(i)
+            rest = np.array(open_, np.int64)
+            if not len(rest):
+                break
+        return found
+
+    def members(self, q: np.ndarray, k: int, own: int = -1) -> np.ndarray:
+        return self.members_of_block(q[None], k, np.array([own]))[0]
+
+    def search_block(self, queries: list[np.ndarray], k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query of a block, (places, scores) of the k best vectors but its `own`; of equal scores, the smaller ids."""
+        qs, found = np.zeros((len(queries), self.dim), np.int64), []
+        for row, q in zip(qs, queries, strict=True):
+            row[: len(q)] = q[: self.dim]
+        for q, p, me in zip(qs, self.members_of_block(qs, k, own), own, strict=True):
+            p = p[p != me]
+            score = self._scores(p, q)
+            if len(p) > k:
+                least = np.partition(score, -k)[-k]
+                p, score = p[score >= least], score[score >= least]
+            keep = np.lexsort((p, self.key[p], self.null[p], -score))[:k]
+            found.append((p[keep], score[keep]))
+        return found
 
     def search(self, q: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best vectors but `own`; of equal scores, the smaller ids."""
-        q = np.append(q, np.zeros(max(0, self.dim - len(q)), np.int64))[: self.dim]
-        p = self.members(q, k, own)
-        p = p[p != own]
-        small = float(np.abs(q.astype(float)).sum()) * self.most < 2**53
-        score = (self.doubles[p] @ q.astype(float)).astype(np.int64) if small else self.v[p] @ q
-        keep = np.lexsort((p, self.key[p], self.null[p], -score))[:k]
-        return p[keep], score[keep]
+        return self.search_block([q], k, np.array([own]))[0]
 
 
 def nearest(index: DataFrame, every: int = 20, k: int = 20, block: int = 1024) -> DataFrame:
@@ -176,9 +229,10 @@ def nearest(index: DataFrame, every: int = 20, k: int = 20, block: int = 1024) -
                 if items is None:
                     continue
                 shard, out = Shard(x), []
-                for home, own, q in zip(items["home"], items["own"], items["q"], strict=True):
-                    places, scores = shard.search(np.frombuffer(q, np.int64), k, own if home == x["shard"] else -1)
-                    out.append((places, scores))
+                asked = [np.frombuffer(q, np.int64) for q in items["q"]]
+                own = np.where(np.array(items["home"], np.int64) == x["shard"], np.array(items["own"], np.int64), -1)
+                for at in range(0, len(asked), BLOCK):
+                    out += shard.search_block(asked[at : at + BLOCK], k, own[at : at + BLOCK])
                 size = [len(p) for p, _ in out]
                 again = lambda c: pa.array(np.repeat(np.array(items[c], np.int64), size))  # noqa: E731, B023
                 place = np.concatenate([p for p, _ in out])
