@@ -10,6 +10,7 @@ members; those are then scored exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -203,11 +204,17 @@ class Shard:
         return self.search_block([q], k, np.array([own]))[0]
 
 
+@lru_cache(1)
+def _shard(uri: str, part: int) -> Shard:
+    """A landed shard; tasks of one worker mostly take the same one again."""
+    return Shard({c: x[0] for c, x in _items(uri, part).items()})
+
+
 def nearest(index: DataFrame, every: int = 20, k: int = 20, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the k best other vectors of each indexed one whose id is divisible by `every`.
 
-    Queries are landed in blocks of about `block`, which tasks read one by one: each task takes a shard and a block. Of each
-    shard the k best go on.
+    Shards are landed by name and queries in blocks of about `block`: each task reads a shard and a block, so only their
+    names are dealt out. Of each shard the k best go on.
     """
     spark = ship(index.sparkSession)
 
@@ -222,13 +229,16 @@ def nearest(index: DataFrame, every: int = 20, k: int = 20, block: int = 1024) -
     parts, uri = max(1, -(-queries.count() // block)), shared_dir(spark, "vector-blocks-of-queries")
     queries.withColumn("part", F.expr(f"pmod(xxhash64(home, own), {parts})")).write.partitionBy("part").parquet(uri)
 
+    by_name = shared_dir(spark, "vector-shards-by-name")
+    index.withColumn("part", F.col("shard")).write.partitionBy("part").parquet(by_name)
+
     def run(batches):
         for b in batches:
             for x in b.to_pylist():
                 items = _items(uri, x["part"])
                 if items is None:
                     continue
-                shard, out = Shard(x), []
+                shard, out = _shard(by_name, x["shard"]), []
                 asked = [np.frombuffer(q, np.int64) for q in items["q"]]
                 own = np.where(np.array(items["home"], np.int64) == x["shard"], np.array(items["own"], np.int64), -1)
                 for at in range(0, len(asked), BLOCK):
@@ -239,8 +249,8 @@ def nearest(index: DataFrame, every: int = 20, k: int = 20, block: int = 1024) -
                 cols = [again("home"), again("own"), again("query_id"), pa.array([shard.ids[p] for p in place], pa.int64()), pa.array(np.full(len(place), x["shard"], np.int64)), pa.array(place), pa.array(np.concatenate([s for _, s in out]))]
                 yield pa.RecordBatch.from_arrays(cols, ["home", "own", "query_id", "vec_id", "shard", "place", "score"])
 
-    pairs = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = pairs.repartition(max(1, min(index.count() * parts, 20_000)))
+    pairs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = pairs.repartitionByRange(max(1, min(index.count() * parts, 20_000)), "shard", "part")
     found = dealt.mapInArrow(run, "home long, own long, query_id long, vec_id long, shard long, place long, score long")
     best = Window.partitionBy("home", "own").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "shard", "place")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -163,6 +163,12 @@ def test_block_of_queries(monkeypatch, most, dense):
         assert places.tolist() == want and scores.tolist() == [exact[p] for p in want]
 
 
+def test_only_names_of_shards_are_dealt_out(spark):
+    df = spark.range(400).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> cast(hash(id, i) % 100 AS float)) AS embedding")
+    found = vectors.nearest(vectors.shards(df, rows=50), every=2, block=16)
+    assert found.count() == 200 * 20 and "vectors#" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors_without_components():
     s = vectors.Shard({"ids": list(range(50)), "dim": 0, "vectors": b"", "places": b"", **{f"seg_{n}": b"" for n in ("dim", "low", "high", "end")}})
     assert [x[0].tolist() for x in s.search_block([np.zeros(0, np.int64), np.ones(3, np.int64)], 20, np.array([4, -1]))] == [[p for p in range(21) if p != 4], [*range(20)]]
