@@ -3,11 +3,13 @@
 A shard holds the posting lists of some documents. Each list is cut into blocks whose
 boundaries dynamic programming chooses, and each block keeps its greatest impact. For an item, the
 block maxima add up to a bound of every document; postings of blocks without a document whose
-bound reaches the threshold are skipped, the others are scored exactly.
+bound reaches the threshold are skipped, the others are scored exactly. Each shard is a file, which
+tasks write and read themselves: only the names go through Spark, which would hold all shards of a task at once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,8 +26,10 @@ from .units import chunks
 
 #: Bytes of terms stay, A-Z in lower case; all others part terms.
 _FOLD = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
-SHARD = "shard long, n_docs long, n_terms long, doc_ids array<long>, lens binary, terms array<string>, df array<int>, docs binary, tfs binary"
-BLOCKED = "shard long, doc_ids array<long>, terms array<string>, df array<int>, docs binary, impacts binary, n_blocks binary, ends binary, tops binary"
+#: What a shard's file holds, and what goes through Spark, before and after blocks are cut.
+SHARD = {"doc_ids": pa.list_(pa.int64()), "lens": pa.binary(), "terms": pa.list_(pa.string()), "df": pa.list_(pa.int32()), "docs": pa.binary(), "tfs": pa.binary()}
+BLOCKED = {"doc_ids": pa.list_(pa.int64()), "terms": pa.list_(pa.string()), "df": pa.list_(pa.int32()), **dict.fromkeys(("docs", "impacts", "n_blocks", "ends", "tops"), pa.binary())}
+
 
 
 def terms_of(raw: bytes) -> list[bytes]:
@@ -39,19 +43,44 @@ class _Numbers(dict):
         return n
 
 
+def _saved(uri: str, kinds: dict, values: list) -> str:
+    """The URI of a new file below uri with a row of these values. Each attempt of a task has files of its own."""
+    import pyarrow.parquet as pq
+
+    fs, top = filesystem(uri)
+    fs.create_dir(top, recursive=True)
+    name = f"{uuid.uuid4().hex}.parquet"
+    row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) if isinstance(x, pa.Array) else pa.array([x], t) for t, x in zip(kinds.values(), values, strict=True)]
+    pq.write_table(pa.table(row, list(kinds)), f"{top}/{name}", filesystem=fs, compression="zstd", use_dictionary=False)
+    return f"{uri}/{name}"
+
+
+def _loaded(uri: str, *columns: str) -> dict:
+    """Columns of such a file: lists as Arrow arrays, all else as buffers."""
+    import pyarrow.parquet as pq
+
+    fs, path = filesystem(uri)
+    row = pq.read_table(path, filesystem=fs, columns=list(columns), partitioning=None)
+    return {c: x.values if isinstance(x := row.column(c)[0], pa.ListScalar) else x.as_buffer() for c in columns}
+
+
+def _dealt(index: DataFrame) -> DataFrame:
+    return index.repartitionByRange(max(1, min(index.count(), 20_000)), "shard")
+
+
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
-    """Landed posting lists of all terms of all documents, a row a shard of about shard_bytes of text (one document at least).
+    """shard, file, n_docs, n_terms of landed posting lists of all terms of all documents, a file a shard of about shard_bytes of text (one document at least).
 
     doc_ids and lens (terms of each) are by place; docs and tfs are the lists, one after the other, df long each.
     """
+    uri = shared_dir(ship(docs.sparkSession), "lexical-shard-files")
 
     def row(k, keys, lens, flat, names):
         place = np.repeat(np.arange(len(lens)), lens)
         both, tf = np.unique(np.concatenate(flat).astype(np.int64) << 32 | place if flat else np.zeros(0, np.int64), return_counts=True)
         df = np.bincount(both >> 32, minlength=len(names))
-        one = [k, int(np.count_nonzero(lens)), int(sum(lens)), keys, np.array(lens, "<u4").tobytes(), [x.decode() for x in names], df.tolist(), (both & 0xFFFFFFFF).astype("<u4").tobytes(), tf.astype("<u4").tobytes()]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
+        file = _saved(uri, SHARD, [keys, np.array(lens, "<u4").tobytes(), [x.decode() for x in names], df, (both & 0xFFFFFFFF).astype("<u4").tobytes(), tf.astype("<u4").tobytes()])
+        return pa.RecordBatch.from_pydict({"shard": [k], "file": [file], "n_docs": [int(np.count_nonzero(lens))], "n_terms": [int(sum(lens))]})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, made, size = TaskContext.get().partitionId() << 32, 0, 0
@@ -70,7 +99,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
             yield row(top + made, keys, lens, flat, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    return landed(rows.mapInArrow(build, SHARD), "lexical-shards")
+    return landed(rows.mapInArrow(build, "shard long, file string, n_docs long, n_terms long"), "lexical-shards")
 
 
 def block_ends(scores: np.ndarray, sizes: np.ndarray, cost: int = 1_000_000, longest: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -113,23 +142,24 @@ def block_ends(scores: np.ndarray, sizes: np.ndarray, cost: int = 1_000_000, lon
 
 
 def blocked(index: DataFrame) -> tuple[DataFrame, int]:
-    """(shards with impacts and blocks, landed; number of documents with a term). A posting's impact is its score at weight 1."""
+    """(shard, file of shards with impacts and blocks, landed; number of documents with a term). A posting's impact is its score at weight 1."""
     n, total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+    uri = shared_dir(index.sparkSession, "lexical-block-files")
 
     def cut(batches):
         for b in batches:
-            for x in b.to_pylist():
+            for k, file in zip(b.column("shard").to_pylist(), b.column("file").to_pylist(), strict=True):
+                x = _loaded(file, *SHARD)
                 docs, tf, lens = (np.frombuffer(x[c], "<u4") for c in ("docs", "tfs", "lens"))
                 m = 75 + 25 * lens.astype(np.int64) * n // max(total, 1)
                 tf = tf.astype(np.int64)
                 impact = 1_000_000_000 * tf // (1000 * tf + 12 * m[docs])
-                ends, count = block_ends(impact, np.array(x["df"], np.int64))
+                ends, count = block_ends(impact, x["df"].to_numpy().astype(np.int64))
                 tops = np.maximum.reduceat(impact, np.append(0, ends[:-1])) if len(ends) else ends
-                one = [x["shard"], x["doc_ids"], x["terms"], x["df"], x["docs"], *(v.astype("<u4").tobytes() for v in (impact, count, ends, tops))]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], [c.split()[0] for c in BLOCKED.split(", ")])
+                file = _saved(uri, BLOCKED, [x["doc_ids"], x["terms"], x["df"], x["docs"].to_pybytes(), *(v.astype("<u4").tobytes() for v in (impact, count, ends, tops))])
+                yield pa.RecordBatch.from_pydict({"shard": [k], "file": [file]})
 
-    return landed(index.select("shard", "doc_ids", "lens", "terms", "df", "docs", "tfs").mapInArrow(cut, BLOCKED), "lexical-blocks"), n
+    return landed(_dealt(index).mapInArrow(cut, "shard long, file string"), "lexical-blocks"), n
 
 
 def _sums(at: np.ndarray, value: np.ndarray, n: int, exact: bool) -> np.ndarray:
@@ -222,7 +252,15 @@ def search(index: DataFrame, n: int, queries: DataFrame, id_col: str = "item_id"
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.int64()), pa.array([x.decode() for x in found], pa.string()), pa.array(times, pa.int64())], ["item", "term", "times"])
 
     terms = landed(rows.select("item", "raw").mapInArrow(count, "item long, term string, times long"), "lexical-terms")
-    lists = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.df").alias("df"))
+
+    def listed(batches):
+        for file in (f for b in batches for f in b.column("file").to_pylist()):
+            x = _loaded(file, "terms", "df")
+            for at in range(0, len(x["df"]), 100_000):
+                yield pa.RecordBatch.from_arrays([x["terms"].slice(at, 100_000), x["df"].slice(at, 100_000)], ["term", "df"])
+
+    index = _dealt(index)
+    lists = index.mapInArrow(listed, "term string, df int")
     df = lists.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = df.select("term", F.expr(f"cast(floor(1000D * ln((2D * {n} + 2D) / (2D * df + 1D))) AS bigint)").alias("w")).where("w > 0")
     parts = max(1, -(-rows.count() // block))
@@ -232,8 +270,9 @@ def search(index: DataFrame, n: int, queries: DataFrame, id_col: str = "item_id"
 
     def run(batches):
         for b in batches:
-            for x in b.to_pylist():
-                shard, names = Shard(x), pa.array(x["terms"], pa.string())
+            for number, file in zip(b.column("shard").to_pylist(), b.column("file").to_pylist(), strict=True):
+                x = _loaded(file, *BLOCKED)
+                shard, names = Shard(x | {"doc_ids": x["doc_ids"].to_pylist()}), x["terms"]
                 for part in range(parts):
                     items = _items(uri, part)
                     if items is None:
@@ -248,7 +287,7 @@ def search(index: DataFrame, n: int, queries: DataFrame, id_col: str = "item_id"
                         if (s >= 0).any():
                             out += [(item, shard.ids[p], p, v) for p, v in zip(*(y.tolist() for y in shard.search(s[s >= 0], w[s >= 0], k)), strict=True)]
                     cols = list(zip(*out)) if out else [[]] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([x["shard"]] * len(out), pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["item", "doc_id", "shard", "place", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["item", "doc_id", "shard", "place", "score"])
 
     found = index.mapInArrow(run, "item long, doc_id long, shard long, place long, score long")
     best = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "shard", "place")
