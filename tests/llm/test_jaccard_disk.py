@@ -41,3 +41,22 @@ def test_rounds_change_nothing(spark):
         docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
         got.append(sorted((bytes(r.tag), r.n, r["keys"], r.prefix) for r in j.shared_sets(docs, 8, NONE, rounds=rounds).collect()))
     assert got[0] == got[1] == got[2] and len(got[0]) > 30 and got[3:] == [[], [], []]
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    """The rows that go are sent to the texts; only beyond `most_sent` of them do texts travel, to the same result."""
+    rng = np.random.default_rng(18)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 500)) for _ in range(200)]
+    texts += [x + " tail" for x in texts[:80]]
+    spark.createDataFrame([(i, x, i % 7) for i, x in enumerate(texts)], "doc_id long, text string, more long").write.parquet(path := str(tmp_path / "docs"))
+    docs, sent, left = spark.read.parquet(path), [], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for options in ({}, {"most_sent": 10}):
+        kept = j.drop_near_copies(docs, **options)
+        before = written(spark)
+        kept.write.format("noop").mode("overwrite").save()
+        sent.append(written(spark) - before)
+        left.append(sorted(map(tuple, kept.collect())))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert left[0] == left[1] == [(i, x, i % 7) for i, x in enumerate(texts[:200])]
+    assert sent[0] < 20_000 and sent[1] > 100_000
